@@ -1,0 +1 @@
+"""Nothing here on purpose: the shop's tables change in batches, and no query keeps a stream open."""
