@@ -14,8 +14,7 @@ from rackwise.functions.fixed_values import SHEET_2X4, SHEET_3X6
 from rackwise.operators import (
     abc, consignors, ids, intake, inventory, kpis, labels, listings, markdown, merge, photos, registration, sales_reports,
 )
-from rackwise.sources import sample_shop
-from rackwise.sources.sample_shop import CHANGE_ORDER, SALE_ORDER, shop
+from rackwise.sources.sample_shop import CHANGE_ORDER, SALE_ORDER, SampleShop
 from rackwise.sources.schema import DEFAULTS
 from rackwise.sources.tables import Tables, load_tables, run_sql, write_csv, write_tables
 from rackwise.sources.workspace import new_folder
@@ -28,8 +27,8 @@ SIZES = [str(n) for n in range(1, 51)]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def on_shop(build: Callable[[Tables], DataFrame], with_sale_ids: bool = False) -> Query:
-    return lambda spark, folder: build(shop(spark, folder, with_sale_ids))
+def on_shop(build: Callable[[SampleShop], DataFrame], with_sale_ids: bool = False) -> Query:
+    return lambda spark, folder: build(SampleShop(spark, folder, with_sale_ids))
 
 
 # --- tables, merges -------------------------------------------------------------------------
@@ -37,7 +36,7 @@ def on_shop(build: Callable[[Tables], DataFrame], with_sale_ids: bool = False) -
 
 def _stored(spark: SparkSession, folder: str, fmt: str) -> Tables:
     path = new_folder(spark, f"tables-{fmt}")
-    write_tables(shop(spark, folder), path, fmt)
+    write_tables(SampleShop(spark, folder).tables(), path, fmt)
     return load_tables(spark, path, fmt)
 
 
@@ -51,7 +50,7 @@ def load_items_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 def sql_over_tables(spark: SparkSession, folder: str) -> DataFrame:
     return run_sql(
-        spark, shop(spark, folder),
+        spark, SampleShop(spark, folder).tables(),
         """SELECT i.brand, s.channel, COUNT(*) AS n_sales, MAX(s.sale_price) AS top_price
            FROM sales s JOIN items i ON s.sku = i.sku
            WHERE s.date >= :start AND s.date <= :end AND i.condition = :condition
@@ -62,133 +61,132 @@ def sql_over_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def sql_positional(spark: SparkSession, folder: str) -> DataFrame:
     return run_sql(
-        spark, shop(spark, folder),
+        spark, SampleShop(spark, folder).tables(),
         "SELECT category, COUNT(*) AS n_items FROM items WHERE listed_at >= ? AND listed_at <= ? GROUP BY category",
         [START, END],
     )
 
 
-def upsert_items(spark: SparkSession, folder: str) -> DataFrame:
+def upsert_items(t: SampleShop) -> DataFrame:
     merged = merge.upsert(
-        sample_shop.items(spark, folder), sample_shop.item_changes(spark, folder), "sku",
+        t.items, t.item_changes, "sku",
         order_by=CHANGE_ORDER, defaults=DEFAULTS["items"],
     )
     return merged.select("sku", "category", "list_price", "channel_listed", "notes", "cost", "markdown_stage", "active")
 
 
-def upsert_items_price_only(spark: SparkSession, folder: str) -> DataFrame:
+def upsert_items_price_only(t: SampleShop) -> DataFrame:
     merged = merge.upsert(
-        sample_shop.items(spark, folder), sample_shop.item_changes(spark, folder), "sku",
+        t.items, t.item_changes, "sku",
         update_cols=["list_price"], order_by=CHANGE_ORDER, defaults=DEFAULTS["items"],
     )
     return merged.select("sku", "list_price", "channel_listed", "notes", "active")
 
 
-def delete_items(spark: SparkSession, folder: str) -> DataFrame:
-    keys = sample_shop.item_changes(spark, folder).select("sku")
-    return merge.delete_keys(sample_shop.items(spark, folder), keys, "sku").select("sku", "category", "list_price")
+def delete_items(t: SampleShop) -> DataFrame:
+    keys = t.item_changes.select("sku")
+    return merge.delete_keys(t.items, keys, "sku").select("sku", "category", "list_price")
 
 
 def payouts_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "payouts-csv")
-    report = sales_reports.payout_report(shop(spark, folder), START, END)
+    report = sales_reports.payout_report(SampleShop(spark, folder), START, END)
     write_csv(report, path)
     return spark.read.schema(report.schema).option("header", True).csv(path)
 
 
 def photo_list_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "photo-list-csv")
-    report = photos.photo_list_report(photos.photo_worklist(shop(spark, folder)))
+    report = photos.photo_list_report(photos.photo_worklist(SampleShop(spark, folder)))
     write_csv(report, path)
     return spark.read.schema(report.schema).option("header", True).csv(path)
 
 
-def photo_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    return photos.photo_inventory(sample_shop.photo_paths(spark, folder))
+def photo_inventory(t: SampleShop) -> DataFrame:
+    return photos.photo_inventory(t.photo_paths)
 
 
-def stamp_photos(spark: SparkSession, folder: str) -> DataFrame:
-    stamped = photos.stamp_photos(sample_shop.items(spark, folder), photo_inventory(spark, folder))
+def stamp_photos(t: SampleShop) -> DataFrame:
+    stamped = photos.stamp_photos(t.items, photo_inventory(t))
     return stamped.select("sku", "photos_url", "listed_at", "active")
 
 
 # --- ids, intake, registration ---------------------------------------------------------------
 
 
-def consignor_ids(spark: SparkSession, folder: str) -> DataFrame:
-    new = sample_shop.new_consignors(spark, folder)
-    return ids.assign_consignor_ids(sample_shop.consignors(spark, folder), new, ["c_custkey"]).select("id", "c_custkey", "name")
+def consignor_ids(t: SampleShop) -> DataFrame:
+    new = t.new_consignors
+    return ids.assign_consignor_ids(t.consignors, new, ["c_custkey"]).select("id", "c_custkey", "name")
 
 
-def skus(spark: SparkSession, folder: str) -> DataFrame:
+def skus(t: SampleShop) -> DataFrame:
     """First the finished orders, then the others count on from them, month by month."""
-    orders = sample_shop.new_items(spark, folder)
+    orders = t.new_items
     nothing = orders.select(F.lit("").alias("sku")).limit(0)
     first = ids.assign_skus(nothing, orders.filter(F.col("category") == "F"), order_by=["o_orderkey"], month_of="listed_at")
     then = ids.assign_skus(first, orders.filter(F.col("category") != "F"), order_by=["o_orderkey"], month_of="listed_at")
     return first.unionByName(then).select("sku", "o_orderkey", "listed_at")
 
 
-def skus_of_one_month(spark: SparkSession, folder: str) -> DataFrame:
+def skus_of_one_month(t: SampleShop) -> DataFrame:
     """The whole batch enters on one day, so all of it counts in one month."""
-    orders = sample_shop.new_items(spark, folder)
+    orders = t.new_items
     nothing = orders.select(F.lit("").alias("sku")).limit(0)
     return ids.assign_skus(nothing, orders, as_of=AS_OF, order_by=["o_orderkey"]).select("sku", "o_orderkey")
 
 
-def sale_ids(spark: SparkSession, folder: str) -> DataFrame:
-    existing = sample_shop.sales(spark, folder, with_ids=True)
-    new = sample_shop.new_sales(spark, folder)
+def sale_ids(t: SampleShop) -> DataFrame:
+    existing = t.sales
+    new = t.new_sales
     return ids.assign_sale_ids(existing, new, order_by=SALE_ORDER, month_of="date").select("id", "date", "sku", "sale_price")
 
 
-def accepted_consignors(spark: SparkSession, folder: str) -> DataFrame:
-    taken = intake.intake_consignors(sample_shop.new_consignors(spark, folder)).accepted
+def accepted_consignors(t: SampleShop) -> DataFrame:
+    taken = intake.intake_consignors(t.new_consignors).accepted
     return taken.select("name", "whatsapp", "percent", "active")
 
 
-def rejected_consignors(spark: SparkSession, folder: str) -> DataFrame:
-    rejected = intake.intake_consignors(sample_shop.new_consignors(spark, folder)).rejected
+def rejected_consignors(t: SampleShop) -> DataFrame:
+    rejected = intake.intake_consignors(t.new_consignors).rejected
     return rejected.select("c_custkey", "name", "reject_reason")
 
 
-def accepted_items(spark: SparkSession, folder: str) -> DataFrame:
-    taken = intake.intake_items(sample_shop.new_items(spark, folder)).accepted
+def accepted_items(t: SampleShop) -> DataFrame:
+    taken = intake.intake_items(t.new_items).accepted
     return taken.select(
         "consignor_id", "category", "list_price", "markdown_stage", "listed_at", "sold_at", "cost", "active", "current_price"
     )
 
 
-def rejected_items(spark: SparkSession, folder: str) -> DataFrame:
-    rejected = intake.intake_items(sample_shop.new_items(spark, folder)).rejected
+def rejected_items(t: SampleShop) -> DataFrame:
+    rejected = intake.intake_items(t.new_items).rejected
     return rejected.select("o_orderkey", "category", "list_price", "reject_reason")
 
 
-def _registered(spark: SparkSession, folder: str) -> registration.Registration:
-    t = shop(spark, folder, with_sale_ids=True)
-    return registration.register_sales(t.items, t.sales, sample_shop.new_sales(spark, folder), SALE_ORDER, month_of="date")
+def _registered(t: SampleShop) -> registration.Registration:
+    return registration.register_sales(t.items, t.sales, t.new_sales, SALE_ORDER, month_of="date")
 
 
-def registered_sales(spark: SparkSession, folder: str) -> DataFrame:
-    return _registered(spark, folder).sales.select("id", "date", "sku", "sale_price", "discount_value", "channel", "consignor_id")
+def registered_sales(t: SampleShop) -> DataFrame:
+    return _registered(t).sales.select("id", "date", "sku", "sale_price", "discount_value", "channel", "consignor_id")
 
 
-def registered_net_values(spark: SparkSession, folder: str) -> DataFrame:
-    return _registered(spark, folder).accepted.select("id", "sku", "net_value", "consignor_id")
+def registered_net_values(t: SampleShop) -> DataFrame:
+    return _registered(t).accepted.select("id", "sku", "net_value", "consignor_id")
 
 
-def registered_items(spark: SparkSession, folder: str) -> DataFrame:
-    return _registered(spark, folder).items.select("sku", "sold_at", "sale_price", "channel_sold", "listed_at")
+def registered_items(t: SampleShop) -> DataFrame:
+    return _registered(t).items.select("sku", "sold_at", "sale_price", "channel_sold", "listed_at")
 
 
-def rejected_sales(spark: SparkSession, folder: str) -> DataFrame:
-    return _registered(spark, folder).rejected.select("date", "sku", "sale_price", "reject_reason")
+def rejected_sales(t: SampleShop) -> DataFrame:
+    return _registered(t).rejected.select("date", "sku", "sale_price", "reject_reason")
 
 
 # --- pricing ---------------------------------------------------------------------------------
 
 
-def markdown_prices(t: Tables) -> DataFrame:
+def markdown_prices(t: SampleShop) -> DataFrame:
     return t.items.select(
         "sku", "list_price", "markdown_stage",
         col.markdown_price().alias("current_price"),
@@ -197,14 +195,14 @@ def markdown_prices(t: Tables) -> DataFrame:
     )
 
 
-def stage_names(t: Tables) -> DataFrame:
+def stage_names(t: SampleShop) -> DataFrame:
     return t.items.select(
         "sku",
         *[col.stage_name(style=style).alias(f"stage_{style}") for style in ("long", "short", "percent")],
     )
 
 
-def payout_splits(t: Tables) -> DataFrame:
+def payout_splits(t: SampleShop) -> DataFrame:
     """Splits of texts as they come from a form: numbers, blanks and words."""
     rows = t.items.select(
         "sku",
@@ -214,42 +212,42 @@ def payout_splits(t: Tables) -> DataFrame:
     return sales_reports.payout_split(rows)
 
 
-def item_ages(t: Tables) -> DataFrame:
+def item_ages(t: SampleShop) -> DataFrame:
     return t.items.select("sku", age_in_days("listed_at", dt.datetime(2001, 7, 15, 6, 0)).alias("age"))
 
 
 # --- lists with a derived key set --------------------------------------------------------------
 
 
-def item_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    wanted = sample_shop.item_changes(spark, folder).select("sku")
-    return listings.item_by_sku(shop(spark, folder), wanted).select("sku", "category", "list_price", "markdown_stage", "sold_at")
+def item_lookup(t: SampleShop) -> DataFrame:
+    wanted = t.item_changes.select("sku")
+    return listings.item_by_sku(t, wanted).select("sku", "category", "list_price", "markdown_stage", "sold_at")
 
 
-def items_with_consignor(t: Tables) -> DataFrame:
+def items_with_consignor(t: SampleShop) -> DataFrame:
     return listings.with_consignor_name(t.items, t.consignors).select("sku", "consignor_id", "consignor_name")
 
 
-def orphan_photo_folders(spark: SparkSession, folder: str) -> DataFrame:
-    return photos.orphan_photo_folders(shop(spark, folder), photo_inventory(spark, folder))
+def orphan_photo_folders(t: SampleShop) -> DataFrame:
+    return photos.orphan_photo_folders(t, photo_inventory(t))
 
 
-def orphan_photo_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return photos.orphan_photo_summary(shop(spark, folder), photo_inventory(spark, folder))
+def orphan_photo_summary(t: SampleShop) -> DataFrame:
+    return photos.orphan_photo_summary(t, photo_inventory(t))
 
 
 # --- labels ------------------------------------------------------------------------------------
 
 
-def in_stock(t: Tables) -> DataFrame:
+def in_stock(t: SampleShop) -> DataFrame:
     return t.items.filter(col.in_stock())
 
 
-def label_sheets(t: Tables) -> DataFrame:
+def label_sheets(t: SampleShop) -> DataFrame:
     return labels.label_sheet(in_stock(t), *SHEET_2X4, order_by=["listed_at", "sku"]).select("sku", "slot", "sheet", "col", "row")
 
 
-def label_sheet_first(t: Tables) -> DataFrame:
+def label_sheet_first(t: SampleShop) -> DataFrame:
     placed = labels.label_sheet(in_stock(t), *SHEET_3X6, order_by=["listed_at", "sku"], first_sheet_only=True)
     return placed.select("sku", "slot", "sheet", "col", "row")
 
@@ -259,25 +257,25 @@ QUERIES: dict[str, Query] = {
     "load_items_csv": load_items_csv,
     "sql_over_tables": sql_over_tables,
     "sql_positional": sql_positional,
-    "upsert_items": upsert_items,
-    "upsert_items_price_only": upsert_items_price_only,
-    "delete_items": delete_items,
+    "upsert_items": on_shop(upsert_items),
+    "upsert_items_price_only": on_shop(upsert_items_price_only),
+    "delete_items": on_shop(delete_items),
     "payouts_csv": payouts_csv,
     "photo_list_csv": photo_list_csv,
-    "photo_inventory": photo_inventory,
-    "stamp_photos": stamp_photos,
-    "consignor_ids": consignor_ids,
-    "skus": skus,
-    "skus_of_one_month": skus_of_one_month,
-    "sale_ids": sale_ids,
-    "accepted_consignors": accepted_consignors,
-    "rejected_consignors": rejected_consignors,
-    "accepted_items": accepted_items,
-    "rejected_items": rejected_items,
-    "registered_sales": registered_sales,
-    "registered_net_values": registered_net_values,
-    "registered_items": registered_items,
-    "rejected_sales": rejected_sales,
+    "photo_inventory": on_shop(photo_inventory),
+    "stamp_photos": on_shop(stamp_photos),
+    "consignor_ids": on_shop(consignor_ids),
+    "skus": on_shop(skus),
+    "skus_of_one_month": on_shop(skus_of_one_month),
+    "sale_ids": on_shop(sale_ids, with_sale_ids=True),
+    "accepted_consignors": on_shop(accepted_consignors),
+    "rejected_consignors": on_shop(rejected_consignors),
+    "accepted_items": on_shop(accepted_items),
+    "rejected_items": on_shop(rejected_items),
+    "registered_sales": on_shop(registered_sales, with_sale_ids=True),
+    "registered_net_values": on_shop(registered_net_values, with_sale_ids=True),
+    "registered_items": on_shop(registered_items, with_sale_ids=True),
+    "rejected_sales": on_shop(rejected_sales, with_sale_ids=True),
     "markdown_prices": on_shop(markdown_prices),
     "stage_names": on_shop(stage_names),
     "payout_splits": on_shop(payout_splits),
@@ -291,7 +289,7 @@ QUERIES: dict[str, Query] = {
     "sales_history": on_shop(listings.sales_history, with_sale_ids=True),
     "recent_stock_photo": on_shop(lambda t: listings.recent_stock(t, variant="photo")),
     "recent_stock_label": on_shop(lambda t: listings.recent_stock(t, variant="label")),
-    "item_lookup": item_lookup,
+    "item_lookup": on_shop(item_lookup),
     "gallery": on_shop(listings.gallery),
     "gallery_filtered": on_shop(lambda t: listings.gallery(t, category="PROMO", brand="bRAND#1", with_photos=True)),
     "fast_movers": on_shop(lambda t: listings.fast_movers(t, START, END)),
@@ -333,8 +331,8 @@ QUERIES: dict[str, Query] = {
     "low_photo_coverage": on_shop(photos.low_photo_coverage),
     "abc_analysis": on_shop(lambda t: abc.abc_analysis(t, START, END)),
     "abc_summary": on_shop(lambda t: abc.abc_summary(t, START, END)),
-    "orphan_photo_folders": orphan_photo_folders,
-    "orphan_photo_summary": orphan_photo_summary,
+    "orphan_photo_folders": on_shop(orphan_photo_folders),
+    "orphan_photo_summary": on_shop(orphan_photo_summary),
     "apply_markdowns": on_shop(lambda t: markdown.apply_markdowns(t.items, AS_OF).select("sku", "listed_at", "markdown_stage")),
     "markdown_transitions": on_shop(lambda t: markdown.markdown_transitions(t.items, AS_OF)),
     "label_manifest": on_shop(lambda t: labels.label_manifest(in_stock(t))),

@@ -9,183 +9,186 @@ Money goes through exact decimals, so that any engine derives the same cents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import cache, cached_property
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rackwise.functions.fixed_values import CHANNELS, CONDITIONS, PAYMENT_METHODS
 from rackwise.operators.ids import assign_sale_ids
 from rackwise.sources.schema import CONSIGNORS, ITEMS, SALES
 from rackwise.sources.tables import Tables
 
 # Order of sales within a month, unique over the source lines.
 SALE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+# Order of changes to one item; the last one counts.
+CHANGE_ORDER = ["changed_at", "l_partkey", "l_suppkey", "l_linenumber"]
 
+# One number past the last supplier occurs too: a consignor that was deleted.
+_CONSIGNOR_OF = "format_string('C%04d', o_custkey % ((SELECT count(*) FROM {supplier}) + 1) + 1)"
+
+_CONSIGNORS = """
+SELECT format_string('C%04d', s_suppkey + 1) AS id,
+       s_name AS name,
+       CASE WHEN s_suppkey % 4 <> 0 THEN concat('31-', s_suppkey) END AS whatsapp,
+       concat('pix-', s_suppkey) AS pix_key,
+       CASE WHEN s_suppkey % 5 <> 0 THEN (40 + 5 * (s_suppkey % 5)) / 100 END AS percent,
+       CASE WHEN s_acctbal >= 0 THEN 1 ELSE 0 END AS active
+FROM {supplier}
+"""
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+_ITEMS = f"""
+SELECT CAST(o_orderkey AS STRING) AS sku,
+       CASE WHEN o_orderkey % 11 <> 0 THEN {_CONSIGNOR_OF} END AS consignor_id,
+       CASE WHEN o_orderkey % 11 <> 0 THEN 'consignação' ELSE 'doação' END AS acquisition_type,
+       p_type AS category,
+       p_name AS subcategory,
+       CASE WHEN o_orderkey % 13 <> 0 THEN p_brand END AS brand,
+       CAST(p_size AS STRING) AS size,
+       element_at(array('A', 'A-', 'B', 'C'), CAST(o_orderkey % 4 + 1 AS INT)) AS condition,
+       0.0D AS cost,
+       CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS list_price,
+       CASE WHEN o_orderkey % 6 <> 5 THEN o_orderkey % 6 END AS markdown_stage,
+       listed_at AS acquired_at,
+       listed_at,
+       element_at(array('Loja', 'Instagram', 'WhatsApp', 'Online'), CAST(o_orderkey % 4 + 1 AS INT)) AS channel_listed,
+       date_add(listed_at, delay) AS sold_at,
+       CASE o_orderkey % 3 WHEN 1 THEN '' WHEN 2 THEN concat('photos/', o_orderkey) END AS photos_url,
+       CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 1 END AS active
+FROM (SELECT *, CAST(o_orderdate AS DATE) AS listed_at, o_orderkey % (SELECT count(*) FROM {{part}}) AS part_no
+      FROM {{orders}}) AS o
+JOIN {{part}} AS p ON p_partkey = part_no
+LEFT JOIN (SELECT l_orderkey, max(CAST(floor(l_quantity * l_quantity / 50) AS INT)) AS delay
+           FROM {{lineitem}} WHERE l_returnflag = 'N' GROUP BY l_orderkey) AS sold ON l_orderkey = o_orderkey
+"""
 
+_SALE_LINES = f"""
+SELECT {", ".join(SALE_ORDER)}, l_tax,
+       date_add(CAST(o_orderdate AS DATE), CAST(floor(l_quantity * l_quantity / 50) AS INT)) AS date,
+       CAST(l_orderkey AS STRING) AS sku,
+       CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS sale_price,
+       CASE WHEN l_discount > 0 THEN
+         CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) * 0.001, 2) AS DOUBLE)
+       END AS discount_value,
+       element_at(array('Loja', 'Instagram', 'WhatsApp', 'Online'), l_linenumber % 4 + 1) AS channel,
+       element_at(array('Débito', 'Crédito', 'Pix', 'Dinheiro'), l_linenumber % 4 + 1) AS payment_method,
+       {_CONSIGNOR_OF} AS consignor_id
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
+WHERE l_returnflag = :flag
+"""
 
-def _row_count(df: DataFrame) -> Column:
-    return df.agg(F.count("*")).scalar()
+# Customers who want to become consignors; those of one market segment left their name blank.
+_NEW_CONSIGNORS = """
+SELECT c_custkey,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN '' ELSE c_name END AS name,
+       concat('31-', c_custkey) AS whatsapp,
+       CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS active
+FROM {customer}
+"""
 
+# Orders as incoming items; some lack a category, some a price, some a consignor.
+_NEW_ITEMS = """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE format_string('C%04d', o_custkey) END AS consignor_id,
+       CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS category,
+       CASE WHEN o_orderpriority = '5-LOW' THEN 0.0D
+            ELSE CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) END AS list_price,
+       CAST(o_orderkey % 4 AS INT) AS markdown_stage,
+       CAST(o_orderdate AS DATE) AS acquired_at,
+       CAST(o_orderdate AS DATE) AS listed_at
+FROM {orders}
+"""
 
-def _thousandth(amount: Column) -> Column:
-    return F.round(amount * F.lit("0.001").cast("decimal(4,3)"), 2).cast("double")
+# By tax rate some sales lack a SKU or name an unknown one; undiscounted ones lack a price.
+_NEW_SALES = f"""
+SELECT * EXCEPT (sku, sale_price, l_tax),
+       CASE WHEN l_tax < 0.005D THEN '' WHEN l_tax > 0.075D THEN concat('perdido-', sku) ELSE sku END AS sku,
+       CASE WHEN discount_value IS NULL THEN 0.0D ELSE sale_price END AS sale_price
+FROM ({_SALE_LINES})
+"""
 
+# Changes of price, channel and notes; lines with the highest tax rate bring new items.
+_ITEM_CHANGES = """
+SELECT CASE WHEN l_tax > 0.075D THEN concat('novo-', l_orderkey) ELSE CAST(l_orderkey AS STRING) END AS sku,
+       CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS list_price,
+       element_at(array('Loja', 'Instagram', 'WhatsApp', 'Online'), l_linenumber % 4 + 1) AS channel_listed,
+       CASE WHEN l_linestatus = 'O' THEN 'revisado' END AS notes,
+       CAST(l_shipdate AS DATE) AS changed_at, l_partkey, l_suppkey, l_linenumber
+FROM {lineitem} WHERE l_returnflag = 'R'
+"""
 
-def _cents(column: str) -> Column:
-    return F.col(column).cast("decimal(18,2)")
+# One file per order line below its item's folder, with endings that do and do not count.
+_PHOTO_PATHS = """
+SELECT concat('photos/', l_orderkey, '/',
+              concat_ws('_', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS INT)),
+              CASE WHEN l_returnflag = 'A' THEN '.jpg' WHEN l_returnflag = 'R' THEN '.png'
+                   WHEN l_linestatus = 'F' THEN '.jpeg' ELSE '.JPG' END) AS path
+FROM {lineitem}
+"""
 
+_SOURCES = ("supplier", "customer", "part", "orders", "lineitem")
 
-def _choice(number: Column, values: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 
+@cache
+def _schema(path: str) -> StructType:
+    """The schema of a source file, looked up once; each further read then starts without a job."""
+    return SparkSession.active().read.parquet(path).schema
 
-def _complete(df: DataFrame, schema) -> DataFrame:
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
-    ])
 
+class SampleShop:
+    """A shop over one folder of source tables. Tables are built when first asked for."""
 
-def _consignor_of(customer: Column, suppliers: DataFrame) -> Column:
-    """One number past the last supplier occurs too: a consignor that was deleted."""
-    return F.format_string("C%04d", customer % (_row_count(suppliers) + 1) + 1)
-
-
-def consignors(spark: SparkSession, folder: str) -> DataFrame:
-    s = _read(spark, folder, "supplier")
-    key = F.col("s_suppkey")
-    return _complete(s.select(
-        F.format_string("C%04d", key + 1).alias("id"),
-        F.col("s_name").alias("name"),
-        F.when(key % 4 != 0, F.concat(F.lit("31-"), key.cast("string"))).alias("whatsapp"),
-        F.concat(F.lit("pix-"), key.cast("string")).alias("pix_key"),
-        F.when(key % 5 != 0, (key % 5 * 5 + 40) / 100).alias("percent"),
-        F.when(F.col("s_acctbal") >= 0, 1).otherwise(0).alias("active"),
-    ), CONSIGNORS)
-
-
-def _lines(spark: SparkSession, folder: str, flag: str) -> DataFrame:
-    """Order lines with one return flag, with the date of the event they stand for."""
-    lines = _read(spark, folder, "lineitem").filter(F.col("l_returnflag") == flag)
-    return lines.withColumn("_delay", F.floor(F.col("l_quantity") * F.col("l_quantity") / 50).cast("int"))
-
-
-def _sale_lines(spark: SparkSession, folder: str, flag: str) -> DataFrame:
-    orders = _read(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    number = F.col("l_linenumber")
-    return _lines(spark, folder, flag).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        *SALE_ORDER, "l_tax",
-        F.date_add(F.col("o_orderdate").cast("date"), F.col("_delay")).alias("date"),
-        F.col("l_orderkey").cast("string").alias("sku"),
-        _thousandth(_cents("l_extendedprice")).alias("sale_price"),
-        F.when(
-            F.col("l_discount") > 0, _thousandth(_cents("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)"))
-        ).alias("discount_value"),
-        _choice(number, CHANNELS).alias("channel"),
-        _choice(number, PAYMENT_METHODS).alias("payment_method"),
-        _consignor_of(F.col("o_custkey"), _read(spark, folder, "supplier")).alias("consignor_id"),
-    )
-
-
-def sales(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
-    """Sales. Their ids count up within each month, which takes a checkpoint; most queries need none."""
-    lines = _sale_lines(spark, folder, "N")
-    if with_ids:
-        no_sales = spark.createDataFrame([], SALES)
-        lines = assign_sale_ids(no_sales, lines, order_by=SALE_ORDER, month_of="date")
-    return _complete(lines, SALES)
-
-
-def items(spark: SparkSession, folder: str) -> DataFrame:
-    parts = _read(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    sold = _lines(spark, folder, "N").groupBy("l_orderkey").agg(F.max("_delay").alias("_delay"))
-    orders = _read(spark, folder, "orders").withColumn("_part", F.col("o_orderkey") % _row_count(parts))
-    key, listed = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
-    sku = key.cast("string")
-    joined = orders.join(sold, key == F.col("l_orderkey"), "left").join(parts, F.col("_part") == F.col("p_partkey"))
-    return _complete(joined.select(
-        sku.alias("sku"),
-        F.when(key % 11 != 0, _consignor_of(F.col("o_custkey"), _read(spark, folder, "supplier"))).alias("consignor_id"),
-        F.when(key % 11 != 0, "consignação").otherwise("doação").alias("acquisition_type"),
-        F.col("p_type").alias("category"),
-        F.col("p_name").alias("subcategory"),
-        F.when(key % 13 != 0, F.col("p_brand")).alias("brand"),
-        F.col("p_size").cast("string").alias("size"),
-        _choice(key, CONDITIONS).alias("condition"),
-        F.lit(0.0).alias("cost"),
-        _thousandth(_cents("o_totalprice")).alias("list_price"),
-        F.when(key % 6 != 5, key % 6).alias("markdown_stage"),
-        listed.alias("acquired_at"),
-        listed.alias("listed_at"),
-        _choice(key, CHANNELS).alias("channel_listed"),
-        F.date_add(listed, F.col("_delay")).alias("sold_at"),
-        F.when(key % 3 == 1, "").when(key % 3 == 2, F.concat(F.lit("photos/"), sku)).alias("photos_url"),
-        F.when(key % 17 == 0, 0).otherwise(1).alias("active"),
-    ), ITEMS)
-
-
-def shop(spark: SparkSession, folder: str, with_sale_ids: bool = False) -> Tables:
-    return Tables(consignors(spark, folder), items(spark, folder), sales(spark, folder, with_sale_ids))
-
-
-def new_consignors(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers who want to become consignors; those of one market segment left their name blank."""
-    c = _read(spark, folder, "customer")
-    return c.select(
-        "c_custkey",
-        F.when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_name")).alias("name"),
-        F.concat(F.lit("31-"), F.col("c_custkey").cast("string")).alias("whatsapp"),
-        F.when(F.col("c_acctbal") >= 0, 1).otherwise(0).alias("active"),
-    )
-
-
-def new_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as incoming items; some lack a category, some a price, some a consignor."""
-    o = _read(spark, folder, "orders")
-    key = F.col("o_orderkey")
-    return o.select(
-        "o_orderkey",
-        F.when(key % 11 == 0, "").otherwise(F.format_string("C%04d", F.col("o_custkey"))).alias("consignor_id"),
-        F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus")).alias("category"),
-        F.when(F.col("o_orderpriority") == "5-LOW", 0.0).otherwise(_thousandth(_cents("o_totalprice"))).alias("list_price"),
-        (key % 4).cast("int").alias("markdown_stage"),
-        F.col("o_orderdate").cast("date").alias("listed_at"),
-        F.col("o_orderdate").cast("date").alias("acquired_at"),
-    )
-
-
-def new_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """A batch of sales to register: by tax rate some lack a SKU or name an unknown one, undiscounted ones lack a price."""
-    return _sale_lines(spark, folder, "A").withColumns({
-        "sku": F.when(F.col("l_tax") < 0.005, "").when(F.col("l_tax") > 0.075, F.concat(F.lit("perdido-"), F.col("sku"))).otherwise(F.col("sku")),
-        "sale_price": F.when(F.col("discount_value").isNull(), 0.0).otherwise(F.col("sale_price")),
-    }).drop("l_tax")
-
-
-def item_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Changes of price, channel and notes; lines with a tax rate of 8% bring new items."""
-    sku = F.col("l_orderkey").cast("string")
-    return _lines(spark, folder, "R").select(
-        F.when(F.col("l_tax") > 0.075, F.concat(F.lit("novo-"), sku)).otherwise(sku).alias("sku"),
-        _thousandth(_cents("l_extendedprice")).alias("list_price"),
-        _choice(F.col("l_linenumber"), CHANNELS).alias("channel_listed"),
-        F.when(F.col("l_linestatus") == "O", F.lit("revisado")).alias("notes"),
-        F.col("l_shipdate").cast("date").alias("changed_at"),
-        "l_partkey", "l_suppkey", "l_linenumber",
-    )
+    def __init__(self, spark: SparkSession, folder: str, with_sale_ids: bool = False) -> None:
+        self.spark, self.folder, self.with_sale_ids = spark, folder, with_sale_ids
 
+    def _query(self, sql: str, args: dict | None = None) -> DataFrame:
+        paths = {name: f"{self.folder}/{name}.parquet" for name in _SOURCES if "{" + name + "}" in sql}
+        read = {name: self.spark.read.schema(_schema(path)).parquet(path) for name, path in paths.items()}
+        return self.spark.sql(sql, args=args or {}, **read)
 
-# Order of changes to one item; the last one counts.
-CHANGE_ORDER = ["changed_at", "l_partkey", "l_suppkey", "l_linenumber"]
+    @cached_property
+    def consignors(self) -> DataFrame:
+        return _complete(self._query(_CONSIGNORS), CONSIGNORS)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return _complete(self._query(_ITEMS), ITEMS)
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        """Sales. Their ids count up within each month, which takes a checkpoint; most queries need none."""
+        lines = self._query(_SALE_LINES, {"flag": "N"})
+        if self.with_sale_ids:
+            no_sales = self.spark.createDataFrame([], SALES)
+            lines = assign_sale_ids(no_sales, lines, order_by=SALE_ORDER, month_of="date")
+        return _complete(lines, SALES)
+
+    @cached_property
+    def new_consignors(self) -> DataFrame:
+        return self._query(_NEW_CONSIGNORS)
+
+    @cached_property
+    def new_items(self) -> DataFrame:
+        return self._query(_NEW_ITEMS)
 
+    @cached_property
+    def new_sales(self) -> DataFrame:
+        return self._query(_NEW_SALES, {"flag": "A"})
 
-def photo_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """One file per order line below its item's folder, with endings that do and do not count."""
-    name = F.concat_ws("_", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int"))
-    ending = (
-        F.when(F.col("l_returnflag") == "A", "jpg").when(F.col("l_returnflag") == "R", "png")
-        .when(F.col("l_linestatus") == "F", "jpeg").otherwise("JPG")
-    )
-    path = F.concat(F.lit("photos/"), F.col("l_orderkey").cast("string"), F.lit("/"), name, F.lit("."), ending)
-    return _read(spark, folder, "lineitem").select(path.alias("path"))
+    @cached_property
+    def item_changes(self) -> DataFrame:
+        return self._query(_ITEM_CHANGES)
+
+    @cached_property
+    def photo_paths(self) -> DataFrame:
+        return self._query(_PHOTO_PATHS)
+
+    def tables(self) -> Tables:
+        return Tables(self.consignors, self.items, self.sales)
+
+
+def _complete(df: DataFrame, schema: StructType) -> DataFrame:
+    """All columns of ``schema`` in its order; those that ``df`` lacks are NULL."""
+    return df.selectExpr(*[
+        f"CAST({f.name if f.name in df.columns else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema
+    ])

@@ -12,6 +12,9 @@ from pyspark.sql.types import DateType, StructType
 
 from rackwise.sources.schema import SCHEMAS
 
+# What the CSV reader puts for a bare gap; a text no cell holds, so that "" stays an empty string.
+_GAP = "\u0001"
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -47,7 +50,7 @@ def _read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     # Notes may hold line breaks, so a file is read by one task; write_csv makes many files.
     raw = (
         spark.read.schema(text_dates).option("header", True).option("multiLine", True)
-        .option("emptyValue", "").option("escape", '"').csv(path)
+        .option("nullValue", _GAP).option("emptyValue", "").option("escape", '"').csv(path)
     )
     return raw.select([
         F.try_to_timestamp(F.col(f.name), F.lit("yyyy-MM-dd")).cast("date").alias(f.name)
