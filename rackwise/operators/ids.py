@@ -26,7 +26,7 @@ def assign_consignor_ids(existing: DataFrame, new: DataFrame, order_by: Sequence
         existing.select(F.regexp_extract("id", _CONSIGNOR_ID, 1).alias("_number")).filter("_number <> ''")
         .agg(F.coalesce(F.max(F.col("_number").cast("bigint")), F.lit(0)).alias("_last"))
     )
-    numbered = number_rows(_without(new, "id"), order_by, name="_no")
+    numbered = number_rows(new.drop("id"), order_by, name="_no")
     number = F.col("_no") + last.scalar()
     return numbered.select(F.format_string("C%04d", number).alias("id"), *_others(numbered))
 
@@ -54,8 +54,8 @@ def _last_by_month(existing: DataFrame, id_column: str, pattern: str) -> DataFra
     """Highest counter per month: one row for each month in use."""
     return (
         existing.filter(F.col(id_column).rlike(pattern))
-        .groupBy(F.regexp_extract(id_column, pattern, 1).alias("_last_month"))
-        .agg(F.max(F.regexp_extract(id_column, pattern, 2).cast("bigint")).alias("_last"))
+        .groupBy(F.regexp_extract(id_column, pattern, 1).alias("_month"))
+        .agg(F.max(F.regexp_extract(id_column, pattern, 2).cast("bigint")).alias("last"))
     )
 
 
@@ -66,15 +66,9 @@ def _assign_by_month(
     if (as_of is None) == (month_of is None):
         raise ValueError("give either as_of or month_of")
     day: Column = F.lit(day_of(as_of)) if as_of is not None else F.col(month_of)
-    dated = _without(new, id_column).withColumn("_month", F.date_format(day, "yyMM"))
-    numbered = number_rows(dated, order_by, group_by=["_month"], name="_no")
-    joined = numbered.join(last, numbered["_month"] == last["_last_month"], "left")
-    number = F.col("_no") + F.coalesce(F.col("_last"), F.lit(0))
-    return joined.select(F.format_string(form, F.col("_month"), number).alias(id_column), *_others(numbered))
-
-
-def _without(df: DataFrame, column: str) -> DataFrame:
-    return df.drop(column)
+    dated = new.drop(id_column).withColumn("_month", F.date_format(day, "yyMM"))
+    numbered = number_rows(dated, order_by, group_by=["_month"], name="_no", after=last)
+    return numbered.select(F.format_string(form, "_month", "_no").alias(id_column), *_others(numbered))
 
 
 def _others(numbered: DataFrame) -> list[Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackwise.sources.workspace import checkpointed
@@ -12,10 +12,18 @@ from rackwise.sources.workspace import checkpointed
 # monotonically_increasing_id() keeps the row's place in its partition in the low 33 bits.
 _PLACE_BITS = 33
 
+# Rows of (group, partition) up to which the table of shifts is broadcast: a few megabytes.
+_BROADCAST_ROWS = 100_000
 
-def number_rows(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (), name: str = "row_no") -> DataFrame:
+
+def number_rows(
+    df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (), name: str = "row_no", after: DataFrame | None = None
+) -> DataFrame:
     """Add ``name``: 1, 2, 3 ... in ``order_by`` order, starting over in each ``group_by`` group.
 
+    With ``after`` (one row per group: the group columns and ``last``) a group's numbers follow
+    its ``last`` instead of starting at 1.
+
     A window would sort each group, or without groups the whole table, in one task. Here the rows
     are range-partitioned on group and order together, so a group of any size spreads over many
     tasks. Each row's place within its partition is known there; what is added is the number of
@@ -29,18 +37,25 @@ def number_rows(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str]
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
     )
     partition = F.shiftright("_place", _PLACE_BITS)
-    earlier = Window.partitionBy(*group_by).orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
-    stretches = (
-        placed.groupBy(*group_by, partition.alias("_partition"))
+    shifts = (
+        placed.groupBy(*[F.col(c).alias(f"_group_{c}") for c in group_by], partition.alias("_partition"))
         .agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
-        .select(
-            *[F.col(c).alias(f"_group_{c}") for c in group_by],
-            "_partition",
-            (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
-        )
     )
-    # Left to Spark's own size check: `stretches` has at most (partitions + groups) rows.
-    on = partition == stretches["_partition"]
+    earlier = Window.partitionBy(*[f"_group_{c}" for c in group_by]).orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = shifts.withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1)
+    if after is not None:
+        shifts = shifts.join(after, _same_group(shifts, after, group_by), "left")
+        shifts = shifts.withColumn("_shift", F.col("_shift") + F.coalesce("last", F.lit(0)))
+    # Small whatever the number of rows, unless there are very many groups: then a plain join does.
+    shifts = checkpointed(shifts.select(*[f"_group_{c}" for c in group_by], "_partition", "_shift"))
+    if shifts.count() <= _BROADCAST_ROWS:
+        shifts = F.broadcast(shifts)
+    on = (partition == shifts["_partition"]) & _same_group(shifts, placed, group_by)
+    return placed.join(shifts, on).select(*[placed[c] for c in df.columns], (F.col("_place") + F.col("_shift")).alias(name))
+
+
+def _same_group(shifts: DataFrame, other: DataFrame, group_by: Sequence[str]) -> Column:
+    same = F.lit(True)
     for c in group_by:
-        on &= placed[c].eqNullSafe(stretches[f"_group_{c}"])
-    return placed.join(stretches, on).select(*[placed[c] for c in df.columns], (F.col("_place") + F.col("_shift")).alias(name))
+        same &= shifts[f"_group_{c}"].eqNullSafe(other[c])
+    return same
