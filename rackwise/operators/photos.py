@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from rackwise.functions.columns import has_photo, in_stock, no_photo, rate_perce
 from rackwise.functions.dates import at_most_old
 from rackwise.sources.tables import Tables
 
-_PHOTO_PATH = r"([^/]+)/([^/]+)\.(" + "|".join(fixed.PHOTO_EXTENSIONS) + r")$"
+_IN_SKU_FOLDER = r"/([^/]+)/([^/]+)\.(" + "|".join(fixed.PHOTO_EXTENSIONS) + r")$"
 
 
 def photo_stats(t: Tables) -> DataFrame:
@@ -80,20 +81,20 @@ def photo_list_report(worklist: DataFrame) -> DataFrame:
     return worklist.select(*[F.col(c).alias(heading) for c, heading in fixed.PHOTO_LIST_HEADINGS.items()])
 
 
-def photo_inventory(paths: DataFrame) -> DataFrame:
+def photo_inventory(paths: DataFrame, root: str = "photos") -> DataFrame:
     """Photo files per SKU folder, from a ``path`` column: how many, and which comes first.
 
-    Other endings, and endings in capitals, are no photos. The first is the first by name among
-    the preferred ending present.
+    Counts files right inside ``<root>/<sku>/``. Other endings, and endings in capitals, are no
+    photos. The first is the first by name among the preferred ending present.
     """
-    preference = F.array_position(F.array(*[F.lit(e) for e in fixed.PHOTO_EXTENSIONS]), F.regexp_extract("path", _PHOTO_PATH, 3))
+    pattern = "(?:^|/)" + re.escape(root.strip("/")) + _IN_SKU_FOLDER
+    ending = F.regexp_extract("path", pattern, 3)
+    preference = F.array_position(F.array(*[F.lit(e) for e in fixed.PHOTO_EXTENSIONS]), ending)
+    file = F.element_at(F.split("path", "/"), -1)
     return (
-        paths.select("path", F.regexp_extract("path", _PHOTO_PATH, 1).alias("sku"), preference.alias("_preference"))
+        paths.select(F.regexp_extract("path", pattern, 1).alias("sku"), F.struct(preference, file.alias("file")).alias("_file"))
         .filter(F.col("sku") != "")
-        .groupBy("sku").agg(
-            F.count("*").alias("n_files"),
-            F.min(F.struct("_preference", F.element_at(F.split("path", "/"), -1).alias("file"))).getField("file").alias("first_file"),
-        )
+        .groupBy("sku").agg(F.count("*").alias("n_files"), F.min("_file").getField("file").alias("first_file"))
     )
 
 

@@ -18,7 +18,8 @@ def spark():
         SparkSession.builder.master("local[8]").appName("rackwise-tests")
         .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxMetadataStringLength", "1000").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
