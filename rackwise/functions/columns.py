@@ -92,6 +92,12 @@ def item_title() -> Column:
     return strip(F.concat_ws(" ", *parts))
 
 
+def zero_padded(number: Column, width: int) -> Column:
+    """A whole number with leading zeros; longer numbers keep all digits."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def strip(column: Column) -> Column:
     return F.btrim(column, F.lit(_WHITESPACE))
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rackwise.functions.columns import zero_padded
 from rackwise.functions.dates import day_of
 from rackwise.operators.numbering import number_rows
 
@@ -28,7 +29,7 @@ def assign_consignor_ids(existing: DataFrame, new: DataFrame, order_by: Sequence
     )
     numbered = number_rows(new.drop("id"), order_by, name="_no")
     number = F.col("_no") + last.scalar()
-    return numbered.select(F.format_string("C%04d", number).alias("id"), *_others(numbered))
+    return numbered.select(F.concat(F.lit("C"), zero_padded(number, 4)).alias("id"), *_others(numbered))
 
 
 def assign_skus(
@@ -39,7 +40,7 @@ def assign_skus(
     The month is that of ``as_of`` for the whole batch, or of the date column ``month_of`` per row.
     """
     last = _last_by_month(existing, "sku", _SKU)
-    return _assign_by_month(last, new, "sku", "BH-%s-%04d", as_of, order_by, month_of)
+    return _assign_by_month(last, new, "sku", ("BH-", "-", 4), as_of, order_by, month_of)
 
 
 def assign_sale_ids(
@@ -47,7 +48,7 @@ def assign_sale_ids(
 ) -> DataFrame:
     """Give each new sale the next ``VYYMM001``-style ``id`` of its month; months as for SKUs."""
     last = _last_by_month(existing, "id", _SALE_ID)
-    return _assign_by_month(last, new, "id", "V%s%03d", as_of, order_by, month_of)
+    return _assign_by_month(last, new, "id", ("V", "", 3), as_of, order_by, month_of)
 
 
 def _last_by_month(existing: DataFrame, id_column: str, pattern: str) -> DataFrame:
@@ -60,7 +61,7 @@ def _last_by_month(existing: DataFrame, id_column: str, pattern: str) -> DataFra
 
 
 def _assign_by_month(
-    last: DataFrame, new: DataFrame, id_column: str, form: str,
+    last: DataFrame, new: DataFrame, id_column: str, form: tuple[str, str, int],
     as_of: dt.date | None, order_by: Sequence[str], month_of: str | None,
 ) -> DataFrame:
     if (as_of is None) == (month_of is None):
@@ -68,7 +69,9 @@ def _assign_by_month(
     day: Column = F.lit(day_of(as_of)) if as_of is not None else F.col(month_of)
     dated = new.drop(id_column).withColumn("_month", F.date_format(day, "yyMM"))
     numbered = number_rows(dated, order_by, group_by=["_month"], name="_no", after=last)
-    return numbered.select(F.format_string(form, "_month", "_no").alias(id_column), *_others(numbered))
+    before, between, width = form
+    new_id = F.concat(F.lit(before), F.col("_month"), F.lit(between), zero_padded(F.col("_no"), width))
+    return numbered.select(new_id.alias(id_column), *_others(numbered))
 
 
 def _others(numbered: DataFrame) -> list[Column]:

@@ -13,8 +13,6 @@ from rackwise.functions.columns import has_photo, in_stock, no_photo, rate_perce
 from rackwise.functions.dates import at_most_old
 from rackwise.sources.tables import Tables
 
-_IN_SKU_FOLDER = r"/([^/]+)/([^/]+)\.(" + "|".join(fixed.PHOTO_EXTENSIONS) + r")$"
-
 
 def photo_stats(t: Tables) -> DataFrame:
     """Items in stock with and without photos, and both in percent of the stock."""
@@ -87,13 +85,13 @@ def photo_inventory(paths: DataFrame, root: str = "photos") -> DataFrame:
     Counts files right inside ``<root>/<sku>/``. Other endings, and endings in capitals, are no
     photos. The first is the first by name among the preferred ending present.
     """
-    pattern = "(?:^|/)" + re.escape(root.strip("/")) + _IN_SKU_FOLDER
-    ending = F.regexp_extract("path", pattern, 3)
-    preference = F.array_position(F.array(*[F.lit(e) for e in fixed.PHOTO_EXTENSIONS]), ending)
-    file = F.element_at(F.split("path", "/"), -1)
+    endings = "|".join(fixed.PHOTO_EXTENSIONS)
+    sku_and_file = F.regexp_extract("path", f"(?:^|/){re.escape(root.strip('/'))}/([^/]+/[^/]*[.](?:{endings}))$", 1)
+    file = F.substring_index("_tail", "/", -1)
+    preference = F.coalesce(*[F.when(F.endswith(file, F.lit(f".{e}")), F.lit(i)) for i, e in enumerate(fixed.PHOTO_EXTENSIONS)])
     return (
-        paths.select(F.regexp_extract("path", pattern, 1).alias("sku"), F.struct(preference, file.alias("file")).alias("_file"))
-        .filter(F.col("sku") != "")
+        paths.select(sku_and_file.alias("_tail")).filter(F.col("_tail") != "")
+        .select(F.substring_index("_tail", "/", 1).alias("sku"), F.struct(preference, file.alias("file")).alias("_file"))
         .groupBy("sku").agg(F.count("*").alias("n_files"), F.min("_file").getField("file").alias("first_file"))
     )
 

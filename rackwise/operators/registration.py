@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,53 +15,76 @@ from rackwise.operators.merge import last_per_key
 from rackwise.sources.schema import SALES
 
 
-@dataclass(frozen=True)
 class Registration:
-    """``sales`` and ``items`` after the batch; the accepted sales with ``net_value``; the rejects."""
+    """A batch of new sales (date, sku, sale_price, discount_value, channel ...) in ``order_by`` order.
 
-    sales: DataFrame
-    items: DataFrame
-    accepted: DataFrame
-    rejected: DataFrame
+    A sale needs a SKU, a positive price and an existing item. It keeps the consignor the item has
+    now. An item takes date, price and channel from the last sale of it in the batch. Selling an
+    item twice is allowed, and so is a discount above the price.
+
+    Each result is built when first asked for: the rejects and the items need no sale ids.
+    """
+
+    def __init__(
+        self, items: DataFrame, sales: DataFrame, new: DataFrame, order_by: Sequence[str],
+        as_of: dt.date | None = None, month_of: str | None = None,
+    ) -> None:
+        self._old_items, self._old_sales = items, sales
+        self._order_by, self._as_of, self._month_of = order_by, as_of, month_of
+
+        known = items.select(F.col("sku").alias("_item_sku"), F.col("consignor_id").alias("_item_consignor"))
+        stamped = new.drop("id", "consignor_id").join(known, F.col("sku") == F.col("_item_sku"), "left")
+        reason = (
+            F.when(blank("sku"), F.lit("SKU is required"))
+            .when(F.col("sale_price").isNull() | (F.col("sale_price") <= 0), F.lit("sale price must be positive"))
+            .when(F.col("_item_sku").isNull(), F.lit("SKU not found"))
+        )
+        self._checked = split_by_reason(stamped.withColumn("reject_reason", reason))
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        """The sales not taken, with ``reject_reason``."""
+        return self._checked.rejected.drop("_item_sku", "_item_consignor")
+
+    @cached_property
+    def _valid(self) -> DataFrame:
+        return self._checked.accepted.drop("_item_sku").withColumnRenamed("_item_consignor", "consignor_id")
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        """The sales taken, with their new ids and ``net_value``."""
+        numbered = assign_sale_ids(
+            self._old_sales, self._valid, as_of=self._as_of, order_by=self._order_by, month_of=self._month_of
+        )
+        return numbered.select(*[
+            F.col(f.name).cast(f.dataType).alias(f.name) if f.name in numbered.columns
+            else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in SALES
+        ], (F.col("sale_price") - F.col("discount_value")).alias("net_value"))
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        """All sales after the batch. Fresh ids cannot meet an old row, so no join is needed."""
+        return self._old_sales.unionByName(self.accepted.drop("net_value"))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """All items after the batch."""
+        last = last_per_key(
+            self._valid.select("sku", *self._order_by, F.col("date").alias("_sold_at"), F.col("sale_price").alias("_sale_price"),
+                               F.col("channel").alias("_channel_sold")),
+            "sku", self._order_by,
+        ).select("sku", "_sold_at", "_sale_price", "_channel_sold", F.lit(True).alias("_sold"))
+        marked = {"sold_at": "_sold_at", "sale_price": "_sale_price", "channel_sold": "_channel_sold"}
+        old = self._old_items
+        return old.join(last, "sku", "left").select(*[
+            F.when(F.col("_sold"), F.col(marked[c])).otherwise(old[c]).alias(c) if c in marked else old[c] for c in old.columns
+        ])
 
 
 def register_sales(
     items: DataFrame, sales: DataFrame, new: DataFrame, order_by: Sequence[str],
     as_of: dt.date | None = None, month_of: str | None = None,
 ) -> Registration:
-    """Register ``new`` (date, sku, sale_price, discount_value, channel ...) in ``order_by`` order.
-
-    A sale needs a SKU, a positive price and an existing item. It keeps the consignor the item has
-    now. An item takes date, price and channel from the last sale of it in the batch. Selling an
-    item twice is allowed, and so is a discount above the price.
-    """
-    known = items.select(F.col("sku").alias("_item_sku"), F.col("consignor_id").alias("_item_consignor"))
-    stamped = new.drop("id", "consignor_id").join(known, F.col("sku") == F.col("_item_sku"), "left")
-    reason = (
-        F.when(blank("sku"), F.lit("SKU is required"))
-        .when(F.col("sale_price").isNull() | (F.col("sale_price") <= 0), F.lit("sale price must be positive"))
-        .when(F.col("_item_sku").isNull(), F.lit("SKU not found"))
-    )
-    checked = split_by_reason(stamped.withColumn("reject_reason", reason))
-    rejected = checked.rejected.drop("_item_sku", "_item_consignor")
-
-    valid = checked.accepted.drop("_item_sku").withColumnRenamed("_item_consignor", "consignor_id")
-    numbered = assign_sale_ids(sales, valid, as_of=as_of, order_by=order_by, month_of=month_of)
-    accepted = numbered.select(*[
-        F.col(f.name).cast(f.dataType).alias(f.name) if f.name in numbered.columns
-        else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in SALES
-    ], (F.col("sale_price") - F.col("discount_value")).alias("net_value"))
-
-    # Fresh ids cannot meet an existing row, so the sales table only grows; no join is needed.
-    last = last_per_key(
-        valid.select("sku", *order_by, F.col("date").alias("_sold_at"), F.col("sale_price").alias("_sale_price"),
-                     F.col("channel").alias("_channel_sold")),
-        "sku", order_by,
-    ).select("sku", "_sold_at", "_sale_price", "_channel_sold", F.lit(True).alias("_sold"))
-    marked = {"sold_at": "_sold_at", "sale_price": "_sale_price", "channel_sold": "_channel_sold"}
-    new_items = items.join(last, "sku", "left").select(*[
-        F.when(F.col("_sold"), F.col(marked[c])).otherwise(items[c]).alias(c) if c in marked else items[c]
-        for c in items.columns
-    ])
-    return Registration(sales.unionByName(accepted.drop("net_value")), new_items, accepted, rejected)
+    """Register a batch of sales. Ids count within the month of ``as_of``, or of column ``month_of``."""
+    return Registration(items, sales, new, order_by, as_of, month_of)

@@ -274,8 +274,8 @@ QUERIES: dict[str, Query] = {
     "rejected_items": on_shop(rejected_items),
     "registered_sales": on_shop(registered_sales, with_sale_ids=True),
     "registered_net_values": on_shop(registered_net_values, with_sale_ids=True),
-    "registered_items": on_shop(registered_items, with_sale_ids=True),
-    "rejected_sales": on_shop(rejected_sales, with_sale_ids=True),
+    "registered_items": on_shop(registered_items),
+    "rejected_sales": on_shop(rejected_sales),
     "markdown_prices": on_shop(markdown_prices),
     "stage_names": on_shop(stage_names),
     "payout_splits": on_shop(payout_splits),

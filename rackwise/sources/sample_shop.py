@@ -25,7 +25,10 @@ SALE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantit
 CHANGE_ORDER = ["changed_at", "l_partkey", "l_suppkey", "l_linenumber"]
 
 # One number past the last supplier occurs too: a consignor that was deleted.
-_CONSIGNOR_OF = "format_string('C%04d', o_custkey % ((SELECT count(*) FROM {supplier}) + 1) + 1)"
+_ORDERS = """(
+  SELECT *, CAST(o_orderdate AS DATE) AS listed_at, CAST(o_custkey % ((SELECT count(*) FROM {supplier}) + 1) + 1 AS STRING) AS owner
+  FROM {orders})"""
+_CONSIGNOR_OF = "concat('C', lpad(owner, greatest(4, length(owner)), '0'))"
 
 _CONSIGNORS = """
 SELECT format_string('C%04d', s_suppkey + 1) AS id,
@@ -55,8 +58,7 @@ SELECT CAST(o_orderkey AS STRING) AS sku,
        date_add(listed_at, delay) AS sold_at,
        CASE o_orderkey % 3 WHEN 1 THEN '' WHEN 2 THEN concat('photos/', o_orderkey) END AS photos_url,
        CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 1 END AS active
-FROM (SELECT *, CAST(o_orderdate AS DATE) AS listed_at, o_orderkey % (SELECT count(*) FROM {{part}}) AS part_no
-      FROM {{orders}}) AS o
+FROM (SELECT *, o_orderkey % (SELECT count(*) FROM {{part}}) AS part_no FROM {_ORDERS}) AS o
 JOIN {{part}} AS p ON p_partkey = part_no
 LEFT JOIN (SELECT l_orderkey, max(CAST(floor(l_quantity * l_quantity / 50) AS INT)) AS delay
            FROM {{lineitem}} WHERE l_returnflag = 'N' GROUP BY l_orderkey) AS sold ON l_orderkey = o_orderkey
@@ -64,7 +66,7 @@ LEFT JOIN (SELECT l_orderkey, max(CAST(floor(l_quantity * l_quantity / 50) AS IN
 
 _SALE_LINES = f"""
 SELECT {", ".join(SALE_ORDER)}, l_tax,
-       date_add(CAST(o_orderdate AS DATE), CAST(floor(l_quantity * l_quantity / 50) AS INT)) AS date,
+       date_add(listed_at, CAST(floor(l_quantity * l_quantity / 50) AS INT)) AS date,
        CAST(l_orderkey AS STRING) AS sku,
        CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS sale_price,
        CASE WHEN l_discount > 0 THEN
@@ -73,7 +75,7 @@ SELECT {", ".join(SALE_ORDER)}, l_tax,
        element_at(array('Loja', 'Instagram', 'WhatsApp', 'Online'), l_linenumber % 4 + 1) AS channel,
        element_at(array('Débito', 'Crédito', 'Pix', 'Dinheiro'), l_linenumber % 4 + 1) AS payment_method,
        {_CONSIGNOR_OF} AS consignor_id
-FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
+FROM {{lineitem}} JOIN {_ORDERS} ON l_orderkey = o_orderkey
 WHERE l_returnflag = :flag
 """
 
