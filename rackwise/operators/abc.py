@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackwise.operators.sales_reports import revenue_by_category
+from rackwise.operators.sales_reports import category_revenue
 from rackwise.sources.tables import Tables
 
 
@@ -33,13 +33,13 @@ def abc_classes(revenue: DataFrame, a_up_to: float = 80, b_up_to: float = 95) ->
 
 
 def abc_analysis(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
-    return abc_classes(revenue_by_category(t, start, end)).orderBy(F.col("revenue").desc(), "category")
+    return abc_classes(category_revenue(t, start, end)).orderBy(F.col("revenue").desc(), "category")
 
 
 def abc_summary(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Categories, revenue and share by class."""
     return (
-        abc_classes(revenue_by_category(t, start, end)).groupBy("abc_class")
+        abc_classes(category_revenue(t, start, end)).groupBy("abc_class")
         .agg(
             F.count("category").alias("categories"),
             F.bround(F.sum(F.col("revenue").cast("decimal(28,4)")), 2).cast("double").alias("revenue"),

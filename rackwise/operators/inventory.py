@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackwise.functions.columns import exact_markdown_price, in_stock, rate_percent, stage_name
@@ -17,14 +17,7 @@ from rackwise.functions.dates import in_period, older_than, since
 from rackwise.sources.tables import Tables
 
 
-def sell_through_matrix(
-    t: Tables, start: dt.date, end: dt.date, min_total: int = 2, distinct_items: bool = False
-) -> DataFrame:
-    """Sold share by category and size for items listed from ``start`` on.
-
-    ``total`` counts joined rows, so an item with two sales in the period counts twice in ``sold``
-    and ``total``. ``distinct_items=True`` counts each item once instead.
-    """
+def _sell_through(t: Tables, start: dt.date, end: dt.date, min_total: int, distinct_items: bool) -> DataFrame:
     sold = t.sales.filter(in_period("date", start, end)).groupBy(F.col("sku").alias("_sku")).agg(F.count("*").alias("_n"))
     listed = t.items.filter(F.col("listed_at") >= F.lit(start)).select("sku", "category", "size")
     n_sales = F.coalesce("_n", F.lit(0).cast("bigint"))
@@ -35,10 +28,20 @@ def sell_through_matrix(
         .agg(F.sum(n_sales).alias("sold"), F.sum(F.greatest(n_sales, F.lit(1).cast("bigint"))).alias("total"))
         .filter(F.col("total") >= min_total)
         .withColumn("rate", rate_percent(F.col("sold"), F.col("total")))
-        .orderBy("category", "size")
     )
 
 
+def sell_through_matrix(
+    t: Tables, start: dt.date, end: dt.date, min_total: int = 2, distinct_items: bool = False
+) -> DataFrame:
+    """Sold share by category and size for items listed from ``start`` on.
+
+    ``total`` counts joined rows, so an item with two sales in the period counts twice in ``sold``
+    and ``total``. ``distinct_items=True`` counts each item once instead.
+    """
+    return _sell_through(t, start, end, min_total, distinct_items).orderBy("category", "size")
+
+
 def sell_through_pivot(
     t: Tables, start: dt.date, end: dt.date, sizes: Sequence[str] | None = None, min_total: int = 2
 ) -> DataFrame:
@@ -47,7 +50,7 @@ def sell_through_pivot(
     With ``sizes`` the columns are fixed beforehand and the plan stays lazy. Without, Spark first
     runs a job to find the sizes.
     """
-    matrix = sell_through_matrix(t, start, end, min_total)
+    matrix = _sell_through(t, start, end, min_total, distinct_items=False)
     pivoted = matrix.groupBy("category").pivot("size", list(sizes) if sizes is not None else None).agg(F.first("rate"))
     return pivoted.fillna(0.0).orderBy("category")
 
@@ -80,21 +83,27 @@ def stock_gaps(t: Tables, below: int = 3, n: int = 10) -> DataFrame:
     )
 
 
-def category_ageing(t: Tables, as_of: dt.date, min_days: int = 60, over: int = 5) -> DataFrame:
-    """Stock per category and how much of it is old, for categories with more than ``over`` items."""
+def _ageing(t: Tables, as_of: dt.date, min_days: int, over: int) -> DataFrame:
     return (
         t.items.filter(in_stock()).groupBy("category")
         .agg(F.count("*").alias("total_items"), F.count_if(older_than("listed_at", as_of, min_days)).alias("old_items"))
         .filter(F.col("total_items") > over)
         .withColumn("old_pct", rate_percent(F.col("old_items"), F.col("total_items")))
-        .orderBy(F.col("old_pct").desc(), F.col("total_items").desc(), "category")
     )
 
 
-def problem_categories(t: Tables, as_of: dt.date, over_pct: float = 50) -> DataFrame:
+def _oldest_first() -> list[Column]:
+    return [F.col("old_pct").desc(), F.col("total_items").desc(), F.col("category").asc()]
+
+
+def category_ageing(t: Tables, as_of: dt.date, min_days: int = 60, over: int = 5) -> DataFrame:
+    """Stock per category and how much of it is old, for categories with more than ``over`` items."""
+    return _ageing(t, as_of, min_days, over).orderBy(*_oldest_first())
+
+
+def problem_categories(t: Tables, as_of: dt.date, over_pct: float = 50, min_days: int = 60, over: int = 5) -> DataFrame:
     """Categories most of whose stock is old."""
-    ageing = category_ageing(t, as_of).filter(F.col("old_pct") > over_pct)
-    return ageing.orderBy(F.col("old_pct").desc(), F.col("total_items").desc(), "category")
+    return _ageing(t, as_of, min_days, over).filter(F.col("old_pct") > over_pct).orderBy(*_oldest_first())
 
 
 def low_demand(

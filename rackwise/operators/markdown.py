@@ -20,22 +20,25 @@ def steps_due(as_of: dt.date) -> Column:
     return reduce(lambda a, b: a | b, steps)
 
 
-def pending_markdowns(t: Tables, as_of: dt.date) -> DataFrame:
-    """Items in stock per stage they should be at by now; items already there are left out."""
+def _pending(t: Tables, as_of: dt.date) -> DataFrame:
+    """Items in stock behind their schedule, as the label of the stage they should be at by now."""
     target = None
     for stage, age in sorted(MARKDOWN_AGES.items(), reverse=True):
         late = older_than("listed_at", as_of, age) & (F.col("markdown_stage") < stage)
         label = F.lit(PENDING_LABEL[stage])
         target = F.when(late, label) if target is None else target.when(late, label)
-    return (
-        t.items.filter(in_stock()).select(target.alias("update_needed")).filter(F.col("update_needed").isNotNull())
-        .groupBy("update_needed").agg(F.count("*").alias("qty"))
-        .orderBy(F.col("qty").desc(), "update_needed")
-    )
+    return t.items.filter(in_stock()).select(target.alias("update_needed")).filter(F.col("update_needed").isNotNull())
+
+
+def pending_markdowns(t: Tables, as_of: dt.date) -> DataFrame:
+    """Number of items in stock per stage they should be at by now; items already there are left out."""
+    counts = _pending(t, as_of).groupBy("update_needed").agg(F.count("*").alias("qty"))
+    return counts.orderBy(F.col("qty").desc(), "update_needed")
 
 
 def pending_total(t: Tables, as_of: dt.date) -> DataFrame:
-    return pending_markdowns(t, as_of).agg(F.coalesce(F.sum("qty"), F.lit(0).cast("bigint")).alias("pending_total"))
+    """Number of items in stock behind their schedule, over all stages."""
+    return _pending(t, as_of).agg(F.count("*").alias("pending_total"))
 
 
 def _cascade(as_of: dt.date) -> list[tuple[int, Column, Column]]:

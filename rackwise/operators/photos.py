@@ -104,15 +104,19 @@ def stamp_photos(items: DataFrame, inventory: DataFrame, root: str = "photos") -
     ])
 
 
+def _orphans(t: Tables, inventory: DataFrame) -> DataFrame:
+    active = t.items.filter(F.col("active") == 1).select("sku")
+    return inventory.join(active, "sku", "left_anti").select(F.col("sku").alias("folder"))
+
+
 def orphan_photo_folders(t: Tables, inventory: DataFrame) -> DataFrame:
     """Photo folders that belong to no active item. Sold items count as active."""
-    active = t.items.filter(F.col("active") == 1).select("sku")
-    return inventory.join(active, "sku", "left_anti").select(F.col("sku").alias("folder")).orderBy("folder")
+    return _orphans(t, inventory).orderBy("folder")
 
 
 def orphan_photo_summary(t: Tables, inventory: DataFrame, shown: int = 10) -> DataFrame:
     """One row: the number of orphan folders, the first few by name, and how many are not shown."""
-    orphans = orphan_photo_folders(t, inventory)
+    orphans = _orphans(t, inventory)
     total = orphans.agg(F.count("*").alias("n")).scalar()
     first = orphans.orderBy("folder").limit(shown).agg(F.array_sort(F.collect_list("folder")).alias("_first"))
     return first.select(

@@ -42,15 +42,19 @@ def mean_days_to_sell() -> Column:
     return days.cast("double") / sales_with_days
 
 
-def revenue_by_category(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+def category_revenue(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+    """Number and net revenue of the period's sales by category, in no order."""
     sales = t.sales.filter(in_period("date", start, end))
-    return (
-        sold_items(sales, t.items, "category").groupBy("category")
-        .agg(F.sum("n_sales").alias("qty"), F.sum("net_sum").cast("double").alias("revenue"))
-        .orderBy(F.col("revenue").desc(), "category")
+    return sold_items(sales, t.items, "category").groupBy("category").agg(
+        F.sum("n_sales").alias("qty"), F.sum("net_sum").cast("double").alias("revenue")
     )
 
 
+def revenue_by_category(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
+    """Number and net revenue of the period's sales by category, highest revenue first."""
+    return category_revenue(t, start, end).orderBy(F.col("revenue").desc(), "category")
+
+
 def performance_by_stage(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Sales in the period and mean days to sell, by the item's markdown stage."""
     sales = t.sales.filter(in_period("date", start, end))

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from rackwise.operators import inventory, kpis, labels, listings, markdown, photos, sales_reports
-from rackwise.sources.tables import load_tables, write_tables
+from rackwise.sources.tables import bucketed_tables, load_tables, save_bucketed, write_tables
 
 FOLDER = "/root/testdata/sf0.001"
 AS_OF, START, END = dt.date(2001, 7, 15), dt.date(2001, 6, 15), dt.date(2001, 7, 15)
@@ -72,3 +72,55 @@ def test_sales_are_folded_before_the_join(stored):
         scan = next(i for i, line in enumerate(lines) if "FileScan" in line and re.search(r"ReadSchema: struct<date:date,sku:string", line))
         above = next(line for line in reversed(lines[:scan]) if not re.search(r"Filter|Project|ColumnarToRow|FileScan|Scan", line))
         assert "partial_" in above
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, stored, tmp_path):
+    save_bucketed(stored, str(tmp_path), "loja", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bucketed = bucketed_tables(spark, "loja")
+        for build in (lambda t: sales_reports.revenue_by_category(t, START, END), lambda t: inventory.sell_through_matrix(t, START, END)):
+            assert "hashpartitioning(sku" in re.sub(r"#\d+L?", "", plan(build(stored)))
+            assert "hashpartitioning(sku" not in re.sub(r"#\d+L?", "", plan(build(bucketed)))
+            assert build(bucketed).collect() == build(stored).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("consignors", "items", "sales"):
+            spark.sql(f"DROP TABLE IF EXISTS loja_{name}")
+
+
+def test_a_hot_sku_and_rows_without_consignor_are_split(spark, tmp_path):
+    """A third of the sales on one SKU, in tables too large to broadcast: the join's hot partition is split."""
+    from pyspark.sql import functions as F
+
+    from rackwise.sources.schema import ITEMS, SALES
+    from rackwise.sources.tables import Tables
+
+    n = 60000
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        def complete(df, schema):
+            return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+        items = complete(spark.range(n).select(F.col("id").cast("string").alias("sku"), F.lit("x").alias("category")), ITEMS)
+        sales = complete(spark.range(0, n, 1, 16).select(
+            F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string")).alias("sku"),
+            F.lit(AS_OF).alias("date"), F.lit(1.0).alias("sale_price"), F.uuid().alias("notes"), F.uuid().alias("customer_name")), SALES)
+        items.write.parquet(str(tmp_path / "items"))
+        sales.write.parquet(str(tmp_path / "sales"))
+        t = Tables(None, spark.read.parquet(str(tmp_path / "items")), spark.read.parquet(str(tmp_path / "sales")))
+        history = listings.sales_history(t)
+        assert history.count() == n
+        result = history.select("id", "category")
+        result.collect()
+        assert "skew=true" in plan(result) or "skewed" in plan(result)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
