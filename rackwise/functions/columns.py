@@ -83,7 +83,7 @@ def stage_name(stage: str | Column = "markdown_stage", style: str = "long") -> C
 
 def price_text(exact_price: Column) -> Column:
     """``R$ 12.50`` from a decimal price."""
-    return F.concat(F.lit("R$ "), F.round(exact_price, 2).cast("decimal(18,2)").cast("string"))
+    return F.concat(F.lit(fixed.PRICE_TEXT), F.round(exact_price, 2).cast("decimal(18,2)").cast("string"))
 
 
 def item_title() -> Column:

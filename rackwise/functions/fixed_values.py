@@ -3,6 +3,11 @@
 # Fraction taken off the list price at each markdown stage; any other stage takes nothing off.
 MARKDOWN_SCHEDULE = {0: "0.00", 1: "0.10", 2: "0.25", 3: "0.40"}
 
+# Ids: leading text, text between month (YYMM) and counter, least digits of the counter.
+CONSIGNOR_ID = ("C", "", 4)
+SKU = ("BH-", "-", 4)
+SALE_ID = ("V", "", 3)
+
 # Share of a sale that goes to the consignor when none is recorded.
 DEFAULT_PERCENT = 0.5
 
@@ -25,6 +30,14 @@ STATUS_ACTIVE = "✅ Ativo"
 STATUS_INACTIVE = "❌ Inativo"
 NO_VALUE = "—"
 
+PRICE_TEXT = "R$ "
+PERCENT_OFF_TEXT = "% OFF"
+CONDITION_TEXT = "Estado: "
+
+# A small label holds this many characters of description on one line, else two words on the first.
+SMALL_LABEL_CHARACTERS = 15
+SMALL_LABEL_WORDS = 2
+
 # Categories offered for photography first.
 PHOTO_CATEGORIES = ["Vestido", "Blazer", "Casaco", "Bolsa"]
 
@@ -54,6 +67,7 @@ KPI_HEADINGS = ["Estoque Atual", "Vendas (Período)", "Receita (Período)", "Tax
 SHEET_2X4 = (2, 4)
 SHEET_3X6 = (3, 6)
 
+# Values the entry forms offer.
 ACQUISITION_TYPES = ["consignação", "doação", "compra"]
 CATEGORIES = [
     "Vestido", "Camisa", "Camiseta", "Calça", "Jeans", "Saia", "Blazer",

@@ -14,22 +14,26 @@ from pyspark.sql import functions as F
 
 from rackwise.functions.columns import zero_padded
 from rackwise.functions.dates import day_of
+from rackwise.functions.fixed_values import CONSIGNOR_ID, SALE_ID, SKU
 from rackwise.operators.numbering import number_rows
 
-_CONSIGNOR_ID = r"^C(\d{1,18})$"
-_SKU = r"^BH-(\d{4})-(\d{1,18})$"
-_SALE_ID = r"^V(\d{4})(\d{1,18})$"
+
+def _pattern(form: tuple[str, str, int], by_month: bool) -> str:
+    """A well-formed id: the month, if any, is group 1 and the counter the last group."""
+    before, between, _ = form
+    month = r"(\d{4})" if by_month else ""
+    return "^" + before + month + between + r"(\d{1,18})$"
 
 
 def assign_consignor_ids(existing: DataFrame, new: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Give each new consignor the next ``C0001``-style ``id``, in ``order_by`` order."""
     last = (
-        existing.select(F.regexp_extract("id", _CONSIGNOR_ID, 1).alias("_number")).filter("_number <> ''")
+        existing.select(F.regexp_extract("id", _pattern(CONSIGNOR_ID, by_month=False), 1).alias("_number")).filter("_number <> ''")
         .agg(F.coalesce(F.max(F.col("_number").cast("bigint")), F.lit(0)).alias("_last"))
     )
     numbered = number_rows(new.drop("id"), order_by, name="_no")
     number = F.col("_no") + last.scalar()
-    return numbered.select(F.concat(F.lit("C"), zero_padded(number, 4)).alias("id"), *_others(numbered))
+    return numbered.select(F.concat(F.lit(CONSIGNOR_ID[0]), zero_padded(number, CONSIGNOR_ID[2])).alias("id"), *_others(numbered))
 
 
 def assign_skus(
@@ -39,20 +43,19 @@ def assign_skus(
 
     The month is that of ``as_of`` for the whole batch, or of the date column ``month_of`` per row.
     """
-    last = _last_by_month(existing, "sku", _SKU)
-    return _assign_by_month(last, new, "sku", ("BH-", "-", 4), as_of, order_by, month_of)
+    return _assign_by_month(existing, new, "sku", SKU, as_of, order_by, month_of)
 
 
 def assign_sale_ids(
     existing: DataFrame, new: DataFrame, as_of: dt.date | None = None, order_by: Sequence[str] = (), month_of: str | None = None
 ) -> DataFrame:
     """Give each new sale the next ``VYYMM001``-style ``id`` of its month; months as for SKUs."""
-    last = _last_by_month(existing, "id", _SALE_ID)
-    return _assign_by_month(last, new, "id", ("V", "", 3), as_of, order_by, month_of)
+    return _assign_by_month(existing, new, "id", SALE_ID, as_of, order_by, month_of)
 
 
-def _last_by_month(existing: DataFrame, id_column: str, pattern: str) -> DataFrame:
+def _last_by_month(existing: DataFrame, id_column: str, form: tuple[str, str, int]) -> DataFrame:
     """Highest counter per month: one row for each month in use."""
+    pattern = _pattern(form, by_month=True)
     return (
         existing.filter(F.col(id_column).rlike(pattern))
         .groupBy(F.regexp_extract(id_column, pattern, 1).alias("_month"))
@@ -61,14 +64,14 @@ def _last_by_month(existing: DataFrame, id_column: str, pattern: str) -> DataFra
 
 
 def _assign_by_month(
-    last: DataFrame, new: DataFrame, id_column: str, form: tuple[str, str, int],
+    existing: DataFrame, new: DataFrame, id_column: str, form: tuple[str, str, int],
     as_of: dt.date | None, order_by: Sequence[str], month_of: str | None,
 ) -> DataFrame:
     if (as_of is None) == (month_of is None):
         raise ValueError("give either as_of or month_of")
     day: Column = F.lit(day_of(as_of)) if as_of is not None else F.col(month_of)
     dated = new.drop(id_column).withColumn("_month", F.date_format(day, "yyMM"))
-    numbered = number_rows(dated, order_by, group_by=["_month"], name="_no", after=last)
+    numbered = number_rows(dated, order_by, group_by=["_month"], name="_no", after=_last_by_month(existing, id_column, form))
     before, between, width = form
     new_id = F.concat(F.lit(before), F.col("_month"), F.lit(between), zero_padded(F.col("_no"), width))
     return numbered.select(new_id.alias(id_column), *_others(numbered))

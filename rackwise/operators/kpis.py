@@ -50,7 +50,7 @@ def kpi_cards(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     texts = [
         F.format_number("total_stock", 0),
         F.format_number("period_sales_count", 0),
-        F.concat(F.lit("R$ "), F.format_number("period_revenue", 2)),
+        F.concat(F.lit(fixed.PRICE_TEXT), F.format_number("period_revenue", 2)),
         F.format_string("%.1f%%", F.bround("sell_through_rate", 1)),
         F.format_string("%.1f", F.bround("avg_days_to_sell", 1)),
     ]

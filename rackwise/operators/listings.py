@@ -114,7 +114,7 @@ def gallery(t: Tables, category: str | None = None, brand: str | None = None, wi
         markdown_price(rounded_to_cents=False).alias("current_price"),
         price_text(exact_markdown_price()).alias("price_text"),
         F.when(marked_down, price_text(F.col("list_price").cast("decimal(18,4)"))).alias("struck_price_text"),
-        F.concat(percent_off().cast("string"), F.lit("% OFF")).alias("percent_off_text"),
+        F.concat(percent_off().cast("string"), F.lit(fixed.PERCENT_OFF_TEXT)).alias("percent_off_text"),
     )
 
 

@@ -12,7 +12,8 @@ from rackwise.functions import columns as col
 from rackwise.functions.dates import age_in_days
 from rackwise.functions.fixed_values import SHEET_2X4, SHEET_3X6
 from rackwise.operators import (
-    abc, consignors, ids, intake, inventory, kpis, labels, listings, markdown, merge, photos, registration, sales_reports,
+    abc, consignors, ids, intake, inventory, kpis, labels, listings, markdown, merge, photos, quality, registration,
+    sales_reports,
 )
 from rackwise.sources.sample_shop import CHANGE_ORDER, SALE_ORDER, SampleShop
 from rackwise.sources.schema import DEFAULTS
@@ -216,6 +217,18 @@ def item_ages(t: SampleShop) -> DataFrame:
     return t.items.select("sku", age_in_days("listed_at", dt.datetime(2001, 7, 15, 6, 0)).alias("age"))
 
 
+def item_checks(t: SampleShop) -> DataFrame:
+    checked = quality.check_items(t.items)
+    return checked.select("sku", *[F.col(c).cast("int").alias(c) for c in checked.columns if c.endswith("_known")])
+
+
+def sale_checks(t: SampleShop) -> DataFrame:
+    checked = quality.check_sales(t.sales).groupBy("channel", "payment_method", "channel_known", "payment_method_known")
+    return checked.agg(F.count("*").alias("n_sales")).withColumns({
+        c: F.col(c).cast("int") for c in ("channel_known", "payment_method_known")
+    })
+
+
 # --- lists with a derived key set --------------------------------------------------------------
 
 
@@ -280,6 +293,8 @@ QUERIES: dict[str, Query] = {
     "stage_names": on_shop(stage_names),
     "payout_splits": on_shop(payout_splits),
     "item_ages": on_shop(item_ages),
+    "item_checks": on_shop(item_checks),
+    "sale_checks": on_shop(sale_checks),
     "consignor_list": on_shop(listings.consignor_list),
     "consignor_cards": on_shop(listings.consignor_cards),
     "active_consignors": on_shop(listings.active_consignors),

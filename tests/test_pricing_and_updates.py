@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rackwise.functions import columns as col
 from rackwise.functions.dates import age_in_days, at_most_old, default_period, older_than
-from rackwise.operators import labels, markdown
+from rackwise.operators import labels, markdown, quality
 from rackwise.operators.sales_reports import payout_split
 
 AS_OF = dt.date(2025, 8, 31)
@@ -149,3 +149,11 @@ def test_nine_labels_on_sheets_of_eight(make_table):
     assert placed["07"] == (7, 0, 1, 3) and placed["08"] == (8, 1, 0, 0)
     one_sheet = {r["sku"] for r in labels.label_sheet(items, first_sheet_only=True).collect()}
     assert one_sheet == {f"{n:02d}" for n in range(8)}
+
+
+def test_value_checks_report_and_keep_rows(make_table):
+    items = make_table("items", [{"sku": "1", "category": "Bolsa", "condition": "A-", "gender": "F"}, {"sku": "2", "category": "bolsa"}])
+    checked = {r["sku"]: (r["category_known"], r["condition_known"], r["gender_known"], r["fit_known"]) for r in quality.check_items(items).collect()}
+    assert checked == {"1": (True, True, True, False), "2": (False, False, False, False)}
+    sales = make_table("sales", [{"id": "1", "date": AS_OF, "sku": "1", "sale_price": 1.0, "channel": "Loja", "payment_method": "Cheque"}])
+    assert rows(quality.check_sales(sales).select("channel_known", "payment_method_known")) == [(True, False)]
