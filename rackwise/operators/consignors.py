@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackwise.functions.columns import exact_net, rate_percent
+from rackwise.functions.columns import net_units, rate_percent, total
 from rackwise.functions.dates import since
 from rackwise.sources.tables import Tables
 
@@ -23,7 +23,7 @@ def _performance(t: Tables, as_of: dt.date, days: int, distinct_items: bool) ->
     per_sku = t.sales.groupBy(F.col("sku").alias("_sku")).agg(
         F.count("*").alias("_n"),
         F.count_if(recent_sale).alias("_n_recent"),
-        F.sum(F.when(recent_sale, exact_net())).alias("_net_recent"),
+        F.sum(F.when(recent_sale, net_units())).alias("_net_recent"),
     )
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     joined_rows = one if distinct_items else F.greatest(F.coalesce("_n", zero), one)
@@ -36,7 +36,7 @@ def _performance(t: Tables, as_of: dt.date, days: int, distinct_items: bool) ->
         .agg(
             F.sum(F.when(since("listed_at", as_of, days), joined_rows).otherwise(zero)).alias("items_added_30d"),
             F.sum(n_recent).alias("items_sold_30d"),
-            F.sum("_net_recent").cast("double").alias("revenue_30d"),
+            total("_net_recent").alias("revenue_30d"),
         )
         .filter((F.col("items_added_30d") > 0) | (F.col("items_sold_30d") > 0))
     )

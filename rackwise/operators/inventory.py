@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackwise.functions.columns import exact_markdown_price, in_stock, rate_percent, stage_name
+from rackwise.functions.columns import in_stock, rate_percent, stage_name, stock_value
 from rackwise.functions.dates import in_period, older_than, since
 from rackwise.sources.tables import Tables
 
@@ -59,7 +59,7 @@ def stock_by_stage(t: Tables) -> DataFrame:
     """Items in stock and their value at the current price, by markdown stage."""
     return (
         t.items.filter(in_stock()).groupBy("markdown_stage")
-        .agg(F.count("*").alias("qty"), F.sum(exact_markdown_price()).cast("double").alias("current_value"))
+        .agg(F.count("*").alias("qty"), stock_value().alias("current_value"))
         .select("markdown_stage", stage_name(style="long").alias("stage_name"), "qty", "current_value")
         .orderBy("markdown_stage")
     )

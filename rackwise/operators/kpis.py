@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackwise.functions import fixed_values as fixed
-from rackwise.functions.columns import in_stock
+from rackwise.functions.columns import in_stock, total
 from rackwise.functions.dates import in_period, older_than
 from rackwise.operators.markdown import steps_due
 from rackwise.operators.sales_reports import mean_days_to_sell, sales_by_sku
@@ -28,7 +28,7 @@ def kpis(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     sold = sales_by_sku(t.sales.filter(in_period("date", start, end)))
     sales = sold.join(t.items.select("sku", "listed_at"), F.col("_sku") == F.col("sku"), "left").agg(
         F.sum("n_sales").alias("n_sold"),
-        F.sum("net_sum").cast("double").alias("revenue"),
+        total("net_sum").alias("revenue"),
         mean_days_to_sell().alias("mean_days"),
     )
     # Two one-row frames, put side by side without a join.

@@ -15,16 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackwise.functions import fixed_values as fixed
-from rackwise.functions.columns import exact_net, stage_name
+from rackwise.functions.columns import MONEY_UNIT, net_units, stage_name, total
 from rackwise.functions.dates import in_period, since
 from rackwise.sources.tables import Tables
 
 
 def sales_by_sku(sales: DataFrame) -> DataFrame:
-    """Per SKU: number of sales, exact net sum, and the sum of sale dates as day numbers."""
+    """Per SKU: number of sales, net sum in money units, and the sum of sale dates as day numbers."""
     return sales.groupBy(F.col("sku").alias("_sku")).agg(
         F.count("*").alias("n_sales"),
-        F.sum(exact_net()).alias("net_sum"),
+        F.sum(net_units()).alias("net_sum"),
         F.sum(F.unix_date("date")).alias("day_sum"),
     )
 
@@ -46,7 +46,7 @@ def category_revenue(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Number and net revenue of the period's sales by category, in no order."""
     sales = t.sales.filter(in_period("date", start, end))
     return sold_items(sales, t.items, "category").groupBy("category").agg(
-        F.sum("n_sales").alias("qty"), F.sum("net_sum").cast("double").alias("revenue")
+        F.sum("n_sales").alias("qty"), total("net_sum").alias("revenue")
     )
 
 
@@ -83,7 +83,7 @@ def high_demand(
 def _by_consignor(sales: DataFrame) -> DataFrame:
     return (
         sales.filter(F.col("consignor_id").isNotNull()).groupBy("consignor_id")
-        .agg(F.count("*").alias("n_sales"), F.sum(exact_net()).alias("net_sum"))
+        .agg(F.count("*").alias("n_sales"), F.sum(net_units()).alias("net_sum"))
     )
 
 
@@ -95,8 +95,8 @@ def top_consignors(t: Tables, start: dt.date, end: dt.date, n: int = 10) -> Data
         sold.join(names, F.col("consignor_id") == F.col("id"))
         .orderBy(F.col("net_sum").desc(), "id").limit(n)
         .select(
-            "name", F.col("n_sales").alias("items_sold"), F.col("net_sum").cast("double").alias("total_revenue"),
-            (F.col("net_sum").cast("double") / F.col("n_sales")).alias("avg_price"),
+            "name", F.col("n_sales").alias("items_sold"), (F.col("net_sum") / MONEY_UNIT).alias("total_revenue"),
+            (F.col("net_sum") / MONEY_UNIT / F.col("n_sales")).alias("avg_price"),
         )
     )
 
@@ -106,12 +106,12 @@ def payout_split(df: DataFrame) -> DataFrame:
 
     Values that are no number count as zero. Without a ``percent`` column the share is one half.
     """
-    total = _number_or_zero(df, "total_net", 0.0, "decimal(24,4)")
+    net = _number_or_zero(df, "total_net", 0.0, "decimal(24,4)")
     percent = _number_or_zero(df, "percent", fixed.DEFAULT_PERCENT, "decimal(9,6)")
-    consignor_value = F.round(total * percent, 2)
+    consignor_value = F.round(net * percent, 2)
     return df.withColumns({
         "consignor_value": consignor_value.cast("double"),
-        "shop_value": F.round(total - consignor_value, 2).cast("double"),
+        "shop_value": F.round(net - consignor_value, 2).cast("double"),
     })
 
 
@@ -130,7 +130,7 @@ def payouts(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     sold = _by_consignor(t.sales.filter(in_period("date", start, end)))
     totals = sold.join(owners, F.col("consignor_id") == F.col("_id"), "left").select(
         "consignor_id", "name", "pix_key", F.coalesce("percent", F.lit(fixed.DEFAULT_PERCENT)).alias("percent"),
-        F.coalesce(F.col("net_sum").cast("double"), F.lit(0.0)).alias("total_net"), F.col("n_sales").alias("qtd"),
+        (F.coalesce("net_sum", F.lit(0).cast("bigint")) / MONEY_UNIT).alias("total_net"), F.col("n_sales").alias("qtd"),
     )
     return payout_split(totals).orderBy(F.col("total_net").desc(), "consignor_id")
 

@@ -4,7 +4,8 @@ Suppliers become consignors, orders become items (described by a part), and orde
 events on an item, by their return flag: ``N`` lines are sales, ``A`` lines a later batch of sales
 to register, ``R`` lines a batch of changes to items. Every row of the source tables is used.
 
-Money goes through exact decimals, so that any engine derives the same cents.
+Prices are a thousandth of the source amounts, in cents rounded half up by whole-number arithmetic, so
+that any engine derives the same cents.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ SELECT CAST(o_orderkey AS STRING) AS sku,
        CAST(p_size AS STRING) AS size,
        element_at(array('A', 'A-', 'B', 'C'), CAST(o_orderkey % 4 + 1 AS INT)) AS condition,
        0.0D AS cost,
-       CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS list_price,
+       (floor(o_totalprice * 100 + 0.5D) + 500) div 1000 / 100 AS list_price,
        CASE WHEN o_orderkey % 6 <> 5 THEN o_orderkey % 6 END AS markdown_stage,
        listed_at AS acquired_at,
        listed_at,
@@ -68,9 +69,9 @@ _SALE_LINES = f"""
 SELECT {", ".join(SALE_ORDER)}, l_tax,
        date_add(listed_at, CAST(floor(l_quantity * l_quantity / 50) AS INT)) AS date,
        CAST(l_orderkey AS STRING) AS sku,
-       CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS sale_price,
+       (floor(l_extendedprice * 100 + 0.5D) + 500) div 1000 / 100 AS sale_price,
        CASE WHEN l_discount > 0 THEN
-         CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) * 0.001, 2) AS DOUBLE)
+         (floor(l_extendedprice * 100 + 0.5D) * floor(l_discount * 100 + 0.5D) + 50000) div 100000 / 100
        END AS discount_value,
        element_at(array('Loja', 'Instagram', 'WhatsApp', 'Online'), l_linenumber % 4 + 1) AS channel,
        element_at(array('Débito', 'Crédito', 'Pix', 'Dinheiro'), l_linenumber % 4 + 1) AS payment_method,
@@ -94,7 +95,7 @@ SELECT o_orderkey,
        CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE format_string('C%04d', o_custkey) END AS consignor_id,
        CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS category,
        CASE WHEN o_orderpriority = '5-LOW' THEN 0.0D
-            ELSE CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) END AS list_price,
+            ELSE (floor(o_totalprice * 100 + 0.5D) + 500) div 1000 / 100 END AS list_price,
        CAST(o_orderkey % 4 AS INT) AS markdown_stage,
        CAST(o_orderdate AS DATE) AS acquired_at,
        CAST(o_orderdate AS DATE) AS listed_at
@@ -112,7 +113,7 @@ FROM ({_SALE_LINES})
 # Changes of price, channel and notes; lines with the highest tax rate bring new items.
 _ITEM_CHANGES = """
 SELECT CASE WHEN l_tax > 0.075D THEN concat('novo-', l_orderkey) ELSE CAST(l_orderkey AS STRING) END AS sku,
-       CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS list_price,
+       (floor(l_extendedprice * 100 + 0.5D) + 500) div 1000 / 100 AS list_price,
        element_at(array('Loja', 'Instagram', 'WhatsApp', 'Online'), l_linenumber % 4 + 1) AS channel_listed,
        CASE WHEN l_linestatus = 'O' THEN 'revisado' END AS notes,
        CAST(l_shipdate AS DATE) AS changed_at, l_partkey, l_suppkey, l_linenumber
