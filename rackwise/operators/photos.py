@@ -85,14 +85,18 @@ def photo_inventory(paths: DataFrame, root: str = "photos") -> DataFrame:
     Counts files right inside ``<root>/<sku>/``. Other endings, and endings in capitals, are no
     photos. The first is the first by name among the preferred ending present.
     """
-    endings = "|".join(fixed.PHOTO_EXTENSIONS)
-    sku_and_file = F.regexp_extract("path", f"(?:^|/){re.escape(root.strip('/'))}/([^/]+/[^/]*[.](?:{endings}))$", 1)
+    tail = F.regexp_extract("path", f"(?:^|/){re.escape(root.strip('/'))}/([^/]+/[^/]+)$", 1)
     file = F.substring_index("_tail", "/", -1)
     preference = F.coalesce(*[F.when(F.endswith(file, F.lit(f".{e}")), F.lit(i)) for i, e in enumerate(fixed.PHOTO_EXTENSIONS)])
+    # What is no photo is dropped after counting: a filter before would take every path apart twice.
     return (
-        paths.select(sku_and_file.alias("_tail")).filter(F.col("_tail") != "")
-        .select(F.substring_index("_tail", "/", 1).alias("sku"), F.struct(preference, file.alias("file")).alias("_file"))
-        .groupBy("sku").agg(F.count("*").alias("n_files"), F.min("_file").getField("file").alias("first_file"))
+        paths.select(tail.alias("_tail"))
+        .select(F.substring_index("_tail", "/", 1).alias("sku"), preference.alias("_preference"), file.alias("file"))
+        .groupBy("sku").agg(
+            F.count("_preference").alias("n_files"),
+            F.min(F.when(F.col("_preference").isNotNull(), F.struct("_preference", "file"))).getField("file").alias("first_file"),
+        )
+        .filter(F.col("n_files") > 0)
     )
 
 
