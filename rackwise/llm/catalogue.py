@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackwise.llm.common import fixed_rows, read_table
+from rackwise.llm.html_text import extract_text
 from rackwise.llm.mixing import mix, word_count
 from rackwise.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, span_texts
 from rackwise.llm.url_filters import LOWER, UPPER, judge_urls
@@ -13,6 +14,10 @@ from rackwise.llm.url_filters import LOWER, UPPER, judge_urls
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     base = [r.kind for r in BASE_RULES]
@@ -35,7 +40,7 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
+QUERIES = {"op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
 
 _HOST = f"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
 _PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rackwise.sources.workspace import checkpointed, new_folder
 
-__all__ = ["checkpointed", "fixed_rows", "in_fold", "read_table", "stored", "without"]
+__all__ = ["add_columns", "checkpointed", "fixed_rows", "in_fold", "read_table", "stored", "without"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,3 +45,24 @@ def fixed_rows(spark: SparkSession, rows: Iterable[tuple], names: list[str]) ->
     """A few constant rows as part of the plan, so that Spark knows how small they are."""
     structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def add_columns(df: DataFrame, setup: Callable[[], Callable[..., Sequence]], reads: Sequence[str], fields: Sequence[T.StructField], drop: Sequence[str] = ()) -> DataFrame:
+    """Add ``fields``, computed batch by batch from the values of ``reads``; other columns pass as they came.
+
+    ``setup`` is called once in each task and returns a function that takes a list of values for
+    each of ``reads`` and returns a list (or array) for each of ``fields``. Columns in ``drop`` go.
+    """
+    kept = [f for f in df.schema.fields if f.name not in drop]
+    result = T.StructType([*kept, *fields])
+    names, added = [f.name for f in result.fields], to_arrow_schema(T.StructType(list(fields))).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = setup()
+        for batch in batches:
+            if batch.num_rows:
+                values = compute(*[batch.column(c).to_pylist() for c in reads])
+                columns = [batch.column(f.name) for f in kept] + [pa.array(v, t) for v, t in zip(values, added, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.mapInArrow(run, result)

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rackwise.llm.common import stored, without
 
@@ -89,11 +91,14 @@ def _draws(seed: int, name: object, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(int.from_bytes(digest, "big"))).random(n)
 
 
-def _round_group(rows: pd.DataFrame, seed: int, order: list[str], group: str, chance: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, int]:
-    rows = rows.sort_values(order, kind="stable", na_position="last")
-    p = rows[chance].to_numpy(float).copy()
-    out, held = pivotal(p, _draws(seed, rows[group].iat[0], len(rows)))
-    return rows, p, out, held
+def _round(keys: pd.DataFrame, chance: np.ndarray, seed: int, name: object) -> tuple[np.ndarray, np.ndarray, int]:
+    """``pivotal`` over the rows in order of ``keys``; results are in the rows' own order."""
+    order = keys.sort_values(list(keys.columns), kind="stable", na_position="last").index.to_numpy()
+    p = chance[order].astype(float)
+    out, held = pivotal(p, _draws(seed, name, len(p)))
+    settled, mass = np.empty_like(out), np.empty_like(p)
+    settled[order], mass[order] = out, p
+    return settled, mass, int(order[held]) if held >= 0 else -1
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str | None = None, text: str = "text",
@@ -135,34 +140,39 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
             .drop("n_docs")
         )
 
-    order = ["_size", "_draw", "_id"]
-    node = "source string, number long, name string, chance double, words long"
+    keys = ["_size", "_draw", "_id"]
+    node = T.StructType.fromDDL("source string, number long, name string, chance double, words long")
+    arrow_node = to_arrow_schema(node)
 
-    def open_of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, p, _, held = _round_group(rows, seed, order, "_group", "_chance")
+    def rounded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+        return _round(rows.select(keys).to_pandas(), rows["_chance"].to_numpy(), seed, rows["_group"][0].as_py())
+
+    def open_of(rows: pa.Table) -> pa.Table:
+        _, mass, held = rounded(rows)
         if held < 0:
-            return pd.DataFrame({"source": pd.Series(dtype=object), "number": pd.Series(dtype="int64"), "name": pd.Series(dtype=object), "chance": pd.Series(dtype=float), "words": pd.Series(dtype="int64")})
-        r = rows.iloc[held]
-        return pd.DataFrame([{"source": r["_source"], "number": r["_number"], "name": r["_group"], "chance": p[held], "words": r["_size"]}])
+            return arrow_node.empty_table()
+        source, number, name, words = (rows[c][held].as_py() for c in ("_source", "_number", "_group", "_size"))
+        return pa.Table.from_pylist([{"source": source, "number": number, "name": name, "chance": float(mass[held]), "words": words}], arrow_node)
 
     slim = dealt(narrow).select("_size", "_source", "_id", "_draw", "_chance", "_number", "_group")
-    leaves = stored(slim.groupBy("_group").applyInPandas(open_of, node), "mix-open")
+    leaves = stored(slim.groupBy("_group").applyInArrow(open_of, node), "mix-open")
     verdicts = _resolve(leaves, targets, seed, tree_width, group_docs)
 
     decided = dealt(kept).join(verdicts, F.col("_group") == F.col("name"), "left").drop("name")
     plain = [f for f in decided.schema.fields if not f.name.startswith("_")]
     result = T.StructType([*plain, T.StructField("size", T.LongType()), T.StructField("copies", T.IntegerType())])
 
-    def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, _, out, held = _round_group(rows, seed, order, "_group", "_chance")
-        more = out.astype(np.int32)
+    def finish(rows: pa.Table) -> pa.Table:
+        more, _, held = rounded(rows)
+        more = more.astype(np.int32)
         if held >= 0:
-            more[held] = rows["_last"].iat[held]
-        rows["size"], rows["copies"] = rows["_size"], (rows["_whole"].to_numpy(np.int32) + more).astype(np.int32)
-        return rows[[f.name for f in result.fields]]
+            more[held] = rows["_last"][held].as_py()
+        copies = pa.array(rows["_whole"].to_numpy().astype(np.int32) + more, pa.int32())
+        columns = {**{f.name: rows[f.name] for f in plain}, "size": rows["_size"], "copies": copies}
+        return pa.table([columns[f.name] for f in result.fields], [f.name for f in result.fields])
 
-    rounded = decided.withColumn("_last", F.coalesce("_last", F.lit(0))).groupBy("_group").applyInPandas(finish, result)
-    return rounded.withColumn("taken", F.col("size") * F.col("copies")).select(*without(docs, added).columns, *added)
+    final = decided.withColumn("_last", F.coalesce("_last", F.lit(0))).groupBy("_group").applyInArrow(finish, result)
+    return final.withColumn("taken", F.col("size") * F.col("copies")).select(*without(docs, added).columns, *added)
 
 
 def _resolve(leaves: DataFrame, targets: DataFrame, seed: int, width: int, group_docs: int) -> DataFrame:
@@ -174,9 +184,9 @@ def _resolve(leaves: DataFrame, targets: DataFrame, seed: int, width: int, group
         parent = F.concat_ws(":", F.lit(f"up{depth}"), F.floor(F.col("number") / width).cast("string"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
 
         def combine(rows: pd.DataFrame) -> pd.DataFrame:
-            rows, p, out, held = _round_group(rows, seed, ["words", "name"], "parent", "chance")
-            rows["chance"], rows["settled"] = p, out.astype(np.int32)
-            return rows
+            rows = rows.reset_index(drop=True)
+            settled, mass, _ = _round(rows[["words", "name"]], rows["chance"].to_numpy(), seed, rows["parent"].iat[0])
+            return rows.assign(chance=mass, settled=settled.astype(np.int32))
 
         shape = "source string, number long, name string, chance double, words long, parent string, settled int"
         settled = stored(level.withColumn("parent", parent).groupBy("parent").applyInPandas(combine, shape), f"mix-level{depth}")
