@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackwise.llm.common import fixed_rows, read_table
+from rackwise.llm.common import fixed_rows, in_fold, read_table, stored
 from rackwise.llm.html_text import extract_text
+from rackwise.llm.language import fit_languages, identify_language
 from rackwise.llm.mixing import mix, word_count
+from rackwise.llm.quality_model import fit_quality, score_quality, with_statistics
 from rackwise.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, span_texts
 from rackwise.llm.url_filters import LOWER, UPPER, judge_urls
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def language_training(docs: DataFrame) -> DataFrame:
+    """The rows that the language query learns from."""
+    return docs.where(~in_fold(F.col("doc_id"), 4, 2)).select("text", "lang")
+
+
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = fit_languages(language_training(docs))
+    rows = docs.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "text")
+    return identify_language(rows, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = stored(with_statistics(read_table(spark, folder, "documents").select("doc_id", "text")), "statistics")
+    rows = rows.withColumn("held_out", in_fold(F.col("doc_id"), 5, 0))
+    labels = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = fit_quality(rows.where(~F.col("held_out")).join(labels, "doc_id"))
+    return score_quality(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -40,7 +62,7 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
+QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
 
 _HOST = f"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
 _PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
