@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackwise.llm.common import fixed_rows, in_fold, read_table, stored
+from rackwise.llm.decontamination import find_contamination, items_digest
 from rackwise.llm.html_text import extract_text
 from rackwise.llm.language import fit_languages, identify_language
 from rackwise.llm.mixing import mix, word_count
@@ -40,6 +41,13 @@ def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = find_contamination(docs, read_table(spark, folder, "benchmark"))
+    n_hit = F.size("hit_words").cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items_digest(F.col("items")).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     base = [r.kind for r in BASE_RULES]
@@ -62,7 +70,7 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
 
 _HOST = f"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
 _PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
