@@ -278,7 +278,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         blocks += 1
     if not blocks:
         rows = add_columns(rows, over(TestSet([], window)), ["_text", "hit_words", "items"], fields, done)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("_spans") / 2 - 1), lambda i: F.struct(
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("_spans") / 2 - 1).cast("int")), lambda i: F.struct(
         F.element_at("_spans", (2 * i + 1).cast("int")).alias("start"), F.element_at("_spans", (2 * i + 2).cast("int")).alias("stop")))
     empty = F.array().cast("array<struct<start:long,stop:long>>")
     return rows.withColumn("spans", F.when(F.size("_spans") > 0, pairs).otherwise(empty)).drop("_text", "_spans")
