@@ -10,6 +10,7 @@ from rackwise.llm.decontamination import find_contamination, items_digest
 from rackwise.llm.html_text import extract_text
 from rackwise.llm.language import fit_languages, identify_language
 from rackwise.llm.mixing import mix, word_count
+from rackwise.llm.near_duplicates import mark_near_duplicates
 from rackwise.llm.quality_model import fit_quality, score_quality, with_statistics
 from rackwise.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, span_texts
 from rackwise.llm.url_filters import LOWER, UPPER, judge_urls
@@ -41,6 +42,11 @@ def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(read_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return mark_near_duplicates(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     found = find_contamination(docs, read_table(spark, folder, "benchmark"))
@@ -70,7 +76,7 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
+QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
 
 _HOST = f"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
 _PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
