@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rackwise.llm.common import fixed_rows, in_fold, read_table, stored
 from rackwise.llm.decontamination import find_contamination, items_digest
+from rackwise.llm.embedding_join import link_vectors
 from rackwise.llm.html_text import extract_text
 from rackwise.llm.language import fit_languages, identify_language
 from rackwise.llm.mixing import mix, word_count
@@ -66,6 +67,10 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(docs).select("doc_id", *counts, F.sha2(span_texts(of_base), 256).alias("base_sha256"), span_texts(F.col("secrets")).alias("spans"))
 
 
+def op7_vector_links(spark: SparkSession, folder: str) -> DataFrame:
+    return link_vectors(read_table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = fixed_rows(spark, URL_RULES, ["host", "path", "verdict"])
     return judge_urls(read_table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
@@ -76,7 +81,7 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
+QUERIES = {"op7_vector_links": op7_vector_links, "op4_near_duplicates": op4_near_duplicates, "op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
 
 _HOST = f"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
 _PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
