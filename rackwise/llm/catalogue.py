@@ -12,10 +12,12 @@ from rackwise.llm.html_text import extract_text
 from rackwise.llm.language import fit_languages, identify_language
 from rackwise.llm.mixing import mix, word_count
 from rackwise.llm.near_duplicates import mark_near_duplicates
+from rackwise.llm.pii import replace_personal_data
 from rackwise.llm.quality_model import fit_quality, score_quality, with_statistics
 from rackwise.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, span_texts
 from rackwise.llm.url_filters import LOWER, UPPER, judge_urls
 
+PII_KEY = "check"  # a user gives a secret one
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -71,6 +73,11 @@ def op7_vector_links(spark: SparkSession, folder: str) -> DataFrame:
     return link_vectors(read_table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return replace_personal_data(docs, PII_KEY).select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = fixed_rows(spark, URL_RULES, ["host", "path", "verdict"])
     return judge_urls(read_table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
@@ -81,7 +88,7 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op7_vector_links": op7_vector_links, "op4_near_duplicates": op4_near_duplicates, "op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
+QUERIES = {"op8_personal_data": op8_personal_data, "op7_vector_links": op7_vector_links, "op4_near_duplicates": op4_near_duplicates, "op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
 
 _HOST = f"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
 _PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
