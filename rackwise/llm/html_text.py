@@ -28,6 +28,7 @@ MARKS = frozenset(
     "pagination toolbar widget widgets".split()
 )
 OUTER_MARKS = MARKS | frozenset("header footer masthead banner copyright".split())
+LINES = frozenset("html body head p li tr td th h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)"
@@ -119,31 +120,36 @@ def _digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def template_hashes(found: list[Element], mains: set[int]) -> dict[int, tuple[int, int]]:
-    """For each element that neither holds nor lies in an article: the hash of its subtree with all text,
-    and the hash of its place and shape (names of its elements, equal neighbours taken once, no text)."""
+def template_hashes(found: list[Element], mains: set[int]) -> dict[int, int]:
+    """The hash of every subtree that may be template.
+
+    If the page names an article, these are all subtrees that neither hold nor lie in one; their hash
+    is of their place and shape (names of the elements, equal neighbours taken once, no text), which
+    also recurs where a menu differs from page to page. Otherwise the hash is of the elements and all
+    their text, as the article's own shape recurs too.
+    """
     holds = set()
     for i in mains:
         while i >= 0:
             holds.add(i)
             i = found[i].above
-    inner, place, full, shape = set(mains), {-1: ""}, {}, {}
+    inner, place, form = set(mains), {-1: ""}, {}
     for i, e in enumerate(found):
         if e.above in inner:
             inner.add(i)
         place[i] = f"{place[e.above]}/{e.tag}{e.names}"
+    out = {}
     for i in range(len(found) - 1, 0, -1):
         e = found[i]
         if i in inner or i in holds:
             continue
-        children = [c for c in e.pieces if isinstance(c, int)]
-        full[i] = f"<{e.tag}{e.names}>" + "".join(full.get(c, "") if isinstance(c, int) else " ".join(c.split()) for c in e.pieces) + "</>"
-        shapes = [shape.get(c, "") for c in children]
-        shape[i] = f"<{e.tag}{e.names}>" + "".join(s for k, s in enumerate(shapes) if not k or s != shapes[k - 1]) + "</>"
-    out = {}
-    for i in full:
-        if found[i].tag not in ("html", "body", "head", "p", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
-            out[i] = (_digest(full[i]), _digest(f"{place[found[i].above]}|{shape[i]}"))
+        if mains:
+            forms = [form.get(c, "") for c in e.pieces if isinstance(c, int)]
+            form[i] = f"<{e.tag}{e.names}>" + "".join(s for k, s in enumerate(forms) if not k or s != forms[k - 1]) + "</>"
+        else:
+            form[i] = f"<{e.tag}{e.names}>" + "".join(form.get(c, "") if isinstance(c, int) else " ".join(c.split()) for c in e.pieces) + "</>"
+        if e.tag not in LINES:
+            out[i] = _digest(f"{place[e.above]}|{form[i]}" if mains else form[i])
     return out
 
 
@@ -157,7 +163,7 @@ def page_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
         return ""
     found = parse(page)
     mains = _mains(found)
-    gone = {i for i, hashes in template_hashes(found, mains).items() if template.intersection(hashes)} if template else set()
+    gone = {i for i, digest in template_hashes(found, mains).items() if digest in template} if template else set()
     lines: list[str] = []
     block: list[str] = []
 
@@ -195,30 +201,31 @@ def page_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(lines)
 
 
-def site_templates(pages: DataFrame, host: str, page: str, key: str, min_pages: int) -> DataFrame:
-    """``key`` and its ``_template``: those hashes of its own subtrees that ``min_pages`` pages of the host or more hold."""
+def site_templates(pages: DataFrame, host: str, page: str, min_pages: int) -> DataFrame:
+    """``host`` and its ``_template``: the subtree hashes that ``min_pages`` pages of the host or more hold."""
 
     def hashes(texts: list) -> list:
         each = []
         for text in texts:
             found = parse(text) if text else [Element("", "", -1)]
-            each.append(sorted({h for pair in template_hashes(found, _mains(found)).values() for h in pair}))
+            each.append(sorted(set(template_hashes(found, _mains(found)).values())))
         return [each]
 
     fields = [T.StructField("hashes", T.ArrayType(T.LongType()))]
-    listed = stored(add_columns(pages.select(host, key, page), lambda: hashes, [page], fields, [page]), "page-hashes").select(host, key, F.explode("hashes").alias("hash"))
-    recurring = listed.groupBy(host, "hash").count().where(F.col("count") >= min_pages).select(host, "hash")
-    return listed.distinct().join(recurring, [host, "hash"]).groupBy(key).agg(F.collect_set("hash").alias("_template"))
+    listed = add_columns(pages.select(host, page), lambda: hashes, [page], fields, [page]).select(host, F.explode("hashes").alias("hash"))
+    recurring = listed.groupBy(host, "hash").count().where(F.col("count") >= min_pages)
+    return recurring.groupBy(host).agg(F.collect_set("hash").alias("_template"))
 
 
 def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pages: int = 5) -> DataFrame:
     """Add ``text``, the main text, and ``n_chars``, its code points, to every page.
 
-    Every block subtree outside the page's article is hashed twice: with all its text, and by its
-    place and shape. Spark counts on how many pages of a host each hash occurs; subtrees whose hash
-    recurs on ``min_pages`` pages or more are the site's template and are deleted. On smaller hosts,
-    and inside the article, element names and the words of class and id tell the furniture. Text in
-    an article is never deleted because it recurs. Character references are decoded, white space
+    Every block subtree outside the page's article is hashed, by its place and shape, or with its text
+    if the page names no article. Spark counts on how many pages of a host each hash occurs; subtrees
+    whose hash recurs on ``min_pages`` pages or more are the site's template and are deleted. On
+    smaller hosts, and inside the article, element names and the words of class and id tell the
+    furniture. Text in an article is never deleted because it recurs. The hosts' templates are written
+    to the shared folder and joined by host; Spark's size check decides how. Character references are decoded, white space
     inside a block becomes one space, blocks are joined by a line break; ``br`` counts as white space.
 
     A null or empty page has an empty text. Pages without a host are one site of their own. Repeated
@@ -227,9 +234,9 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pag
     ``n_chars`` are replaced, all others kept.
     """
     kept = without(pages, ["text", "n_chars"])
-    keyed = kept.withColumn("_host", url_host(F.col(url).cast("string"))).withColumn("_page", F.col(page).cast("string")).withColumn("_key", F.xxhash64("_host", "_page"))
-    template = stored(site_templates(keyed, "_host", "_page", "_key", min_pages), "page-templates")
-    rows = keyed.drop("_host").join(template, "_key", "left").drop("_key")
+    keyed = kept.withColumn("_host", url_host(F.col(url).cast("string"))).withColumn("_page", F.col(page).cast("string"))
+    template = stored(site_templates(keyed, "_host", "_page", min_pages), "page-templates")
+    rows = keyed.join(template, "_host", "left").drop("_host")
 
     def texts(bodies: list, templates: list) -> list:
         out = [page_text(p, frozenset(t or ())) for p, t in zip(bodies, templates, strict=True)]
