@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0),
     # Words per weight if this source and all that fill up later share what the earlier ones left.
     level = left / F.sum("_w").over(rest)
     leveled = weighed.withColumn("_level", level).withColumn("_full", F.col("_level") * F.col("_w") >= cap * F.col("source_size"))
-    # Levels only rise until the first source that is not full; its level holds for all that follow.
-    final = F.min(F.when(~F.col("_full"), F.col("_level"))).over(everything)
+    # The first source that is not full has the level that holds for all that follow; theirs, taken as if it were full, are lower.
+    final = F.max(F.when(~F.col("_full"), F.col("_level"))).over(everything)
     target = F.when(F.col("_full"), cap * F.col("source_size")).otherwise(F.col("_final") * F.col("_w"))
     return leveled.withColumn("_final", final).select("source", "source_size", "n_docs", target.cast("double").alias("target"))
 
