@@ -122,10 +122,10 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, n_symbols: int, every: int = 4) -> None:
+        if not len(text) or text[-1] != 0:
+            text = np.append(text, 0)
         order = suffix_order(text)
-        self.last = text[order - 1]  # the symbol before each suffix; for the first suffix, a separator
-        if len(text):
-            self.last[order == 0] = 0
+        self.last = text[order - 1]  # the symbol before each suffix; before the first one, the separator at the end
         self.tree = WaveletTree(self.last, n_symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
         sampled = (self.last == 0) | (order % every == 0)
