@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from rackwise.llm.common import add_columns, stored, without
 from rackwise.llm.components import components
 
 SHINGLE, SKETCHES, PICKED, SIMILARITY = 5, 14, 3, 0.8
+BINS, BLOCK_NODES = 256, 1500
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
@@ -53,9 +55,9 @@ def labelled(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_sketches(text: str, sketches: int = SKETCHES, picked: int = PICKED) -> list[int]:
+def order_sketches(text: str, sketches: int = SKETCHES, picked: int = PICKED, marks: np.ndarray | None = None) -> list[int]:
     """For each of ``sketches`` hash functions: the ``picked`` labelled shingles of least hash, in text order, as one number."""
-    x = labelled(shingle_hashes(text)) if text else np.zeros(0, np.uint64)
+    x = labelled(shingle_hashes(text)) if marks is None else marks
     if not len(x):
         return []
     seeds = np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +72,17 @@ def order_sketches(text: str, sketches: int = SKETCHES, picked: int = PICKED) ->
     return out
 
 
+def _summaries(texts: list) -> list:
+    """Of each text its sketches, its number of runs, and how many labelled runs fall into each of ``BINS`` bins, up to 255."""
+    out: list[list] = [[], [], []]
+    for text in texts:
+        x = labelled(shingle_hashes(text))
+        out[0].append(order_sketches(text, marks=x))
+        out[1].append(len(x))
+        out[2].append(np.minimum(np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+    return out
+
+
 def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Shingles aligned in order, over all shingles of both (aligned ones once); 0.0 if below ``least``.
 
@@ -138,26 +151,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return add_columns(both.select("a", "b", "body_a", "body_b"), setup, ["body_a", "body_b"], fields, ["body_a", "body_b"]).where(F.col("similarity") >= least)
 
 
-def _rest_pairs(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs of ``nodes`` (``node``, ``part``) of different parts that may reach ``least``, by shared rare shingles.
+def _pairs_across(table: pa.Table, least: float) -> pa.Table:
+    """Pairs of one bucket, or of two blocks of it, that lie in different parts and may reach ``least``.
 
-    Two texts that align can't both lack each other's rarest shingles: of ``n`` labelled shingles in
-    order of rarity, one of the first ``n - ceil(least * n) + 1`` is shared. Common passages are not
-    rare, so texts that share only these don't meet.
+    Two texts differ in at least as many runs as the counts of their runs by bins differ; that
+    excludes nearly all pairs below ``least`` and none above it. Only what is left goes out.
+    """
+    side = table["side"].to_numpy()
+    node = np.array(table["node"].to_pylist())
+    _, part = np.unique(np.array(table["part"].to_pylist()), return_inverse=True)
+    n = table["n"].to_numpy().astype(np.int64)
+    bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(len(node), BINS).astype(np.int16)
+    rows, columns = np.flatnonzero(side <= 0), np.flatnonzero(side != 0) if (side > 0).any() else np.flatnonzero(side <= 0)
+    share = 1 - 2 * least / (1 + least)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in rows:
+        others = columns[(part[columns] != part[i]) & (np.abs(n[columns] - n[i]) <= share * (n[columns] + n[i]) + 1e-9)]
+        if side[i] < 0:
+            others = others[others > i]
+        for at in range(0, len(others), 4096):
+            some = others[at:at + 4096]
+            gap = np.abs(bins[some] - bins[i]).sum(axis=1)
+            some = some[gap <= share * (n[some] + n[i]) + 1e-9]
+            if len(some):
+                found.append((np.full(len(some), i), some))
+    one = np.concatenate([f[0] for f in found]) if found else np.zeros(0, int)
+    two = np.concatenate([f[1] for f in found]) if found else np.zeros(0, int)
+    left, right = node[one], node[two]
+    return pa.table({"a": pa.array(np.where(left < right, left, right).tolist(), pa.string()), "b": pa.array(np.where(left < right, right, left).tolist(), pa.string())})
+
+
+def _rest_pairs(members: DataFrame, least: float, block: int = BLOCK_NODES) -> DataFrame:
+    """Pairs within buckets (``turn``, ``sketch``, ``node``, ``part``, ``n``, ``bins``) that lie in different parts.
+
+    A bucket of more than ``block`` members is cut into blocks, and each pair of blocks is a task's work.
     """
-    fields = [T.StructField("marks", T.ArrayType(T.LongType()))]
-    bodies = nodes.join(texts, "node")
-    marked = add_columns(bodies, lambda: lambda t: [[labelled(shingle_hashes(x)).view(np.int64) for x in t]], ["body"], fields, ["body"])
-    each = stored(marked.select("node", "part", F.size("marks").alias("n"), F.explode("marks").alias("mark")), "rest-marks")
-    known = each.groupBy("mark").agg(F.count("*").alias("often"), F.min("part").alias("p"), F.max("part").alias("q"))
-    ranked = each.join(known, "mark").groupBy("node", "part", "n").agg(
-        F.array_sort(F.collect_list(F.struct("often", "mark", (F.col("p") != F.col("q")).alias("mixed")))).alias("marks"))
-    length = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
-    rare = ranked.select("node", "part", "n", F.explode(F.slice("marks", F.lit(1), length)).alias("m")).where("m.mixed").select("node", "part", "n", F.col("m.mark").alias("mark"))
-    rare = stored(rare, "rest-rare")
-    other = rare.select(F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), "mark")
-    near = (F.col("n") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n"))
-    return rare.join(other, "mark").where((F.col("node") < F.col("b")) & (F.col("part") != F.col("part_b")) & near).select(F.col("node").alias("a"), "b").distinct()
+    sizes = members.groupBy("turn", "sketch").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(stored(sizes, "rest-sizes"), ["turn", "sketch"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Side -1: a block with itself; 0 and 1: the first and the second of two blocks.
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    keyed = dealt.select("turn", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "part", "n", "bins")
+    return keyed.groupBy("turn", "sketch", "i", "j").applyInArrow(lambda t: _pairs_across(t, least), "a string, b string").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -165,27 +200,30 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     (how many equal rows it has), a row per distinct text. See ``mark_near_duplicates``."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("body")).where(F.col("body").isNotNull()).withColumn("node", F.md5("body"))
     # Equal texts are one node, so copies, however many, cost one row each and no pair.
-    fields = [T.StructField("sketches", T.ArrayType(T.LongType()))]
     ids = F.struct(F.col("id").isNull().alias("none"), "id", "n")
     of_id = rows.groupBy("node", "id").agg(F.count("*").alias("n"))
     nodes = stored(of_id.groupBy("node").agg(F.min(ids).alias("first"), F.sum("n").alias("rows")), "text-nodes")
-    sketched = add_columns(rows.select("node", "body"), lambda: lambda t: [[order_sketches(x) for x in t]], ["body"], fields, ["body"])
-    sketches = sketched.select("node", F.posexplode("sketches").alias("turn", "sketch")).distinct()
-    buckets = stored(sketches.join(nodes.select("node", "first"), "node").select("turn", "sketch", "node", F.struct("first", "node").alias("rank")), "sketches")
+    fields = [T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("bins", T.BinaryType())]
+    sketched = add_columns(rows.select("node", "body"), lambda: _summaries, ["body"], fields, ["body"])
+    once = sketched.groupBy("node").agg(*[F.first(c).alias(c) for c in ("sketches", "n", "bins")])
+    summaries = stored(once.join(nodes.select("node", "first"), "node"), "text-sketches")
+    buckets = summaries.select(F.posexplode("sketches").alias("turn", "sketch"), "node", "first")
     # A bucket's centre is its document with the least id; all others of the bucket are compared with it.
-    centres = buckets.groupBy("turn", "sketch").agg(F.min("rank").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(buckets.join(centres, ["turn", "sketch"]).select("turn", "sketch", "node", F.col("centre.node").alias("centre")), "shared-sketches")
+    centres = buckets.groupBy("turn", "sketch").agg(F.min(F.struct("first", "node")).alias("centre"), F.count("*").alias("n")).where("n > 1")
+    shared = stored(buckets.select("turn", "sketch", "node").join(centres, ["turn", "sketch"]).select("turn", "sketch", "node", F.col("centre.node").alias("centre")), "shared-sketches")
     pairs = stored(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "sketch-pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = stored(rows.select("node", "body").join(involved, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "sketch-texts")
     links = stored(_verified(pairs, texts, least).select("a", "b"), "sketch-links")
     parts = stored(components(links), "sketch-parts")
     # Buckets whose members are not all in one part yet: there, members were compared with the centre alone.
-    placed = shared.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    placed = shared.join(parts, "node", "left").select("turn", "sketch", "node", F.coalesce("root", "node").alias("part"))
     mixed = placed.groupBy("turn", "sketch").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q and n > 2").select("turn", "sketch")
-    rest = stored(placed.join(mixed, ["turn", "sketch"], "left_semi").select("node", "part").distinct(), "sketch-rest")
-    more = stored(_verified(_rest_pairs(rest, texts, least), texts, least).select("a", "b"), "rest-links")
-    final = components(links.unionByName(more)) if not more.isEmpty() else parts
+    members = placed.join(mixed, ["turn", "sketch"], "left_semi").join(summaries.select("node", "n", "bins"), "node")
+    rest = stored(_rest_pairs(stored(members, "rest-members"), least).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    more = stored(_verified(rest, texts, least).select("a", "b"), "rest-links")
+    known = parts.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    final = components(known.unionByName(more)) if not more.isEmpty() else parts
     joined = stored(nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), "text-classes")
     each = joined.groupBy("root").agg(F.min(F.struct("first", "node")).alias("best"), F.sum("rows").alias("class_size"))
     return joined.join(each, "root").select("node", F.col("best.first.id").alias("class_id"), "class_size", F.col("best.node").alias("keeper"), F.col("best.first.n").alias("keepers"))
@@ -198,8 +236,8 @@ def mark_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     least hash and keeps their order in the text, so it feels moved passages as well as changed ones.
     Equal texts are one node. Texts that share a sketch are candidates; in each bucket all are
     compared with the one of least id. Where that leaves a bucket in several parts, its members are
-    compared across parts as far as their rare runs are shared, so no link between candidates is
-    lost and passages that many texts share emit no pairs. Every candidate pair is verified by banded
+    compared across parts by an exact bound, block by block inside the tasks, so no link between
+    candidates is lost, and texts that merely share a passage emit no pairs. Every candidate pair is verified by banded
     alignment of its runs: aligned runs over all runs, at least ``least``. Classes are the connected
     components of the links.
 
