@@ -7,6 +7,11 @@ decimals, as in the library.
 
 from __future__ import annotations
 
+from rackwise.functions.fixed_values import (
+    ACTION_MARKDOWN, ACTION_NONE, ACTION_OLD_ITEMS, ACTION_OVERSTOCK, CONDITION_TEXT, MARKDOWN_AGES, PAYOUT_HEADINGS, PENDING_LABEL,
+    PERCENT_OFF_TEXT, PHOTO_LIST_HEADINGS, PRICE_TEXT, STAGE_LONG, STAGE_OTHER, STAGE_PERCENT, STAGE_SHORT,
+)
+
 _SHOP = """
 consignors AS (
   SELECT printf('C%04d', s_suppkey + 1) AS id, s_name AS name,
@@ -137,47 +142,58 @@ classes AS (
   FROM (SELECT *, sum(CAST(share_pct AS DECIMAL(18,1))) OVER (
           ORDER BY revenue DESC, category ROWS UNBOUNDED PRECEDING) AS cumulative FROM shares))
 """
+# Sales of the period counted per item; an item's rows are its sales, or one if it has none.
 _MATRIX = """
+sold_items AS (
+  SELECT sku, count(*) AS n FROM sales WHERE date BETWEEN DATE '2001-06-15' AND DATE '2001-07-15' GROUP BY sku),
+listed_rows AS (
+  SELECT category, size, COALESCE(n, 0) AS n, greatest(COALESCE(n, 0), 1) AS n_rows
+  FROM items LEFT JOIN sold_items USING (sku) WHERE listed_at >= DATE '2001-06-15'),
 matrix AS (
-  SELECT i.category, i.size, count(s.sku) AS sold, count(*) AS total,
-         round(count(s.sku) * CAST(100 AS DOUBLE) / count(*), 1) AS rate
-  FROM items i LEFT JOIN sales s ON i.sku = s.sku AND s.date >= DATE '2001-06-15' AND s.date <= DATE '2001-07-15'
-  WHERE i.listed_at >= DATE '2001-06-15' GROUP BY i.category, i.size HAVING count(*) >= 2)
+  SELECT category, size, sold, total, round(CAST(100 AS DOUBLE) * sold / total, 1) AS rate
+  FROM (SELECT category, size, CAST(sum(n) AS BIGINT) AS sold, CAST(sum(n_rows) AS BIGINT) AS total FROM listed_rows GROUP BY ALL)
+  WHERE total > 1)
 """
 _AGEING = """
+aged AS (SELECT category, CAST(listed_at < DATE '2001-07-15' - 60 AS INTEGER) AS is_old FROM stock),
 ageing AS (
-  SELECT category, count(*) AS total_items, count(CASE WHEN age > 60 THEN 1 END) AS old_items,
-         round(count(CASE WHEN age > 60 THEN 1 END) * CAST(100 AS DOUBLE) / count(*), 1) AS old_pct
-  FROM stock GROUP BY category HAVING count(*) > 5)
+  SELECT category, total_items, old_items, round(CAST(100 AS DOUBLE) * old_items / total_items, 1) AS old_pct
+  FROM (SELECT category, CAST(sum(1) AS BIGINT) AS total_items, CAST(sum(COALESCE(is_old, 0)) AS BIGINT) AS old_items FROM aged GROUP BY ALL)
+  WHERE total_items >= 6)
 """
+# Sales counted per item first. An item is as many rows as it has sales ever, or one.
 _PERFORMANCE = """
+item_sales AS (
+  SELECT sku, count(*) AS ever, count(*) FILTER (date >= DATE '2001-06-15') AS lately,
+         sum(net) FILTER (date >= DATE '2001-06-15') AS value FROM sales GROUP BY sku),
+item_rows AS (
+  SELECT consignor_id, COALESCE(lately, 0) AS n_sold, value,
+         CASE WHEN listed_at >= DATE '2001-06-15' THEN greatest(COALESCE(ever, 0), 1) ELSE 0 END AS n_added
+  FROM items LEFT JOIN item_sales USING (sku)),
+per_consignor AS (
+  SELECT consignor_id AS id, CAST(sum(n_added) AS BIGINT) AS items_added_30d, CAST(sum(n_sold) AS BIGINT) AS items_sold_30d,
+         CAST(sum(value) AS DOUBLE) AS revenue FROM item_rows GROUP BY ALL),
 performance AS (
-  SELECT c.id, c.name, count(CASE WHEN i.listed_at >= DATE '2001-06-15' THEN 1 END) AS items_added_30d,
-         count(CASE WHEN s.date >= DATE '2001-06-15' THEN 1 END) AS items_sold_30d,
-         round(count(CASE WHEN s.date >= DATE '2001-06-15' THEN 1 END) * CAST(100 AS DOUBLE) /
-               NULLIF(count(CASE WHEN i.listed_at >= DATE '2001-06-15' THEN 1 END), 0), 1) AS rate,
-         CAST(sum(CASE WHEN s.date >= DATE '2001-06-15' THEN net END) AS DOUBLE) AS revenue
-  FROM consignors c LEFT JOIN items i ON c.id = i.consignor_id LEFT JOIN sales s ON i.sku = s.sku
-  WHERE c.active = 1 GROUP BY c.id, c.name
-  HAVING count(CASE WHEN i.listed_at >= DATE '2001-06-15' THEN 1 END) > 0
-      OR count(CASE WHEN s.date >= DATE '2001-06-15' THEN 1 END) > 0),
+  SELECT id, name, items_added_30d, items_sold_30d, revenue,
+         CASE WHEN items_added_30d > 0 THEN round(CAST(100 AS DOUBLE) * items_sold_30d / items_added_30d, 1) END AS rate
+  FROM per_consignor JOIN consignors USING (id) WHERE active = 1 AND items_added_30d + items_sold_30d > 0),
 ranked AS (
   SELECT name, items_added_30d, items_sold_30d, COALESCE(rate, 0) AS sell_through_rate,
          COALESCE(revenue, 0) AS revenue_30d,
          row_number() OVER (ORDER BY rate DESC NULLS LAST, revenue DESC NULLS LAST, id) AS rn FROM performance)
 """
 _COVERAGE = """
+shown AS (SELECT category, CAST(length(COALESCE(photos_url, '')) > 0 AS INTEGER) AS has_photo FROM stock),
 coverage AS (
-  SELECT category, count(*) AS total, count(CASE WHEN photos_url IS NOT NULL AND photos_url <> '' THEN 1 END) AS with_photos,
-         round(count(CASE WHEN photos_url IS NOT NULL AND photos_url <> '' THEN 1 END) * CAST(100 AS DOUBLE) / count(*), 1)
-           AS coverage_pct
-  FROM stock GROUP BY category)
+  SELECT category, total, with_photos, round(CAST(100 AS DOUBLE) * with_photos / total, 1) AS coverage_pct
+  FROM (SELECT category, CAST(sum(1) AS BIGINT) AS total, CAST(sum(has_photo) AS BIGINT) AS with_photos FROM shown GROUP BY ALL))
 """
-_PENDING = """
-pending AS (
-  SELECT CASE WHEN age > 90 AND markdown_stage < 3 THEN 'Para 40% OFF' WHEN age > 60 AND markdown_stage < 2 THEN 'Para 25% OFF'
-              WHEN age > 30 AND markdown_stage < 1 THEN 'Para 10% OFF' ELSE 'OK' END AS update_needed, count(*) AS qty
-  FROM stock GROUP BY 1)
+# The schedule as rows: an item is due for the last stage whose age it has passed, if that is above its own.
+_PENDING = f"""
+schedule(stage, min_age, update_needed) AS (VALUES {', '.join(f"({k}, {MARKDOWN_AGES[k]}, '{PENDING_LABEL[k]}')" for k in MARKDOWN_AGES)}),
+due AS (
+  SELECT sku, max(stage) AS stage FROM stock JOIN schedule ON age > min_age AND markdown_stage < stage GROUP BY sku),
+pending AS (SELECT update_needed, count(*) AS qty FROM due JOIN schedule USING (stage) GROUP BY ALL)
 """
 _KPIS = """
 kpis AS (
@@ -189,16 +205,19 @@ kpis AS (
         WHERE date >= DATE '2001-06-15' AND date <= DATE '2001-07-15'),
        (SELECT count(*) AS listed FROM items WHERE listed_at >= DATE '2001-06-15' AND listed_at <= DATE '2001-07-15'))
 """
+# Sums per noted consignor; who that is comes afterwards.
 _PAYOUTS = """
-totals AS (
-  SELECT s.consignor_id, c.name, c.pix_key, COALESCE(c.percent, 0.5) AS percent, sum(net) AS net, count(*) AS qtd
-  FROM sales s LEFT JOIN consignors c ON c.id = s.consignor_id
-  WHERE date >= DATE '2001-06-15' AND date <= DATE '2001-07-15' AND s.consignor_id IS NOT NULL
-  GROUP BY s.consignor_id, c.name, c.pix_key, c.percent),
+owed AS (
+  SELECT consignor_id, sum(net) AS net, count(*) AS qtd FROM sales
+  WHERE consignor_id IS NOT NULL AND date BETWEEN DATE '2001-06-15' AND DATE '2001-07-15' GROUP BY ALL),
+shared AS (
+  SELECT owed.*, (SELECT name FROM consignors WHERE id = consignor_id) AS name,
+         (SELECT pix_key FROM consignors WHERE id = consignor_id) AS pix_key,
+         COALESCE((SELECT percent FROM consignors WHERE id = consignor_id), 0.5) AS percent FROM owed),
 payouts AS (
   SELECT consignor_id, name, pix_key, percent, CAST(net AS DOUBLE) AS total_net, qtd, CAST(part AS DOUBLE) AS consignor_value,
          CAST(round(net - part, 2) AS DOUBLE) AS shop_value
-  FROM (SELECT *, round(CAST(net AS DECIMAL(20,4)) * CAST(percent AS DECIMAL(9,6)), 2) AS part FROM totals))
+  FROM (SELECT *, round(CAST(net AS DECIMAL(20,4)) * CAST(percent AS DECIMAL(9,6)), 2) AS part FROM shared))
 """
 _TRANSITIONS = """
 moves AS (
@@ -209,13 +228,13 @@ steps AS (
          ours AND age > 90 AND (markdown_stage = 2 OR (markdown_stage = 1 AND age > 60) OR (markdown_stage = 0 AND age > 60)) AS to3
   FROM moves)
 """
-_LABELS = """
+_LABELS = f"""
 labels AS (
   SELECT sku, condition, list_price, markdown_stage, listed_at,
          category || COALESCE(' ' || brand, '') || COALESCE(' ' || size, '') AS description,
-         'R$ ' || CAST(CAST(round(CAST(list_price AS DECIMAL(18,4)) * (1 - CAST(pct AS DECIMAL(3,2))), 2) AS DECIMAL(18,2)) AS VARCHAR)
+         '{PRICE_TEXT}' || CAST(CAST(round(CAST(list_price AS DECIMAL(18,4)) * (1 - CAST(pct AS DECIMAL(3,2))), 2) AS DECIMAL(18,2)) AS VARCHAR)
            AS price_text,
-         'R$ ' || CAST(CAST(list_price AS DECIMAL(18,2)) AS VARCHAR) AS list_price_text
+         '{PRICE_TEXT}' || CAST(CAST(list_price AS DECIMAL(18,2)) AS VARCHAR) AS list_price_text
   FROM stock)
 """
 
@@ -226,11 +245,23 @@ _NO_PHOTO = "(photos_url IS NULL OR photos_url = '')"
 _WORK_FIELDS = "sku, category, brand, size, list_price"
 _PRICE = "CAST(list_price AS DECIMAL(18,4)) * (1 - CAST(pct AS DECIMAL(3,2)))"
 _PCT = "CASE markdown_stage WHEN 0 THEN 0.00 WHEN 1 THEN 0.10 WHEN 2 THEN 0.25 WHEN 3 THEN 0.40 ELSE 0.00 END"
-_STAGE_LONG = """CASE markdown_stage WHEN 0 THEN 'Preço cheio (0%)' WHEN 1 THEN '1º desconto (-10%)'
-  WHEN 2 THEN '2º desconto (-25%)' WHEN 3 THEN '3º desconto (-40%)' ELSE 'Outro' END"""
-_STAGE_SHORT = """CASE markdown_stage WHEN 0 THEN 'Preço cheio' WHEN 1 THEN '1º desconto'
-  WHEN 2 THEN '2º desconto' WHEN 3 THEN '3º desconto' ELSE 'Outro' END"""
-_STAGE_PERCENT = "CASE markdown_stage WHEN 0 THEN '0%' WHEN 1 THEN '10%' WHEN 2 THEN '25%' WHEN 3 THEN '40%' END"
+def _stages(texts: dict[int, str], other: str | None = None) -> str:
+    cases = " ".join(f"WHEN {k} THEN '{v}'" for k, v in texts.items())
+    return f"CASE markdown_stage {cases}" + (f" ELSE '{other}' END" if other else " END")
+
+
+def _headed(headings: dict[str, str]) -> str:
+    return ", ".join(f'{c} AS "{heading}"' for c, heading in headings.items())
+
+
+def _filled(text: str, value: str) -> str:
+    """The text with a number in the place of ``%d``."""
+    before, after = text.split("%d")
+    return f"'{before}' || {value} || '{after}'"
+
+
+_STAGE_LONG, _STAGE_SHORT = _stages(STAGE_LONG, STAGE_OTHER), _stages(STAGE_SHORT, STAGE_OTHER)
+_STAGE_PERCENT = _stages(STAGE_PERCENT)
 _ALL_ITEM_FIELDS = """sku, consignor_id, acquisition_type, category, subcategory, brand, CAST(NULL AS VARCHAR) AS gender, size,
   CAST(NULL AS VARCHAR) AS fit, CAST(NULL AS VARCHAR) AS color, CAST(NULL AS VARCHAR) AS fabric, condition,
   CAST(NULL AS VARCHAR) AS flaws, CAST(NULL AS DOUBLE) AS bust, CAST(NULL AS DOUBLE) AS waist, CAST(NULL AS DOUBLE) AS length,
@@ -241,9 +272,9 @@ _PICKER = "rtrim(sku || ' - ' || category || ' ' || COALESCE(brand, '') || ' ' |
 _GALLERY_FIELDS = f"""sku, category, brand, size, condition, list_price, markdown_stage, photos_url,
   rtrim(category || ' ' || COALESCE(brand, '') || ' ' || COALESCE(size, '')) AS title,
   CAST({_PRICE} AS DOUBLE) AS current_price,
-  'R$ ' || CAST(CAST(round({_PRICE}, 2) AS DECIMAL(18,2)) AS VARCHAR) AS price_text,
-  CASE WHEN pct > 0 THEN 'R$ ' || CAST(CAST(list_price AS DECIMAL(18,2)) AS VARCHAR) END AS struck_price_text,
-  CASE WHEN pct > 0 THEN CAST(CAST(pct * 100 AS INTEGER) AS VARCHAR) || '% OFF' END AS percent_off_text"""
+  '{PRICE_TEXT}' || CAST(CAST(round({_PRICE}, 2) AS DECIMAL(18,2)) AS VARCHAR) AS price_text,
+  CASE WHEN pct > 0 THEN '{PRICE_TEXT}' || CAST(CAST(list_price AS DECIMAL(18,2)) AS VARCHAR) END AS struck_price_text,
+  CASE WHEN pct > 0 THEN CAST(CAST(pct * 100 AS INTEGER) AS VARCHAR) || '{PERCENT_OFF_TEXT}' END AS percent_off_text"""
 
 
 def _with(*parts: str) -> str:
@@ -285,11 +316,8 @@ ORACLE_SQL: dict[str, str] = {
     "upsert_items_price_only": f"{_with(_CHANGES)} {_merged(price_only=True)}",
     "delete_items": f"""{_with(_CHANGES)} SELECT sku, category, list_price FROM items
       WHERE sku NOT IN (SELECT sku FROM changes)""",
-    "payouts_csv": f"""{_with(_PAYOUTS)} SELECT consignor_id AS "ConsignanteID", name AS "Nome", qtd AS "Peças",
-      total_net AS "Vendas líquidas (R$)", percent AS "% Consignante", consignor_value AS "Valor p/ Consignante (R$)",
-      shop_value AS "Valor p/ Loja (R$)", pix_key AS "Chave Pix" FROM payouts""",
-    "photo_list_csv": f"""{_with()} SELECT sku AS "SKU", category AS "Categoria", brand AS "Marca", size AS "Tamanho",
-      list_price AS "Preço" FROM stock WHERE {_NO_PHOTO}""",
+    "payouts_csv": f"{_with(_PAYOUTS)} SELECT {_headed(PAYOUT_HEADINGS)} FROM payouts",
+    "photo_list_csv": f"{_with()} SELECT {_headed(PHOTO_LIST_HEADINGS)} FROM stock WHERE {_NO_PHOTO}",
     "photo_inventory": f"{_with(_PHOTOS)} SELECT sku, n_files, first_file FROM inventory",
     "stamp_photos": f"""{_with(_PHOTOS)} SELECT i.sku, CASE WHEN v.sku IS NOT NULL THEN 'photos/' || v.sku ELSE i.photos_url END
       AS photos_url, listed_at, active FROM items i LEFT JOIN inventory v ON v.sku = i.sku""",
@@ -389,7 +417,7 @@ ORACLE_SQL: dict[str, str] = {
     "kpi_cards": f"""{_with(_KPIS)}
       SELECT 'Estoque Atual' AS metric, format('{{:,}}', total_stock) AS value FROM kpis
       UNION ALL SELECT 'Vendas (Período)', format('{{:,}}', period_sales_count) FROM kpis
-      UNION ALL SELECT 'Receita (Período)', 'R$ ' || format('{{:,.2f}}', period_revenue) FROM kpis
+      UNION ALL SELECT 'Receita (Período)', '{PRICE_TEXT}' || format('{{:,.2f}}', period_revenue) FROM kpis
       UNION ALL SELECT 'Taxa de Venda', printf('%.1f', sell_through_rate) || '%' FROM kpis
       UNION ALL SELECT 'Dias p/ Vender', printf('%.1f', avg_days_to_sell) FROM kpis""",
     "photo_stats": f"""{_with()} SELECT total_items, with_photos, without_photos,
@@ -400,18 +428,15 @@ ORACLE_SQL: dict[str, str] = {
     "markdown_pending": f"""{_with()} SELECT count(*) AS markdown_pending FROM stock WHERE (age > 30 AND markdown_stage = 0)
       OR (age > 60 AND markdown_stage = 1) OR (age > 90 AND markdown_stage = 2)""",
     "old_items": f"{_with()} SELECT count(*) AS old_items FROM stock WHERE age > 90",
-    "overstocked_categories": f"""{_with()} SELECT count(DISTINCT category) AS overstocked_categories
-      FROM (SELECT category, count(*) AS qty FROM stock GROUP BY category HAVING count(*) > 20)""",
-    "action_summary": f"""{_with()}, checks AS (
-        SELECT (SELECT count(*) FROM stock WHERE (age > 30 AND markdown_stage = 0) OR (age > 60 AND markdown_stage = 1)
-                  OR (age > 90 AND markdown_stage = 2)) AS pending,
-               (SELECT count(*) FROM stock WHERE age > 90) AS old,
-               (SELECT count(DISTINCT category) FROM (SELECT category FROM stock GROUP BY category HAVING count(*) > 20)) AS full_cats)
-      SELECT CAST(1 AS INTEGER) AS action_no, '🏷️ Atualizar desconto de ' || pending || ' itens' AS action FROM checks WHERE pending > 0
-      UNION ALL SELECT 2, '📦 Considerar bundle/doação de ' || old || ' itens antigos (>90 dias)' FROM checks WHERE old > 10
-      UNION ALL SELECT 3, '⚠️ ' || full_cats || ' categorias com estoque alto (>20 itens)' FROM checks WHERE full_cats > 0
-      UNION ALL SELECT 4, '✅ Nenhuma ação urgente identificada. Estoque bem gerido!' FROM checks
-        WHERE pending = 0 AND old <= 10 AND full_cats = 0""",
+    "overstocked_categories": f"""{_with()} SELECT count(DISTINCT category) FILTER (place > 20) AS overstocked_categories
+      FROM (SELECT category, row_number() OVER (PARTITION BY category ORDER BY sku) AS place FROM stock)""",
+    "action_summary": f"""{_with(_PENDING)}, checks AS (
+        SELECT (SELECT count(*) FROM due) AS pending, (SELECT count(*) FROM stock WHERE age > 90) AS old,
+               (SELECT count(*) FROM (SELECT category, count(*) AS n FROM stock GROUP BY ALL) WHERE n > 20) AS full_cats)
+      SELECT CAST(1 AS INTEGER) AS action_no, {_filled(ACTION_MARKDOWN, 'pending')} AS action FROM checks WHERE pending > 0
+      UNION ALL SELECT 2, {_filled(ACTION_OLD_ITEMS, 'old')} FROM checks WHERE old > 10
+      UNION ALL SELECT 3, {_filled(ACTION_OVERSTOCK, 'full_cats')} FROM checks WHERE full_cats > 0
+      UNION ALL SELECT 4, '{ACTION_NONE}' FROM checks WHERE pending = 0 AND old <= 10 AND full_cats = 0""",
     "payouts": f"{_with(_PAYOUTS)} SELECT * FROM payouts",
     "revenue_by_category": f"{_with(_CATEGORY_REVENUE)} SELECT category, qty, revenue FROM revenue",
     "sell_through_matrix": f"{_with(_MATRIX)} SELECT * FROM matrix",
@@ -436,9 +461,8 @@ ORACLE_SQL: dict[str, str] = {
       GROUP BY category ORDER BY qty DESC, category LIMIT 5""",
     "stock_gaps": f"""{_with()} SELECT category, size, count(*) AS current_stock FROM stock GROUP BY category, size
       HAVING count(*) < 3 ORDER BY current_stock, category, size LIMIT 10""",
-    "pending_markdowns": f"{_with(_PENDING)} SELECT * FROM pending WHERE update_needed <> 'OK'",
-    "pending_total": f"""{_with(_PENDING)} SELECT CAST(COALESCE(sum(qty), 0) AS BIGINT) AS pending_total FROM pending
-      WHERE update_needed <> 'OK'""",
+    "pending_markdowns": f"{_with(_PENDING)} SELECT * FROM pending",
+    "pending_total": f"{_with(_PENDING)} SELECT count(*) AS pending_total FROM due",
     "category_ageing": f"{_with(_AGEING)} SELECT * FROM ageing",
     "problem_categories": f"{_with(_AGEING)} SELECT * FROM ageing WHERE old_pct > 50",
     "high_demand": f"""{_with()} SELECT category, size, total_sold, round_even(mean_days, 1) AS avg_days_to_sell FROM (
@@ -476,7 +500,7 @@ ORACLE_SQL: dict[str, str] = {
     "label_manifest": f"""{_with(_LABELS)} SELECT sku, description,
       CASE WHEN length(description) > 15 THEN array_to_string(string_split(description, ' ')[1:2], ' ') ELSE description END AS line1,
       CASE WHEN length(description) > 15 THEN NULLIF(array_to_string(string_split(description, ' ')[3:], ' '), '') END AS line2,
-      'Estado: ' || condition AS condition_text, price_text,
+      '{CONDITION_TEXT}' || condition AS condition_text, price_text,
       CASE WHEN markdown_stage > 0 THEN '(' || list_price_text || ')' END AS original_price_text FROM labels""",
     "label_sheets": f"{_with()} {_slots(2, 4)}",
     "label_sheet_first": f"{_with()} SELECT * FROM ({_slots(3, 6)}) WHERE slot < 18",

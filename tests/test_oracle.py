@@ -6,9 +6,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry_points
+from rackwise.plans.catalogue import QUERIES
+from rackwise.plans.oracle import ORACLE_SQL as ORACLES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +22,9 @@ def test_matches_sql(spark, con, name):
     assert differences(QUERIES[name](spark, FOLDER), con, ORACLES[name]) == []
 
 
-def test_every_query_has_an_oracle():
+def test_every_query_has_an_oracle_and_is_registered():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
