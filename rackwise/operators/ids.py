@@ -1,7 +1,7 @@
 """Ids for new rows, counting on from the highest existing one.
 
 Only well-formed ids are counted, by number and not by text, so ``C10000`` follows ``C9999`` and a
-stray id cannot send the counter back to one.
+stray id cannot send the counter back to one. A counter of more than 18 digits is no well-formed id.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ def assign_skus(
 ) -> DataFrame:
     """Give each new item the next ``BH-YYMM-0001``-style ``sku`` of its month.
 
-    The month is that of ``as_of`` for the whole batch, or of the date column ``month_of`` per row.
+    The month is that of ``as_of`` for the whole batch, or of the date column ``month_of`` per row;
+    with both, ``as_of`` stands in where a row has no date. A row without any month fails the run.
     """
     return _assign_by_month(existing, new, "sku", SKU, as_of, order_by, month_of)
 
@@ -67,10 +68,12 @@ def _assign_by_month(
     existing: DataFrame, new: DataFrame, id_column: str, form: tuple[str, str, int],
     as_of: dt.date | None, order_by: Sequence[str], month_of: str | None,
 ) -> DataFrame:
-    if (as_of is None) == (month_of is None):
-        raise ValueError("give either as_of or month_of")
-    day: Column = F.lit(day_of(as_of)) if as_of is not None else F.col(month_of)
-    dated = new.drop(id_column).withColumn("_month", F.date_format(day, "yyMM"))
+    if as_of is None and month_of is None:
+        raise ValueError("give as_of or month_of")
+    days = ([F.col(month_of)] if month_of is not None else []) + ([F.lit(day_of(as_of))] if as_of is not None else [])
+    month = F.date_format(F.coalesce(*days), "yyMM")
+    missing = F.raise_error(F.lit(f"a row has no date to take the month of its {id_column} from"))
+    dated = new.drop(id_column).withColumn("_month", F.when(month.isNull(), missing).otherwise(month))
     numbered = number_rows(dated, order_by, group_by=["_month"], name="_no", after=_last_by_month(existing, id_column, form))
     before, between, width = form
     new_id = F.concat(F.lit(before), F.col("_month"), F.lit(between), zero_padded(F.col("_no"), width))

@@ -16,6 +16,8 @@ from rackwise.functions.columns import in_stock, rate_percent, stage_name, stock
 from rackwise.functions.dates import in_period, older_than, since
 from rackwise.sources.tables import Tables
 
+NO_SIZE = "null"
+
 
 def _sell_through(t: Tables, start: dt.date, end: dt.date, min_total: int, distinct_items: bool) -> DataFrame:
     sold = t.sales.filter(in_period("date", start, end)).groupBy(F.col("sku").alias("_sku")).agg(F.count("*").alias("_n"))
@@ -43,15 +45,16 @@ def sell_through_matrix(
 
 
 def sell_through_pivot(
-    t: Tables, start: dt.date, end: dt.date, sizes: Sequence[str] | None = None, min_total: int = 2
+    t: Tables, start: dt.date, end: dt.date, sizes: Sequence[str | None] | None = None, min_total: int = 2
 ) -> DataFrame:
-    """The matrix with one column per size and 0 where a pair is missing.
+    """The matrix with one column per size and 0 where a pair is missing; items without a size have column ``null``.
 
-    With ``sizes`` the columns are fixed beforehand and the plan stays lazy. Without, Spark first
-    runs a job to find the sizes.
+    Spark first runs a job to find the sizes. With ``sizes`` (which may hold None) the columns are
+    the caller's choice, other sizes are left out, and the plan stays lazy.
     """
-    matrix = _sell_through(t, start, end, min_total, distinct_items=False)
-    pivoted = matrix.groupBy("category").pivot("size", list(sizes) if sizes is not None else None).agg(F.first("rate"))
+    matrix = _sell_through(t, start, end, min_total, distinct_items=False).withColumn("size", F.coalesce("size", F.lit(NO_SIZE)))
+    chosen = None if sizes is None else [NO_SIZE if s is None else s for s in sizes]
+    pivoted = matrix.groupBy("category").pivot("size", chosen).agg(F.first("rate"))
     return pivoted.fillna(0.0).orderBy("category")
 
 

@@ -18,23 +18,18 @@ from rackwise.sources.tables import Tables
 def kpis(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """One row: stock, sales, net revenue, sales per listed item in percent, mean days to sell.
 
-    Items are read once for the two item counts, sales once for the three sales figures. Sales and
-    listings of a period are different sets, so the rate may exceed 100.
+    Items and sales are read once each: the sales, folded per SKU, meet the items in one outer join.
+    Sales and listings of a period are different sets, so the rate may exceed 100. A sale of no known
+    item counts as a sale; it has no days to sell.
     """
-    stock = t.items.agg(
+    sold = sales_by_sku(t.sales.filter(in_period("date", start, end)))
+    both = t.items.join(sold, F.col("_sku") == F.col("sku"), "full_outer").agg(
         F.count_if(in_stock()).alias("total_stock"),
         F.count_if(in_period("listed_at", start, end)).alias("listed"),
-    )
-    sold = sales_by_sku(t.sales.filter(in_period("date", start, end)))
-    sales = sold.join(t.items.select("sku", "listed_at"), F.col("_sku") == F.col("sku"), "left").agg(
         F.sum("n_sales").alias("n_sold"),
         total("net_sum").alias("revenue"),
         mean_days_to_sell().alias("mean_days"),
     )
-    # Two one-row frames, put side by side without a join.
-    both = stock.unionByName(sales, allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in ("total_stock", "listed", "n_sold", "revenue", "mean_days")]
-    )
     n_sold = F.coalesce("n_sold", F.lit(0).cast("bigint"))
     return both.select(
         "total_stock",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,11 @@ def last_per_key(changes: DataFrame, key: str, order_by: Sequence[str]) -> DataF
     return changes.groupBy(key).agg(row).select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in changes.columns])
 
 
+def split_keyless(changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Changes that name a key, and those that do not and so can't be applied."""
+    return changes.filter(F.col(key).isNotNull()), changes.filter(F.col(key).isNull())
+
+
 def upsert(
     target: DataFrame,
     changes: DataFrame,
@@ -34,29 +39,28 @@ def upsert(
 
     A supplied NULL overwrites too. Columns an inserted row does not supply take ``defaults``, else
     NULL. With several changes per key the last in ``order_by`` order counts; columns used only
-    for ordering need not exist in ``target``.
+    for ordering need not exist in ``target``. A change without a key fails the run; take such
+    changes out with ``split_keyless`` first.
 
-    The target is joined from the left instead of by a full outer join: a batch that is small next
-    to the table is then broadcast by Spark's size check and the table itself is not shuffled. The
-    second pass, which finds the new keys, reads the key column alone.
+    One full outer join: the target is read once, the batch folded once.
     """
     supplied = [c for c in changes.columns if c != key and c in target.columns]
     updated = supplied if update_cols is None else [c for c in supplied if c in update_cols]
-    last = last_per_key(changes.filter(F.col(key).isNotNull()), key, order_by)
-
-    change = last.select(key, *[F.col(c).alias(f"_new_{c}") for c in updated], F.lit(True).alias("_changed"))
-    kept = target.join(change, key, "left").select(*[
-        F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(target[c]).alias(c) if c in updated else target[c]
-        for c in target.columns
-    ])
-
-    known = target.select(key).join(last.select(key), key, "left_semi")
-    inserted = last.join(known, key, "left_anti").select(*[
-        F.col(c).cast(target.schema[c].dataType).alias(c) if c == key or c in supplied
-        else F.lit((defaults or {}).get(c)).cast(target.schema[c].dataType).alias(c)
-        for c in target.columns
-    ])
-    return kept.unionByName(inserted)
+    must = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"a change has no {key}"))).otherwise(F.col(key))
+    last = last_per_key(changes.withColumn(key, must), key, order_by)
+    change = last.select(F.col(key).alias("_new_key"), *[F.col(c).alias(f"_new_{c}") for c in supplied])
+    old = target.withColumn("_old", F.lit(True))
+
+    def value(c: str) -> Column:
+        if c == key:
+            return F.coalesce(old[c], F.col("_new_key").cast(target.schema[c].dataType)).alias(c)
+        new = F.col(f"_new_{c}") if c in supplied else F.lit((defaults or {}).get(c))
+        new = new.cast(target.schema[c].dataType)
+        if c in updated:
+            return F.when(F.col("_new_key").isNotNull(), new).otherwise(old[c]).alias(c)
+        return F.when(F.col("_old"), old[c]).otherwise(new).alias(c)
+
+    return old.join(change, old[key] == F.col("_new_key"), "full_outer").select(*[value(c) for c in target.columns])
 
 
 def delete_keys(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -7,14 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackwise.sources.workspace import checkpointed
+from rackwise.sources.workspace import checkpointed, stored
 
 # monotonically_increasing_id() keeps the row's place in its partition in the low 33 bits.
 _PLACE_BITS = 33
 
-# Rows of (group, partition) up to which the table of shifts is broadcast: a few megabytes.
-_BROADCAST_ROWS = 100_000
-
 
 def number_rows(
     df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (), name: str = "row_no", after: DataFrame | None = None
@@ -46,10 +43,8 @@ def number_rows(
     if after is not None:
         shifts = shifts.join(after, _same_group(shifts, after, group_by), "left")
         shifts = shifts.withColumn("_shift", F.col("_shift") + F.coalesce("last", F.lit(0)))
-    # Small whatever the number of rows, unless there are very many groups: then a plain join does.
-    shifts = checkpointed(shifts.select(*[f"_group_{c}" for c in group_by], "_partition", "_shift"))
-    if shifts.count() <= _BROADCAST_ROWS:
-        shifts = F.broadcast(shifts)
+    # One row per group and partition met. As a table its size is known, and Spark picks the join.
+    shifts = stored(shifts.select(*[f"_group_{c}" for c in group_by], "_partition", "_shift"), "shifts")
     on = (partition == shifts["_partition"]) & _same_group(shifts, placed, group_by)
     return placed.join(shifts, on).select(*[placed[c] for c in df.columns], (F.col("_place") + F.col("_shift")).alias(name))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rackwise.functions import fixed_values as fixed
@@ -120,11 +120,16 @@ def orphan_photo_folders(t: Tables, inventory: DataFrame) -> DataFrame:
 
 def orphan_photo_summary(t: Tables, inventory: DataFrame, shown: int = 10) -> DataFrame:
     """One row: the number of orphan folders, the first few by name, and how many are not shown."""
-    orphans = _orphans(t, inventory)
-    total = orphans.agg(F.count("*").alias("n")).scalar()
-    first = orphans.orderBy("folder").limit(shown).agg(F.array_sort(F.collect_list("folder")).alias("_first"))
-    return first.select(
-        total.alias("orphan_folders"),
+    # Count and first names come from one pass: each partition gives its count and its own first few.
+    # The names are spread by hash, so all tasks work, and the rows that meet in the end are few.
+    by_partition = Window.partitionBy("_part").orderBy("folder")
+    spread = _orphans(t, inventory).withColumn("_part", F.spark_partition_id())
+    placed = spread.withColumn("_place", F.row_number().over(by_partition))
+    each = placed.groupBy("_part").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("_place") <= shown, F.col("folder"))).alias("_names"))
+    total = F.coalesce(F.sum("n"), F.lit(0).cast("bigint"))
+    both = each.agg(total.alias("orphan_folders"), F.slice(F.array_sort(F.flatten(F.collect_list("_names"))), 1, shown).alias("_first"))
+    return both.select(
+        "orphan_folders",
         F.array_join("_first", ", ").alias("first_folders"),
-        F.greatest(total - F.lit(shown), F.lit(0).cast("bigint")).alias("not_shown"),
+        F.greatest(F.col("orphan_folders") - F.lit(shown), F.lit(0).cast("bigint")).alias("not_shown"),
     )

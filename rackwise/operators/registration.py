@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackwise.operators.ids import assign_sale_ids
-from rackwise.operators.intake import blank, split_by_reason
+from rackwise.operators.intake import blank, fill_missing, split_by_reason
 from rackwise.operators.merge import last_per_key
-from rackwise.sources.schema import SALES
+from rackwise.sources.schema import DEFAULTS, SALES
 
 
 class Registration:
     """A batch of new sales (date, sku, sale_price, discount_value, channel ...) in ``order_by`` order.
 
-    A sale needs a SKU, a positive price and an existing item. It keeps the consignor the item has
+    A sale needs a SKU, a positive price, an existing item and, where ids count within its own month,
+    a date. Columns that the batch lacks take the table's defaults. A sale keeps the consignor the item has
     now. An item takes date, price and channel from the last sale of it in the batch. Selling an
     item twice is allowed, and so is a discount above the price.
 
@@ -32,19 +33,25 @@ class Registration:
         self._old_items, self._old_sales = items, sales
         self._order_by, self._as_of, self._month_of = order_by, as_of, month_of
 
+        missing = {f.name for f in SALES if f.name not in new.columns}
+        new = fill_missing(new, SALES, DEFAULTS["sales"])
         known = items.select(F.col("sku").alias("_item_sku"), F.col("consignor_id").alias("_item_consignor"))
         stamped = new.drop("id", "consignor_id").join(known, F.col("sku") == F.col("_item_sku"), "left")
         reason = (
             F.when(blank("sku"), F.lit("SKU is required"))
             .when(F.col("sale_price").isNull() | (F.col("sale_price") <= 0), F.lit("sale price must be positive"))
-            .when(F.col("_item_sku").isNull(), F.lit("SKU not found"))
+            .when(F.lit(month_of is not None and as_of is None) & F.col(month_of or "date").isNull(), F.lit("date is required"))
         )
-        self._checked = split_by_reason(stamped.withColumn("reject_reason", reason))
+        unknown = F.when(F.col("_item_sku").isNull(), F.lit("SKU not found"))
+        self._checked = split_by_reason(stamped.withColumn("reject_reason", F.coalesce(reason, unknown)))
+        # The items need no check that the item exists: a sale of an unknown SKU meets none.
+        self._sound = new.filter(F.coalesce(reason, F.lit(None).cast("string")).isNull())
+        self._filled = [c for c in missing if c not in ("id", "consignor_id")]
 
     @cached_property
     def rejected(self) -> DataFrame:
         """The sales not taken, with ``reject_reason``."""
-        return self._checked.rejected.drop("_item_sku", "_item_consignor")
+        return self._checked.rejected.drop("_item_sku", "_item_consignor", *self._filled)
 
     @cached_property
     def _valid(self) -> DataFrame:
@@ -69,9 +76,9 @@ class Registration:
 
     @cached_property
     def items(self) -> DataFrame:
-        """All items after the batch."""
+        """All items after the batch. The batch is folded to its last sale per SKU before the one join."""
         last = last_per_key(
-            self._valid.select("sku", *self._order_by, F.col("date").alias("_sold_at"), F.col("sale_price").alias("_sale_price"),
+            self._sound.select("sku", *self._order_by, F.col("date").alias("_sold_at"), F.col("sale_price").alias("_sale_price"),
                                F.col("channel").alias("_channel_sold")),
             "sku", self._order_by,
         ).select("sku", "_sold_at", "_sale_price", "_channel_sold", F.lit(True).alias("_sold"))

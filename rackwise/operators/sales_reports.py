@@ -127,7 +127,9 @@ def payouts(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     Sales without a consignor are left out; a deleted consignor keeps a row with an empty name.
     """
     owners = t.consignors.select(F.col("id").alias("_id"), "name", "pix_key", "percent")
-    sold = _by_consignor(t.sales.filter(in_period("date", start, end)))
+    # Unlike in the other reports, a sale without a price still gives its discount.
+    sales = t.sales.filter(in_period("date", start, end)).withColumn("sale_price", F.coalesce("sale_price", F.lit(0.0)))
+    sold = _by_consignor(sales)
     totals = sold.join(owners, F.col("consignor_id") == F.col("_id"), "left").select(
         "consignor_id", "name", "pix_key", F.coalesce("percent", F.lit(fixed.DEFAULT_PERCENT)).alias("percent"),
         (F.coalesce("net_sum", F.lit(0).cast("bigint")) / MONEY_UNIT).alias("total_net"), F.col("n_sales").alias("qtd"),

@@ -16,37 +16,30 @@ from rackwise.operators import (
     sales_reports,
 )
 from rackwise.sources.sample_shop import CHANGE_ORDER, SALE_ORDER, SampleShop
-from rackwise.sources.schema import DEFAULTS
-from rackwise.sources.tables import Tables, load_tables, run_sql, write_csv, write_tables
+from rackwise.sources.schema import DEFAULTS, SCHEMAS
+from rackwise.sources.tables import load_table, run_sql, write_csv, write_table
 from rackwise.sources.workspace import new_folder
 
 AS_OF = dt.date(2001, 7, 15)
 START, END = dt.date(2001, 6, 15), dt.date(2001, 7, 15)
-# Sizes run from 1 to 50 in the source tables.
-SIZES = [str(n) for n in range(1, 51)]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def on_shop(build: Callable[[SampleShop], DataFrame], with_sale_ids: bool = False) -> Query:
-    return lambda spark, folder: build(SampleShop(spark, folder, with_sale_ids))
+def on_shop(build: Callable[[SampleShop], DataFrame]) -> Query:
+    return lambda spark, folder: build(SampleShop(spark, folder))
 
 
 # --- tables, merges -------------------------------------------------------------------------
 
 
-def _stored(spark: SparkSession, folder: str, fmt: str) -> Tables:
-    path = new_folder(spark, f"tables-{fmt}")
-    write_tables(SampleShop(spark, folder).tables(), path, fmt)
-    return load_tables(spark, path, fmt)
+def written_and_loaded(name: str, fmt: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = new_folder(spark, f"tables-{fmt}")
+        write_table(SampleShop(spark, folder).tables().named()[name], path, name, fmt)
+        return load_table(spark, path, name, fmt)
 
-
-def load_items_parquet(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored(spark, folder, "parquet").items
-
-
-def load_items_csv(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored(spark, folder, "csv").items
+    return run
 
 
 def sql_over_tables(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,21 +62,42 @@ def sql_positional(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_items(t: SampleShop) -> DataFrame:
+    keyed, _ = merge.split_keyless(t.item_changes, "sku")
     merged = merge.upsert(
-        t.items, t.item_changes, "sku",
+        t.items, keyed, "sku",
         order_by=CHANGE_ORDER, defaults=DEFAULTS["items"],
     )
     return merged.select("sku", "category", "list_price", "channel_listed", "notes", "cost", "markdown_stage", "active")
 
 
 def upsert_items_price_only(t: SampleShop) -> DataFrame:
+    keyed, _ = merge.split_keyless(t.item_changes, "sku")
     merged = merge.upsert(
-        t.items, t.item_changes, "sku",
+        t.items, keyed, "sku",
         update_cols=["list_price"], order_by=CHANGE_ORDER, defaults=DEFAULTS["items"],
     )
     return merged.select("sku", "list_price", "channel_listed", "notes", "active")
 
 
+def keyless_changes(t: SampleShop) -> DataFrame:
+    return merge.split_keyless(t.item_changes, "sku")[1].select("list_price", "channel_listed", "changed_at")
+
+
+def upsert_consignors(t: SampleShop) -> DataFrame:
+    """Edited consignors: the customers whose number is that of one, and newcomers beyond the last."""
+    edits = t.new_consignors.select(F.format_string("C%04d", F.col("c_custkey") + 1).alias("id"), "name", "whatsapp", "active")
+    return merge.upsert(t.consignors, edits, "id", defaults=DEFAULTS["consignors"]).select("id", "name", "whatsapp", "pix_key", "percent", "active")
+
+
+def delete_consignors(t: SampleShop) -> DataFrame:
+    return merge.delete_keys(t.consignors, t.sales.select(F.col("consignor_id").alias("id")), "id").select("id", "name", "active")
+
+
+def delete_sales(t: SampleShop) -> DataFrame:
+    pix = t.sales.filter(F.col("payment_method") == "Pix").select("id")
+    return merge.delete_keys(t.sales, pix, "id").select("id", "date", "sku")
+
+
 def delete_items(t: SampleShop) -> DataFrame:
     keys = t.item_changes.select("sku")
     return merge.delete_keys(t.items, keys, "sku").select("sku", "category", "list_price")
@@ -137,9 +151,7 @@ def skus_of_one_month(t: SampleShop) -> DataFrame:
 
 
 def sale_ids(t: SampleShop) -> DataFrame:
-    existing = t.sales
-    new = t.new_sales
-    return ids.assign_sale_ids(existing, new, order_by=SALE_ORDER, month_of="date").select("id", "date", "sku", "sale_price")
+    return ids.assign_sale_ids(t.sales, t.new_sales, AS_OF, SALE_ORDER, month_of="date").select("id", "date", "sku", "sale_price")
 
 
 def accepted_consignors(t: SampleShop) -> DataFrame:
@@ -266,13 +278,16 @@ def label_sheet_first(t: SampleShop) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "load_items_parquet": load_items_parquet,
-    "load_items_csv": load_items_csv,
+    **{f"load_{name}_{fmt}": written_and_loaded(name, fmt) for name in SCHEMAS for fmt in ("parquet", "csv")},
     "sql_over_tables": sql_over_tables,
     "sql_positional": sql_positional,
     "upsert_items": on_shop(upsert_items),
     "upsert_items_price_only": on_shop(upsert_items_price_only),
     "delete_items": on_shop(delete_items),
+    "keyless_changes": on_shop(keyless_changes),
+    "upsert_consignors": on_shop(upsert_consignors),
+    "delete_consignors": on_shop(delete_consignors),
+    "delete_sales": on_shop(delete_sales),
     "payouts_csv": payouts_csv,
     "photo_list_csv": photo_list_csv,
     "photo_inventory": on_shop(photo_inventory),
@@ -280,13 +295,13 @@ QUERIES: dict[str, Query] = {
     "consignor_ids": on_shop(consignor_ids),
     "skus": on_shop(skus),
     "skus_of_one_month": on_shop(skus_of_one_month),
-    "sale_ids": on_shop(sale_ids, with_sale_ids=True),
+    "sale_ids": on_shop(sale_ids),
     "accepted_consignors": on_shop(accepted_consignors),
     "rejected_consignors": on_shop(rejected_consignors),
     "accepted_items": on_shop(accepted_items),
     "rejected_items": on_shop(rejected_items),
-    "registered_sales": on_shop(registered_sales, with_sale_ids=True),
-    "registered_net_values": on_shop(registered_net_values, with_sale_ids=True),
+    "registered_sales": on_shop(registered_sales),
+    "registered_net_values": on_shop(registered_net_values),
     "registered_items": on_shop(registered_items),
     "rejected_sales": on_shop(rejected_sales),
     "markdown_prices": on_shop(markdown_prices),
@@ -301,7 +316,7 @@ QUERIES: dict[str, Query] = {
     "search_consignors": on_shop(lambda t: listings.search_consignors(t, "SUPPLIER#0000000")),
     "items_with_consignor": on_shop(items_with_consignor),
     "stock_list": on_shop(listings.stock_list),
-    "sales_history": on_shop(listings.sales_history, with_sale_ids=True),
+    "sales_history": on_shop(listings.sales_history),
     "recent_stock_photo": on_shop(lambda t: listings.recent_stock(t, variant="photo")),
     "recent_stock_label": on_shop(lambda t: listings.recent_stock(t, variant="label")),
     "item_lookup": on_shop(item_lookup),
@@ -327,7 +342,7 @@ QUERIES: dict[str, Query] = {
     "revenue_by_category": on_shop(lambda t: sales_reports.revenue_by_category(t, START, END)),
     "sell_through_matrix": on_shop(lambda t: inventory.sell_through_matrix(t, START, END)),
     "sell_through_matrix_distinct": on_shop(lambda t: inventory.sell_through_matrix(t, START, END, distinct_items=True)),
-    "sell_through_pivot": on_shop(lambda t: inventory.sell_through_pivot(t, START, END, SIZES)),
+    "sell_through_pivot": on_shop(lambda t: inventory.sell_through_pivot(t, START, END)),
     "stock_by_stage": on_shop(inventory.stock_by_stage),
     "performance_by_stage": on_shop(lambda t: sales_reports.performance_by_stage(t, START, END)),
     "top_consignors": on_shop(lambda t: sales_reports.top_consignors(t, START, END)),
@@ -338,10 +353,13 @@ QUERIES: dict[str, Query] = {
     "category_ageing": on_shop(lambda t: inventory.category_ageing(t, AS_OF)),
     "problem_categories": on_shop(lambda t: inventory.problem_categories(t, AS_OF)),
     "high_demand": on_shop(lambda t: sales_reports.high_demand(t, AS_OF)),
+    "high_demand_of_a_year": on_shop(lambda t: sales_reports.high_demand(t, AS_OF, days=365, min_sold=2, max_mean_days=300)),
     "low_demand": on_shop(lambda t: inventory.low_demand(t, AS_OF)),
     "consignor_performance": on_shop(lambda t: consignors.consignor_performance(t, AS_OF)),
     "top_performers": on_shop(lambda t: consignors.top_performers(t, AS_OF)),
     "low_performers": on_shop(lambda t: consignors.low_performers(t, AS_OF)),
+    "low_performers_below_all": on_shop(lambda t: consignors.low_performers(t, AS_OF, min_added=2, below_rate=100)),
+    "consignor_performance_distinct": on_shop(lambda t: consignors.consignor_performance(t, AS_OF, distinct_items=True)),
     "photo_coverage": on_shop(photos.photo_coverage),
     "low_photo_coverage": on_shop(photos.low_photo_coverage),
     "abc_analysis": on_shop(lambda t: abc.abc_analysis(t, START, END)),

@@ -8,8 +8,9 @@ decimals, as in the library.
 from __future__ import annotations
 
 from rackwise.functions.fixed_values import (
-    ACTION_MARKDOWN, ACTION_NONE, ACTION_OLD_ITEMS, ACTION_OVERSTOCK, CONDITION_TEXT, MARKDOWN_AGES, PAYOUT_HEADINGS, PENDING_LABEL,
-    PERCENT_OFF_TEXT, PHOTO_LIST_HEADINGS, PRICE_TEXT, STAGE_LONG, STAGE_OTHER, STAGE_PERCENT, STAGE_SHORT,
+    ACQUISITION_TYPES, ACTION_MARKDOWN, ACTION_NONE, ACTION_OLD_ITEMS, ACTION_OVERSTOCK, CATEGORIES, CHANNELS, CONDITION_TEXT,
+    CONDITIONS, FITS, GENDERS, MARKDOWN_AGES, PAYOUT_HEADINGS, PENDING_LABEL, PERCENT_OFF_TEXT, PHOTO_LIST_HEADINGS, PRICE_TEXT,
+    STAGE_LONG, STAGE_OTHER, STAGE_PERCENT, STAGE_SHORT,
 )
 
 _SHOP = """
@@ -21,19 +22,18 @@ consignors AS (
          CAST(CASE WHEN s_acctbal >= 0 THEN 1 ELSE 0 END AS INTEGER) AS active
   FROM supplier),
 lines AS (
-  SELECT l.*, o_custkey,
-         CAST(o_orderdate AS DATE) + CAST(floor(l_quantity * l_quantity / 50) AS INTEGER) AS date,
-         CAST(l_orderkey AS VARCHAR) AS sku,
+  SELECT l.*, CAST(l_shipdate AS DATE) AS date,
+         CASE WHEN l_partkey % 53 = 0 THEN 'avulso-' ELSE '' END || l_orderkey AS sku,
          CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS sale_price,
          CASE WHEN l_discount > 0 THEN
            CAST(round(CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(l_discount AS DECIMAL(4,2)) * 0.001, 2) AS DOUBLE)
          END AS discount_value,
          ['Loja', 'Instagram', 'WhatsApp', 'Online'][l_linenumber % 4 + 1] AS channel,
          ['Débito', 'Crédito', 'Pix', 'Dinheiro'][l_linenumber % 4 + 1] AS payment_method,
-         printf('C%04d', o_custkey % ((SELECT count(*) FROM supplier) + 1) + 1) AS consignor_id
-  FROM lineitem l JOIN orders ON l_orderkey = o_orderkey),
+         CASE WHEN l_suppkey % 9 <> 0 THEN printf('C%04d', l_suppkey + 2) END AS consignor_id
+  FROM lineitem l),
 sales AS (
-  SELECT date, sku, sale_price, discount_value, channel, payment_method, consignor_id,
+  SELECT 'V' || strftime(date, '%y%m') || (((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber) AS id, date, sku, sale_price, discount_value, channel, payment_method, consignor_id,
          CAST(sale_price AS DECIMAL(18,4)) - COALESCE(CAST(discount_value AS DECIMAL(18,4)), 0) AS net,
          l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice
   FROM lines WHERE l_returnflag = 'N'),
@@ -41,19 +41,20 @@ items AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS sku,
          CASE WHEN o_orderkey % 11 <> 0
               THEN printf('C%04d', o_custkey % ((SELECT count(*) FROM supplier) + 1) + 1) END AS consignor_id,
-         CASE WHEN o_orderkey % 11 <> 0 THEN 'consignação' ELSE 'doação' END AS acquisition_type,
-         p_type AS category, p_name AS subcategory, CASE WHEN o_orderkey % 13 <> 0 THEN p_brand END AS brand,
-         CAST(p_size AS VARCHAR) AS size, ['A', 'A-', 'B', 'C'][o_orderkey % 4 + 1] AS condition,
+         CASE WHEN o_orderkey % 11 <> 0 THEN 'consignação' WHEN o_orderkey % 2 = 0 THEN 'doação' ELSE 'troca' END AS acquisition_type,
+         CASE o_orderkey % 37 WHEN 0 THEN NULL WHEN 1 THEN 'Vestido' WHEN 2 THEN 'Bolsa' ELSE p_type END AS category, p_name AS subcategory, CASE WHEN o_orderkey % 13 <> 0 THEN p_brand END AS brand,
+         CASE WHEN o_orderkey % 23 <> 0 THEN CAST(p_size AS VARCHAR) END AS size,
+         ['F', 'M', 'Unissex', 'X'][o_orderkey % 4 + 1] AS gender, ['Ajustada', 'Regular', 'Ampla', 'Larga'][o_orderkey % 4 + 1] AS fit, ['A', 'A-', 'B', 'C'][o_orderkey % 4 + 1] AS condition,
          CAST(0 AS DOUBLE) AS cost,
          CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS list_price,
          CAST(CASE WHEN o_orderkey % 6 <> 5 THEN o_orderkey % 6 END AS INTEGER) AS markdown_stage,
-         CAST(o_orderdate AS DATE) AS listed_at,
+         CAST(o_orderdate AS DATE) AS acquired_at, CASE WHEN o_orderkey % 41 <> 0 THEN CAST(o_orderdate AS DATE) END AS listed_at,
          ['Loja', 'Instagram', 'WhatsApp', 'Online'][o_orderkey % 4 + 1] AS channel_listed,
          sold_at,
          CASE o_orderkey % 3 WHEN 1 THEN '' WHEN 2 THEN 'photos/' || o_orderkey END AS photos_url,
          CAST(CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 1 END AS INTEGER) AS active
   FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
-  LEFT JOIN (SELECT l_orderkey, max(date) AS sold_at FROM sales GROUP BY 1) s ON l_orderkey = o_orderkey),
+  LEFT JOIN (SELECT sku, max(date) AS sold_at FROM sales GROUP BY 1) s ON s.sku = CAST(o_orderkey AS VARCHAR)),
 stock AS (
   SELECT *, DATE '2001-07-15' - listed_at AS age,
          CASE markdown_stage WHEN 0 THEN 0.00 WHEN 1 THEN 0.10 WHEN 2 THEN 0.25 WHEN 3 THEN 0.40 ELSE 0.00 END AS pct
@@ -78,24 +79,19 @@ new_items AS (
          CAST(o_orderkey % 4 AS INTEGER) AS markdown_stage, CAST(o_orderdate AS DATE) AS listed_at
   FROM orders)
 """
-_SALES_WITH_IDS = f"""
-sales_with_ids AS (
-  SELECT 'V' || strftime(date, '%y%m') || printf('%03d', row_number() OVER (
-           PARTITION BY strftime(date, '%y%m') ORDER BY {_SALE_ORDER})) AS id, *
-  FROM sales)
-"""
-_NEW_SALES = f"""{_SALES_WITH_IDS},
+_NEW_SALES = f"""
 new_sales AS (
-  SELECT * EXCLUDE (sku, sale_price),
+  SELECT * EXCLUDE (sku, sale_price, date), CASE WHEN l_partkey % 31 <> 0 THEN date END AS date,
          CASE WHEN l_tax < 0.005 THEN '' WHEN l_tax > 0.075 THEN 'perdido-' || sku ELSE sku END AS sku,
          CASE WHEN discount_value IS NULL THEN 0 ELSE sale_price END AS sale_price
   FROM lines WHERE l_returnflag = 'A'),
-month_counts AS (SELECT strftime(date, '%y%m') AS month, count(*) AS n FROM sales GROUP BY 1)
+month_counts AS (SELECT strftime(date, '%y%m') AS month, max(CAST(id[6:] AS BIGINT)) AS n FROM sales GROUP BY 1)
 """
 _REGISTERED = f"""{_NEW_SALES},
 checked AS (
   SELECT n.* EXCLUDE (consignor_id), i.consignor_id,
          CASE WHEN n.sku = '' THEN 'SKU is required' WHEN n.sale_price <= 0 THEN 'sale price must be positive'
+              WHEN n.date IS NULL THEN 'date is required'
               WHEN i.sku IS NULL THEN 'SKU not found' END AS reject_reason
   FROM new_sales n LEFT JOIN items i ON i.sku = n.sku),
 accepted AS (
@@ -105,7 +101,7 @@ accepted AS (
 """
 _CHANGES = """
 changes AS (
-  SELECT CASE WHEN l_tax > 0.075 THEN 'novo-' || l_orderkey ELSE CAST(l_orderkey AS VARCHAR) END AS sku,
+  SELECT CASE WHEN l_tax > 0.075 THEN 'novo-' || l_orderkey WHEN l_partkey % 43 <> 0 THEN CAST(l_orderkey AS VARCHAR) END AS sku,
          CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.001, 2) AS DOUBLE) AS list_price,
          ['Loja', 'Instagram', 'WhatsApp', 'Online'][l_linenumber % 4 + 1] AS channel_listed,
          CASE WHEN l_linestatus = 'O' THEN 'revisado' END AS notes,
@@ -114,7 +110,7 @@ changes AS (
 last_changes AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY sku ORDER BY changed_at DESC, l_partkey DESC, l_suppkey DESC,
-      l_linenumber DESC, list_price DESC, channel_listed DESC, notes DESC NULLS LAST) AS rn FROM changes) WHERE rn = 1)
+      l_linenumber DESC, list_price DESC, channel_listed DESC, notes DESC NULLS LAST) AS rn FROM changes WHERE sku IS NOT NULL) WHERE rn = 1)
 """
 _PHOTOS = """
 photo_files AS (
@@ -231,7 +227,7 @@ steps AS (
 _LABELS = f"""
 labels AS (
   SELECT sku, condition, list_price, markdown_stage, listed_at,
-         category || COALESCE(' ' || brand, '') || COALESCE(' ' || size, '') AS description,
+         concat_ws(' ', category, brand, size) AS description,
          '{PRICE_TEXT}' || CAST(CAST(round(CAST(list_price AS DECIMAL(18,4)) * (1 - CAST(pct AS DECIMAL(3,2))), 2) AS DECIMAL(18,2)) AS VARCHAR)
            AS price_text,
          '{PRICE_TEXT}' || CAST(CAST(list_price AS DECIMAL(18,2)) AS VARCHAR) AS list_price_text
@@ -250,6 +246,11 @@ def _stages(texts: dict[int, str], other: str | None = None) -> str:
     return f"CASE markdown_stage {cases}" + (f" ELSE '{other}' END" if other else " END")
 
 
+def _known(column: str, values: list[str]) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"CAST(COALESCE({column} IN ({listed}), FALSE) AS INTEGER) AS {column}_known"
+
+
 def _headed(headings: dict[str, str]) -> str:
     return ", ".join(f'{c} AS "{heading}"' for c, heading in headings.items())
 
@@ -262,15 +263,15 @@ def _filled(text: str, value: str) -> str:
 
 _STAGE_LONG, _STAGE_SHORT = _stages(STAGE_LONG, STAGE_OTHER), _stages(STAGE_SHORT, STAGE_OTHER)
 _STAGE_PERCENT = _stages(STAGE_PERCENT)
-_ALL_ITEM_FIELDS = """sku, consignor_id, acquisition_type, category, subcategory, brand, CAST(NULL AS VARCHAR) AS gender, size,
-  CAST(NULL AS VARCHAR) AS fit, CAST(NULL AS VARCHAR) AS color, CAST(NULL AS VARCHAR) AS fabric, condition,
+_ALL_ITEM_FIELDS = """sku, consignor_id, acquisition_type, category, subcategory, brand, gender, size, fit,
+  CAST(NULL AS VARCHAR) AS color, CAST(NULL AS VARCHAR) AS fabric, condition,
   CAST(NULL AS VARCHAR) AS flaws, CAST(NULL AS DOUBLE) AS bust, CAST(NULL AS DOUBLE) AS waist, CAST(NULL AS DOUBLE) AS length,
-  cost, list_price, markdown_stage, listed_at AS acquired_at, listed_at, channel_listed, sold_at,
+  cost, list_price, markdown_stage, acquired_at, listed_at, channel_listed, sold_at,
   CAST(NULL AS DOUBLE) AS sale_price, CAST(NULL AS VARCHAR) AS channel_sold, CAST(NULL AS INTEGER) AS days_on_hand,
   photos_url, CAST(NULL AS VARCHAR) AS notes, active"""
-_PICKER = "rtrim(sku || ' - ' || category || ' ' || COALESCE(brand, '') || ' ' || COALESCE(size, '')) AS picker_text, sku AS picked_sku"
+_PICKER = "rtrim(sku || ' - ' || COALESCE(category, '') || ' ' || COALESCE(brand, '') || ' ' || COALESCE(size, '')) AS picker_text, sku AS picked_sku"
 _GALLERY_FIELDS = f"""sku, category, brand, size, condition, list_price, markdown_stage, photos_url,
-  rtrim(category || ' ' || COALESCE(brand, '') || ' ' || COALESCE(size, '')) AS title,
+  trim(COALESCE(category, '') || ' ' || COALESCE(brand, '') || ' ' || COALESCE(size, '')) AS title,
   CAST({_PRICE} AS DOUBLE) AS current_price,
   '{PRICE_TEXT}' || CAST(CAST(round({_PRICE}, 2) AS DECIMAL(18,2)) AS VARCHAR) AS price_text,
   CASE WHEN pct > 0 THEN '{PRICE_TEXT}' || CAST(CAST(list_price AS DECIMAL(18,2)) AS VARCHAR) END AS struck_price_text,
@@ -285,7 +286,7 @@ def _slots(cols: int, rows: int) -> str:
     per_sheet = cols * rows
     return f"""SELECT sku, slot, slot // {per_sheet} AS sheet, slot % {per_sheet} % {cols} AS col,
       (slot % {per_sheet}) // {cols} AS row
-      FROM (SELECT sku, row_number() OVER (ORDER BY listed_at, sku) - 1 AS slot FROM stock)"""
+      FROM (SELECT sku, row_number() OVER (ORDER BY listed_at NULLS FIRST, sku) - 1 AS slot FROM stock)"""
 
 
 def _merged(price_only: bool) -> str:
@@ -306,8 +307,12 @@ def _merged(price_only: bool) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "load_items_parquet": f"{_with()} SELECT {_ALL_ITEM_FIELDS} FROM items",
-    "load_items_csv": f"{_with()} SELECT {_ALL_ITEM_FIELDS} FROM items",
+    **{f"load_{table}_{fmt}": f"{_with()} SELECT {fields} FROM {table}" for fmt in ("parquet", "csv") for table, fields in {
+        "items": _ALL_ITEM_FIELDS,
+        "consignors": "*, CAST(NULL AS VARCHAR) AS notes",
+        "sales": """id, date, sku, sale_price, discount_value, channel, CAST(NULL AS VARCHAR) AS customer_name,
+          CAST(NULL AS VARCHAR) AS customer_whatsapp, payment_method, CAST(NULL AS VARCHAR) AS notes, consignor_id""",
+    }.items()},
     "sql_over_tables": f"""{_with()} SELECT i.brand, s.channel, count(*) AS n_sales, max(s.sale_price) AS top_price
       FROM sales s JOIN items i ON s.sku = i.sku WHERE {_IN_PERIOD} AND i.condition = 'A' GROUP BY i.brand, s.channel""",
     "sql_positional": f"""{_with()} SELECT category, count(*) AS n_items FROM items
@@ -315,7 +320,16 @@ ORACLE_SQL: dict[str, str] = {
     "upsert_items": f"{_with(_CHANGES)} {_merged(price_only=False)}",
     "upsert_items_price_only": f"{_with(_CHANGES)} {_merged(price_only=True)}",
     "delete_items": f"""{_with(_CHANGES)} SELECT sku, category, list_price FROM items
-      WHERE sku NOT IN (SELECT sku FROM changes)""",
+      WHERE sku NOT IN (SELECT sku FROM changes WHERE sku IS NOT NULL)""",
+    "keyless_changes": f"{_with(_CHANGES)} SELECT list_price, channel_listed, changed_at FROM changes WHERE sku IS NULL",
+    "upsert_consignors": f"""{_with(_NEW_CONSIGNORS)}, edits AS (SELECT printf('C%04d', c_custkey + 1) AS id, * FROM new_consignors)
+      SELECT COALESCE(e.id, c.id) AS id, CASE WHEN e.id IS NULL THEN c.name ELSE e.name END AS name,
+        CASE WHEN e.id IS NULL THEN c.whatsapp ELSE e.whatsapp END AS whatsapp, pix_key,
+        CASE WHEN c.id IS NULL THEN CAST(0.5 AS DOUBLE) ELSE percent END AS percent,
+        CASE WHEN e.id IS NULL THEN c.active ELSE e.active END AS active FROM consignors c FULL JOIN edits e ON e.id = c.id""",
+    "delete_consignors": f"""{_with()} SELECT id, name, active FROM consignors c
+      WHERE NOT EXISTS (SELECT 1 FROM sales s WHERE s.consignor_id = c.id)""",
+    "delete_sales": f"{_with()} SELECT id, date, sku FROM sales WHERE payment_method <> 'Pix'",
     "payouts_csv": f"{_with(_PAYOUTS)} SELECT {_headed(PAYOUT_HEADINGS)} FROM payouts",
     "photo_list_csv": f"{_with()} SELECT {_headed(PHOTO_LIST_HEADINGS)} FROM stock WHERE {_NO_PHOTO}",
     "photo_inventory": f"{_with(_PHOTOS)} SELECT sku, n_files, first_file FROM inventory",
@@ -330,9 +344,10 @@ ORACLE_SQL: dict[str, str] = {
         o_orderkey, listed_at FROM new_items LEFT JOIN finished ON month = strftime(listed_at, '%y%m')""",
     "skus_of_one_month": f"""{_with(_NEW_ITEMS)} SELECT 'BH-0107-' || printf('%04d', row_number() OVER (ORDER BY o_orderkey)) AS sku,
       o_orderkey FROM new_items""",
-    "sale_ids": f"""{_with(_NEW_SALES)} SELECT 'V' || strftime(date, '%y%m') || printf('%03d', COALESCE(n, 0) + row_number() OVER (
-        PARTITION BY strftime(date, '%y%m') ORDER BY {_SALE_ORDER})) AS id, date, sku, sale_price
-      FROM new_sales LEFT JOIN month_counts ON month = strftime(date, '%y%m')""",
+    "sale_ids": f"""{_with(_NEW_SALES)} SELECT 'V' || month_of_sale || printf('%03d', COALESCE(n, 0) + row_number() OVER (
+        PARTITION BY month_of_sale ORDER BY {_SALE_ORDER})) AS id, date, sku, sale_price
+      FROM (SELECT *, strftime(COALESCE(date, DATE '2001-07-15'), '%y%m') AS month_of_sale FROM new_sales)
+      LEFT JOIN month_counts ON month = month_of_sale""",
     "accepted_consignors": f"""{_with(_NEW_CONSIGNORS)} SELECT name, whatsapp, CAST(0.5 AS DOUBLE) AS percent, active
       FROM new_consignors WHERE name <> ''""",
     "rejected_consignors": f"""{_with(_NEW_CONSIGNORS)} SELECT c_custkey, name, 'name is required' AS reject_reason
@@ -345,7 +360,7 @@ ORACLE_SQL: dict[str, str] = {
       CASE WHEN category = '' THEN 'category is required' ELSE 'list price must be positive' END AS reject_reason
       FROM new_items WHERE category = '' OR list_price <= 0""",
     "registered_sales": f"""{_with(_REGISTERED)}
-      SELECT id, date, sku, sale_price, discount_value, channel, consignor_id FROM sales_with_ids
+      SELECT id, date, sku, sale_price, discount_value, channel, consignor_id FROM sales
       UNION ALL SELECT id, date, sku, sale_price, discount_value, channel, consignor_id FROM accepted""",
     "registered_net_values": f"""{_with(_REGISTERED)} SELECT id, sku, sale_price - discount_value AS net_value, consignor_id
       FROM accepted""",
@@ -370,11 +385,9 @@ ORACLE_SQL: dict[str, str] = {
       SELECT sku, total_net, percent, CAST(part AS DOUBLE) AS consignor_value, CAST(round(total - part, 2) AS DOUBLE) AS shop_value
       FROM split""",
     "item_ages": f"{_with()} SELECT sku, (DATE '2001-07-15' - listed_at) + CAST(0.25 AS DOUBLE) AS age FROM items",
-    "item_checks": f"""{_with()} SELECT sku, CAST(1 AS INTEGER) AS acquisition_type_known, CAST(0 AS INTEGER) AS category_known,
-      CAST(0 AS INTEGER) AS gender_known, CAST(0 AS INTEGER) AS fit_known,
-      CAST(CASE WHEN condition IN ('A', 'A-', 'B', 'C') THEN 1 ELSE 0 END AS INTEGER) AS condition_known,
-      CAST(CASE WHEN channel_listed IN ('Loja', 'Instagram', 'WhatsApp', 'Online') THEN 1 ELSE 0 END AS INTEGER)
-        AS channel_listed_known FROM items""",
+    "item_checks": f"""{_with()} SELECT sku, {", ".join(_known(c, v) for c, v in (
+        ("acquisition_type", ACQUISITION_TYPES), ("category", CATEGORIES), ("gender", GENDERS), ("fit", FITS),
+        ("condition", CONDITIONS), ("channel_listed", CHANNELS)))} FROM items""",
     "sale_checks": f"""{_with()} SELECT channel, payment_method, CAST(1 AS INTEGER) AS channel_known,
       CAST(1 AS INTEGER) AS payment_method_known, count(*) AS n_sales FROM sales GROUP BY channel, payment_method""",
     "consignor_list": f"{_with()} SELECT id, name, whatsapp, email, pix_key, percent, active FROM consignors",
@@ -389,9 +402,9 @@ ORACLE_SQL: dict[str, str] = {
     "stock_list": f"""{_with()} SELECT sku, consignor_id, acquisition_type, category, brand, size, condition, list_price,
       markdown_stage, CAST(round({_PRICE}, 2) AS DOUBLE) AS preco_atual, channel_listed, listed_at, photos_url, active
       FROM (SELECT *, {_PCT} AS pct FROM items)""",
-    "sales_history": f"""{_with(_SALES_WITH_IDS)} SELECT s.id, s.date, s.sku, i.category, i.brand, i.size, s.sale_price,
+    "sales_history": f"""{_with()} SELECT s.id, s.date, s.sku, i.category, i.brand, i.size, s.sale_price,
       s.discount_value, s.sale_price - s.discount_value AS liquido, s.channel, s.payment_method, s.consignor_id
-      FROM sales_with_ids s LEFT JOIN items i ON s.sku = i.sku""",
+      FROM sales s LEFT JOIN items i ON s.sku = i.sku""",
     "recent_stock_photo": f"{_with()} SELECT sku, category, brand, size, consignor_id, {_PICKER} FROM stock {_NEWEST} LIMIT 100",
     "recent_stock_label": f"{_with()} SELECT {_LABEL_FIELDS}, {_PICKER} FROM stock {_NEWEST} LIMIT 100",
     "item_lookup": f"""{_with(_CHANGES)} SELECT sku, category, list_price, markdown_stage, sold_at FROM items
@@ -445,9 +458,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT i.category, i.size, count(DISTINCT s.sku) AS sold, count(DISTINCT i.sku) AS total
         FROM items i LEFT JOIN sales s ON i.sku = s.sku AND {_IN_PERIOD}
         WHERE i.listed_at >= DATE '2001-06-15' GROUP BY i.category, i.size) WHERE total >= 2""",
-    "sell_through_pivot": f"""{_with(_MATRIX)} SELECT category, {", ".join(
-        f"COALESCE(max(CASE WHEN size = '{n}' THEN rate END), 0) AS " + f'"{n}"' for n in range(1, 51))}
-      FROM matrix GROUP BY category""",
+    "sell_through_pivot": f"""{_with(_MATRIX)}, named AS (SELECT category, COALESCE(size, 'null') AS size, rate FROM matrix)
+      SELECT category, COALESCE(COLUMNS(* EXCLUDE (category)), 0) FROM (PIVOT named ON size USING max(rate) GROUP BY category)""",
     "stock_by_stage": f"""{_with()} SELECT markdown_stage, {_STAGE_LONG} AS stage_name, count(*) AS qty,
       CAST(sum({_PRICE}) AS DOUBLE) AS current_value FROM stock GROUP BY markdown_stage""",
     "performance_by_stage": f"""{_with()} SELECT markdown_stage, {_STAGE_SHORT} AS stage_name, count(*) AS sold_qty,
@@ -460,7 +472,7 @@ ORACLE_SQL: dict[str, str] = {
     "slow_movers": f"""{_with()} SELECT category, count(*) AS qty FROM stock WHERE age > 60 AND markdown_stage < 2
       GROUP BY category ORDER BY qty DESC, category LIMIT 5""",
     "stock_gaps": f"""{_with()} SELECT category, size, count(*) AS current_stock FROM stock GROUP BY category, size
-      HAVING count(*) < 3 ORDER BY current_stock, category, size LIMIT 10""",
+      HAVING count(*) < 3 ORDER BY current_stock, category NULLS FIRST, size NULLS FIRST LIMIT 10""",
     "pending_markdowns": f"{_with(_PENDING)} SELECT * FROM pending",
     "pending_total": f"{_with(_PENDING)} SELECT count(*) AS pending_total FROM due",
     "category_ageing": f"{_with(_AGEING)} SELECT * FROM ageing",
@@ -469,6 +481,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT i.category, i.size, count(*) AS total_sold, CAST(sum(s.date - i.listed_at) AS DOUBLE) / count(*) AS mean_days
         FROM sales s JOIN items i ON s.sku = i.sku WHERE s.date >= DATE '2001-06-15' GROUP BY i.category, i.size)
       WHERE total_sold >= 3 AND mean_days <= 14 ORDER BY total_sold DESC, mean_days, category, size LIMIT 10""",
+    "high_demand_of_a_year": f"""{_with()} SELECT category, size, total_sold, round_even(mean_days, 1) AS avg_days_to_sell FROM (
+        SELECT i.category, i.size, count(*) AS total_sold, CAST(sum(s.date - i.listed_at) AS DOUBLE) / count(s.date - i.listed_at) AS mean_days
+        FROM sales s JOIN items i ON s.sku = i.sku WHERE s.date >= DATE '2001-07-15' - 365 GROUP BY i.category, i.size)
+      WHERE total_sold >= 2 AND mean_days <= 300
+      ORDER BY total_sold DESC, mean_days, category NULLS FIRST, size NULLS FIRST LIMIT 10""",
     "low_demand": f"""{_with()} SELECT category, size, current_stock, sold_ever,
       round_even(COALESCE(mean_days, 0), 1) AS avg_days_when_sold FROM (
         SELECT category, size, count(*) AS current_stock, count(sold_at) AS sold_ever,
@@ -480,6 +497,18 @@ ORACLE_SQL: dict[str, str] = {
       ORDER BY rn LIMIT 3""",
     "low_performers": f"""{_with(_PERFORMANCE)} SELECT * EXCLUDE (rn) FROM ranked
       WHERE items_added_30d >= 5 AND sell_through_rate < 20 ORDER BY rn LIMIT 3""",
+    "low_performers_below_all": f"""{_with(_PERFORMANCE)} SELECT * EXCLUDE (rn) FROM ranked
+      WHERE items_added_30d >= 2 AND sell_through_rate < 100 ORDER BY rn LIMIT 3""",
+    "consignor_performance_distinct": f"""{_with()}, lately AS (SELECT sku, sum(net) AS value FROM sales
+        WHERE date >= DATE '2001-06-15' GROUP BY sku),
+      flags AS (SELECT consignor_id, COALESCE(listed_at >= DATE '2001-06-15', FALSE) AS added, l.sku IS NOT NULL AS sold, value
+        FROM items i LEFT JOIN lately l USING (sku)),
+      sums AS (SELECT consignor_id, count(*) FILTER (added) AS n_added, count(*) FILTER (sold) AS n_sold,
+        CAST(sum(value) AS DOUBLE) AS revenue FROM flags GROUP BY ALL)
+      SELECT name, n_added AS items_added_30d, n_sold AS items_sold_30d,
+        CASE WHEN n_added > 0 THEN round(CAST(100 AS DOUBLE) * n_sold / n_added, 1) ELSE 0 END AS sell_through_rate,
+        COALESCE(revenue, 0) AS revenue_30d
+      FROM sums JOIN consignors ON id = consignor_id WHERE active = 1 AND n_added + n_sold > 0""",
     "photo_coverage": f"{_with(_COVERAGE)} SELECT * FROM coverage",
     "low_photo_coverage": f"{_with(_COVERAGE)} SELECT * FROM coverage WHERE total >= 3 AND coverage_pct < 50",
     "abc_analysis": f"""{_with(_CATEGORY_REVENUE)} SELECT category, qty, revenue, share_pct, cumulative_pct, abc_class

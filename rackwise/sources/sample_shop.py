@@ -10,13 +10,12 @@ that any engine derives the same cents.
 
 from __future__ import annotations
 
-from functools import cache, cached_property
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rackwise.operators.ids import assign_sale_ids
 from rackwise.sources.schema import CONSIGNORS, ITEMS, SALES
 from rackwise.sources.tables import Tables
 
@@ -44,40 +43,46 @@ FROM {supplier}
 _ITEMS = f"""
 SELECT CAST(o_orderkey AS STRING) AS sku,
        CASE WHEN o_orderkey % 11 <> 0 THEN {_CONSIGNOR_OF} END AS consignor_id,
-       CASE WHEN o_orderkey % 11 <> 0 THEN 'consignação' ELSE 'doação' END AS acquisition_type,
-       p_type AS category,
+       CASE WHEN o_orderkey % 11 <> 0 THEN 'consignação' WHEN o_orderkey % 2 = 0 THEN 'doação' ELSE 'troca' END AS acquisition_type,
+       CASE o_orderkey % 37 WHEN 0 THEN NULL WHEN 1 THEN 'Vestido' WHEN 2 THEN 'Bolsa' ELSE p_type END AS category,
        p_name AS subcategory,
        CASE WHEN o_orderkey % 13 <> 0 THEN p_brand END AS brand,
-       CAST(p_size AS STRING) AS size,
+       CASE WHEN o_orderkey % 23 <> 0 THEN CAST(p_size AS STRING) END AS size,
+       element_at(array('F', 'M', 'Unissex', 'X'), CAST(o_orderkey % 4 + 1 AS INT)) AS gender,
+       element_at(array('Ajustada', 'Regular', 'Ampla', 'Larga'), CAST(o_orderkey % 4 + 1 AS INT)) AS fit,
        element_at(array('A', 'A-', 'B', 'C'), CAST(o_orderkey % 4 + 1 AS INT)) AS condition,
        0.0D AS cost,
        (floor(o_totalprice * 100 + 0.5D) + 500) div 1000 / 100 AS list_price,
        CASE WHEN o_orderkey % 6 <> 5 THEN o_orderkey % 6 END AS markdown_stage,
        listed_at AS acquired_at,
-       listed_at,
+       CASE WHEN o_orderkey % 41 <> 0 THEN listed_at END AS listed_at,
        element_at(array('Loja', 'Instagram', 'WhatsApp', 'Online'), CAST(o_orderkey % 4 + 1 AS INT)) AS channel_listed,
-       date_add(listed_at, delay) AS sold_at,
+       sold_at,
        CASE o_orderkey % 3 WHEN 1 THEN '' WHEN 2 THEN concat('photos/', o_orderkey) END AS photos_url,
        CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 1 END AS active
 FROM (SELECT *, o_orderkey % (SELECT count(*) FROM {{part}}) AS part_no FROM {_ORDERS}) AS o
 JOIN {{part}} AS p ON p_partkey = part_no
-LEFT JOIN (SELECT l_orderkey, max(CAST(floor(l_quantity * l_quantity / 50) AS INT)) AS delay
-           FROM {{lineitem}} WHERE l_returnflag = 'N' GROUP BY l_orderkey) AS sold ON l_orderkey = o_orderkey
+LEFT JOIN (SELECT l_orderkey, CAST(max(l_shipdate) AS DATE) AS sold_at
+           FROM {{lineitem}} WHERE l_returnflag = 'N' AND l_partkey % 53 <> 0 GROUP BY l_orderkey) AS sold ON l_orderkey = o_orderkey
 """
 
 _SALE_LINES = f"""
 SELECT {", ".join(SALE_ORDER)}, l_tax,
-       date_add(listed_at, CAST(floor(l_quantity * l_quantity / 50) AS INT)) AS date,
-       CAST(l_orderkey AS STRING) AS sku,
+       CAST(l_shipdate AS DATE) AS date,
+       CASE WHEN l_partkey % 53 = 0 THEN concat('avulso-', l_orderkey) ELSE CAST(l_orderkey AS STRING) END AS sku,
        (floor(l_extendedprice * 100 + 0.5D) + 500) div 1000 / 100 AS sale_price,
        CASE WHEN l_discount > 0 THEN
          (floor(l_extendedprice * 100 + 0.5D) * floor(l_discount * 100 + 0.5D) + 50000) div 100000 / 100
        END AS discount_value,
        element_at(array('Loja', 'Instagram', 'WhatsApp', 'Online'), l_linenumber % 4 + 1) AS channel,
        element_at(array('Débito', 'Crédito', 'Pix', 'Dinheiro'), l_linenumber % 4 + 1) AS payment_method,
-       {_CONSIGNOR_OF} AS consignor_id
-FROM {{lineitem}} JOIN {_ORDERS} ON l_orderkey = o_orderkey
-WHERE l_returnflag = :flag
+       CASE WHEN l_suppkey % 9 <> 0 THEN format_string('C%04d', l_suppkey + 2) END AS consignor_id
+FROM {{lineitem}} WHERE l_returnflag = :flag
+"""
+# The number in a sale's id, from the line's own keys: room for five digits of part, four of supplier.
+_SALE_NUMBER = "((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber"
+_SALES = f"""
+SELECT *, concat('V', date_format(date, 'yyMM'), CAST({_SALE_NUMBER} AS STRING)) AS id FROM ({_SALE_LINES})
 """
 
 # Customers who want to become consignors; those of one market segment left their name blank.
@@ -104,7 +109,8 @@ FROM {orders}
 
 # By tax rate some sales lack a SKU or name an unknown one; undiscounted ones lack a price.
 _NEW_SALES = f"""
-SELECT * EXCEPT (sku, sale_price, l_tax),
+SELECT * EXCEPT (sku, sale_price, date, l_tax),
+       CASE WHEN l_partkey % 31 <> 0 THEN date END AS date,
        CASE WHEN l_tax < 0.005D THEN '' WHEN l_tax > 0.075D THEN concat('perdido-', sku) ELSE sku END AS sku,
        CASE WHEN discount_value IS NULL THEN 0.0D ELSE sale_price END AS sale_price
 FROM ({_SALE_LINES})
@@ -112,7 +118,7 @@ FROM ({_SALE_LINES})
 
 # Changes of price, channel and notes; lines with the highest tax rate bring new items.
 _ITEM_CHANGES = """
-SELECT CASE WHEN l_tax > 0.075D THEN concat('novo-', l_orderkey) ELSE CAST(l_orderkey AS STRING) END AS sku,
+SELECT CASE WHEN l_tax > 0.075D THEN concat('novo-', l_orderkey) WHEN l_partkey % 43 <> 0 THEN CAST(l_orderkey AS STRING) END AS sku,
        (floor(l_extendedprice * 100 + 0.5D) + 500) div 1000 / 100 AS list_price,
        element_at(array('Loja', 'Instagram', 'WhatsApp', 'Online'), l_linenumber % 4 + 1) AS channel_listed,
        CASE WHEN l_linestatus = 'O' THEN 'revisado' END AS notes,
@@ -132,21 +138,15 @@ FROM {lineitem}
 _SOURCES = ("supplier", "customer", "part", "orders", "lineitem")
 
 
-@cache
-def _schema(path: str) -> StructType:
-    """The schema of a source file, looked up once; each further read then starts without a job."""
-    return SparkSession.active().read.parquet(path).schema
-
-
 class SampleShop:
     """A shop over one folder of source tables. Tables are built when first asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str, with_sale_ids: bool = False) -> None:
-        self.spark, self.folder, self.with_sale_ids = spark, folder, with_sale_ids
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
 
     def _query(self, sql: str, args: dict | None = None) -> DataFrame:
         paths = {name: f"{self.folder}/{name}.parquet" for name in _SOURCES if "{" + name + "}" in sql}
-        read = {name: self.spark.read.schema(_schema(path)).parquet(path) for name, path in paths.items()}
+        read = {name: self.spark.read.parquet(path) for name, path in paths.items()}
         return self.spark.sql(sql, args=args or {}, **read)
 
     @cached_property
@@ -159,12 +159,8 @@ class SampleShop:
 
     @cached_property
     def sales(self) -> DataFrame:
-        """Sales. Their ids count up within each month, which takes a checkpoint; most queries need none."""
-        lines = self._query(_SALE_LINES, {"flag": "N"})
-        if self.with_sale_ids:
-            no_sales = self.spark.createDataFrame([], SALES)
-            lines = assign_sale_ids(no_sales, lines, order_by=SALE_ORDER, month_of="date")
-        return _complete(lines, SALES)
+        """Sales, a narrow projection of the lines: a period's filter reaches the scan."""
+        return _complete(self._query(_SALES, {"flag": "N"}), SALES)
 
     @cached_property
     def new_consignors(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from threading import Lock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from rackwise.sources.schema import SCHEMAS
 # What the CSV reader puts for a bare gap; a text no cell holds, so that "" stays an empty string.
 _GAP = "\u0001"
 
+_VIEWS = Lock()
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -26,30 +29,35 @@ class Tables:
         return {"consignors": self.consignors, "items": self.items, "sales": self.sales}
 
 
-def load_tables(spark: SparkSession, folder: str, fmt: str = "parquet") -> Tables:
+def load_tables(spark: SparkSession, folder: str, fmt: str = "parquet", multi_line: bool = True) -> Tables:
     """Read ``folder/<table>`` for the three tables with their fixed schemas.
 
     ``parquet`` holds typed dates. ``csv`` (with header) holds dates as text: a malformed date
-    becomes NULL. The schema is given, so nothing is inferred from the data.
+    becomes NULL. The schema is given, so nothing is inferred from the data. Notes may hold line
+    breaks, so a CSV file is read by one task; ``multi_line=False`` splits files whose cells have none.
     """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown table format {fmt!r}")
-    read = _read_csv if fmt == "csv" else _read_parquet
-    return Tables(**{name: read(spark, f"{folder}/{name}", schema) for name, schema in SCHEMAS.items()})
+    return Tables(**{name: load_table(spark, folder, name, fmt, multi_line) for name in SCHEMAS})
+
+
+def load_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
+    """One of the tables; see :func:`load_tables`."""
+    path, schema = f"{folder}/{name}", SCHEMAS[name]
+    return _read_csv(spark, path, schema, multi_line) if fmt == "csv" else _read_parquet(spark, path, schema)
 
 
 def _read_parquet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
     text_dates = ", ".join(
         f"`{f.name}` {'string' if isinstance(f.dataType, DateType) else f.dataType.simpleString()}" for f in schema
     )
     # Quoted "" is an empty string, a bare gap is NULL: both occur in the tables and differ.
-    # Notes may hold line breaks, so a file is read by one task; write_csv makes many files.
     raw = (
-        spark.read.schema(text_dates).option("header", True).option("multiLine", True)
+        spark.read.schema(text_dates).option("header", True).option("multiLine", multi_line)
         .option("nullValue", _GAP).option("emptyValue", "").option("escape", '"').csv(path)
     )
     return raw.select([
@@ -62,10 +70,14 @@ def _read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def write_tables(tables: Tables, folder: str, fmt: str = "parquet") -> None:
     """Write each table to a fresh folder in the form :func:`load_tables` reads."""
     for name, df in tables.named().items():
-        if fmt == "csv":
-            write_csv(df, f"{folder}/{name}")
-        else:
-            df.write.mode("errorifexists").format(fmt).save(f"{folder}/{name}")
+        write_table(df, folder, name, fmt)
+
+
+def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> None:
+    if fmt == "csv":
+        write_csv(df, f"{folder}/{name}")
+    else:
+        df.write.mode("errorifexists").format(fmt).save(f"{folder}/{name}")
 
 
 def save_bucketed(tables: Tables, folder: str, prefix: str, buckets: int) -> None:
@@ -98,7 +110,20 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def run_sql(spark: SparkSession, tables: Tables, sql: str, args: Mapping[str, Any] | Sequence[Any] = ()) -> DataFrame:
-    """Run SQL over the views ``consignors``, ``items``, ``sales``; ``?`` or ``:name`` parameters."""
-    for name, df in tables.named().items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=dict(args) if isinstance(args, Mapping) else list(args))
+    """Run SQL over the views ``consignors``, ``items``, ``sales``; ``?`` or ``:name`` parameters.
+
+    The views exist while the statement is analysed, one call at a time; then the session's own views
+    of these names are back.
+    """
+    with _VIEWS:
+        own = {v.name: spark.table(v.name) for name in tables.named() for v in spark.catalog.listTables(pattern=name) if v.isTemporary}
+        try:
+            for name, df in tables.named().items():
+                df.createOrReplaceTempView(name)
+            return spark.sql(sql, args=dict(args) if isinstance(args, Mapping) else list(args))
+        finally:
+            for name in tables.named():
+                if name in own:
+                    own[name].createOrReplaceTempView(name)
+                else:
+                    spark.catalog.dropTempView(name)

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
+    """The folder named in ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    Where the setting is missing, a folder of our own is used, but only on a local master: on a
-    cluster a machine-local folder would be lost with its machine.
+    It must be one that all executors share; there is no default, as a machine-local folder would
+    be lost with its machine.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="rackwise-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -33,3 +30,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once; later stages read that copy, whoever is lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as a table and read it back.
+
+    Like a checkpoint it cuts the lineage. Besides, Spark knows the size of the files it reads, so
+    its own size check decides whether a join broadcasts them.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rackwise.operators import ids
 from rackwise.operators.intake import intake_consignors, intake_items
-from rackwise.operators.merge import delete_keys, upsert
+from rackwise.operators.merge import delete_keys, split_keyless, upsert
 from rackwise.operators.numbering import number_rows
 from rackwise.operators.registration import register_sales
 from rackwise.sources.schema import DEFAULTS
@@ -28,7 +28,11 @@ def people(make_table):
 def test_upsert_updates_inserts_and_keeps(spark, make_table):
     changes = spark.createDataFrame(
         [("C0002", "Beatriz", 1), ("C0002", "Bea", 2), ("C0003", "Caio", 1), (None, "ninguém", 1)], "id string, name string, seq int")
-    merged = upsert(people(make_table), changes, "id", order_by=["seq"], defaults=DEFAULTS["consignors"])
+    with pytest.raises(Exception, match="a change has no id"):
+        upsert(people(make_table), changes, "id", order_by=["seq"]).collect()
+    keyed, keyless = split_keyless(changes, "id")
+    assert rows(keyless) == [(None, "ninguém", 1)]
+    merged = upsert(people(make_table), keyed, "id", order_by=["seq"], defaults=DEFAULTS["consignors"])
     assert by_id(merged, "name", "email", "percent", "active") == {
         "C0001": ("Ana", "a@x", 0.4, 1), "C0002": ("Bea", None, None, 1), "C0003": ("Caio", None, 0.5, 1)}
     assert merged.columns == people(make_table).columns
@@ -169,3 +173,25 @@ def test_registration(spark, make_table):
 
 def test_table_helper_defaults(spark):
     assert table(spark, "items", [{"sku": "1"}]).first()["active"] == 1
+
+
+def test_registration_of_odd_batches(spark, make_shop):
+    shop = make_shop(items=[{"sku": "A", "consignor_id": "C1", "category": "x", "list_price": 10.0}], sales=[])
+    batch = spark.createDataFrame(
+        [(1, None, "A", 10.0), (2, dt.date(2025, 8, 2), "A", 20.0), (3, dt.date(2025, 8, 3), "B", 5.0)], "n int, date date, sku string, sale_price double")
+    done = register_sales(shop.items, shop.sales, batch, ["n"], month_of="date")
+    assert [(r.n, r.reject_reason) for r in done.rejected.orderBy("n").collect()] == [(1, "date is required"), (3, "SKU not found")]
+    assert done.rejected.columns == [*batch.columns, "reject_reason"] or set(done.rejected.columns) == {*batch.columns, "reject_reason"}
+    assert [(r.id, r.discount_value, r.net_value, r.channel, r.consignor_id) for r in done.accepted.collect()] == [("V2508001", 0.0, 20.0, None, "C1")]
+    item, = done.items.collect()
+    assert (item.sold_at, item.sale_price, item.channel_sold) == (dt.date(2025, 8, 2), 20.0, None)
+    both = register_sales(shop.items, shop.sales, batch, ["n"], as_of=AS_OF, month_of="date")
+    assert both.rejected.count() == 1 and both.accepted.count() == 2
+
+
+def test_ids_need_a_month(spark):
+    new = spark.createDataFrame([(1, None)], "n int, date date")
+    none = spark.createDataFrame([], "id string")
+    with pytest.raises(Exception, match="no date"):
+        ids.assign_sale_ids(none, new, order_by=["n"], month_of="date").collect()
+    assert ids.assign_sale_ids(none, new, as_of=AS_OF, order_by=["n"], month_of="date").first()["id"] == "V2508001"
