@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_points
+from rackwise.plans.catalogue import QUERIES
 from rackwise.operators import inventory, kpis, labels, listings, markdown, photos, sales_reports
 from rackwise.sources.tables import bucketed_tables, load_tables, save_bucketed, write_tables
 
@@ -30,9 +30,9 @@ def stored(spark, tmp_path_factory):
     return load_tables(spark, folder)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cross_join(spark, name):
-    text = plan(entry_points.queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     assert not re.search(r"Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", text)
 
 
