@@ -124,3 +124,49 @@ def test_a_hot_sku_and_rows_without_consignor_are_split(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_periods_open_only_their_months(spark, tmp_path):
+    from rackwise.sources.sample_shop import SampleShop
+
+    shop, folder = SampleShop(spark, FOLDER).tables(), str(tmp_path / "tables")
+    write_tables(shop, folder)
+    whole, part = load_tables(spark, folder), load_tables(spark, folder, sold=(START, END), listed=(START, END))
+    for name, df in shop.named().items():
+        assert whole.named()[name].columns == df.columns
+        assert sorted(map(str, whole.named()[name].collect())) == sorted(map(str, df.collect()))
+    (scan,) = scans(part.sales.filter("sku <> ''"))
+    assert re.search(r"PartitionFilters: \[isnotnull\(month_of_row#\d+\), \(month_of_row#\d+ >= 2001-06\), \(month_of_row#\d+ <= 2001-07\)\]", scan)
+    months = {r[0] for r in part.sales.selectExpr("date_format(date, 'yyyy-MM')").distinct().collect()}
+    assert months == {"2001-06", "2001-07"} and part.items.filter("listed_at IS NULL").count() == 0
+    assert whole.items.filter("listed_at IS NULL").count() > 0
+    both = [sales_reports.payouts(t, START, END).collect() for t in (whole, part)]
+    assert both[0] == both[1] and both[0]
+
+
+def test_registered_reports_push_the_sale_date(spark):
+    for name in ("revenue_by_category", "payouts", "top_consignors", "abc_analysis", "kpis"):
+        assert any("GreaterThanOrEqual(l_shipdate" in s or "l_shipdate" in s and "DataFilters: [" in s for s in scans(QUERIES[name](spark, FOLDER))), name
+
+
+def test_upsert_reads_its_target_once(stored, spark):
+    from rackwise.operators.merge import upsert
+
+    changes = spark.createDataFrame([("1", 5.0)], "sku string, list_price double")
+    assert len(scans(upsert(stored.items, changes, "sku"))) == 1
+
+
+def test_views_of_the_session_survive(spark, stored):
+    from rackwise.sources.tables import run_sql
+
+    spark.range(3).createOrReplaceTempView("items")
+    assert run_sql(spark, stored, "SELECT count(*) AS n FROM items").first()["n"] > 3
+    assert spark.table("items").columns == ["id"] and "sales" not in [v.name for v in spark.catalog.listTables() if v.isTemporary]
+    spark.catalog.dropTempView("items")
+
+
+def test_pivot_keeps_sizes_it_was_not_told(make_shop):
+    rows = [{"sku": f"{i}", "category": "x", "size": s, "list_price": 1.0, "listed_at": "2001-06-20"} for i, s in enumerate(["M", "M", "XL", "XL", None, None])]
+    shop = make_shop(items=rows, sales=[])
+    assert inventory.sell_through_pivot(shop, START, END).columns == ["category", "M", "XL", "null"]
+    assert inventory.sell_through_pivot(shop, START, END, [None, "M"]).columns == ["category", "null", "M"]
