@@ -10,26 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rackwise.sources.workspace import checkpointed, new_folder
+from rackwise.sources.workspace import stored
 
-__all__ = ["add_columns", "checkpointed", "fixed_rows", "in_fold", "read_table", "stored", "without"]
+__all__ = ["add_columns", "fixed_rows", "in_fold", "read_table", "stored", "without"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    It cuts the lineage, and Spark knows the size of what it reads, so its own size check decides
-    whether a join may broadcast it.
-    """
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the id's text, modulo ``folds``, is ``fold``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
