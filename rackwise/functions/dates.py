@@ -8,8 +8,10 @@ date. That form reaches the Parquet scan as a pushed filter, unlike arithmetic o
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +24,20 @@ def default_period(as_of: dt.date | dt.datetime) -> tuple[dt.date, dt.date]:
     return day_of(as_of) - dt.timedelta(days=30), day_of(as_of)
 
 
+def over_period(report: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A report on ``start`` to ``end``; called with ``as_of`` instead, it covers ``default_period``."""
+
+    @wraps(report)
+    def run(t, start: dt.date | None = None, end: dt.date | None = None, *args, as_of: dt.date | dt.datetime | None = None, **kwargs) -> DataFrame:
+        if start is None and end is None and as_of is not None:
+            start, end = default_period(as_of)
+        if start is None or end is None:
+            raise ValueError("give start and end, or as_of for the last 30 days")
+        return report(t, start, end, *args, **kwargs)
+
+    return run
+
+
 def _first_day_not_older(as_of: dt.date | dt.datetime, days: int) -> dt.date:
     """The earliest date whose age at ``as_of`` is at most ``days``."""
     cutoff = day_of(as_of) - dt.timedelta(days=days)

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rackwise.functions.dates import over_period
 from rackwise.operators.sales_reports import category_revenue
 from rackwise.sources.tables import Tables
 
@@ -32,10 +33,12 @@ def abc_classes(revenue: DataFrame, a_up_to: float = 80, b_up_to: float = 95) ->
     )
 
 
+@over_period
 def abc_analysis(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     return abc_classes(category_revenue(t, start, end)).orderBy(F.col("revenue").desc(), "category")
 
 
+@over_period
 def abc_summary(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Categories, revenue and share by class."""
     return (

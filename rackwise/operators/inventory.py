@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackwise.functions.columns import in_stock, rate_percent, stage_name, stock_value
-from rackwise.functions.dates import in_period, older_than, since
+from rackwise.functions.dates import in_period, older_than, over_period, since
 from rackwise.sources.tables import Tables
 
 NO_SIZE = "null"
@@ -33,6 +33,7 @@ def _sell_through(t: Tables, start: dt.date, end: dt.date, min_total: int, disti
     )
 
 
+@over_period
 def sell_through_matrix(
     t: Tables, start: dt.date, end: dt.date, min_total: int = 2, distinct_items: bool = False
 ) -> DataFrame:
@@ -44,6 +45,7 @@ def sell_through_matrix(
     return _sell_through(t, start, end, min_total, distinct_items).orderBy("category", "size")
 
 
+@over_period
 def sell_through_pivot(
     t: Tables, start: dt.date, end: dt.date, sizes: Sequence[str | None] | None = None, min_total: int = 2
 ) -> DataFrame:

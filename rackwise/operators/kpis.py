@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from rackwise.functions import fixed_values as fixed
 from rackwise.functions.columns import in_stock, total
-from rackwise.functions.dates import in_period, older_than
+from rackwise.functions.dates import in_period, older_than, over_period
 from rackwise.operators.markdown import steps_due
 from rackwise.operators.sales_reports import mean_days_to_sell, sales_by_sku
 from rackwise.sources.tables import Tables
 
 
+@over_period
 def kpis(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """One row: stock, sales, net revenue, sales per listed item in percent, mean days to sell.
 
@@ -40,6 +41,7 @@ def kpis(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     )
 
 
+@over_period
 def kpi_cards(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """The key figures as heading and text, one row each."""
     texts = [

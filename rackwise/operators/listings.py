@@ -14,7 +14,7 @@ from rackwise.functions import fixed_values as fixed
 from rackwise.functions.columns import (
     exact_markdown_price, in_stock, item_title, has_photo, markdown_price, percent_off, price_text, stage_name, strip,
 )
-from rackwise.functions.dates import age_in_days, at_most_old, in_period, older_than
+from rackwise.functions.dates import age_in_days, at_most_old, in_period, older_than, over_period
 from rackwise.sources.tables import Tables
 
 LABEL_COLUMNS = ["sku", "category", "brand", "size", "condition", "list_price", "markdown_stage"]
@@ -118,6 +118,7 @@ def gallery(t: Tables, category: str | None = None, brand: str | None = None, wi
     )
 
 
+@over_period
 def fast_movers(t: Tables, start: dt.date, end: dt.date, max_days: int = 7, n: int = 10) -> DataFrame:
     """Sales in the period within ``max_days`` of listing, fastest first (sold before listing included)."""
     sold = t.sales.filter(in_period("date", start, end)).select(

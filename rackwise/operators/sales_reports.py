@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rackwise.functions import fixed_values as fixed
 from rackwise.functions.columns import MONEY_UNIT, net_units, stage_name, total
-from rackwise.functions.dates import in_period, since
+from rackwise.functions.dates import in_period, over_period, since
 from rackwise.sources.tables import Tables
 
 
@@ -42,6 +42,7 @@ def mean_days_to_sell() -> Column:
     return days.cast("double") / sales_with_days
 
 
+@over_period
 def category_revenue(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Number and net revenue of the period's sales by category, in no order."""
     sales = t.sales.filter(in_period("date", start, end))
@@ -50,11 +51,13 @@ def category_revenue(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     )
 
 
+@over_period
 def revenue_by_category(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Number and net revenue of the period's sales by category, highest revenue first."""
     return category_revenue(t, start, end).orderBy(F.col("revenue").desc(), "category")
 
 
+@over_period
 def performance_by_stage(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Sales in the period and mean days to sell, by the item's markdown stage."""
     sales = t.sales.filter(in_period("date", start, end))
@@ -87,6 +90,7 @@ def _by_consignor(sales: DataFrame) -> DataFrame:
     )
 
 
+@over_period
 def top_consignors(t: Tables, start: dt.date, end: dt.date, n: int = 10) -> DataFrame:
     """Consignors with the highest net revenue in the period, by the consignor noted on the sale."""
     names = t.consignors.select("id", "name")
@@ -121,6 +125,7 @@ def _number_or_zero(df: DataFrame, column: str, missing: float, decimal: str) ->
     return F.coalesce(F.col(column).try_cast(decimal), F.lit(0).cast(decimal))
 
 
+@over_period
 def payouts(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Net sales per consignor in the period and how they are split, highest total first.
 
@@ -137,6 +142,7 @@ def payouts(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     return payout_split(totals).orderBy(F.col("total_net").desc(), "consignor_id")
 
 
+@over_period
 def payout_report(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Payouts under their report headings, ready for CSV."""
     return payouts(t, start, end).select(*[F.col(c).alias(heading) for c, heading in fixed.PAYOUT_HEADINGS.items()])

@@ -332,6 +332,7 @@ QUERIES: dict[str, Query] = {
     "label_batch_filtered": on_shop(lambda t: listings.label_batch(t, AS_OF, category="SMALL", max_age=30)),
     "markdown_label_items": on_shop(lambda t: listings.markdown_label_items(t, 2)),
     "kpis": on_shop(lambda t: kpis.kpis(t, START, END)),
+    "kpis_of_last_days": on_shop(lambda t: kpis.kpis(t, as_of=AS_OF)),
     "kpi_cards": on_shop(lambda t: kpis.kpi_cards(t, START, END)),
     "photo_stats": on_shop(photos.photo_stats),
     "markdown_pending": on_shop(lambda t: kpis.markdown_pending(t, AS_OF)),

@@ -427,6 +427,7 @@ ORACLE_SQL: dict[str, str] = {
       {_NEWEST} LIMIT 10""",
     "markdown_label_items": f"{_with()} SELECT {_LABEL_FIELDS} FROM stock WHERE markdown_stage = 2 {_NEWEST} LIMIT 20",
     "kpis": f"{_with(_KPIS)} SELECT * FROM kpis",
+    "kpis_of_last_days": f"{_with(_KPIS)} SELECT * FROM kpis",
     "kpi_cards": f"""{_with(_KPIS)}
       SELECT 'Estoque Atual' AS metric, format('{{:,}}', total_stock) AS value FROM kpis
       UNION ALL SELECT 'Vendas (Período)', format('{{:,}}', period_sales_count) FROM kpis

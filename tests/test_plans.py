@@ -170,3 +170,14 @@ def test_pivot_keeps_sizes_it_was_not_told(make_shop):
     shop = make_shop(items=rows, sales=[])
     assert inventory.sell_through_pivot(shop, START, END).columns == ["category", "M", "XL", "null"]
     assert inventory.sell_through_pivot(shop, START, END, [None, "M"]).columns == ["category", "null", "M"]
+
+
+def test_registered_items_meet_a_folded_batch_in_one_join(stored):
+    from rackwise.operators.registration import register_sales
+
+    batch = stored.sales.select("date", "sku", "sale_price", "channel", "notes").withColumnRenamed("notes", "turn")
+    lines = plan(register_sales(stored.items, stored.sales, batch, ["turn"], month_of="date").items).splitlines()
+    joins = [i for i, line in enumerate(lines) if "Join" in line]
+    assert len(joins) == 1 and len([line for line in lines if "FileScan" in line]) == 2
+    # The batch is an aggregate by SKU when it gets there, so a hot SKU is one row.
+    assert any("partial_max" in line for line in lines[joins[0]:])
