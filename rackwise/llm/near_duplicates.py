@@ -151,38 +151,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return add_columns(both.select("a", "b", "body_a", "body_b"), setup, ["body_a", "body_b"], fields, ["body_a", "body_b"]).where(F.col("similarity") >= least)
 
 
-def _pairs_across(table: pa.Table, least: float) -> pa.Table:
-    """Pairs of one bucket, or of two blocks of it, that lie in different parts and may reach ``least``.
+def _links_across(table: pa.Table, least: float) -> pa.Table:
+    """Links between different parts of one bucket, or of two blocks of it.
 
     Two texts differ in at least as many runs as the counts of their runs by bins differ; that
-    excludes nearly all pairs below ``least`` and none above it. Only what is left goes out.
+    excludes nearly all pairs below ``least`` and none above it. What is left is aligned, unless a
+    link found before has already brought the two into one part. So only links go out, fewer than
+    there are members, and no pair of different parts is left untried.
     """
     side = table["side"].to_numpy()
-    node = np.array(table["node"].to_pylist())
+    node, bodies = table["node"].to_pylist(), table["body"]
     _, part = np.unique(np.array(table["part"].to_pylist()), return_inverse=True)
     n = table["n"].to_numpy().astype(np.int64)
     bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(len(node), BINS).astype(np.int16)
-    rows, columns = np.flatnonzero(side <= 0), np.flatnonzero(side != 0) if (side > 0).any() else np.flatnonzero(side <= 0)
+    rows = np.flatnonzero(side <= 0)
+    columns = np.flatnonzero(side > 0) if (side > 0).any() else rows
     share = 1 - 2 * least / (1 + least)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in rows:
+    runs: dict[int, np.ndarray] = {}
+
+    def hashes(k: int) -> np.ndarray:
+        if k not in runs:
+            runs[k] = shingle_hashes(bodies[k].as_py())
+        return runs[k]
+
+    left, right = [], []
+    for i in rows.tolist():
         others = columns[(part[columns] != part[i]) & (np.abs(n[columns] - n[i]) <= share * (n[columns] + n[i]) + 1e-9)]
         if side[i] < 0:
             others = others[others > i]
         for at in range(0, len(others), 4096):
             some = others[at:at + 4096]
             gap = np.abs(bins[some] - bins[i]).sum(axis=1)
-            some = some[gap <= share * (n[some] + n[i]) + 1e-9]
-            if len(some):
-                found.append((np.full(len(some), i), some))
-    one = np.concatenate([f[0] for f in found]) if found else np.zeros(0, int)
-    two = np.concatenate([f[1] for f in found]) if found else np.zeros(0, int)
-    left, right = node[one], node[two]
-    return pa.table({"a": pa.array(np.where(left < right, left, right).tolist(), pa.string()), "b": pa.array(np.where(left < right, right, left).tolist(), pa.string())})
+            for j in some[gap <= share * (n[some] + n[i]) + 1e-9].tolist():
+                if part[i] != part[j] and alignment_similarity(hashes(i), hashes(j), least) >= least:
+                    left.append(node[i])
+                    right.append(node[j])
+                    part[part == part[j]] = part[i]
+    return pa.table({"a": pa.array(left, pa.string()), "b": pa.array(right, pa.string())})
 
 
-def _rest_pairs(members: DataFrame, least: float, block: int = BLOCK_NODES) -> DataFrame:
-    """Pairs within buckets (``turn``, ``sketch``, ``node``, ``part``, ``n``, ``bins``) that lie in different parts.
+def _rest_links(members: DataFrame, least: float, block: int = BLOCK_NODES) -> DataFrame:
+    """Links within buckets (``turn``, ``sketch``, ``node``, ``part``, ``n``, ``bins``, ``body``) between different parts.
 
     A bucket of more than ``block`` members is cut into blocks, and each pair of blocks is a task's work.
     """
@@ -191,8 +200,8 @@ def _rest_pairs(members: DataFrame, least: float, block: int = BLOCK_NODES) -> D
     dealt = members.join(stored(sizes, "rest-sizes"), ["turn", "sketch"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Side -1: a block with itself; 0 and 1: the first and the second of two blocks.
     side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
-    keyed = dealt.select("turn", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "part", "n", "bins")
-    return keyed.groupBy("turn", "sketch", "i", "j").applyInArrow(lambda t: _pairs_across(t, least), "a string, b string").distinct()
+    keyed = dealt.select("turn", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "part", "n", "bins", "body")
+    return keyed.groupBy("turn", "sketch", "i", "j").applyInArrow(lambda t: _links_across(t, least), "a string, b string").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -220,8 +229,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     placed = shared.join(parts, "node", "left").select("turn", "sketch", "node", F.coalesce("root", "node").alias("part"))
     mixed = placed.groupBy("turn", "sketch").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q and n > 2").select("turn", "sketch")
     members = placed.join(mixed, ["turn", "sketch"], "left_semi").join(summaries.select("node", "n", "bins"), "node")
-    rest = stored(_rest_pairs(stored(members, "rest-members"), least).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    more = stored(_verified(rest, texts, least).select("a", "b"), "rest-links")
+    more = stored(_rest_links(stored(members, "rest-members").join(texts, "node"), least), "rest-links")
     known = parts.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     final = components(known.unionByName(more)) if not more.isEmpty() else parts
     joined = stored(nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), "text-classes")
