@@ -28,6 +28,7 @@ MARKS = frozenset(
     "pagination toolbar widget widgets".split()
 )
 OUTER_MARKS = MARKS | frozenset("header footer masthead banner copyright".split())
+ELEMENTS = FURNITURE - frozenset("form fieldset".split())
 LINES = frozenset("html body head p li tr td th h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -37,6 +38,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z0-9]+")
+_NUMBER = re.compile(r"\d+")
 
 
 @dataclass(slots=True)
@@ -116,54 +118,67 @@ def _mains(found: list[Element]) -> set[int]:
     return set()
 
 
+_EVERY = 0  # stands for the page itself
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def template_hashes(found: list[Element], mains: set[int]) -> dict[int, int]:
-    """The hash of every subtree that may be template.
-
-    If the page names an article, these are all subtrees that neither hold nor lie in one; their hash
-    is of their place and shape (names of the elements, equal neighbours taken once, no text), which
-    also recurs where a menu differs from page to page. Otherwise the hash is of the elements and all
-    their text, as the article's own shape recurs too.
-    """
+def _above(found: list[Element], mains: set[int]) -> set[int]:
+    """The elements that hold one of ``mains``, and these."""
     holds = set()
     for i in mains:
-        while i >= 0:
+        while i >= 0 and i not in holds:
             holds.add(i)
             i = found[i].above
-    inner, place, form = set(mains), {-1: ""}, {}
+    return holds
+
+
+def template_hashes(found: list[Element], mains: set[int]) -> dict[int, list[int]]:
+    """The hashes of every subtree that may be template: all but the page's article and what holds it.
+
+    One hash is of the elements and all their text; lines have none. Subtrees outside the article, and
+    those named as furniture, have another of their place and shape (names of the elements without
+    numbers, equal neighbours taken once, no text), which also recurs where a menu differs from page
+    to page. Its last bit is 1 where HTML itself names the element as furniture.
+    """
+    holds, inner, place = _above(found, mains), set(mains), {-1: 0}
     for i, e in enumerate(found):
         if e.above in inner:
             inner.add(i)
-        place[i] = f"{place[e.above]}/{e.tag}{e.names}"
-    out = {}
+        place[i] = _digest(f"{place[e.above]}/{e.tag}")
+    whole, shape, out = {}, {}, {}
     for i in range(len(found) - 1, 0, -1):
         e = found[i]
-        if i in inner or i in holds:
+        shapes = [shape[c] for c in e.pieces if isinstance(c, int)]
+        shape[i] = _digest(f"<{e.tag}{_NUMBER.sub('0', e.names)}>{[s for k, s in enumerate(shapes) if not k or s != shapes[k - 1]]}")
+        whole[i] = _digest(f"<{e.tag}{e.names}>" + "".join(f"<{whole[c]}>" if isinstance(c, int) else " ".join(c.split()) for c in e.pieces))
+        if i in holds or e.tag in ("html", "body"):
             continue
-        if mains:
-            forms = [form.get(c, "") for c in e.pieces if isinstance(c, int)]
-            form[i] = f"<{e.tag}{e.names}>" + "".join(s for k, s in enumerate(forms) if not k or s != forms[k - 1]) + "</>"
-        else:
-            form[i] = f"<{e.tag}{e.names}>" + "".join(form.get(c, "") if isinstance(c, int) else " ".join(c.split()) for c in e.pieces) + "</>"
-        if e.tag not in LINES:
-            out[i] = _digest(f"{place[e.above]}|{form[i]}" if mains else form[i])
+        each = [] if e.tag in LINES else [whole[i] & ~1]
+        marked = _marked(e, i in inner)
+        if marked or mains and i not in inner and e.tag not in LINES:
+            each.append(_digest(f"{place[e.above]}|{shape[i]}") & ~1 | (e.tag in ELEMENTS))
+        if each:
+            out[i] = each
     return out
 
 
-def page_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
+def page_text(page: str | None, template: frozenset[int] = frozenset(), small: bool = True) -> str:
     """The text that is left of a page, a line per block; ``template`` holds the hashes of its site's template.
 
-    What goes: subtrees with a hash in ``template``; furniture (by element or by the words of class
-    and id); hidden elements; scripts, styles, comments. If the page names an article, only that stays.
+    What goes: subtrees with a hash in ``template``; hidden elements; scripts, styles, comments; text
+    that is loose in what holds the page's article. On a ``small`` site, whose pages are too few to
+    tell its template, also furniture (by element or by the words of class and id) and, if the page
+    names an article, all else.
     """
     if not page:
         return ""
     found = parse(page)
     mains = _mains(found)
-    gone = {i for i, digest in template_hashes(found, mains).items() if digest in template} if template else set()
+    gone = {i for i, each in template_hashes(found, mains).items() if not template.isdisjoint(each)} if template else set()
+    holds = _above(found, mains)
     lines: list[str] = []
     block: list[str] = []
 
@@ -179,10 +194,11 @@ def page_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
         i, k, inside = todo.pop()
         e = found[i]
         if k == 0:
-            if i in mains:
-                inside = True
-            if i in gone or (e.tag not in ("", "html", "body") and i not in mains and _marked(e, bool(mains) and inside)):
+            named = e.tag not in ("", "html", "body") and i not in mains and (_marked(e, bool(mains) and inside) if small else e.hidden)
+            if i in gone or named:
                 continue
+            if i in mains or not small and i not in holds:
+                inside = True
             close()
         while k < len(e.pieces):
             piece = e.pieces[k]
@@ -202,30 +218,36 @@ def page_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
 
 
 def site_templates(pages: DataFrame, host: str, page: str, min_pages: int) -> DataFrame:
-    """``host`` and its ``_template``: the subtree hashes that ``min_pages`` pages of the host or more hold."""
+    """``host``, its number of ``_pages``, and its ``_template``: the subtree hashes that ``min_pages`` of them or more hold.
+
+    Hosts of fewer pages have no row.
+    """
 
     def hashes(texts: list) -> list:
         each = []
         for text in texts:
             found = parse(text) if text else [Element("", "", -1)]
-            each.append(sorted(set(template_hashes(found, _mains(found)).values())))
+            each.append([_EVERY, *sorted({h for own in template_hashes(found, _mains(found)).values() for h in own})])
         return [each]
 
     fields = [T.StructField("hashes", T.ArrayType(T.LongType()))]
     listed = add_columns(pages.select(host, page), lambda: hashes, [page], fields, [page]).select(host, F.explode("hashes").alias("hash"))
     recurring = listed.groupBy(host, "hash").count().where(F.col("count") >= min_pages)
-    return recurring.groupBy(host).agg(F.collect_set("hash").alias("_template"))
+    of_all = F.col("hash") == _EVERY
+    return recurring.groupBy(host).agg(F.max(F.when(of_all, F.col("count"))).alias("_pages"), F.collect_set(F.when(~of_all, F.col("hash"))).alias("_template"))
 
 
 def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pages: int = 5) -> DataFrame:
     """Add ``text``, the main text, and ``n_chars``, its code points, to every page.
 
-    Every block subtree outside the page's article is hashed, by its place and shape, or with its text
-    if the page names no article. Spark counts on how many pages of a host each hash occurs; subtrees
-    whose hash recurs on ``min_pages`` pages or more are the site's template and are deleted. On
-    smaller hosts, and inside the article, element names and the words of class and id tell the
-    furniture. Text in an article is never deleted because it recurs. The hosts' templates are written
-    to the shared folder and joined by host; Spark's size check decides how. Character references are decoded, white space
+    Every block subtree of the page is hashed with its text, inside the page's article too; what lies
+    outside the article, or is named as furniture by element, class or id, also by its place and
+    shape. Spark counts on how many pages of a host each hash occurs; subtrees whose hash recurs on
+    ``min_pages`` pages or more are the site's template and are deleted, all others stay. Single lines
+    of an article (``LINES``) are never deleted because they recur. On hosts of fewer than twice ``min_pages`` pages names decide as
+    well: furniture by element, class and id goes, and of a page that names an article only that
+    stays. The hosts' templates are written to the shared folder and joined by host; Spark's size
+    check decides how. Character references are decoded, white space
     inside a block becomes one space, blocks are joined by a line break; ``br`` counts as white space.
 
     A null or empty page has an empty text. Pages without a host are one site of their own. Repeated
@@ -238,9 +260,9 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pag
     template = stored(site_templates(keyed, "_host", "_page", min_pages), "page-templates")
     rows = keyed.join(template, "_host", "left").drop("_host")
 
-    def texts(bodies: list, templates: list) -> list:
-        out = [page_text(p, frozenset(t or ())) for p, t in zip(bodies, templates, strict=True)]
+    def texts(bodies: list, counts: list, templates: list) -> list:
+        out = [page_text(p, frozenset(t or ()), (n or 0) < 2 * min_pages) for p, n, t in zip(bodies, counts, templates, strict=True)]
         return [out, [len(t) for t in out]]
 
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return add_columns(rows, lambda: texts, ["_page", "_template"], fields, ["_page", "_template"])
+    return add_columns(rows, lambda: texts, ["_page", "_pages", "_template"], fields, ["_page", "_pages", "_template"])

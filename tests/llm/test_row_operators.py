@@ -137,6 +137,18 @@ def test_recurring_subtrees_go_and_repeated_passages_stay(spark):
     assert extract_text(docs.limit(0)).count() == 0
 
 
+def test_recurrence_decides_inside_and_outside_the_article(spark):
+    def page(i):
+        return (f"<nav><ul>{f'<li>n{i}</li>' * (i + 1)}</ul></nav><div class=top>day {i}</div><h1>Title {i}</h1>"
+                f"<article id=a{i}><p>Own {i}</p><div>Subscribe here</div><section class='social policy{'x' * i}'><p>Policy {i}</p></section></article>"
+                f"<div class={'abcdefghijkl'[i]}>Sources {i}</div><footer>f{i}</footer>")
+
+    docs = spark.createDataFrame([(i, "http://a.org/", page(i)) for i in range(12)] + [(20, "http://b.org/", page(0))], "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(docs).collect()}
+    assert [got[i] for i in range(12)] == [f"Title {i}\nOwn {i}\nPolicy {i}\nSources {i}" for i in range(12)]
+    assert got[20] == "Own 0\nSubscribe here"
+
+
 # Secrets
 
 def test_trigram_queries():
