@@ -29,6 +29,7 @@ MARKS = frozenset(
 )
 OUTER_MARKS = MARKS | frozenset("header footer masthead banner copyright".split())
 ELEMENTS = FURNITURE - frozenset("form fieldset".split())
+MIN_SHARE = 0.1  # of a host's distinct pages that hold a block of its template
 LINES = frozenset("html body head p li tr td th h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -141,7 +142,8 @@ def template_hashes(found: list[Element], mains: set[int]) -> dict[int, list[int
     One hash is of the elements and all their text; lines have none. Subtrees outside the article, and
     those named as furniture, have another of their place and shape (names of the elements without
     numbers, equal neighbours taken once, no text), which also recurs where a menu differs from page
-    to page. Its last bit is 1 where HTML itself names the element as furniture.
+    to page. Its last bit is 1 where HTML itself names the element as furniture. Element 0 has the
+    hash that tells the page's content: pages that differ in other attributes, scripts or comments share it.
     """
     holds, inner, place = _above(found, mains), set(mains), {-1: 0}
     for i, e in enumerate(found):
@@ -149,12 +151,14 @@ def template_hashes(found: list[Element], mains: set[int]) -> dict[int, list[int
             inner.add(i)
         place[i] = _digest(f"{place[e.above]}/{e.tag}")
     whole, shape, out = {}, {}, {}
-    for i in range(len(found) - 1, 0, -1):
+    for i in range(len(found) - 1, -1, -1):
         e = found[i]
         shapes = [shape[c] for c in e.pieces if isinstance(c, int)]
         shape[i] = _digest(f"<{e.tag}{_NUMBER.sub('0', e.names)}>{[s for k, s in enumerate(shapes) if not k or s != shapes[k - 1]]}")
         whole[i] = _digest(f"<{e.tag}{e.names}>" + "".join(f"<{whole[c]}>" if isinstance(c, int) else " ".join(c.split()) for c in e.pieces))
-        if i in holds or e.tag in ("html", "body"):
+        if not i:
+            out[i] = [whole[i]]
+        if not i or i in holds or e.tag in ("html", "body"):
             continue
         each = [] if e.tag in LINES else [whole[i] & ~1]
         marked = _marked(e, i in inner)
@@ -177,7 +181,7 @@ def page_text(page: str | None, template: frozenset[int] = frozenset(), small: b
         return ""
     found = parse(page)
     mains = _mains(found)
-    gone = {i for i, each in template_hashes(found, mains).items() if not template.isdisjoint(each)} if template else set()
+    gone = {i for i, each in template_hashes(found, mains).items() if i and not template.isdisjoint(each)} if template else set()
     holds = _above(found, mains)
     lines: list[str] = []
     block: list[str] = []
@@ -217,47 +221,54 @@ def page_text(page: str | None, template: frozenset[int] = frozenset(), small: b
     return "\n".join(lines)
 
 
-def site_templates(pages: DataFrame, host: str, page: str, min_pages: int) -> DataFrame:
-    """``host``, its number of ``_pages``, and its ``_template``: the subtree hashes that ``min_pages`` of them or more hold.
+def site_templates(pages: DataFrame, host: str, page: str, min_pages: int, min_share: float) -> DataFrame:
+    """``host``, its number of distinct ``_pages``, and its ``_template``: the subtree hashes that enough of these hold.
 
-    Hosts of fewer pages have no row.
+    Enough are ``min_pages`` and ``min_share`` of them; for elements that HTML names as furniture
+    ``min_pages``. Hosts of fewer pages have no row.
     """
 
     def hashes(texts: list) -> list:
-        each = []
+        contents, each = [], []
         for text in texts:
             found = parse(text) if text else [Element("", "", -1)]
-            each.append([_EVERY, *sorted({h for own in template_hashes(found, _mains(found)).values() for h in own})])
-        return [each]
-
-    fields = [T.StructField("hashes", T.ArrayType(T.LongType()))]
-    listed = add_columns(pages.select(host, page), lambda: hashes, [page], fields, [page]).select(host, F.explode("hashes").alias("hash"))
-    recurring = listed.groupBy(host, "hash").count().where(F.col("count") >= min_pages)
-    of_all = F.col("hash") == _EVERY
-    return recurring.groupBy(host).agg(F.max(F.when(of_all, F.col("count"))).alias("_pages"), F.collect_set(F.when(~of_all, F.col("hash"))).alias("_template"))
-
-
-def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pages: int = 5) -> DataFrame:
+            own = template_hashes(found, _mains(found))
+            contents.append(own.pop(0)[0])
+            each.append([_EVERY, *sorted({h for some in own.values() for h in some})])
+        return [contents, each]
+
+    fields = [T.StructField("content", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]
+    listed = add_columns(pages.select(host, page), lambda: hashes, [page], fields, [page])
+    held = listed.select(host, "content", F.explode("hashes").alias("hash")).distinct()
+    counts = stored(held.groupBy(host, "hash").count().where(F.col("count") >= min_pages), "page-blocks")
+    sizes = counts.where(F.col("hash") == _EVERY).select(host, F.col("count").alias("_pages"))
+    named = F.col("hash").bitwiseAND(1) == 1
+    enough = (F.col("hash") != _EVERY) & (named | (F.col("count") >= min_share * F.col("_pages")))
+    return counts.join(sizes, host).groupBy(host).agg(F.max("_pages").alias("_pages"), F.collect_set(F.when(enough, F.col("hash"))).alias("_template"))
+
+
+def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pages: int = 5, min_share: float = MIN_SHARE) -> DataFrame:
     """Add ``text``, the main text, and ``n_chars``, its code points, to every page.
 
     Every block subtree of the page is hashed with its text, inside the page's article too; what lies
     outside the article, or is named as furniture by element, class or id, also by its place and
-    shape. Spark counts on how many pages of a host each hash occurs; subtrees whose hash recurs on
-    ``min_pages`` pages or more are the site's template and are deleted, all others stay. Single lines
-    of an article (``LINES``) are never deleted because they recur. On hosts of fewer than twice ``min_pages`` pages names decide as
-    well: furniture by element, class and id goes, and of a page that names an article only that
+    shape. Spark counts on how many pages of distinct content of a host each hash occurs; subtrees whose
+    hash recurs on ``min_pages`` of them or more, and on ``min_share`` of them unless HTML names the
+    element as furniture, are the site's template and are deleted, all others stay. Single lines of an
+    article (``LINES``) are never deleted because they recur. On hosts of fewer than twice ``min_pages``
+    distinct pages names decide as well: furniture by element, class and id goes, and of a page that names an article only that
     stays. The hosts' templates are written to the shared folder and joined by host; Spark's size
     check decides how. Character references are decoded, white space
     inside a block becomes one space, blocks are joined by a line break; ``br`` counts as white space.
 
     A null or empty page has an empty text. Pages without a host are one site of their own. Repeated
-    rows keep their number and count as so many pages. Broken markup: a tag cut off at the end is
+    rows keep their number and count as one page. Broken markup: a tag cut off at the end is
     dropped, a missing end tag ends with its parent. Empty table: no rows. Columns named ``text`` and
     ``n_chars`` are replaced, all others kept.
     """
     kept = without(pages, ["text", "n_chars"])
     keyed = kept.withColumn("_host", url_host(F.col(url).cast("string"))).withColumn("_page", F.col(page).cast("string"))
-    template = stored(site_templates(keyed, "_host", "_page", min_pages), "page-templates")
+    template = stored(site_templates(keyed, "_host", "_page", min_pages, min_share), "page-templates")
     rows = keyed.join(template, "_host", "left").drop("_host")
 
     def texts(bodies: list, counts: list, templates: list) -> list:

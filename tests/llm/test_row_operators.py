@@ -149,6 +149,15 @@ def test_recurrence_decides_inside_and_outside_the_article(spark):
     assert got[20] == "Own 0\nSubscribe here"
 
 
+def test_copies_and_rare_blocks_are_no_template(spark):
+    rows = [(i, f"http://a.org/?s={i}", f"<script>s({i})</script><div><a href='/?s={i}'>Main text of the copies</a></div>") for i in range(9)]
+    rows += [(100 + i, "http://a.org/", f"<div>Own {i}</div>" + "<section>shared by few</section>" * (i < 6) + "<div>footer line</div>") for i in range(80)]
+    docs = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(docs).collect()}
+    assert all(got[i] == "Main text of the copies" for i in range(9))
+    assert [got[100 + i] for i in range(80)] == [f"Own {i}" + "\nshared by few" * (i < 6) for i in range(80)]
+
+
 # Secrets
 
 def test_trigram_queries():
