@@ -28,7 +28,8 @@ MARKS = frozenset(
     "pagination toolbar widget widgets".split()
 )
 OUTER_MARKS = MARKS | frozenset("header footer masthead banner copyright".split())
-ELEMENTS = FURNITURE - frozenset("form fieldset".split())
+FORMS = frozenset("form fieldset".split())
+ELEMENTS = FURNITURE - FORMS
 MIN_SHARE = 0.1  # of a host's distinct pages that hold a block of its template
 LINES = frozenset("html body head p li tr td th h1 h2 h3 h4 h5 h6".split())
 
@@ -49,6 +50,7 @@ class Element:
     above: int
     pieces: list = field(default_factory=list)  # texts, child numbers
     hidden: bool = False
+    wraps: bool = False
 
 
 def parse(page: str) -> list[Element]:
@@ -90,16 +92,32 @@ def parse(page: str) -> list[Element]:
             stack.append(len(found) - 1)
     if at < len(page):
         found[stack[-1]].pieces.append(page[at:])
+    _find_wraps(found)
     return found
 
 
 def _marked(e: Element, inside: bool) -> bool:
     words = set(_WORDS.findall(e.names)) if e.names else ()
-    return bool(e.hidden or e.tag in FURNITURE or e.tag == "header" and not inside or words and (MARKS if inside else OUTER_MARKS).intersection(words))
+    return bool(e.hidden or e.tag in FURNITURE and not e.wraps or e.tag == "header" and not inside or words and (MARKS if inside else OUTER_MARKS).intersection(words))
+
+
+def _find_wraps(found: list[Element]) -> None:
+    """Mark the forms that hold an article, a main or half of the page's text: they are the page's wrapper."""
+    if not any(e.tag in FORMS for e in found):
+        return
+    size, holds = [0] * len(found), [False] * len(found)
+    for i in range(len(found) - 1, -1, -1):
+        e = found[i]
+        if e.hidden:
+            continue
+        size[i] = sum(size[c] if isinstance(c, int) else len("".join(c.split())) for c in e.pieces)
+        holds[i] = e.tag in ("article", "main") or any(holds[c] for c in e.pieces if isinstance(c, int))
+    for i, e in enumerate(found):
+        e.wraps = e.tag in FORMS and (holds[i] or 0 < size[0] <= 2 * size[i])
 
 
 def _mains(found: list[Element]) -> set[int]:
-    """Elements that the page itself names as its article; empty if it names none."""
+    """Elements that the page itself names as its article, or the ``main`` that holds such; empty if it names none."""
     for tag in ("article", "main"):
         mains, shut = set(), {-1: False}
         for i, e in enumerate(found):
@@ -115,10 +133,20 @@ def _mains(found: list[Element]) -> set[int]:
             else:
                 shut[i] = _marked(e, False) and e.tag not in ("html", "body", "")
         if mains:
-            return mains
+            return {_outer(found, i) for i in mains}
     return set()
 
 
+def _outer(found: list[Element], i: int) -> int:
+    """The outermost ``main`` that holds element ``i``, or ``i`` itself."""
+    outer = i
+    while i >= 0:
+        if found[i].tag == "main":
+            outer = i
+        i = found[i].above
+    return outer
+
+
 _EVERY = 0  # stands for the page itself
 
 
@@ -256,9 +284,10 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pag
     hash recurs on ``min_pages`` of them or more, and on ``min_share`` of them unless HTML names the
     element as furniture, are the site's template and are deleted, all others stay. Single lines of an
     article (``LINES``) are never deleted because they recur. On hosts of fewer than twice ``min_pages``
-    distinct pages names decide as well: furniture by element, class and id goes, and of a page that names an article only that
-    stays. The hosts' templates are written to the shared folder and joined by host; Spark's size
-    check decides how. Character references are decoded, white space
+    distinct pages names decide as well: furniture by element, class and id goes, and of a page that
+    names an article only that, or the ``main`` around it, stays. A form that holds an article or half
+    of the page's text is no furniture. The hosts' templates are written to the shared folder and
+    joined by host; Spark's size check decides how. Character references are decoded, white space
     inside a block becomes one space, blocks are joined by a line break; ``br`` counts as white space.
 
     A null or empty page has an empty text. Pages without a host are one site of their own. Repeated

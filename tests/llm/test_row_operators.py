@@ -158,6 +158,22 @@ def test_copies_and_rare_blocks_are_no_template(spark):
     assert [got[100 + i] for i in range(80)] == [f"Own {i}" + "\nshared by few" * (i < 6) for i in range(80)]
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><form id=aspnet><nav>n</nav><article><p>one</p></article></form></body>", "one"),
+    ("<body><form><fieldset><p>All the page's text</p></fieldset></form><p>foot</p></body>", "All the page's text\nfoot"),
+    ("<body><p>All the page's text</p><form>search</form></body>", "All the page's text"),
+    ("<nav>n</nav><main><h1>Title</h1><aside>x</aside><article><p>one</p></article><p>note</p></main><p>foot</p>", "Title\none\nnote"),
+])
+def test_wrapping_forms_and_mains_keep_their_text(page, text):
+    assert page_text(page) == text
+
+
+def test_class_words_alone_remove_nothing_on_a_large_host(spark):
+    rows = [(i, "http://a.org/", f"<main><h1>T{i}</h1><article><p>Own {i}</p>" + (f"<section class='social policy'>Policy {i}</section>" if not i else "<div class=share>share it</div>") + "</article></main>") for i in range(12)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {0: "T0\nOwn 0\nPolicy 0"} | {i: f"T{i}\nOwn {i}" for i in range(1, 12)}
+
+
 # Secrets
 
 def test_trigram_queries():
