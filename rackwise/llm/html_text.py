@@ -30,7 +30,8 @@ MARKS = frozenset(
 OUTER_MARKS = MARKS | frozenset("header footer masthead banner copyright".split())
 FORMS = frozenset("form fieldset".split())
 ELEMENTS = FURNITURE - FORMS
-MIN_SHARE = 0.1  # of a host's distinct pages that hold a block of its template
+MIN_SHARE, LINE_SHARE = 0.1, 0.3  # of a host's distinct pages, that hold a block or a line of its template
+OF_ELEMENT, OF_LINE = 1, 2
 LINES = frozenset("html body head p li tr td th h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -167,10 +168,10 @@ def _above(found: list[Element], mains: set[int]) -> set[int]:
 def template_hashes(found: list[Element], mains: set[int]) -> dict[int, list[int]]:
     """The hashes of every subtree that may be template: all but the page's article and what holds it.
 
-    One hash is of the elements and all their text; lines have none. Subtrees outside the article, and
+    One hash is of the elements and all their text; lines of the article have none. Subtrees outside the article, and
     those named as furniture, have another of their place and shape (names of the elements without
     numbers, equal neighbours taken once, no text), which also recurs where a menu differs from page
-    to page. Its last bit is 1 where HTML itself names the element as furniture. Element 0 has the
+    to page. The last two bits tell lines, and elements that HTML itself names as furniture. Element 0 has the
     hash that tells the page's content: pages that differ in other attributes, scripts or comments share it.
     """
     holds, inner, place = _above(found, mains), set(mains), {-1: 0}
@@ -188,10 +189,11 @@ def template_hashes(found: list[Element], mains: set[int]) -> dict[int, list[int
             out[i] = [whole[i]]
         if not i or i in holds or e.tag in ("html", "body"):
             continue
-        each = [] if e.tag in LINES else [whole[i] & ~1]
+        line = e.tag in LINES
+        each = [] if line and i in inner else [whole[i] & ~3 | (OF_LINE if line else 0)]
         marked = _marked(e, i in inner)
-        if marked or mains and i not in inner and e.tag not in LINES:
-            each.append(_digest(f"{place[e.above]}|{shape[i]}") & ~1 | (e.tag in ELEMENTS))
+        if marked or mains and i not in inner and not line:
+            each.append(_digest(f"{place[e.above]}|{shape[i]}") & ~3 | (OF_ELEMENT if e.tag in ELEMENTS else 0))
         if each:
             out[i] = each
     return out
@@ -252,8 +254,8 @@ def page_text(page: str | None, template: frozenset[int] = frozenset(), small: b
 def site_templates(pages: DataFrame, host: str, page: str, min_pages: int, min_share: float) -> DataFrame:
     """``host``, its number of distinct ``_pages``, and its ``_template``: the subtree hashes that enough of these hold.
 
-    Enough are ``min_pages`` and ``min_share`` of them; for elements that HTML names as furniture
-    ``min_pages``. Hosts of fewer pages have no row.
+    Enough are ``min_pages`` and ``min_share`` of them, for lines ``LINE_SHARE`` if that is more; for
+    elements that HTML names as furniture ``min_pages``. Hosts of fewer pages have no row.
     """
 
     def hashes(texts: list) -> list:
@@ -270,8 +272,9 @@ def site_templates(pages: DataFrame, host: str, page: str, min_pages: int, min_s
     held = listed.select(host, "content", F.explode("hashes").alias("hash")).distinct()
     counts = stored(held.groupBy(host, "hash").count().where(F.col("count") >= min_pages), "page-blocks")
     sizes = counts.where(F.col("hash") == _EVERY).select(host, F.col("count").alias("_pages"))
-    named = F.col("hash").bitwiseAND(1) == 1
-    enough = (F.col("hash") != _EVERY) & (named | (F.col("count") >= min_share * F.col("_pages")))
+    kind = F.col("hash").bitwiseAND(3)
+    share = F.when(kind == OF_ELEMENT, 0.0).when(kind == OF_LINE, F.greatest(F.lit(LINE_SHARE), F.lit(min_share))).otherwise(min_share)
+    enough = (F.col("hash") != _EVERY) & (F.col("count") >= share * F.col("_pages"))
     return counts.join(sizes, host).groupBy(host).agg(F.max("_pages").alias("_pages"), F.collect_set(F.when(enough, F.col("hash"))).alias("_template"))
 
 
@@ -282,8 +285,8 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pag
     outside the article, or is named as furniture by element, class or id, also by its place and
     shape. Spark counts on how many pages of distinct content of a host each hash occurs; subtrees whose
     hash recurs on ``min_pages`` of them or more, and on ``min_share`` of them unless HTML names the
-    element as furniture, are the site's template and are deleted, all others stay. Single lines of an
-    article (``LINES``) are never deleted because they recur. On hosts of fewer than twice ``min_pages``
+    element as furniture, are the site's template and are deleted, all others stay. Single lines
+    (``LINES``) need ``LINE_SHARE``; those of an article are never deleted because they recur. On hosts of fewer than twice ``min_pages``
     distinct pages names decide as well: furniture by element, class and id goes, and of a page that
     names an article only that, or the ``main`` around it, stays. A form that holds an article or half
     of the page's text is no furniture. The hosts' templates are written to the shared folder and

@@ -174,6 +174,12 @@ def test_class_words_alone_remove_nothing_on_a_large_host(spark):
     assert got == {0: "T0\nOwn 0\nPolicy 0"} | {i: f"T{i}\nOwn {i}" for i in range(1, 12)}
 
 
+def test_recurring_lines_go_where_no_article_is_named(spark):
+    rows = [(i, "http://a.org/", f"<body><p>Own {i}</p><div>Text {i}<p>All rights reserved</p><table><tr><td>yes</td><td>{i}</td></tr></table></div><li>{'rare' if i < 5 else i}</li></body>".replace("yes", "yes" if i < 5 else f"no {i}")) for i in range(20)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {i: f"Own {i}\nText {i}\n{'yes' if i < 5 else f'no {i}'}\n{i}\n{'rare' if i < 5 else i}" for i in range(20)}
+
+
 # Secrets
 
 def test_trigram_queries():
