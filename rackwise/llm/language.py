@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,17 +82,39 @@ def _clusters(rows: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each language and text that a task meets."""
+    seen = set()
+    for batch in batches:
+        keys = list(zip(batch.column("lang").to_pylist(), batch.column("hash").to_pylist(), strict=True))
+        new = []
+        for i, key in enumerate(keys):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        if new:
+            yield batch.take(pa.array(new, pa.int64()))
+
+
 def _sample(labelled: DataFrame, bound: int) -> list:
-    """About ``bound`` rows in all, as many from each language as it has or its share, chosen by a hash."""
-    counts = labelled.groupBy("lang").count().collect()  # a row per language
+    """At most ``bound`` distinct texts in all, as many from each language as it has or its share: those of least draw.
+
+    Copies of a text in a language are one. Texts that may be among the least are found by a limit on
+    the draw; each task passes on one copy of them, so that few rows are ranked.
+    """
+    hashed = labelled.select("lang", "text", F.xxhash64(F.lit("language"), "text").alias("hash"))
+    counts = hashed.groupBy("lang").agg(F.count_distinct("hash").alias("texts")).collect()  # a row per language
     if not counts:
         return []
     share = max(1, bound // len(counts))
     part = F.lit(0.0)
     for r in counts:
-        part = F.when(F.col("lang") == r["lang"], min(1.0, share / r["count"])).otherwise(part)
-    draw = F.pmod(F.xxhash64(F.lit("language"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.where(draw < part).limit(2 * bound)
+        part = F.when(F.col("lang") == r["lang"], min(1.0, (share + 6 * share**0.5 + 18) / r["texts"])).otherwise(part)
+    draw = F.pmod("hash", F.lit(1 << 30))
+    near = hashed.where(draw / float(1 << 30) < part)
+    distinct = near.mapInArrow(_firsts, near.schema).dropDuplicates(["lang", "hash"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "hash"))
+    drawn = distinct.withColumn("rank", rank).where(F.col("rank") <= share).select("lang", "text")
     fields = [T.StructField("counts", T.BinaryType())]
     counted = add_columns(drawn, lambda: lambda texts: [[ngram_counts(t).astype(np.float16).tobytes() for t in texts]], ["text"], fields, ["text"])
     return counted.collect()
@@ -99,8 +123,8 @@ def _sample(labelled: DataFrame, bound: int) -> list:
 def fit_languages(labelled: DataFrame, clusters: int = 4, rounds: int = 12, sample_docs: int = SAMPLE_DOCS, seed: int = 5, slack: float = 0.5) -> LanguageModel | None:
     """Learn from ``text`` and ``lang``; rows where either is null, or the text has no letter, teach nothing.
 
-    The model is fitted on a bounded sample of about ``sample_docs`` rows, at most twice that: their
-    n-gram counts are taken on the executors. A language accepts a text whose cosine is at least
+    The model is fitted on a bounded sample of at most ``sample_docs`` distinct texts, or one of each
+    language if that is more; copies count once. Their n-gram counts are taken on the executors. A language accepts a text whose cosine is at least
     ``slack`` times that which 99% of its sampled texts reach, less for texts of few n-grams. Nothing to learn from: None.
     """
     rows = _sample(labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")), sample_docs)

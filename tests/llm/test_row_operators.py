@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rackwise.llm import catalogue
 from rackwise.llm.common import in_fold
 from rackwise.llm.html_text import extract_text, page_text
-from rackwise.llm.language import fit_languages, identify_language
+from rackwise.llm.language import _sample, fit_languages, identify_language
 from rackwise.llm.quality_model import fit_quality, isotonic, score_quality, statistics, with_statistics
 from rackwise.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, span_texts, trigram_query
 from rackwise.llm.url_filters import judge_urls
@@ -63,6 +63,15 @@ def test_language_without_rows_or_model(spark):
     assert [r.lang_pred for r in identify_language(_labelled(spark).limit(2), None).collect()] == ["und", "und"]
 
 
+def test_copies_do_not_skew_the_language_sample(spark):
+    own = spark.range(60).select(F.concat(F.lit(TEXTS["en"]), F.lit(" "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    others = spark.range(60).select(F.concat(F.lit(TEXTS["de"]), F.lit(" "), F.repeat(F.lit("wald "), F.col("id").cast("int"))).alias("text"), F.lit("de").alias("lang"))
+    copies = spark.range(200_000).select(F.lit(TEXTS["en"] + " copied").alias("text"), F.lit("en").alias("lang"))
+    rows = _sample(own.union(others).union(copies), 40)
+    assert sorted(r["lang"] for r in rows) == ["de"] * 20 + ["en"] * 20
+    assert fit_languages(own.union(others).union(copies), sample_docs=40).languages == ("de", "en")
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = catalogue.QUERIES["op1_language"](spark, SF).where("held_out").join(truth, "doc_id")
