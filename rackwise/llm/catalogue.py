@@ -15,8 +15,11 @@ from rackwise.llm.near_duplicates import mark_near_duplicates
 from rackwise.llm.pii import replace_personal_data
 from rackwise.llm.quality_model import fit_quality, score_quality, with_statistics
 from rackwise.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, span_texts
+from rackwise.llm.token_alignment import align_tokens
 from rackwise.llm.url_filters import LOWER, UPPER, judge_urls
+from rackwise.llm.whitening import fit_whitening, identity_error, whiten
 
+TOKENIZERS = "/opt/tokenizers"
 PII_KEY = "check"  # a user gives a secret one
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -88,7 +91,23 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op8_personal_data": op8_personal_data, "op7_vector_links": op7_vector_links, "op4_near_duplicates": op4_near_duplicates, "op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix}
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = fit_whitening(rows)
+    explained = model.explained if model else []
+    white = stored(whiten(rows, model).select("vec_id", "n", "deviation", "whitened"), "whitened")
+    error = identity_error(white, len(explained))
+    each = white.select("vec_id", "n", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    share = F.element_at(F.array(*[F.lit(e) for e in explained]).cast("array<double>"), F.col("place") + 1)
+    return each.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return align_tokens(docs, TOKENIZERS, keep_text=False)
+
+
+QUERIES = {"op8_personal_data": op8_personal_data, "op7_vector_links": op7_vector_links, "op4_near_duplicates": op4_near_duplicates, "op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix, "op12_whitening": op12_whitening, "op13_token_alignment": op13_token_alignment}
 
 _HOST = f"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
 _PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from rackwise.sources.workspace import stored
 
-__all__ = ["add_columns", "fixed_rows", "in_fold", "read_table", "stored", "without"]
+__all__ = ["add_columns", "fixed_rows", "in_fold", "mapped", "read_table", "stored", "unused", "without"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,22 +36,44 @@ def fixed_rows(spark: SparkSession, rows: Iterable[tuple], names: list[str]) ->
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], result: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, result)`` for columns of any name: inside, columns go by their place only."""
+    inner = [f"r{k}" for k in range(len(result.fields))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(inner, result.fields, strict=True)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, inner)
+
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(renamed, schema).toDF(*result.names)
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from all names in ``taken``."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def add_columns(df: DataFrame, setup: Callable[[], Callable[..., Sequence]], reads: Sequence[str], fields: Sequence[T.StructField], drop: Sequence[str] = ()) -> DataFrame:
     """Add ``fields``, computed batch by batch from the values of ``reads``; other columns pass as they came.
 
     ``setup`` is called once in each task and returns a function that takes a list of values for
     each of ``reads`` and returns a list (or array) for each of ``fields``. Columns in ``drop`` go.
     """
-    kept = [f for f in df.schema.fields if f.name not in drop]
-    result = T.StructType([*kept, *fields])
-    names, added = [f.name for f in result.fields], to_arrow_schema(T.StructType(list(fields))).types
+    given = df.schema.fields
+    kept = [k for k, f in enumerate(given) if f.name not in drop]
+    result = T.StructType([*[given[k] for k in kept], *fields])
+    names, added = [f.name for f in given], to_arrow_schema(T.StructType(list(fields))).types
+    places = [names.index(c) for c in reads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = setup()
         for batch in batches:
             if batch.num_rows:
-                values = compute(*[batch.column(c).to_pylist() for c in reads])
-                columns = [batch.column(f.name) for f in kept] + [pa.array(v, t) for v, t in zip(values, added, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                values = compute(*[batch.column(k).to_pylist() for k in places])
+                columns = [batch.column(k) for k in kept] + [pa.array(v, t) for v, t in zip(values, added, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, result.names)
 
-    return df.mapInArrow(run, result)
+    return mapped(df, run, result)
