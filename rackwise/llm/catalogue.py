@@ -14,6 +14,7 @@ from rackwise.llm.mixing import mix, word_count
 from rackwise.llm.near_duplicates import mark_near_duplicates
 from rackwise.llm.pii import replace_personal_data
 from rackwise.llm.quality_model import fit_quality, score_quality, with_statistics
+from rackwise.llm.recompression import remove_repeats
 from rackwise.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, span_texts
 from rackwise.llm.token_alignment import align_tokens
 from rackwise.llm.url_filters import LOWER, UPPER, judge_urls
@@ -91,6 +92,11 @@ def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return remove_repeats(docs, digest=True)
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
     model = fit_whitening(rows)
@@ -107,7 +113,7 @@ def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align_tokens(docs, TOKENIZERS, keep_text=False)
 
 
-QUERIES = {"op8_personal_data": op8_personal_data, "op7_vector_links": op7_vector_links, "op4_near_duplicates": op4_near_duplicates, "op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix, "op12_whitening": op12_whitening, "op13_token_alignment": op13_token_alignment}
+QUERIES = {"op8_personal_data": op8_personal_data, "op7_vector_links": op7_vector_links, "op4_near_duplicates": op4_near_duplicates, "op5_decontaminate": op5_decontaminate, "op1_language": op1_language, "op2_quality": op2_quality, "op3_html_text": op3_html_text, "op6_secrets": op6_secrets, "op9_url_filter": op9_url_filter, "op10_mix": op10_mix, "op11_substring_dedup": op11_substring_dedup, "op12_whitening": op12_whitening, "op13_token_alignment": op13_token_alignment}
 
 _HOST = f"translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
 _PATH = "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '')"
