@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from rackwise.sources.workspace import stored
 
+SLICE_ROWS = 512  # rows turned into Python values at a time
+
 __all__ = ["add_columns", "fixed_rows", "in_fold", "mapped", "read_table", "stored", "unused", "without"]
 
 
@@ -57,7 +59,7 @@ def unused(name: str, taken: Iterable[str]) -> str:
 
 
 def add_columns(df: DataFrame, setup: Callable[[], Callable[..., Sequence]], reads: Sequence[str], fields: Sequence[T.StructField], drop: Sequence[str] = ()) -> DataFrame:
-    """Add ``fields``, computed batch by batch from the values of ``reads``; other columns pass as they came.
+    """Add ``fields``, computed from the values of ``reads``, ``SLICE_ROWS`` rows at a time; other columns pass as they came.
 
     ``setup`` is called once in each task and returns a function that takes a list of values for
     each of ``reads`` and returns a list (or array) for each of ``fields``. Columns in ``drop`` go.
@@ -70,8 +72,9 @@ def add_columns(df: DataFrame, setup: Callable[[], Callable[..., Sequence]], rea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = setup()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
                 values = compute(*[batch.column(k).to_pylist() for k in places])
                 columns = [batch.column(k) for k in kept] + [pa.array(v, t) for v, t in zip(values, added, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, result.names)

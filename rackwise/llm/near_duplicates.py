@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackwise.llm.common import add_columns, stored, without
+from rackwise.llm.common import add_columns, stored, unused, without
 from rackwise.llm.components import components
 
 SHINGLE, SKETCHES, PICKED, SIMILARITY = 5, 14, 3, 0.8
@@ -72,15 +74,13 @@ def order_sketches(text: str, sketches: int = SKETCHES, picked: int = PICKED, ma
     return out
 
 
-def _summaries(texts: list) -> list:
-    """Of each text its sketches, its number of runs, and how many labelled runs fall into each of ``BINS`` bins, up to 255."""
-    out: list[list] = [[], [], []]
-    for text in texts:
-        x = labelled(shingle_hashes(text))
-        out[0].append(order_sketches(text, marks=x))
-        out[1].append(len(x))
-        out[2].append(np.minimum(np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-    return out
+def _sketches(texts: list) -> list:
+    return [[order_sketches(text) if text is not None else None for text in texts]]
+
+
+def _bins(x: np.ndarray) -> np.ndarray:
+    """How many labelled runs fall into each of ``BINS`` bins."""
+    return np.bincount((labelled(x) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
 
 
 def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -162,18 +162,19 @@ def _links_across(table: pa.Table, least: float) -> pa.Table:
     side = table["side"].to_numpy()
     node, bodies = table["node"].to_pylist(), table["body"]
     _, part = np.unique(np.array(table["part"].to_pylist()), return_inverse=True)
-    n = table["n"].to_numpy().astype(np.int64)
-    bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(len(node), BINS).astype(np.int16)
-    rows = np.flatnonzero(side <= 0)
-    columns = np.flatnonzero(side > 0) if (side > 0).any() else rows
-    share = 1 - 2 * least / (1 + least)
-    runs: dict[int, np.ndarray] = {}
 
+    @lru_cache(maxsize=64)
     def hashes(k: int) -> np.ndarray:
-        if k not in runs:
-            runs[k] = shingle_hashes(bodies[k].as_py())
-        return runs[k]
+        return shingle_hashes(bodies[k].as_py())
 
+    n = np.zeros(len(node), np.int64)
+    bins = np.zeros((len(node), BINS), np.int32)
+    for k in range(len(node)):
+        x = hashes(k)
+        n[k], bins[k] = len(x), _bins(x)
+    rows = np.flatnonzero(side <= 0)
+    columns = np.flatnonzero(side > 0) if (side > 0).any() else rows
+    share = 1 - 2 * least / (1 + least)
     left, right = [], []
     for i in rows.tolist():
         others = columns[(part[columns] != part[i]) & (np.abs(n[columns] - n[i]) <= share * (n[columns] + n[i]) + 1e-9)]
@@ -191,7 +192,7 @@ def _links_across(table: pa.Table, least: float) -> pa.Table:
 
 
 def _rest_links(members: DataFrame, least: float, block: int = BLOCK_NODES) -> DataFrame:
-    """Links within buckets (``turn``, ``sketch``, ``node``, ``part``, ``n``, ``bins``, ``body``) between different parts.
+    """Links within buckets (``turn``, ``sketch``, ``node``, ``part``, ``body``) between different parts.
 
     A bucket of more than ``block`` members is cut into blocks, and each pair of blocks is a task's work.
     """
@@ -200,23 +201,24 @@ def _rest_links(members: DataFrame, least: float, block: int = BLOCK_NODES) -> D
     dealt = members.join(stored(sizes, "rest-sizes"), ["turn", "sketch"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Side -1: a block with itself; 0 and 1: the first and the second of two blocks.
     side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
-    keyed = dealt.select("turn", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "part", "n", "bins", "body")
+    keyed = dealt.select("turn", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "part", "body")
     return keyed.groupBy("turn", "sketch", "i", "j").applyInArrow(lambda t: _links_across(t, least), "a string, b string").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``node`` (MD5 of a text), ``class_id``, ``class_size``, ``keeper`` (the class's node that stays) and ``keepers``
     (how many equal rows it has), a row per distinct text. See ``mark_near_duplicates``."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("body")).where(F.col("body").isNotNull()).withColumn("node", F.md5("body"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("body")).where(F.col("body").isNotNull()).withColumn("node", F.md5("body"))
+    # The texts are read once; what follows moves sketches and ids, and no aggregate carries more than ids.
+    fields = [T.StructField("sketches", T.ArrayType(T.LongType()))]
+    sketched = stored(add_columns(rows, lambda: _sketches, ["body"], fields, ["body"]), "text-sketches")
     # Equal texts are one node, so copies, however many, cost one row each and no pair.
     ids = F.struct(F.col("id").isNull().alias("none"), "id", "n")
-    of_id = rows.groupBy("node", "id").agg(F.count("*").alias("n"))
+    of_id = sketched.groupBy("node", "id").agg(F.count("*").alias("n"))
     nodes = stored(of_id.groupBy("node").agg(F.min(ids).alias("first"), F.sum("n").alias("rows")), "text-nodes")
-    fields = [T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("bins", T.BinaryType())]
-    sketched = add_columns(rows.select("node", "body"), lambda: _summaries, ["body"], fields, ["body"])
-    once = sketched.groupBy("node").agg(*[F.first(c).alias(c) for c in ("sketches", "n", "bins")])
-    summaries = stored(once.join(nodes.select("node", "first"), "node"), "text-sketches")
-    buckets = summaries.select(F.posexplode("sketches").alias("turn", "sketch"), "node", "first")
+    # Of a node's documents the first one speaks for it (if that has equal rows, each does, and nothing changes).
+    summaries = sketched.join(nodes.select("node", "first"), "node").where(F.col("id").eqNullSafe(F.col("first.id")))
+    buckets = stored(summaries.select(F.posexplode("sketches").alias("turn", "sketch"), "node", "first"), "text-buckets")
     # A bucket's centre is its document with the least id; all others of the bucket are compared with it.
     centres = buckets.groupBy("turn", "sketch").agg(F.min(F.struct("first", "node")).alias("centre"), F.count("*").alias("n")).where("n > 1")
     shared = stored(buckets.select("turn", "sketch", "node").join(centres, ["turn", "sketch"]).select("turn", "sketch", "node", F.col("centre.node").alias("centre")), "shared-sketches")
@@ -228,7 +230,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     # Buckets whose members are not all in one part yet: there, members were compared with the centre alone.
     placed = shared.join(parts, "node", "left").select("turn", "sketch", "node", F.coalesce("root", "node").alias("part"))
     mixed = placed.groupBy("turn", "sketch").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p <> q and n > 2").select("turn", "sketch")
-    members = placed.join(mixed, ["turn", "sketch"], "left_semi").join(summaries.select("node", "n", "bins"), "node")
+    members = placed.join(mixed, ["turn", "sketch"], "left_semi").distinct()
     more = stored(_rest_links(stored(members, "rest-members").join(texts, "node"), least), "rest-links")
     known = parts.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     final = components(known.unionByName(more)) if not more.isEmpty() else parts
@@ -255,22 +257,30 @@ def mark_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     the others. Empty table: no rows. Columns with the added names are replaced, all others kept.
     """
     added = ["class_id", "class_size", "kept"]
-    return _with_classes(docs, doc_id, text, least).drop("_node", "_keepers").select(*without(docs, added).columns, *added)
-
-
-def _with_classes(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
-    classes = stored(near_duplicate_classes(docs, doc_id, text, least), "classes")
-    rows = without(docs, ["class_id", "class_size", "kept"]).withColumn("_node", F.md5(F.col(text).cast("string")))
-    joined = rows.join(classes.withColumnRenamed("node", "_node").withColumnRenamed("keepers", "_keepers"), "_node", "left")
-    stays = F.col("_node").isNull() | (F.col("_node") == F.col("keeper")) & F.col("class_id").eqNullSafe(F.col(doc_id))
-    null = F.col("_node").isNull()
-    return joined.withColumn("kept", stays).withColumn("class_id", F.when(null, F.col(doc_id)).otherwise(F.col("class_id"))).withColumn(
-        "class_size", F.when(null, 1).otherwise(F.col("class_size"))).drop("keeper")
+    marked, names = _with_classes(docs, doc_id, text, least)
+    return marked.select(*[f"`{c}`" for c in without(docs, added).columns], *[F.col(names[c]).alias(c) for c in added])
+
+
+def _with_classes(docs: DataFrame, doc_id: str, text: str, least: float) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with what was found of each, under names that ``docs`` doesn't hold."""
+    classes = stored(near_duplicate_classes(docs, doc_id, text, least), "classes").alias("c")
+    names = {c: unused(f"_{c}", docs.columns) for c in ("node", "class_id", "class_size", "kept", "keepers")}
+    rows = docs.withColumn(names["node"], F.md5(F.col(f"`{text}`").cast("string"))).alias("d")
+    node, own_id = F.col(f"d.{names['node']}"), F.col(f"d.`{doc_id}`")
+    stays = node.isNull() | (node == F.col("c.keeper")) & F.col("c.class_id").eqNullSafe(own_id)
+    found = {
+        "class_id": F.when(node.isNull(), own_id).otherwise(F.col("c.class_id")),
+        "class_size": F.when(node.isNull(), 1).otherwise(F.col("c.class_size")),
+        "kept": stays, "keepers": F.col("c.keepers"), "node": node,
+    }
+    joined = rows.join(classes, node == F.col("c.node"), "left")
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], *[value.alias(names[c]) for c, value in found.items()]), names
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
-    kept = _with_classes(docs, doc_id, text, least).where("kept")
-    once = kept.where("_node is null or _keepers = 1")
-    repeated = kept.where("_keepers > 1").dropDuplicates(["_node"])
+    marked, names = _with_classes(docs, doc_id, text, least)
+    kept = marked.where(F.col(names["kept"]))
+    once = kept.where(F.col(names["node"]).isNull() | (F.col(names["keepers"]) == 1))
+    repeated = kept.where(F.col(names["keepers"]) > 1).dropDuplicates([names["node"]])
     return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
