@@ -22,6 +22,8 @@ from rackwise.sources.workspace import new_folder
 
 AS_OF = dt.date(2001, 7, 15)
 START, END = dt.date(2001, 6, 15), dt.date(2001, 7, 15)
+# The sizes that get a column; the sample shop has more.
+PIVOT_SIZES = [*[str(size) for size in range(1, 46)], None]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -343,7 +345,7 @@ QUERIES: dict[str, Query] = {
     "revenue_by_category": on_shop(lambda t: sales_reports.revenue_by_category(t, START, END)),
     "sell_through_matrix": on_shop(lambda t: inventory.sell_through_matrix(t, START, END)),
     "sell_through_matrix_distinct": on_shop(lambda t: inventory.sell_through_matrix(t, START, END, distinct_items=True)),
-    "sell_through_pivot": on_shop(lambda t: inventory.sell_through_pivot(t, START, END)),
+    "sell_through_pivot": on_shop(lambda t: inventory.sell_through_pivot(t, START, END, sizes=PIVOT_SIZES)),
     "stock_by_stage": on_shop(inventory.stock_by_stage),
     "performance_by_stage": on_shop(lambda t: sales_reports.performance_by_stage(t, START, END)),
     "top_consignors": on_shop(lambda t: sales_reports.top_consignors(t, START, END)),

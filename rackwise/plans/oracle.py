@@ -195,7 +195,7 @@ _KPIS = """
 kpis AS (
   SELECT (SELECT count(*) FROM stock) AS total_stock, n AS period_sales_count, revenue AS period_revenue,
          CASE WHEN listed > 0 THEN n / listed * 100 ELSE 0 END AS sell_through_rate,
-         COALESCE((SELECT CAST(sum(s.date - i.listed_at) AS DOUBLE) / count(*) FROM sales s JOIN items i ON s.sku = i.sku
+         COALESCE((SELECT avg(s.date - i.listed_at) FROM sales s JOIN items i ON s.sku = i.sku
                    WHERE s.date >= DATE '2001-06-15' AND s.date <= DATE '2001-07-15'), 0) AS avg_days_to_sell
   FROM (SELECT count(*) AS n, COALESCE(CAST(sum(net) AS DOUBLE), 0) AS revenue FROM sales
         WHERE date >= DATE '2001-06-15' AND date <= DATE '2001-07-15'),
@@ -261,6 +261,11 @@ def _filled(text: str, value: str) -> str:
     return f"'{before}' || {value} || '{after}'"
 
 
+def _rate_columns() -> str:
+    sizes = [(str(k), f"= '{k}'") for k in range(1, 46)] + [("null", "IS NULL")]
+    return ", ".join(f'COALESCE(max(rate) FILTER (size {test}), 0) AS "{name}"' for name, test in sizes)
+
+
 _STAGE_LONG, _STAGE_SHORT = _stages(STAGE_LONG, STAGE_OTHER), _stages(STAGE_SHORT, STAGE_OTHER)
 _STAGE_PERCENT = _stages(STAGE_PERCENT)
 _ALL_ITEM_FIELDS = """sku, consignor_id, acquisition_type, category, subcategory, brand, gender, size, fit,
@@ -442,11 +447,11 @@ ORACLE_SQL: dict[str, str] = {
     "markdown_pending": f"""{_with()} SELECT count(*) AS markdown_pending FROM stock WHERE (age > 30 AND markdown_stage = 0)
       OR (age > 60 AND markdown_stage = 1) OR (age > 90 AND markdown_stage = 2)""",
     "old_items": f"{_with()} SELECT count(*) AS old_items FROM stock WHERE age > 90",
-    "overstocked_categories": f"""{_with()} SELECT count(DISTINCT category) FILTER (place > 20) AS overstocked_categories
-      FROM (SELECT category, row_number() OVER (PARTITION BY category ORDER BY sku) AS place FROM stock)""",
+    "overstocked_categories": f"""{_with()} SELECT count(*) AS overstocked_categories
+      FROM (SELECT category FROM stock WHERE category IS NOT NULL GROUP BY category HAVING count(*) > 20)""",
     "action_summary": f"""{_with(_PENDING)}, checks AS (
         SELECT (SELECT count(*) FROM due) AS pending, (SELECT count(*) FROM stock WHERE age > 90) AS old,
-               (SELECT count(*) FROM (SELECT category, count(*) AS n FROM stock GROUP BY ALL) WHERE n > 20) AS full_cats)
+               (SELECT count(DISTINCT category) FROM (SELECT category FROM stock GROUP BY category HAVING count(*) > 20)) AS full_cats)
       SELECT CAST(1 AS INTEGER) AS action_no, {_filled(ACTION_MARKDOWN, 'pending')} AS action FROM checks WHERE pending > 0
       UNION ALL SELECT 2, {_filled(ACTION_OLD_ITEMS, 'old')} FROM checks WHERE old > 10
       UNION ALL SELECT 3, {_filled(ACTION_OVERSTOCK, 'full_cats')} FROM checks WHERE full_cats > 0
@@ -459,12 +464,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT i.category, i.size, count(DISTINCT s.sku) AS sold, count(DISTINCT i.sku) AS total
         FROM items i LEFT JOIN sales s ON i.sku = s.sku AND {_IN_PERIOD}
         WHERE i.listed_at >= DATE '2001-06-15' GROUP BY i.category, i.size) WHERE total >= 2""",
-    "sell_through_pivot": f"""{_with(_MATRIX)}, named AS (SELECT category, COALESCE(size, 'null') AS size, rate FROM matrix)
-      SELECT category, COALESCE(COLUMNS(* EXCLUDE (category)), 0) FROM (PIVOT named ON size USING max(rate) GROUP BY category)""",
+    "sell_through_pivot": f"""{_with(_MATRIX)} SELECT category, {_rate_columns()} FROM matrix GROUP BY category""",
     "stock_by_stage": f"""{_with()} SELECT markdown_stage, {_STAGE_LONG} AS stage_name, count(*) AS qty,
       CAST(sum({_PRICE}) AS DOUBLE) AS current_value FROM stock GROUP BY markdown_stage""",
     "performance_by_stage": f"""{_with()} SELECT markdown_stage, {_STAGE_SHORT} AS stage_name, count(*) AS sold_qty,
-      CAST(sum(s.date - i.listed_at) AS DOUBLE) / count(*) AS avg_days FROM sales s JOIN items i ON s.sku = i.sku
+      avg(s.date - i.listed_at) AS avg_days FROM sales s JOIN items i ON s.sku = i.sku
       WHERE {_IN_PERIOD} GROUP BY markdown_stage""",
     "top_consignors": f"""{_with()} SELECT name, items_sold, CAST(net AS DOUBLE) AS total_revenue,
       CAST(net AS DOUBLE) / items_sold AS avg_price FROM (
@@ -479,11 +483,11 @@ ORACLE_SQL: dict[str, str] = {
     "category_ageing": f"{_with(_AGEING)} SELECT * FROM ageing",
     "problem_categories": f"{_with(_AGEING)} SELECT * FROM ageing WHERE old_pct > 50",
     "high_demand": f"""{_with()} SELECT category, size, total_sold, round_even(mean_days, 1) AS avg_days_to_sell FROM (
-        SELECT i.category, i.size, count(*) AS total_sold, CAST(sum(s.date - i.listed_at) AS DOUBLE) / count(*) AS mean_days
+        SELECT i.category, i.size, count(*) AS total_sold, avg(s.date - i.listed_at) AS mean_days
         FROM sales s JOIN items i ON s.sku = i.sku WHERE s.date >= DATE '2001-06-15' GROUP BY i.category, i.size)
       WHERE total_sold >= 3 AND mean_days <= 14 ORDER BY total_sold DESC, mean_days, category, size LIMIT 10""",
     "high_demand_of_a_year": f"""{_with()} SELECT category, size, total_sold, round_even(mean_days, 1) AS avg_days_to_sell FROM (
-        SELECT i.category, i.size, count(*) AS total_sold, CAST(sum(s.date - i.listed_at) AS DOUBLE) / count(s.date - i.listed_at) AS mean_days
+        SELECT i.category, i.size, count(*) AS total_sold, avg(s.date - i.listed_at) AS mean_days
         FROM sales s JOIN items i ON s.sku = i.sku WHERE s.date >= DATE '2001-07-15' - 365 GROUP BY i.category, i.size)
       WHERE total_sold >= 2 AND mean_days <= 300
       ORDER BY total_sold DESC, mean_days, category NULLS FIRST, size NULLS FIRST LIMIT 10""",

@@ -32,7 +32,8 @@ def sorted_rows(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
 
 
 def differences(spark_df, con, sql: str) -> list[str]:
-    cursor = con.execute(sql)
+    con.execute(f"CREATE OR REPLACE VIEW counterpart AS {sql}")  # a counterpart must also do as a view
+    cursor = con.execute("SELECT * FROM counterpart")
     want_names, want = sorted_rows([d[0] for d in cursor.description], cursor.fetchall())
     names, got = sorted_rows(spark_df.columns, spark_df.collect())
     if names != want_names:

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL counterpart on the smallest test data."""
+"""Every registered query against its SQL counterpart on two sizes of test data."""
 
 import os
 
@@ -9,17 +9,18 @@ import __spark_entry__ as entry_points
 from rackwise.plans.catalogue import QUERIES
 from rackwise.plans.oracle import ORACLE_SQL as ORACLES
 
-FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+FOLDERS = [os.environ["TEST_SF_DIR"]] if "TEST_SF_DIR" in os.environ else ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 
 
 @pytest.fixture(scope="module")
-def con():
-    return connect(FOLDER)
+def connections():
+    return {folder: connect(folder) for folder in FOLDERS}
 
 
+@pytest.mark.parametrize("folder", FOLDERS)
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_matches_sql(spark, con, name):
-    assert differences(QUERIES[name](spark, FOLDER), con, ORACLES[name]) == []
+def test_matches_sql(spark, connections, name, folder):
+    assert differences(QUERIES[name](spark, folder), connections[folder], ORACLES[name]) == []
 
 
 def test_every_query_has_an_oracle_and_is_registered():
