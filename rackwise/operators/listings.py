@@ -20,7 +20,7 @@ from rackwise.sources.tables import Tables
 LABEL_COLUMNS = ["sku", "category", "brand", "size", "condition", "list_price", "markdown_stage"]
 
 
-def _newest_first() -> list[Column]:
+def newest_first() -> list[Column]:
     return [F.col("listed_at").desc(), F.col("sku").desc()]
 
 
@@ -67,7 +67,7 @@ def stock_list(t: Tables) -> DataFrame:
     return t.items.select(
         "sku", "consignor_id", "acquisition_type", "category", "brand", "size", "condition", "list_price",
         "markdown_stage", markdown_price().alias("preco_atual"), "channel_listed", "listed_at", "photos_url", "active",
-    ).orderBy(*_newest_first())
+    ).orderBy(*newest_first())
 
 
 def sales_history(t: Tables) -> DataFrame:
@@ -86,7 +86,7 @@ def recent_stock(t: Tables, n: int = 100, variant: str = "photo") -> DataFrame:
     blank_if_missing = [F.coalesce(F.col(c), F.lit("")) for c in ("category", "brand", "size")]
     text = strip(F.concat(F.col("sku"), F.lit(" - "), F.concat_ws(" ", *blank_if_missing)))
     return (
-        t.items.filter(in_stock()).orderBy(*_newest_first()).limit(n)
+        t.items.filter(in_stock()).orderBy(*newest_first()).limit(n)
         .select(*columns, text.alias("picker_text"), F.split(text, " - ")[0].alias("picked_sku"))
     )
 
@@ -108,7 +108,7 @@ def gallery(t: Tables, category: str | None = None, brand: str | None = None, wi
     if with_photos:
         items = items.filter(has_photo())
     marked_down = percent_off().isNotNull()
-    return items.orderBy(*_newest_first()).select(
+    return items.orderBy(*newest_first()).select(
         "sku", "category", "brand", "size", "condition", "list_price", "markdown_stage", "photos_url",
         item_title().alias("title"),
         markdown_price(rounded_to_cents=False).alias("current_price"),
@@ -158,12 +158,12 @@ def label_batch(
         items = items.filter(F.col("category") == category)
     if max_age is not None:
         items = items.filter(at_most_old("listed_at", as_of, max_age))
-    return items.orderBy(*_newest_first()).limit(n).select(*LABEL_COLUMNS)
+    return items.orderBy(*newest_first()).limit(n).select(*LABEL_COLUMNS)
 
 
 def markdown_label_items(t: Tables, stage: int, n: int = 20) -> DataFrame:
     """Newest items in stock at a markdown stage."""
     return (
         t.items.filter(in_stock() & (F.col("markdown_stage") == stage))
-        .orderBy(*_newest_first()).limit(n).select(*LABEL_COLUMNS)
+        .orderBy(*newest_first()).limit(n).select(*LABEL_COLUMNS)
     )

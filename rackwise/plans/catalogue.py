@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from rackwise.operators import (
     abc, consignors, ids, intake, inventory, kpis, labels, listings, markdown, merge, photos, quality, registration,
     sales_reports,
 )
+from rackwise.sources import store
 from rackwise.sources.sample_shop import CHANGE_ORDER, SALE_ORDER, SampleShop
 from rackwise.sources.schema import DEFAULTS, SCHEMAS
 from rackwise.sources.tables import load_table, run_sql, write_csv, write_table
@@ -105,6 +107,62 @@ def delete_items(t: SampleShop) -> DataFrame:
     return merge.delete_keys(t.items, keys, "sku").select("sku", "category", "list_price")
 
 
+# --- tables changed month by month ---------------------------------------------------------------
+
+
+def item_store(spark: SparkSession, folder: str) -> tuple[SampleShop, str]:
+    """The sample shop, and a store of its own with its tables."""
+    t, path = SampleShop(spark, folder), new_folder(spark, "store")
+    store.create_store(t.tables(), path)
+    return t, path
+
+
+def upsert_items_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    t, path = item_store(spark, folder)
+    keyed, _ = merge.split_keyless(t.item_changes, "sku")
+    store.upsert_by_month(spark, path, "items", keyed, order_by=CHANGE_ORDER, defaults=DEFAULTS["items"])
+    return load_table(spark, path, "items").select("sku", "category", "list_price", "channel_listed", "notes", "cost", "markdown_stage", "active")
+
+
+def relisted_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes that list items anew, and so move them to other months."""
+    t, path = item_store(spark, folder)
+    relisted = t.item_changes.where("sku is not null").select("sku", "list_price", F.col("changed_at").alias("listed_at"), *CHANGE_ORDER)
+    store.upsert_by_month(spark, path, "items", relisted, order_by=CHANGE_ORDER, defaults=DEFAULTS["items"])
+    return load_table(spark, path, "items").select("sku", "category", "list_price", "listed_at", "active")
+
+
+def delete_items_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    t, path = item_store(spark, folder)
+    store.delete_by_month(spark, path, "items", t.item_changes.select("sku"))
+    return load_table(spark, path, "items").select("sku", "category", "list_price")
+
+
+def markdowns_in_two_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A run over the whole table, then, twenty days later, one over the months in which an item came of age."""
+    t, path = SampleShop(spark, folder), new_folder(spark, "store")
+    before = AS_OF - dt.timedelta(days=20)
+    first = dataclasses.replace(t.tables(), items=markdown.apply_markdowns(t.items, before))
+    store.create_store(first, path)
+    store.markdown_by_month(spark, path, before, AS_OF)
+    return load_table(spark, path, "items").select("sku", "listed_at", "markdown_stage")
+
+
+def item_lookup_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    t, path = item_store(spark, folder)
+    return store.rows_by_key(spark, path, "items", t.item_changes.select("sku")).select("sku", "category", "list_price", "markdown_stage", "sold_at")
+
+
+def newest(report: Callable[..., DataFrame], n: int, wanted: str = "true") -> Query:
+    """A report on the newest items from a store, of which only the newest months are opened."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        _, path = item_store(spark, folder)
+        return report(store.newest_tables(spark, path, n, wanted))
+
+    return run
+
+
 def payouts_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "payouts-csv")
     report = sales_reports.payout_report(SampleShop(spark, folder), START, END)
@@ -290,6 +348,14 @@ QUERIES: dict[str, Query] = {
     "upsert_consignors": on_shop(upsert_consignors),
     "delete_consignors": on_shop(delete_consignors),
     "delete_sales": on_shop(delete_sales),
+    "upsert_items_by_month": upsert_items_by_month,
+    "relisted_items": relisted_items,
+    "delete_items_by_month": delete_items_by_month,
+    "markdowns_in_two_runs": markdowns_in_two_runs,
+    "item_lookup_by_month": item_lookup_by_month,
+    "newest_stock": newest(listings.recent_stock, 100),
+    "newest_labels": newest(lambda t: listings.label_batch(t, AS_OF, category="SMALL", max_age=30), 10, "category = 'SMALL'"),
+    "newest_markdown_labels": newest(lambda t: listings.markdown_label_items(t, 2), 20, "markdown_stage = 2"),
     "payouts_csv": payouts_csv,
     "photo_list_csv": photo_list_csv,
     "photo_inventory": on_shop(photo_inventory),

@@ -539,3 +539,15 @@ ORACLE_SQL: dict[str, str] = {
     "label_sheets": f"{_with()} {_slots(2, 4)}",
     "label_sheet_first": f"{_with()} SELECT * FROM ({_slots(3, 6)}) WHERE slot < 18",
 }
+
+# Another way to the same rows.
+ORACLE_SQL |= {same: ORACLE_SQL[name] for same, name in {
+    "upsert_items_by_month": "upsert_items", "delete_items_by_month": "delete_items", "markdowns_in_two_runs": "apply_markdowns",
+    "item_lookup_by_month": "item_lookup", "newest_stock": "recent_stock_photo", "newest_labels": "label_batch_filtered",
+    "newest_markdown_labels": "markdown_label_items",
+}.items()}
+ORACLE_SQL["relisted_items"] = f"""{_with(_CHANGES)}
+  SELECT i.sku, category, CASE WHEN n.sku IS NULL THEN i.list_price ELSE n.list_price END AS list_price,
+    CASE WHEN n.sku IS NULL THEN i.listed_at ELSE n.changed_at END AS listed_at, active
+  FROM items i LEFT JOIN last_changes n ON n.sku = i.sku
+  UNION ALL SELECT sku, NULL, list_price, changed_at, 1 FROM last_changes WHERE sku NOT IN (SELECT sku FROM items)"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
-from rackwise.sources.schema import SCHEMAS
+from rackwise.sources.schema import KEYS, SCHEMAS
 
 # What the CSV reader puts for a bare gap; a text no cell holds, so that "" stays an empty string.
 _GAP = "\u0001"
@@ -20,8 +20,8 @@ _GAP = "\u0001"
 _VIEWS = Lock()
 
 # The tables that are laid out by month, and of which date.
-_DATED = {"sales": "date", "items": "listed_at"}
-_MONTH = "month_of_row"
+DATED = {"sales": "date", "items": "listed_at"}
+MONTH = "month_of_row"
 
 
 @dataclass(frozen=True)
@@ -62,12 +62,12 @@ def load_table(
     path, schema = f"{folder}/{name}", SCHEMAS[name]
     if fmt == "csv":
         return _read_csv(spark, path, schema, multi_line)
-    if name not in _DATED:
+    if name not in DATED:
         return spark.read.schema(schema).parquet(path)
-    stored = spark.read.schema(StructType([*schema.fields, StructField(_MONTH, StringType())])).parquet(path)
+    stored = spark.read.schema(StructType([*schema.fields, StructField(MONTH, StringType())])).parquet(path)
     if period is not None:
-        stored = stored.filter((F.col(_MONTH) >= f"{period[0]:%Y-%m}") & (F.col(_MONTH) <= f"{period[1]:%Y-%m}"))
-    return stored.drop(_MONTH)
+        stored = stored.filter((F.col(MONTH) >= f"{period[0]:%Y-%m}") & (F.col(MONTH) <= f"{period[1]:%Y-%m}"))
+    return stored.drop(MONTH)
 
 
 def _read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
@@ -96,11 +96,14 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
     path = f"{folder}/{name}"
     if fmt == "csv":
         write_csv(df, path)
-    elif name in _DATED:
+    elif name in DATED:
         # Dealt by date, so a task writes to few months and a busy month is written by many tasks.
-        date = _DATED[name]
-        dated = df.withColumn(_MONTH, F.date_format(date, "yyyy-MM")).repartitionByRange(date, "sku")
-        dated.write.mode("errorifexists").partitionBy(_MONTH).parquet(path)
+        date = DATED[name]
+        dated = df.withColumn(MONTH, F.date_format(date, "yyyy-MM")).repartitionByRange(date, "sku")
+        key = KEYS[name]
+        # A look-up by key skips row groups whose Bloom filter rules the key out.
+        blooms = {f"parquet.bloom.filter.enabled#{key}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        dated.write.mode("errorifexists").options(**blooms).partitionBy(MONTH).parquet(path)
     else:
         df.write.mode("errorifexists").parquet(path)
 
