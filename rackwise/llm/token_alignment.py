@@ -8,6 +8,7 @@ import os
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +21,7 @@ from rackwise.llm.common import mapped, stored, unused, without
 
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HEAD_PAIRS = 1 << 18  # pairs of ids whose counts every task holds: 17 bytes each; the rest is joined
-CHUNKS_HELD, SLICE_CHARS = 200_000, 1 << 21
+CHUNKS_HELD, SLICE_CHARS, JOINED = 300_000, 1 << 21, 2000
 ADDED = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 _B_BITS = 20
 # A new chunk starts at a space after something else than white space, unless only white space follows.
@@ -47,35 +48,35 @@ class ByteTokenizer:
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
+        split = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+            raise ValueError(f"{path} may form tokens across spaces")
+        self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
         self._encode = self._ranked(spec, vocab, ranks) or self._plain(path)
 
     @staticmethod
     def _ranked(spec: dict, vocab: dict, ranks: dict):
         """The same tokens faster, where ids are numbered in the order of merges, as this kind of file mostly does."""
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        split = spec.get("pre_tokenizer") or {}
-        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
-            return None
         if any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
             return None
         import tiktoken
 
         # Fixed value: how byte-level BPE of this kind splits a text before merging.
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda texts: [plain(t) for t in texts]
+        whole = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: whole.encode_to_numpy(text, disallowed_special=())
 
     @staticmethod
     def _plain(path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
-        return lambda texts: [e.ids for e in whole.encode_batch(list(texts), add_special_tokens=False)]
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        return self._encode(texts)
+    def encode(self, text: str) -> np.ndarray:
+        return np.asarray(self._encode(text), np.int64)
 
 
 class PieceTokenizer:
@@ -87,11 +88,12 @@ class PieceTokenizer:
         self._model = SentencePieceProcessor(model_file=path)
         pieces = [self._model.id_to_piece(i) for i in range(self._model.vocab_size())]
         self.bytes_of = [bytes([int(p[3:-1], 16)]) if self._model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        # No piece goes on past a space: then what lies between two chunks can be encoded on its own.
-        self.ends_at_spaces = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError(f"{path} may form tokens across spaces")
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        return self._model.encode(list(texts), num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self._model.encode(text), np.int64)
 
 
 def chunks_of(text: str) -> list[str]:
@@ -138,21 +140,38 @@ class Aligned:
     codes: np.ndarray  # links of all chunks, one chunk after the other: A id and B id in one number
 
 
-def align_chunks(chunks: Sequence[str], a: ByteTokenizer, b: PieceTokenizer) -> Aligned:
+def _encoded(chunks: Sequence[str], a: ByteTokenizer, b: PieceTokenizer) -> Iterator[tuple[list[bool], list[int], np.ndarray, np.ndarray]]:
+    """Of some of the chunks at a time: which ones the tokens give back, their lengths in bytes (0 if not), and both sides' ids.
+
+    Chunks are encoded joined by spaces, ``JOINED`` at a time, as no token spans a space between them.
+    Chunks that end in white space go alone, and so do all chunks of a stretch that isn't given back whole.
+    """
+    joined = [k for k, c in enumerate(chunks) if c and not c[-1].isspace()]
+    if len(joined) != len(chunks) and joined != list(range(len(joined))):
+        raise ValueError("chunks that end in white space come last")
+    stretches = [(at, min(at + JOINED, len(joined))) for at in range(0, len(joined), JOINED)] + [(k, k + 1) for k in range(len(joined), len(chunks))]
+    while stretches:
+        start, stop = stretches.pop(0)
+        some = chunks[start:stop]
+        text = " ".join(some)
+        ids, whole = (a.encode(" " + text), b.encode(text)), (" " + text).encode("utf-8", "replace")
+        if all(b"".join(map(side.bytes_of.__getitem__, i.tolist())) == whole for side, i in zip((a, b), ids, strict=True)):
+            yield [True] * len(some), [len(c.encode()) + 1 for c in some], *ids
+        elif len(some) == 1:
+            yield [False], [0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        else:
+            stretches[:0] = [(k, k + 1) for k in range(start, stop)]
+
+
+def align_chunks(chunks: Sequence[str], a: ByteTokenizer, b: PieceTokenizer, with_texts: bool = True) -> Aligned:
     """Encode and align the chunks, laid end to end. A chunk whose bytes the tokens don't give back is not ``fine``."""
-    a_ids, b_ids = a.encode([" " + c for c in chunks]), b.encode(chunks)
-    fine = np.ones(len(chunks), bool)
-    wanted = []
-    for k, chunk in enumerate(chunks):
-        whole = (" " + chunk).encode("utf-8", "replace")
-        if b"".join(map(a.bytes_of.__getitem__, a_ids[k])) != whole or b"".join(map(b.bytes_of.__getitem__, b_ids[k])) != whole:
-            a_ids[k], b_ids[k], fine[k], whole = [], [], False, b""
-        wanted.append(len(whole))
-    n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(chunks)) for ids in (a_ids, b_ids))
-    flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
-    lengths = [np.array([len(t) for t in side.bytes_of], np.int64) for side in (a, b)]
-    a_length, b_length = lengths[0][flat_a], lengths[1][flat_b]
+    parts = list(_encoded(chunks, a, b))
+    fine = np.array([f for p in parts for f in p[0]], bool)
+    chunk_end = np.cumsum([n for p in parts for n in p[1]])
+    flat_a, flat_b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in (2, 3))
+    a_length, b_length = a.lengths[flat_a], b.lengths[flat_b]
     a_end, b_end = np.cumsum(a_length), np.cumsum(b_length)
+    n_a, n_b = (np.diff(np.searchsorted(end, chunk_end, "right"), prepend=0) for end in (a_end, b_end))
     a_group, b_group, left, right = coalesce(a_length, b_length, a_end - a_length, b_end - b_length)
     together = a_end[left] == b_end[right]
     left, right = left[together], right[together]
@@ -161,23 +180,27 @@ def align_chunks(chunks: Sequence[str], a: ByteTokenizer, b: PieceTokenizer) ->
     ends_group = np.ones(len(a_group), bool)
     ends_group[:-1] = a_group[1:] != a_group[:-1]
     n_groups = np.bincount(chunk_of_a[ends_group], minlength=len(chunks))
-    texts = _group_texts(len(chunks), chunk_of_a, np.repeat(np.arange(len(chunks)), n_b), flat_a, flat_b, a_group, b_group)
+    texts = _group_texts(n_a + n_b, flat_a, flat_b, a_group, b_group, len(a.bytes_of) + len(b.bytes_of)) if with_texts else []
     return Aligned(n_a, n_b, n_groups, n_links, fine, texts, flat_a[left] << _B_BITS | flat_b[right])
 
 
-def _group_texts(n: int, chunk_a: np.ndarray, chunk_b: np.ndarray, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> list[str]:
-    """Of each chunk its groups as ``a1,a2|b1;a3|b2``."""
+@cache
+def _marked_numbers(n: int) -> list[str]:
+    """Every id followed by ``,``, then every id followed by ``|``, then by ``;``."""
+    return [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+
+
+def _group_texts(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, n_ids: int) -> list[str]:
+    """Of each chunk, by its number of tokens, its groups as ``a1,a2|b1;a3|b2``."""
     side = np.repeat([0, 1], [len(a), len(b)])
-    group, chunk, ids = np.concatenate([a_group, b_group]), np.concatenate([chunk_a, chunk_b]), np.concatenate([a, b])
-    order = np.lexsort((side, group))
-    group, chunk, side, ids = group[order], chunk[order], side[order], ids[order]
+    group, ids = np.concatenate([a_group, b_group]), np.concatenate([a, b])
+    order = np.argsort(group * 2 + side, kind="stable")
+    group, side, ids = group[order], side[order], ids[order]
     after = np.zeros(len(ids), np.int64)
-    after[:-1] = np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
-    marks = [",", "|", ";"]
-    words = [f"{i}{marks[m]}" for i, m in zip(ids.tolist(), after.tolist(), strict=True)]
-    ends = np.searchsorted(chunk, np.arange(n), "right").tolist()
+    after[:-1] = np.where(group[1:] != group[:-1], 2, (side[1:] != side[:-1]).astype(np.int64))
+    words = list(map(_marked_numbers(n_ids).__getitem__, (ids + after * n_ids).tolist()))
     out, at = [], 0
-    for end in ends:
+    for end in np.cumsum(sizes).tolist():
         out.append("".join(words[at:end])[:-1])
         at = end
     return out
@@ -188,8 +211,6 @@ class _Reader:
 
     def __init__(self, folder: str, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
         self.a, self.b = ByteTokenizer(os.path.join(folder, BYTE_FILE)), PieceTokenizer(os.path.join(folder, PIECE_FILE))
-        if not self.b.ends_at_spaces:
-            raise ValueError("the piece vocabulary has pieces that go on past a space")
         self.counts = counts
         self.clear()
 
@@ -200,12 +221,11 @@ class _Reader:
         self.codes, self.rest = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, docs: list[list[str]]) -> None:
-        new = [c for c in set(chain.from_iterable(docs)) if c not in self.known]
+        new = sorted(set(chain.from_iterable(docs)) - self.known.keys(), key=lambda c: not c or c[-1].isspace())
         if not new:
             return
-        more = align_chunks(new, self.a, self.b)
-        for c in new:
-            self.known[c] = len(self.known)
+        more = align_chunks(new, self.a, self.b, self.counts is not None)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.texts += more.texts
         columns = [more.n_a, more.n_b, more.n_groups, more.n_links, (~more.fine).astype(np.int64)]
         owner = np.repeat(np.arange(len(new)), more.n_links)
