@@ -31,8 +31,12 @@ def kpis(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
         total("net_sum").alias("revenue"),
         mean_days_to_sell().alias("mean_days"),
     )
+    return kpi_row(both)
+
+
+def kpi_row(sums: DataFrame) -> DataFrame:
     n_sold = F.coalesce("n_sold", F.lit(0).cast("bigint"))
-    return both.select(
+    return sums.select(
         "total_stock",
         n_sold.alias("period_sales_count"),
         F.coalesce("revenue", F.lit(0.0)).alias("period_revenue"),

@@ -61,12 +61,12 @@ def revenue_by_category(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
 def performance_by_stage(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
     """Sales in the period and mean days to sell, by the item's markdown stage."""
     sales = t.sales.filter(in_period("date", start, end))
-    return (
-        sold_items(sales, t.items, "markdown_stage").groupBy("markdown_stage")
-        .agg(F.sum("n_sales").alias("sold_qty"), mean_days_to_sell().alias("avg_days"))
-        .select("markdown_stage", stage_name(style="short").alias("stage_name"), "sold_qty", "avg_days")
-        .orderBy("markdown_stage")
-    )
+    return stage_report(sold_items(sales, t.items, "markdown_stage").groupBy("markdown_stage")
+                        .agg(F.sum("n_sales").alias("sold_qty"), mean_days_to_sell().alias("avg_days")))
+
+
+def stage_report(sums: DataFrame) -> DataFrame:
+    return sums.select("markdown_stage", stage_name(style="short").alias("stage_name"), "sold_qty", "avg_days").orderBy("markdown_stage")
 
 
 def high_demand(
@@ -74,10 +74,14 @@ def high_demand(
 ) -> DataFrame:
     """Category and size pairs that sold often and fast in the last ``days`` days."""
     sales = t.sales.filter(since("date", as_of, days))
+    sums = sold_items(sales, t.items, "category", "size").groupBy("category", "size").agg(
+        F.sum("n_sales").alias("total_sold"), mean_days_to_sell().alias("avg_days_to_sell"))
+    return demand_report(sums, min_sold, max_mean_days, n)
+
+
+def demand_report(sums: DataFrame, min_sold: int, max_mean_days: float, n: int) -> DataFrame:
     return (
-        sold_items(sales, t.items, "category", "size").groupBy("category", "size")
-        .agg(F.sum("n_sales").alias("total_sold"), mean_days_to_sell().alias("avg_days_to_sell"))
-        .filter((F.col("total_sold") >= min_sold) & (F.col("avg_days_to_sell") <= max_mean_days))
+        sums.filter((F.col("total_sold") >= min_sold) & (F.col("avg_days_to_sell") <= max_mean_days))
         .orderBy(F.col("total_sold").desc(), "avg_days_to_sell", "category", "size").limit(n)
         .withColumn("avg_days_to_sell", F.bround("avg_days_to_sell", 1))
     )
@@ -93,8 +97,11 @@ def _by_consignor(sales: DataFrame) -> DataFrame:
 @over_period
 def top_consignors(t: Tables, start: dt.date, end: dt.date, n: int = 10) -> DataFrame:
     """Consignors with the highest net revenue in the period, by the consignor noted on the sale."""
-    names = t.consignors.select("id", "name")
-    sold = _by_consignor(t.sales.filter(in_period("date", start, end)))
+    return top_report(_by_consignor(t.sales.filter(in_period("date", start, end))), t.consignors, n)
+
+
+def top_report(sold: DataFrame, consignors: DataFrame, n: int) -> DataFrame:
+    names = consignors.select("id", "name")
     return (
         sold.join(names, F.col("consignor_id") == F.col("id"))
         .orderBy(F.col("net_sum").desc(), "id").limit(n)
@@ -131,10 +138,16 @@ def payouts(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
 
     Sales without a consignor are left out; a deleted consignor keeps a row with an empty name.
     """
-    owners = t.consignors.select(F.col("id").alias("_id"), "name", "pix_key", "percent")
-    # Unlike in the other reports, a sale without a price still gives its discount.
-    sales = t.sales.filter(in_period("date", start, end)).withColumn("sale_price", F.coalesce("sale_price", F.lit(0.0)))
-    sold = _by_consignor(sales)
+    return payout_totals(_by_consignor(any_price(t.sales.filter(in_period("date", start, end)))), t.consignors)
+
+
+def any_price(sales: DataFrame) -> DataFrame:
+    """Unlike in the other reports, in payouts a sale without a price still gives its discount."""
+    return sales.withColumn("sale_price", F.coalesce("sale_price", F.lit(0.0)))
+
+
+def payout_totals(sold: DataFrame, consignors: DataFrame) -> DataFrame:
+    owners = consignors.select(F.col("id").alias("_id"), "name", "pix_key", "percent")
     totals = sold.join(owners, F.col("consignor_id") == F.col("_id"), "left").select(
         "consignor_id", "name", "pix_key", F.coalesce("percent", F.lit(fixed.DEFAULT_PERCENT)).alias("percent"),
         (F.coalesce("net_sum", F.lit(0).cast("bigint")) / MONEY_UNIT).alias("total_net"), F.col("n_sales").alias("qtd"),

@@ -13,13 +13,13 @@ from rackwise.functions import columns as col
 from rackwise.functions.dates import age_in_days
 from rackwise.functions.fixed_values import SHEET_2X4, SHEET_3X6
 from rackwise.operators import (
-    abc, consignors, ids, intake, inventory, kpis, labels, listings, markdown, merge, photos, quality, registration,
+    abc, consignors, ids, intake, inventory, kpis, labels, listings, markdown, merge, photos, quality, registration, rollups,
     sales_reports,
 )
 from rackwise.sources import store
 from rackwise.sources.sample_shop import CHANGE_ORDER, SALE_ORDER, SampleShop
 from rackwise.sources.schema import DEFAULTS, SCHEMAS
-from rackwise.sources.tables import load_table, run_sql, write_csv, write_table
+from rackwise.sources.tables import Tables, load_table, run_sql, write_csv, write_table
 from rackwise.sources.workspace import new_folder
 
 AS_OF = dt.date(2001, 7, 15)
@@ -163,6 +163,40 @@ def newest(report: Callable[..., DataFrame], n: int, wanted: str = "true") -> Qu
     return run
 
 
+# --- reports from stored sums ---------------------------------------------------------------------
+
+
+def rolled(report: Callable[[rollups.Rollups, SampleShop], DataFrame]) -> Query:
+    """A report from sums of the sample shop's sales, stored first."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        t, path = SampleShop(spark, folder), new_folder(spark, "rollups")
+        rollups.create_rollups(t.tables(), path)
+        return report(rollups.load_rollups(spark, path), t)
+
+    return run
+
+
+def refreshed(report: Callable[[rollups.Rollups, SampleShop], DataFrame]) -> Query:
+    """A report from sums that were stored before the last two months' sales came and before items were reduced, and then
+    summed anew where that changed them."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        t, path, sums = SampleShop(spark, folder), new_folder(spark, "store"), new_folder(spark, "rollups")
+        late = F.col("date") >= F.lit(END - dt.timedelta(days=45))
+        dearer = t.items.withColumn("markdown_stage", F.when(F.col("category") == "Bolsa", 0).otherwise(F.col("markdown_stage")))
+        before = Tables(t.consignors, dearer, t.sales.where(~late))
+        store.create_store(before, path)
+        rollups.create_rollups(before, sums)
+        came = store.upsert_by_month(spark, path, "sales", t.sales.where(late))
+        reduced = t.items.where("category = 'Bolsa'").select("sku", "markdown_stage")
+        store.upsert_by_month(spark, path, "items", reduced)
+        rollups.refresh_rollups(spark, path, sums, came.months, changed_items=reduced)
+        return report(rollups.load_rollups(spark, sums), t)
+
+    return run
+
+
 def payouts_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "payouts-csv")
     report = sales_reports.payout_report(SampleShop(spark, folder), START, END)
@@ -356,6 +390,15 @@ QUERIES: dict[str, Query] = {
     "newest_stock": newest(listings.recent_stock, 100),
     "newest_labels": newest(lambda t: listings.label_batch(t, AS_OF, category="SMALL", max_age=30), 10, "category = 'SMALL'"),
     "newest_markdown_labels": newest(lambda t: listings.markdown_label_items(t, 2), 20, "markdown_stage = 2"),
+    "rolled_kpis": rolled(lambda r, t: rollups.rolled_kpis(r, START, END, t.items)),
+    "rolled_revenue_by_category": rolled(lambda r, t: rollups.rolled_revenue_by_category(r, START, END)),
+    "rolled_performance_by_stage": rolled(lambda r, t: rollups.rolled_performance_by_stage(r, START, END)),
+    "rolled_high_demand": rolled(lambda r, t: rollups.rolled_high_demand(r, AS_OF, days=365, min_sold=2, max_mean_days=300)),
+    "rolled_top_consignors": rolled(lambda r, t: rollups.rolled_top_consignors(r, START, END, t.consignors)),
+    "rolled_payouts": rolled(lambda r, t: rollups.rolled_payouts(r, START, END, t.consignors)),
+    "rolled_abc_analysis": rolled(lambda r, t: rollups.rolled_abc_analysis(r, START, END)),
+    "refreshed_payouts": refreshed(lambda r, t: rollups.rolled_payouts(r, START, END, t.consignors)),
+    "refreshed_performance_by_stage": refreshed(lambda r, t: rollups.rolled_performance_by_stage(r, START, END)),
     "payouts_csv": payouts_csv,
     "photo_list_csv": photo_list_csv,
     "photo_inventory": on_shop(photo_inventory),

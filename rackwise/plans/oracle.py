@@ -545,6 +545,9 @@ ORACLE_SQL |= {same: ORACLE_SQL[name] for same, name in {
     "upsert_items_by_month": "upsert_items", "delete_items_by_month": "delete_items", "markdowns_in_two_runs": "apply_markdowns",
     "item_lookup_by_month": "item_lookup", "newest_stock": "recent_stock_photo", "newest_labels": "label_batch_filtered",
     "newest_markdown_labels": "markdown_label_items",
+    "rolled_kpis": "kpis", "rolled_revenue_by_category": "revenue_by_category", "rolled_performance_by_stage": "performance_by_stage",
+    "rolled_high_demand": "high_demand_of_a_year", "rolled_top_consignors": "top_consignors", "rolled_payouts": "payouts",
+    "rolled_abc_analysis": "abc_analysis", "refreshed_payouts": "payouts", "refreshed_performance_by_stage": "performance_by_stage",
 }.items()}
 ORACLE_SQL["relisted_items"] = f"""{_with(_CHANGES)}
   SELECT i.sku, category, CASE WHEN n.sku IS NULL THEN i.list_price ELSE n.list_price END AS list_price,

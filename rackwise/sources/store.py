@@ -62,12 +62,12 @@ def create_store(tables: Tables, folder: str, buckets: int = KEY_BUCKETS) -> Non
 
 def store_months(spark: SparkSession, folder: str, name: str) -> list[Month]:
     """The months that have files, newest first, rows without a date last. Files are listed, not opened."""
-    return _ordered({_month_of(file) for file in _table(spark, folder, name).inputFiles()})
+    return _ordered({_month_in(file) for file in _table(spark, folder, name).inputFiles()})
 
 
 def load_months(spark: SparkSession, folder: str, name: str, months: Sequence[Month]) -> DataFrame:
     """The rows of these months alone."""
-    return _table(spark, folder, name).where(_among(MONTH, months)).drop(MONTH)
+    return _table(spark, folder, name).where(among(MONTH, months)).drop(MONTH)
 
 
 def months_of_keys(spark: SparkSession, folder: str, name: str, keys: DataFrame) -> list[Month]:
@@ -91,13 +91,13 @@ def upsert_by_month(
     keys = batch.select(F.col(key).alias("key"))
     months = {*months_of_keys(spark, folder, name, keys)}
     if date in batch.columns:
-        months |= {row[0] for row in batch.select(_month(F.col(date))).distinct().collect()}
+        months |= {row[0] for row in batch.select(month_of(F.col(date))).distinct().collect()}
     elif not keys.join(_entries(spark, folder, name, keys), "key", "left_anti").isEmpty():
         months.add(None)  # new rows without a date
     if not months:
         return Touched()
     merged = upsert(load_months(spark, folder, name, [*months]), batch, key, update_cols, (), defaults)
-    merged = stored(merged.withColumn(MONTH, _month(F.col(date))), "merged")
+    merged = stored(merged.withColumn(MONTH, month_of(F.col(date))), "merged")
     moved = merged.join(keys, F.col(key) == F.col("key"), "left_semi").select(F.col(key).alias("key"), MONTH)
     _add_entries(spark, folder, name, moved)
     return _replace(spark, folder, name, merged, months)
@@ -110,7 +110,7 @@ def delete_by_month(spark: SparkSession, folder: str, name: str, keys: DataFrame
     months = {*months_of_keys(spark, folder, name, batch.select(F.col(key).alias("key")))}
     if not months:
         return Touched()
-    kept = delete_keys(_table(spark, folder, name).where(_among(MONTH, [*months])), batch, key)
+    kept = delete_keys(_table(spark, folder, name).where(among(MONTH, [*months])), batch, key)
     return _replace(spark, folder, name, stored(kept, "kept"), months)
 
 
@@ -210,12 +210,16 @@ def _add_entries(spark: SparkSession, folder: str, name: str, new: DataFrame) ->
 
 
 def _replace(spark: SparkSession, folder: str, name: str, rows: DataFrame, months: set[Month]) -> Touched:
-    """Put ``rows`` (stored elsewhere) in the place of what these months hold."""
+    return replace_months(rows.repartitionByRange(DATED[name], "sku"), f"{folder}/{name}", months)
+
+
+def replace_months(rows: DataFrame, path: str, months: set[Month]) -> Touched:
+    """Put ``rows``, stored elsewhere and with their month in ``MONTH``, in the place of what these months of ``path`` hold."""
     left = {row[0] for row in rows.select(MONTH).distinct().collect()}
-    _overwrite(rows.repartitionByRange(DATED[name], "sku"), f"{folder}/{name}", MONTH)
+    _overwrite(rows, path, MONTH)
     emptied = _ordered(months - left)
     for month in emptied:
-        _drop_folder(spark, f"{folder}/{name}/{MONTH}={month or _NO_MONTH}")
+        _drop_folder(rows.sparkSession, f"{path}/{MONTH}={month or _NO_MONTH}")
     return Touched(_ordered(months | left), emptied)
 
 
@@ -228,16 +232,16 @@ def _drop_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _month(date: Column) -> Column:
+def month_of(date: Column) -> Column:
     return F.date_format(date, "yyyy-MM")
 
 
-def _month_of(file: str) -> Month:
+def _month_in(file: str) -> Month:
     (month,) = (part.partition("=")[2] for part in file.split("/") if part.startswith(f"{MONTH}="))
     return None if month == _NO_MONTH else unquote(month)
 
 
-def _among(column: str, values: Sequence[Month]) -> Column:
+def among(column: str, values: Sequence[Month]) -> Column:
     named = F.col(column).isin([v for v in values if v is not None])
     return named | F.col(column).isNull() if None in values else named
 

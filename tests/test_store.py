@@ -21,7 +21,7 @@ def files(folder, name="items"):
 
 
 def months_in(paths):
-    return {store._month_of(p) for p in paths}
+    return {store._month_in(p) for p in paths}
 
 
 def scanned(spark, df, metric):
