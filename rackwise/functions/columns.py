@@ -71,9 +71,9 @@ def exact_markdown_price(list_price: str | Column = "list_price", stage: str | C
     return money(list_price) * (F.lit(1).cast("decimal(3,2)") - percent_off_fraction(stage))
 
 
-def stock_value() -> Column:
+def stock_value(stage: str | Column = "markdown_stage") -> Column:
     """Aggregate: the sum of unrounded markdown prices."""
-    percent_left = F.lit(100) - (percent_off_fraction() * 100).cast("int")
+    percent_left = F.lit(100) - (percent_off_fraction(stage) * 100).cast("int")
     return total(money_units("list_price") * percent_left, MONEY_UNIT * 100)
 
 

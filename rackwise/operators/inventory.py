@@ -62,12 +62,11 @@ def sell_through_pivot(
 
 def stock_by_stage(t: Tables) -> DataFrame:
     """Items in stock and their value at the current price, by markdown stage."""
-    return (
-        t.items.filter(in_stock()).groupBy("markdown_stage")
-        .agg(F.count("*").alias("qty"), stock_value().alias("current_value"))
-        .select("markdown_stage", stage_name(style="long").alias("stage_name"), "qty", "current_value")
-        .orderBy("markdown_stage")
-    )
+    return stages_report(t.items.filter(in_stock()).groupBy("markdown_stage").agg(F.count("*").alias("qty"), stock_value().alias("current_value")))
+
+
+def stages_report(sums: DataFrame) -> DataFrame:
+    return sums.select("markdown_stage", stage_name(style="long").alias("stage_name"), "qty", "current_value").orderBy("markdown_stage")
 
 
 def slow_movers(t: Tables, as_of: dt.date, min_days: int = 60, below_stage: int = 2, n: int = 5) -> DataFrame:
@@ -89,26 +88,26 @@ def stock_gaps(t: Tables, below: int = 3, n: int = 10) -> DataFrame:
 
 
 def _ageing(t: Tables, as_of: dt.date, min_days: int, over: int) -> DataFrame:
-    return (
-        t.items.filter(in_stock()).groupBy("category")
-        .agg(F.count("*").alias("total_items"), F.count_if(older_than("listed_at", as_of, min_days)).alias("old_items"))
-        .filter(F.col("total_items") > over)
-        .withColumn("old_pct", rate_percent(F.col("old_items"), F.col("total_items")))
-    )
+    old = F.count_if(older_than("listed_at", as_of, min_days)).alias("old_items")
+    return with_ageing(t.items.filter(in_stock()).groupBy("category").agg(F.count("*").alias("total_items"), old), over)
+
+
+def with_ageing(sums: DataFrame, over: int) -> DataFrame:
+    return sums.filter(F.col("total_items") > over).withColumn("old_pct", rate_percent(F.col("old_items"), F.col("total_items")))
 
 
-def _oldest_first() -> list[Column]:
+def oldest_first() -> list[Column]:
     return [F.col("old_pct").desc(), F.col("total_items").desc(), F.col("category").asc()]
 
 
 def category_ageing(t: Tables, as_of: dt.date, min_days: int = 60, over: int = 5) -> DataFrame:
     """Stock per category and how much of it is old, for categories with more than ``over`` items."""
-    return _ageing(t, as_of, min_days, over).orderBy(*_oldest_first())
+    return _ageing(t, as_of, min_days, over).orderBy(*oldest_first())
 
 
 def problem_categories(t: Tables, as_of: dt.date, over_pct: float = 50, min_days: int = 60, over: int = 5) -> DataFrame:
     """Categories most of whose stock is old."""
-    return _ageing(t, as_of, min_days, over).filter(F.col("old_pct") > over_pct).orderBy(*_oldest_first())
+    return _ageing(t, as_of, min_days, over).filter(F.col("old_pct") > over_pct).orderBy(*oldest_first())
 
 
 def low_demand(

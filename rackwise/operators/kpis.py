@@ -90,6 +90,11 @@ def action_summary(
         F.coalesce(F.sum("old"), F.lit(0).cast("bigint")).alias("old"),
         F.count_if((F.col("qty") > overstock) & F.col("category").isNotNull()).alias("overstocked"),
     )
+    return action_report(totals, min_old_items)
+
+
+def action_report(totals: DataFrame, min_old_items: int) -> DataFrame:
+    """The actions that one row of ``pending``, ``old``, ``overstocked`` calls for."""
     pending, old, overstocked = F.col("pending") > 0, F.col("old") > min_old_items, F.col("overstocked") > 0
     rows = [
         (pending, F.format_string(fixed.ACTION_MARKDOWN, "pending")),

@@ -20,14 +20,19 @@ def steps_due(as_of: dt.date) -> Column:
     return reduce(lambda a, b: a | b, steps)
 
 
-def _pending(t: Tables, as_of: dt.date) -> DataFrame:
-    """Items in stock behind their schedule, as the label of the stage they should be at by now."""
+def label_due(as_of: dt.date) -> Column:
+    """The label of the stage an item should be at by now, NULL if it is there."""
     target = None
     for stage, age in sorted(MARKDOWN_AGES.items(), reverse=True):
         late = older_than("listed_at", as_of, age) & (F.col("markdown_stage") < stage)
         label = F.lit(PENDING_LABEL[stage])
         target = F.when(late, label) if target is None else target.when(late, label)
-    return t.items.filter(in_stock()).select(target.alias("update_needed")).filter(F.col("update_needed").isNotNull())
+    return target
+
+
+def _pending(t: Tables, as_of: dt.date) -> DataFrame:
+    """Items in stock behind their schedule, as the label of the stage they should be at by now."""
+    return t.items.filter(in_stock()).select(label_due(as_of).alias("update_needed")).filter(F.col("update_needed").isNotNull())
 
 
 def pending_markdowns(t: Tables, as_of: dt.date) -> DataFrame:

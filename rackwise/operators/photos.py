@@ -16,35 +16,44 @@ from rackwise.sources.tables import Tables
 
 def photo_stats(t: Tables) -> DataFrame:
     """Items in stock with and without photos, and both in percent of the stock."""
-    total = F.col("total_items")
-    return t.items.filter(in_stock()).agg(
+    return stats_report(t.items.filter(in_stock()).agg(
         F.count("*").alias("total_items"), F.count_if(has_photo()).alias("with_photos"), F.count_if(no_photo()).alias("without_photos")
-    ).withColumns({
+    ))
+
+
+def stats_report(sums: DataFrame) -> DataFrame:
+    total = F.col("total_items")
+    return sums.withColumns({
         "with_pct": rate_percent(F.col("with_photos"), total),
         "without_pct": rate_percent(F.col("without_photos"), total),
     })
 
 
 def _coverage(t: Tables) -> DataFrame:
-    return (
-        t.items.filter(in_stock()).groupBy("category")
-        .agg(F.count("*").alias("total"), F.count_if(has_photo()).alias("with_photos"))
-        .withColumn("coverage_pct", rate_percent(F.col("with_photos"), F.col("total")))
-    )
+    sums = t.items.filter(in_stock()).groupBy("category").agg(F.count("*").alias("total"), F.count_if(has_photo()).alias("with_photos"))
+    return with_coverage(sums)
+
+
+def with_coverage(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("coverage_pct", rate_percent(F.col("with_photos"), F.col("total")))
 
 
-def _worst_first() -> list[Column]:
+def worst_first() -> list[Column]:
     return [F.col("coverage_pct").asc(), F.col("total").desc(), F.col("category").asc()]
 
 
 def photo_coverage(t: Tables) -> DataFrame:
     """Photo coverage of the stock by category, worst first."""
-    return _coverage(t).orderBy(*_worst_first())
+    return _coverage(t).orderBy(*worst_first())
 
 
 def low_photo_coverage(t: Tables, min_total: int = 3, below_pct: float = 50) -> DataFrame:
+    return low_coverage(_coverage(t), min_total, below_pct)
+
+
+def low_coverage(coverage: DataFrame, min_total: int, below_pct: float) -> DataFrame:
     low = (F.col("total") >= min_total) & (F.col("coverage_pct") < below_pct)
-    return _coverage(t).filter(low).orderBy(*_worst_first())
+    return coverage.filter(low).orderBy(*worst_first())
 
 
 def photo_worklist(

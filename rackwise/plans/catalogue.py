@@ -13,7 +13,7 @@ from rackwise.functions import columns as col
 from rackwise.functions.dates import age_in_days
 from rackwise.functions.fixed_values import SHEET_2X4, SHEET_3X6
 from rackwise.operators import (
-    abc, consignors, ids, intake, inventory, kpis, labels, listings, markdown, merge, photos, quality, registration, rollups,
+    abc, consignors, dashboard, ids, intake, inventory, kpis, labels, listings, markdown, merge, photos, quality, registration, rollups,
     sales_reports,
 )
 from rackwise.sources import store
@@ -399,6 +399,8 @@ QUERIES: dict[str, Query] = {
     "rolled_abc_analysis": rolled(lambda r, t: rollups.rolled_abc_analysis(r, START, END)),
     "refreshed_payouts": refreshed(lambda r, t: rollups.rolled_payouts(r, START, END, t.consignors)),
     "refreshed_performance_by_stage": refreshed(lambda r, t: rollups.rolled_performance_by_stage(r, START, END)),
+    **{f"dashboard_{name}": on_shop(lambda t, report=report: report(dashboard.Dashboard(t, AS_OF))) for name, report in dashboard.REPORTS.items()},
+    "abc_by_item": on_shop(lambda t: abc.abc_by_item(t, START, END)),
     "payouts_csv": payouts_csv,
     "photo_list_csv": photo_list_csv,
     "photo_inventory": on_shop(photo_inventory),

@@ -548,7 +548,17 @@ ORACLE_SQL |= {same: ORACLE_SQL[name] for same, name in {
     "rolled_kpis": "kpis", "rolled_revenue_by_category": "revenue_by_category", "rolled_performance_by_stage": "performance_by_stage",
     "rolled_high_demand": "high_demand_of_a_year", "rolled_top_consignors": "top_consignors", "rolled_payouts": "payouts",
     "rolled_abc_analysis": "abc_analysis", "refreshed_payouts": "payouts", "refreshed_performance_by_stage": "performance_by_stage",
+    **{f"dashboard_{name}": name for name in (
+        "photo_stats", "markdown_pending", "old_items", "overstocked_categories", "action_summary", "stock_by_stage", "slow_movers",
+        "stock_gaps", "pending_markdowns", "pending_total", "category_ageing", "problem_categories", "photo_coverage", "low_photo_coverage",
+    )},
 }.items()}
+ORACLE_SQL["abc_by_item"] = f"""{_with()},
+  sold AS (SELECT sku, count(*) AS qty, sum(CAST(net AS DECIMAL(28,4))) AS revenue FROM sales s WHERE {_IN_PERIOD} GROUP BY sku),
+  running AS (SELECT *, sum(revenue) OVER (ORDER BY revenue DESC, sku ROWS UNBOUNDED PRECEDING) AS reached, sum(revenue) OVER () AS whole FROM sold)
+  SELECT sku, qty, CAST(revenue AS DOUBLE) AS revenue, CAST(revenue AS DOUBLE) / CAST(whole AS DOUBLE) * 100 AS share_pct,
+    CAST(reached AS DOUBLE) / CAST(whole AS DOUBLE) * 100 AS cumulative_pct,
+    CASE WHEN reached * 100 <= 80 * whole THEN 'A' WHEN reached * 100 <= 95 * whole THEN 'B' ELSE 'C' END AS abc_class FROM running"""
 ORACLE_SQL["relisted_items"] = f"""{_with(_CHANGES)}
   SELECT i.sku, category, CASE WHEN n.sku IS NULL THEN i.list_price ELSE n.list_price END AS list_price,
     CASE WHEN n.sku IS NULL THEN i.listed_at ELSE n.changed_at END AS listed_at, active
