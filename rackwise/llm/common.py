@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import wraps
+from inspect import signature
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from rackwise.sources.workspace import stored
 
 SLICE_ROWS = 512  # rows turned into Python values at a time
 
-__all__ = ["add_columns", "fixed_rows", "in_fold", "mapped", "read_table", "stored", "unused", "without"]
+__all__ = ["add_columns", "any_names", "fixed_rows", "in_fold", "mapped", "read_table", "stored", "unused", "without"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +40,41 @@ def fixed_rows(spark: SparkSession, rows: Iterable[tuple], names: list[str]) ->
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def any_names(*columns: str) -> Callable:
+    """For operators that add columns to their first argument: its columns may have any names.
+
+    Inside the operator they are ``c0``, ``c1``, ..., so no helper column can meet one of them; ``columns`` are the
+    parameters that name one. Outside, the operator's own columns replace those of the same name
+    (upper and lower case are the same), and all others it kept are back under their names.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        form = signature(operator)
+
+        @wraps(operator)
+        def run(*args, **kwargs) -> DataFrame:
+            given = form.bind(*args, **kwargs)
+            given.apply_defaults()
+            table = next(iter(form.parameters))
+            df = given.arguments[table]
+            inside = {name: f"c{k}" for k, name in enumerate(df.columns)}
+            folded = {name.lower(): inner for name, inner in inside.items()} | inside
+            for column in columns:
+                name = given.arguments[column]
+                if name is not None:
+                    given.arguments[column] = folded.get(name) or folded.get(name.lower(), name)
+            given.arguments[table] = df.toDF(*inside.values())
+            out = operator(*given.args, **given.kwargs)
+            added = [c for c in out.columns if c not in inside.values()]
+            taken = {c.lower() for c in added}
+            kept = [F.col(inner).alias(name) for name, inner in inside.items() if inner in out.columns and name.lower() not in taken]
+            return out.select(*kept, *added)
+
+        return run
+
+    return wrap
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], result: T.StructType) -> DataFrame:
     """``df.mapInArrow(run, result)`` for columns of any name: inside, columns go by their place only."""
     inner = [f"r{k}" for k in range(len(result.fields))]

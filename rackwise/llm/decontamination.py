@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackwise.llm.common import add_columns, without
+from rackwise.llm.common import add_columns, any_names, without
 
 # Fixed value: a word is a run of characters that are no ASCII control, space, mark or capital.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -228,6 +228,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
         yield block
 
 
+@any_names("text")
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                        window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Add ``n_words``, ``hit_words`` (their numbers, ascending), ``items`` (ids as text, sorted) and ``spans`` to every document.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackwise.llm.common import add_columns, stored, without
+from rackwise.llm.common import add_columns, any_names, stored, without
 from rackwise.llm.components import components
 
 BLOCK, KEYED, LEAST = 8, 3, 0.98
@@ -22,13 +22,13 @@ _SLACK = 1e-9
 
 
 def usable(vector: list | None) -> np.ndarray | None:
-    """The vector in double precision; None if it is null, empty or zero, or holds a null or non-finite number."""
+    """The vector in double precision, scaled by a power of two so that its largest entry is near 1 (cosines stay the same);
+    None if it is null, empty or zero, or holds a null or non-finite number."""
     if not vector or None in vector:
         return None
     x = np.array(vector, float)
-    with np.errstate(over="ignore"):
-        norm = np.sqrt((x * x).sum())
-    return x if 0 < norm < np.inf else None
+    largest = np.abs(x).max()
+    return np.ldexp(x, -int(np.frexp(largest)[1])) if 0 < largest < np.inf else None
 
 
 @cache
@@ -116,6 +116,7 @@ def _candidates(nodes: DataFrame, least: float) -> DataFrame:
     return keyed.groupBy("label", "place", "i", "j").applyInArrow(lambda t: _near(t, least), "a long, b long").distinct()
 
 
+@any_names("vec_id", "vector", "label")
 def link_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST) -> DataFrame:
     """Add ``n_links``, ``component_id`` and ``kept`` to every row.
 
@@ -136,19 +137,18 @@ def link_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     added = ["n_links", "component_id", "kept"]
 
     def keys(vectors: list) -> list:
-        out = []
-        for v in vectors:
-            x = usable(v)
-            out.append(blake2b(x.tobytes(), digest_size=16).hexdigest() if x is not None else None)
-        return [out]
+        scaled = [usable(v) for v in vectors]
+        named = [None if x is None else blake2b(np.array(v, float).tobytes(), digest_size=16).hexdigest() for x, v in zip(scaled, vectors, strict=True)]
+        return [named, scaled]
 
     kept = without(rows, added)
     marked = kept.withColumn("_vector", F.col(vector).cast("array<double>"))
-    marked = add_columns(marked, lambda: keys, ["_vector"], [T.StructField("_key", T.StringType())])
+    fields = [T.StructField("_key", T.StringType()), T.StructField("_scaled", T.ArrayType(T.DoubleType()))]
+    marked = add_columns(marked, lambda: keys, ["_vector"], fields, ["_vector"])
     node = F.when(F.col("_key").isNotNull() & F.col(label).isNotNull(), F.concat_ws(":", "_key", F.col(label).cast("string")))
     marked = marked.withColumn("_node", node)
     nodes = stored(
-        marked.where("_node is not null").select("_node", F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col("_vector").alias("vector"))
+        marked.where("_node is not null").select("_node", F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col("_scaled").alias("vector"))
         .groupBy("_node").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), F.first("label").alias("label"), F.first("vector").alias("vector"))
         .withColumn("number", F.xxhash64("_node")), "vectors")
     pairs = stored(_candidates(nodes, least), "vector-pairs")
@@ -175,7 +175,7 @@ def link_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
         .join(parts.select(F.col("node").alias("_node"), "root").join(least_ids, "root").drop("root"), "_node", "left")
         .select("_node", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("_links"), F.coalesce("least_id", "first_id").alias("_least"))
     )
-    joined = marked.drop("_vector", "_key").join(stored(facts, "vector-facts"), "_node", "left")
+    joined = marked.drop("_scaled", "_key").join(stored(facts, "vector-facts"), "_node", "left")
     root = F.when(F.col("_node").isNull(), F.col(vec_id)).otherwise(F.col("_least"))
     return (
         joined.withColumn("n_links", F.coalesce("_links", F.lit(0)).cast("long")).withColumn("component_id", root.cast("long"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackwise.llm.common import add_columns, stored, without
+from rackwise.llm.common import add_columns, any_names, stored, without
 from rackwise.llm.url_filters import url_host
 
 # Element names of HTML and the words that sites put into class and id.
@@ -278,6 +278,7 @@ def site_templates(pages: DataFrame, host: str, page: str, min_pages: int, min_s
     return counts.join(sizes, host).groupBy(host).agg(F.max("_pages").alias("_pages"), F.collect_set(F.when(enough, F.col("hash"))).alias("_template"))
 
 
+@any_names("url", "page")
 def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pages: int = 5, min_share: float = MIN_SHARE) -> DataFrame:
     """Add ``text``, the main text, and ``n_chars``, its code points, to every page.
 

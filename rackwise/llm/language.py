@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackwise.llm.common import add_columns, without
+from rackwise.llm.common import add_columns, any_names, without
 
 UNDETERMINED = "und"
 SLOTS = 4096
@@ -146,6 +146,7 @@ def fit_languages(labelled: DataFrame, clusters: int = 4, rounds: int = 12, samp
     return LanguageModel(languages, np.array(owner), np.concatenate(centres).T.astype(np.float32), idf.astype(np.float32), np.array(least))
 
 
+@any_names("text")
 def identify_language(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``score`` (cosine of the nearest centroid, 0 to 1) and ``rejected``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rackwise.llm.common import stored, without
+from rackwise.llm.common import any_names, stored, without
 
 GROUP_DOCS = 2048
 TREE_WIDTH = 64
@@ -101,6 +101,7 @@ def _round(keys: pd.DataFrame, chance: np.ndarray, seed: int, name: object) -> t
     return settled, mass, int(order[held]) if held >= 0 else -1
 
 
+@any_names("doc_id", "source", "size", "text")
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str | None = None, text: str = "text",
         weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 17,
         group_docs: int = GROUP_DOCS, tree_width: int = TREE_WIDTH) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackwise.llm.common import add_columns, stored, without
+from rackwise.llm.common import add_columns, any_names, stored, without
 
 # Titles with the gender they tell, common given names, and syllables of made-up names.
 TITLES = {
@@ -228,6 +228,7 @@ def settle(entities: DataFrame, key: str, most_rounds: int = 96) -> DataFrame:
     raise ValueError(f"no distinct surrogates after {most_rounds} attempts")
 
 
+@any_names("text")
 def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace personal data in ``text``; add ``n_entities`` and ``kinds`` (of the entities, in order).
 

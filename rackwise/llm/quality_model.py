@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackwise.llm.common import add_columns, without
+from rackwise.llm.common import add_columns, any_names, without
 
 N_STATISTICS = 18
 SAMPLE_ROWS = 200_000
@@ -46,6 +46,7 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+@any_names("text")
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace the column ``text`` by ``statistics``; all other columns are kept, a ``statistics`` column is replaced."""
     kept = without(docs, ["statistics"] + [text]).columns

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackwise.llm.common import fixed_rows, stored, without
+from rackwise.llm.common import any_names, fixed_rows, stored, without
 
 # The rules' patterns. Letters of either case are spelt out, so that only A-Z and a-z count.
 _KEYWORDS = (
@@ -128,6 +128,7 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["spans"])
 
 
+@any_names("text")
 def scan_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add ``secrets``: an array of (kind, start, stop) by start, then by the rules' order; offsets in code points.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackwise.llm.common import without
+from rackwise.llm.common import any_names, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,6 +20,7 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+@any_names("url")
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", prefix_digits: int = 8) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to every row of ``pages``.
 
