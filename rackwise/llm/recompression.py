@@ -203,42 +203,47 @@ def name_filter(names: DataFrame, name: str, n: int) -> NameFilter:
     return NameFilter(out)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
+def _slices(batches: Iterator[pa.RecordBatch], may_repeat) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Some rows at a time, without texts that ``may_repeat`` as a whole, and whether they are the last of their batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            some = batch.slice(at, SLICE_ROWS)
+            if may_repeat is not None:
+                some = some.filter(pa.array(~may_repeat.value.holds(some.column(2).to_numpy())))
+            yield some, at + SLICE_ROWS >= batch.num_rows
 
 
-def _symbol_rows(size: int, rounds: int):
+def _symbol_rows(size: int, rounds: int, may_repeat):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for some in _slices(batch):
-                words, counts = word_names(some.column(1).to_pylist())
-                owner = np.repeat(some.column(0).to_numpy(), counts)
-                for at, part, starts in _pieces(words, counts, size):
-                    symbol, of = window_symbols(part, size, rounds)[starts], owner[at + starts]
-                    new = np.ones(len(symbol), bool)
-                    new[1:] = (symbol[1:] != symbol[:-1]) | (of[1:] != of[:-1])
-                    found.append((symbol[new], of[new]))
-            if found:
+        found = []
+        for some, last in _slices(batches, may_repeat):
+            words, counts = word_names(some.column(1).to_pylist())
+            owner = np.repeat(some.column(0).to_numpy(), counts)
+            for at, part, starts in _pieces(words, counts, size):
+                symbol, of = window_symbols(part, size, rounds)[starts], owner[at + starts]
+                new = np.ones(len(symbol), bool)
+                new[1:] = (symbol[1:] != symbol[:-1]) | (of[1:] != of[:-1])
+                found.append((symbol[new], of[new]))
+            if last and found:
                 yield _extremes(["name"], [np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found]))
+                found = []
 
     return run
 
 
-def _window_rows(size: int, rounds: int, shared):
+def _window_rows(size: int, rounds: int, may_repeat, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = shared.value
-        for batch in batches:
-            found = []
-            for some in _slices(batch):
-                words, counts = word_names(some.column(1).to_pylist())
-                owner = np.repeat(some.column(0).to_numpy(), counts)
-                for at, part, starts in _pieces(words, counts, size):
-                    starts = starts[symbols.holds(window_symbols(part, size, rounds)[starts])]
-                    found.append((*window_keys(part, starts, size), owner[at + starts]))
-            if found:
+        symbols, found = shared.value, []
+        for some, last in _slices(batches, may_repeat):
+            words, counts = word_names(some.column(1).to_pylist())
+            owner = np.repeat(some.column(0).to_numpy(), counts)
+            for at, part, starts in _pieces(words, counts, size):
+                starts = starts[symbols.holds(window_symbols(part, size, rounds)[starts])]
+                found.append((*window_keys(part, starts, size), owner[at + starts]))
+            if last and found:
                 key, check, of = (np.concatenate([f[k] for f in found]) for k in range(3))
                 yield _extremes(["key", "check"], [key, check], of)
+                found = []
 
     return run
 
@@ -258,11 +263,11 @@ def _hits(texts: list[bytes | None], size: int, repeats: NameFilter) -> tuple[np
     return *[c.view(np.int64) for c in columns], counts
 
 
-def _hit_rows(size: int, shared):
+def _hit_rows(size: int, may_repeat, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in batches for some in _slices(whole)):
-            key, check, of, place, _ = _hits(batch.column(1).to_pylist(), size, shared.value)
-            ids, texts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for some, _ in _slices(batches, may_repeat):
+            key, check, of, place, _ = _hits(some.column(1).to_pylist(), size, shared.value)
+            ids, texts = some.column(0).to_numpy(), some.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key, check, ids[of], texts[of], place.astype(np.int32))], ["key", "check", "doc", "hash", "place"])
 
     return run
@@ -274,21 +279,51 @@ def covered(places: np.ndarray, n_words: int, size: int) -> np.ndarray:
     return np.cumsum(steps)[:n_words] > 0
 
 
+def _whole_copies(docs: DataFrame):
+    """Later copies of whole texts (``doc``, ``hash``), the first document of each text that may have copies, and the
+    filter of such texts.
+
+    Ids and digests alone find the texts that repeat. Only texts that the filter names are then joined
+    with them, so the others are not moved.
+    """
+    again = F.xxhash64(F.lit(1), "text")
+    texts = docs.select("doc", "hash", again.alias("again")).groupBy("hash", "again").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    texts = stored(texts.where("low < high").select("hash", "again", "low"), "repeated-texts")
+    may_repeat = docs.sparkSession.sparkContext.broadcast(name_filter(texts, "hash", texts.count()))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_repeat.value.holds(batch.column(2).to_numpy())))
+
+    some = docs.select("doc", "text", "hash").mapInArrow(named, "doc long, text binary, hash long").withColumn("again", again)
+    placed = stored(some.join(texts, ["hash", "again"], "left").select("doc", "text", "hash", (F.col("doc") > F.col("low")).alias("later")), "texts-that-may-repeat")
+    later = F.coalesce("later", F.lit(False))
+    return placed.where(later).select("doc", "hash").distinct(), placed.where(~later).select("doc", "text", "hash"), may_repeat
+
+
 def repeated_windows(docs: DataFrame, size: int, rounds: int):
-    """Of ``docs`` (``doc``, ``text`` as bytes, ``hash``): ``doc``, ``hash`` and ``places``, the windows that also start in a
-    document of smaller id, in no order; and the filter of window keys that two documents share."""
+    """Of ``docs`` (``doc``, ``text`` as bytes, ``hash``): ``doc``, ``hash``, whether the whole text is a later ``copy``, and if it is
+    not, ``places``, the windows that also start in a document of smaller id, in no order; and the
+    filter of window keys that two documents share."""
     context = docs.sparkSession.sparkContext
-    rows = docs.select("doc", "text")
+    copies, firsts, may_repeat = _whole_copies(docs)
     ends = [F.min("doc").alias("low"), F.max("doc").alias("high")]
-    symbols = rows.mapInArrow(_symbol_rows(size, rounds), "name long, doc long").groupBy("name").agg(*ends).where("low < high")
+
+    def scanned(rows, schema: str) -> DataFrame:
+        """The rows of all texts but later copies: they hold no window that their first document doesn't."""
+        alone = docs.select("doc", "text", "hash").mapInArrow(rows(may_repeat), schema)
+        return alone.unionByName(firsts.mapInArrow(rows(None), schema))
+
+    symbols = scanned(lambda skip: _symbol_rows(size, rounds, skip), "name long, doc long").groupBy("name").agg(*ends).where("low < high")
     symbols = stored(symbols.select("name"), "shared-symbols")
     of_symbols = context.broadcast(name_filter(symbols, "name", symbols.count()))
-    windows = rows.mapInArrow(_window_rows(size, rounds, of_symbols), "key long, check long, doc long").groupBy("key", "check").agg(*ends).where("low < high")
-    windows = stored(windows.select("key", "check", "low"), "shared-windows")
+    windows = scanned(lambda skip: _window_rows(size, rounds, skip, of_symbols), "key long, check long, doc long").groupBy("key", "check").agg(*ends)
+    windows = stored(windows.where("low < high").select("key", "check", "low"), "shared-windows")
     of_windows = context.broadcast(name_filter(windows, "key", windows.count()))
-    hits = docs.select("doc", "text", "hash").mapInArrow(_hit_rows(size, of_windows), "key long, check long, doc long, hash long, place int")
+    hits = scanned(lambda skip: _hit_rows(size, skip, of_windows), "key long, check long, doc long, hash long, place int")
     later = hits.join(windows, ["key", "check"]).where("doc > low").select("doc", "hash", "place")
-    return later.groupBy("doc", "hash").agg(F.collect_list("place").alias("places")), of_windows
+    found = later.groupBy("doc", "hash").agg(F.collect_list("place").alias("places"))
+    return found.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"places": F.lit(None).cast("array<int>"), "copy": F.lit(True)})), of_windows
 
 
 def remove_repeats(
@@ -301,6 +336,7 @@ def remove_repeats(
     whatever is removed there. With ``digest`` the SHA-256 of the kept text (``kept_sha256``) comes in its
     place, and only texts that may hold a repeat are moved between machines.
 
+    Later copies of a whole text are told by its digest and removed as a whole; the steps below pass over them.
     Symbols, then windows, are folded to their least and greatest id in each task before the shuffle, so a
     passage in any share of all documents is one row per task; their later occurrences meet the
     least id in a join that Spark can split. A null text has no words. A document without an id counts as
@@ -311,7 +347,7 @@ def remove_repeats(
     """
     kept = without(docs, [c for c in ADDED if c.lower() not in (text.lower(), doc_id.lower())])
     names = kept.columns
-    doc, body, digest_of, places = (unused(c, names) for c in ("_doc", "_body", "_hash", "_places"))
+    doc, body, digest_of, places, copy = (unused(c, names) for c in ("_doc", "_body", "_hash", "_places", "_copy"))
     as_text = F.col(f"`{text}`").cast("string")
     rows = kept.withColumns({doc: F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST_ID)), body: as_text.cast("binary"), digest_of: F.xxhash64(as_text)})
     repeated, of_windows = repeated_windows(rows.select(F.col(doc).alias("doc"), F.col(body).alias("text"), F.col(digest_of).alias("hash")), size, rounds)
@@ -322,7 +358,7 @@ def remove_repeats(
     found = repeated.alias("r")
     joined = rows.alias("d").join(found, (F.col(f"d.{doc}") == F.col("r.doc")) & (F.col(f"d.{digest_of}") == F.col("r.hash")), "left")
     carried = [f"d.`{c}`" for c in (*names, body)] + (["d.n_words", "d.kept_sha256"] if digest else [])
-    return _without_repeats(joined.select(*carried, F.col("r.places").alias(places)), names, size, digest)
+    return _without_repeats(joined.select(*carried, F.col("r.places").alias(places), F.col("r.copy").alias(copy)), names, size, digest)
 
 
 def _digested(rows: DataFrame, body: str, size: int, of_windows) -> DataFrame:
@@ -332,7 +368,7 @@ def _digested(rows: DataFrame, body: str, size: int, of_windows) -> DataFrame:
     result = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (some for whole in batches for some in _slices(whole)):
+        for batch, _ in _slices(batches, None):
             texts = batch.column(place).to_pylist()
             _, _, of, _, counts = _hits(texts, size, of_windows.value)
             may = np.bincount(of, minlength=len(texts)) > 0
@@ -355,22 +391,22 @@ def _without_repeats(joined: DataFrame, names: list[str], size: int, digest: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = batch.column(n), batch.column(n + 3 if digest else n + 1)
+            texts, places, copies = batch.column(n), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
             counts, removed, out = [], [], []
             for k in range(batch.num_rows):
                 known = batch.column(n + 2)[k].as_py() if digest else None
-                if known is not None:
-                    counts.append(batch.column(n + 1)[k].as_py())
+                words = (texts[k].as_py() or b"").split() if known is None else []
+                counts.append(len(words) if known is None else batch.column(n + 1)[k].as_py())
+                if copies[k] and counts[-1] >= size:
+                    removed.append(counts[-1])
+                    words, known = [], None
+                elif places[k].is_valid:
+                    gone = covered(places[k].values.to_numpy(), len(words), size)
+                    removed.append(int(gone.sum()))
+                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                else:
                     removed.append(0)
-                    out.append(known)
-                    continue
-                words = (texts[k].as_py() or b"").split()
-                counts.append(len(words))
-                at = places[k]
-                gone = covered(at.values.to_numpy(), len(words), size) if at.is_valid else None
-                removed.append(int(gone.sum()) if gone is not None else 0)
-                left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone is not None else words
-                out.append(_sha(left) if digest else b" ".join(left))
+                out.append((known or _sha(words)) if digest else b" ".join(words))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string() if digest else pa.binary())], result.names)
 
     done = mapped(joined, run, result)
