@@ -14,7 +14,7 @@ from rackwise.functions.dates import age_in_days
 from rackwise.functions.fixed_values import SHEET_2X4, SHEET_3X6
 from rackwise.operators import (
     abc, consignors, dashboard, ids, intake, inventory, kpis, labels, listings, markdown, merge, photos, quality, registration, rollups,
-    sales_reports,
+    sales_reports, text_index,
 )
 from rackwise.sources import store
 from rackwise.sources.sample_shop import CHANGE_ORDER, SALE_ORDER, SampleShop
@@ -355,6 +355,18 @@ def orphan_photo_summary(t: SampleShop) -> DataFrame:
     return photos.orphan_photo_summary(t, photo_inventory(t))
 
 
+def consignors_by_index(spark: SparkSession, folder: str) -> DataFrame:
+    t, path = SampleShop(spark, folder), new_folder(spark, "names")
+    text_index.create_text_index(t.consignors, "name", path)
+    return text_index.search_consignors(t, path, "SUPPLIER#0000000")
+
+
+def gallery_by_index(spark: SparkSession, folder: str) -> DataFrame:
+    t, path = SampleShop(spark, folder), new_folder(spark, "brands")
+    text_index.create_text_index(t.items, "brand", path)
+    return text_index.gallery_by_brand(t, path, "bRAND#1", category="PROMO", with_photos=True)
+
+
 # --- labels ------------------------------------------------------------------------------------
 
 
@@ -427,6 +439,8 @@ QUERIES: dict[str, Query] = {
     "consignor_cards": on_shop(listings.consignor_cards),
     "active_consignors": on_shop(listings.active_consignors),
     "search_consignors": on_shop(lambda t: listings.search_consignors(t, "SUPPLIER#0000000")),
+    "search_consignors_by_index": consignors_by_index,
+    "gallery_by_index": gallery_by_index,
     "items_with_consignor": on_shop(items_with_consignor),
     "stock_list": on_shop(listings.stock_list),
     "sales_history": on_shop(listings.sales_history),

@@ -545,6 +545,7 @@ ORACLE_SQL |= {same: ORACLE_SQL[name] for same, name in {
     "upsert_items_by_month": "upsert_items", "delete_items_by_month": "delete_items", "markdowns_in_two_runs": "apply_markdowns",
     "item_lookup_by_month": "item_lookup", "newest_stock": "recent_stock_photo", "newest_labels": "label_batch_filtered",
     "newest_markdown_labels": "markdown_label_items",
+    "search_consignors_by_index": "search_consignors", "gallery_by_index": "gallery_filtered",
     "rolled_kpis": "kpis", "rolled_revenue_by_category": "revenue_by_category", "rolled_performance_by_stage": "performance_by_stage",
     "rolled_high_demand": "high_demand_of_a_year", "rolled_top_consignors": "top_consignors", "rolled_payouts": "payouts",
     "rolled_abc_analysis": "abc_analysis", "refreshed_payouts": "payouts", "refreshed_performance_by_stage": "performance_by_stage",
