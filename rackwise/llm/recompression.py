@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from rackwise.llm.common import SLICE_ROWS, mapped, stored, unused, without
 
 WINDOW, ROUNDS = 13, 3
-PIECE_WORDS, PIECE_BYTES = 1 << 17, 1 << 19
+PIECE_WORDS, PIECE_BYTES, ROWS_FOLDED = 1 << 17, 1 << 19, 1 << 18
 # A filter of names goes to every task: 16 bits a name, at most 64 MB. A fuller one lets more windows through
 # to the comparison, and loses none.
 BITS_A_NAME, MOST_BITS, LEAST_BITS = 16, 1 << 29, 1 << 16
@@ -203,49 +203,59 @@ def name_filter(names: DataFrame, name: str, n: int) -> NameFilter:
     return NameFilter(out)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], may_repeat) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    """Some rows at a time, without texts that ``may_repeat`` as a whole, and whether they are the last of their batch."""
+def _slices(batches: Iterator[pa.RecordBatch], may_repeat) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, without texts that ``may_repeat`` as a whole."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             some = batch.slice(at, SLICE_ROWS)
-            if may_repeat is not None:
-                some = some.filter(pa.array(~may_repeat.value.holds(some.column(2).to_numpy())))
-            yield some, at + SLICE_ROWS >= batch.num_rows
+            yield some if may_repeat is None else some.filter(pa.array(~may_repeat.value.holds(some.column(2).to_numpy())))
+
+
+def _folded(parts: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The extremes of about ``ROWS_FOLDED`` rows at a time; the last column of ``parts`` is the id."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[-1])
+        if size >= ROWS_FOLDED:
+            yield _extremes(names, *_joined(held))
+            held, size = [], 0
+    if size:
+        yield _extremes(names, *_joined(held))
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[list[np.ndarray], np.ndarray]:
+    *columns, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return columns, ids
+
+
+def _windows_of(batches: Iterator[pa.RecordBatch], size: int, may_repeat) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of words, the starts of their windows, and the windows' document ids."""
+    for some in _slices(batches, may_repeat):
+        words, counts = word_names(some.column(1).to_pylist())
+        owner = np.repeat(some.column(0).to_numpy(), counts)
+        for at, part, starts in _pieces(words, counts, size):
+            yield part, starts, owner[at + starts]
 
 
 def _symbol_rows(size: int, rounds: int, may_repeat):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for some, last in _slices(batches, may_repeat):
-            words, counts = word_names(some.column(1).to_pylist())
-            owner = np.repeat(some.column(0).to_numpy(), counts)
-            for at, part, starts in _pieces(words, counts, size):
-                symbol, of = window_symbols(part, size, rounds)[starts], owner[at + starts]
-                new = np.ones(len(symbol), bool)
-                new[1:] = (symbol[1:] != symbol[:-1]) | (of[1:] != of[:-1])
-                found.append((symbol[new], of[new]))
-            if last and found:
-                yield _extremes(["name"], [np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found]))
-                found = []
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for part, starts, of in _windows_of(batches, size, may_repeat):
+            symbol = window_symbols(part, size, rounds)[starts]
+            new = np.ones(len(symbol), bool)
+            new[1:] = (symbol[1:] != symbol[:-1]) | (of[1:] != of[:-1])
+            yield symbol[new], of[new]
 
-    return run
+    return lambda batches: _folded(symbols(batches), ["name"])
 
 
 def _window_rows(size: int, rounds: int, may_repeat, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, found = shared.value, []
-        for some, last in _slices(batches, may_repeat):
-            words, counts = word_names(some.column(1).to_pylist())
-            owner = np.repeat(some.column(0).to_numpy(), counts)
-            for at, part, starts in _pieces(words, counts, size):
-                starts = starts[symbols.holds(window_symbols(part, size, rounds)[starts])]
-                found.append((*window_keys(part, starts, size), owner[at + starts]))
-            if last and found:
-                key, check, of = (np.concatenate([f[k] for f in found]) for k in range(3))
-                yield _extremes(["key", "check"], [key, check], of)
-                found = []
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for part, starts, of in _windows_of(batches, size, may_repeat):
+            keep = shared.value.holds(window_symbols(part, size, rounds)[starts])
+            yield *window_keys(part, starts[keep], size), of[keep]
 
-    return run
+    return lambda batches: _folded(windows(batches), ["key", "check"])
 
 
 def _hits(texts: list[bytes | None], size: int, repeats: NameFilter) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -265,7 +275,7 @@ def _hits(texts: list[bytes | None], size: int, repeats: NameFilter) -> tuple[np
 
 def _hit_rows(size: int, may_repeat, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some, _ in _slices(batches, may_repeat):
+        for some in _slices(batches, may_repeat):
             key, check, of, place, _ = _hits(some.column(1).to_pylist(), size, shared.value)
             ids, texts = some.column(0).to_numpy(), some.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key, check, ids[of], texts[of], place.astype(np.int32))], ["key", "check", "doc", "hash", "place"])
@@ -368,7 +378,7 @@ def _digested(rows: DataFrame, body: str, size: int, of_windows) -> DataFrame:
     result = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ in _slices(batches, None):
+        for batch in _slices(batches, None):
             texts = batch.column(place).to_pylist()
             _, _, of, _, counts = _hits(texts, size, of_windows.value)
             may = np.bincount(of, minlength=len(texts)) > 0
