@@ -157,4 +157,72 @@ FROM texts LEFT JOIN found USING (n) GROUP BY n, doc_id
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op6_secrets": _op6(), "op9_url_filter": _OP9}
+_FOLDED = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP5 = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, {_FOLDED} AS words FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOLDED} AS words FROM benchmark WHERE item_id IS NOT NULL),
+tests AS (
+  SELECT DISTINCT item, least(len(words), 10) AS size, array_to_string(words[p:p + 9], ' ') AS body
+  FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS p FROM items WHERE len(words) > 0)
+),
+windows AS (
+  SELECT n, p, size, array_to_string(words[p:p + size - 1], ' ') AS body
+  FROM (SELECT n, words, size, unnest(range(1, len(words) - size + 2)) AS p
+        FROM docs, (SELECT DISTINCT size FROM tests) WHERE len(words) >= size)
+),
+found AS (SELECT n, p, size, item FROM windows JOIN tests USING (size, body)),
+hit AS (
+  SELECT n, count(DISTINCT word) AS n_hit
+  FROM (SELECT n, unnest(range(p, p + size)) AS word FROM (SELECT DISTINCT n, p, size FROM found)) GROUP BY n
+),
+named AS (
+  SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT n, item FROM found) GROUP BY n
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (n) LEFT JOIN named USING (n)
+"""
+
+_OP7 = """
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+),
+usable AS (
+  SELECT * FROM vectors
+  WHERE v IS NOT NULL AND label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.n AS a, b.n AS b FROM usable a JOIN usable b ON a.label = b.label AND a.n <> b.n AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reach(n, m) AS (SELECT a, b FROM links UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.m = links.a),
+counts AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a),
+roots AS (SELECT reach.n, min(o.vec_id) AS other FROM reach JOIN vectors o ON o.n = reach.m GROUP BY reach.n)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id,
+  vec_id <= coalesce(other, vec_id) AS kept
+FROM vectors LEFT JOIN counts USING (n) LEFT JOIN roots USING (n)
+"""
+
+_OP11 = """
+WITH texts AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+),
+windows AS (
+  SELECT n, doc_id, p, array_to_string(words[p:p + 12], ' ') AS body
+  FROM (SELECT n, doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM texts WHERE len(words) >= 13)
+),
+firsts AS (SELECT body, min(doc_id) AS first_doc FROM windows GROUP BY body),
+gone AS (
+  SELECT DISTINCT n, unnest(range(p, p + 13)) AS p FROM windows JOIN firsts USING (body) WHERE first_doc < doc_id
+),
+each AS (SELECT n, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM texts),
+kept AS (SELECT n, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS body FROM each ANTI JOIN gone USING (n, p) GROUP BY n)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (n)
+"""
+
+# Those of op5, op7 and op11 make rows of all windows, or all pairs of a label: meant for the small tables.
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": _OP5, "op6_secrets": _op6(), "op7_vector_links": _OP7, "op9_url_filter": _OP9, "op11_substring_dedup": _OP11}

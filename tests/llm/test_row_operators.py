@@ -3,9 +3,9 @@
 import hashlib
 import os
 
-import duckdb
 import numpy as np
 import pytest
+from compare import connect, differences
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -23,13 +23,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
-    ours = catalogue.QUERIES[name](spark, SF)
-    columns = sorted(ours.columns)
-    con = duckdb.connect()
-    for table in ("documents", "pages"):
-        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    theirs = con.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()
-    assert sorted(map(str, map(tuple, ours.select(columns).collect()))) == sorted(map(str, theirs))
+    assert differences(catalogue.QUERIES[name](spark, SF), connect(SF), catalogue.ORACLE_SQL[name]) == []
 
 
 # Language
