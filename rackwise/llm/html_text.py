@@ -251,12 +251,8 @@ def page_text(page: str | None, template: frozenset[int] = frozenset(), small: b
     return "\n".join(lines)
 
 
-def site_templates(pages: DataFrame, host: str, page: str, min_pages: int, min_share: float) -> DataFrame:
-    """``host``, its number of distinct ``_pages``, and its ``_template``: the subtree hashes that enough of these hold.
-
-    Enough are ``min_pages`` and ``min_share`` of them, for lines ``LINE_SHARE`` if that is more; for
-    elements that HTML names as furniture ``min_pages``. Hosts of fewer pages have no row.
-    """
+def page_hashes(pages: DataFrame, host: str, page: str, key: str) -> DataFrame:
+    """``host``, ``key``, the page's ``content``, and its subtree ``hashes`` behind ``_EVERY``, a row per page."""
 
     def hashes(texts: list) -> list:
         contents, each = [], []
@@ -268,14 +264,35 @@ def site_templates(pages: DataFrame, host: str, page: str, min_pages: int, min_s
         return [contents, each]
 
     fields = [T.StructField("content", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]
-    listed = add_columns(pages.select(host, page), lambda: hashes, [page], fields, [page])
+    return add_columns(pages.select(host, key, page), lambda: hashes, [page], fields, [page])
+
+
+def site_templates(listed: DataFrame, host: str, min_pages: int, min_share: float) -> DataFrame:
+    """``host``, ``hash``, ``pages``: a row for each subtree hash that enough of the host's distinct pages hold.
+
+    ``pages`` is on how many of them it is. Enough are ``min_pages`` and ``min_share`` of them, for lines ``LINE_SHARE`` if that is more; for
+    elements that HTML names as furniture ``min_pages``. ``_EVERY`` stands for the page itself, so its row
+    tells the host's number of distinct pages. Hosts of fewer pages have no row.
+    """
     held = listed.select(host, "content", F.explode("hashes").alias("hash")).distinct()
-    counts = stored(held.groupBy(host, "hash").count().where(F.col("count") >= min_pages), "page-blocks")
-    sizes = counts.where(F.col("hash") == _EVERY).select(host, F.col("count").alias("_pages"))
+    counts = stored(held.groupBy(host, "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages), "page-blocks")
+    sizes = counts.where(F.col("hash") == _EVERY).select(host, F.col("pages").alias("of"))
     kind = F.col("hash").bitwiseAND(3)
     share = F.when(kind == OF_ELEMENT, 0.0).when(kind == OF_LINE, F.greatest(F.lit(LINE_SHARE), F.lit(min_share))).otherwise(min_share)
-    enough = (F.col("hash") != _EVERY) & (F.col("count") >= share * F.col("_pages"))
-    return counts.join(sizes, host).groupBy(host).agg(F.max("_pages").alias("_pages"), F.collect_set(F.when(enough, F.col("hash"))).alias("_template"))
+    enough = (F.col("hash") == _EVERY) | (F.col("pages") >= share * F.col("of"))
+    return counts.join(sizes, host).where(enough).select(host, "hash", "pages")
+
+
+def gone_subtrees(listed: DataFrame, template: DataFrame, host: str, key: str) -> DataFrame:
+    """Of each page (``host``, ``key``) the hashes it shares with its host's template (``_template``), and the host's distinct ``_pages``.
+
+    A page's own hashes meet the template as rows, so a row never holds more than its page does. Hosts without a template
+    have no row.
+    """
+    own = listed.select(host, key, F.explode("hashes").alias("hash"))
+    of_page = F.col("hash") == _EVERY
+    return own.join(template, [host, "hash"]).groupBy(host, key).agg(
+        F.max(F.when(of_page, F.col("pages"))).alias("_pages"), F.collect_set(F.when(~of_page, F.col("hash"))).alias("_template"))
 
 
 @any_names("url", "page")
@@ -290,8 +307,8 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pag
     (``LINES``) need ``LINE_SHARE``; those of an article are never deleted because they recur. On hosts of fewer than twice ``min_pages``
     distinct pages names decide as well: furniture by element, class and id goes, and of a page that
     names an article only that, or the ``main`` around it, stays. A form that holds an article or half
-    of the page's text is no furniture. The hosts' templates are written to the shared folder and
-    joined by host; Spark's size check decides how. Character references are decoded, white space
+    of the page's text is no furniture. The pages' hashes and the hosts' templates are written to the shared folder and
+    joined row by row; a page gets back only those of its own hashes that are template. Spark's size check decides how. Character references are decoded, white space
     inside a block becomes one space, blocks are joined by a line break; ``br`` counts as white space.
 
     A null or empty page has an empty text. Pages without a host are one site of their own. Repeated
@@ -301,8 +318,11 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pag
     """
     kept = without(pages, ["text", "n_chars"])
     keyed = kept.withColumn("_host", url_host(F.col(url).cast("string"))).withColumn("_page", F.col(page).cast("string"))
-    template = stored(site_templates(keyed, "_host", "_page", min_pages, min_share), "page-templates")
-    rows = keyed.join(template, "_host", "left").drop("_host")
+    keyed = keyed.withColumn("_key", F.md5(F.coalesce("_page", F.lit(""))))
+    listed = stored(page_hashes(keyed, "_host", "_page", "_key"), "page-hashes")
+    template = stored(site_templates(listed, "_host", min_pages, min_share), "page-templates")
+    gone = stored(gone_subtrees(listed, template, "_host", "_key"), "page-gone")
+    rows = keyed.join(gone, ["_host", "_key"], "left").drop("_host", "_key")
 
     def texts(bodies: list, counts: list, templates: list) -> list:
         out = [page_text(p, frozenset(t or ()), (n or 0) < 2 * min_pages) for p, n, t in zip(bodies, counts, templates, strict=True)]

@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import random
+import re
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rackwise.llm import catalogue
 from rackwise.llm.common import in_fold
-from rackwise.llm.html_text import extract_text, page_text
+from rackwise.llm.html_text import LINE_SHARE, OF_ELEMENT, OF_LINE, _mains, extract_text, page_text, parse, template_hashes
 from rackwise.llm.language import _sample, fit_languages, identify_language
 from rackwise.llm.quality_model import fit_quality, isotonic, score_quality, statistics, with_statistics
 from rackwise.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, span_texts, trigram_query
@@ -183,6 +185,45 @@ def test_recurring_lines_go_where_no_article_is_named(spark):
     assert got == {i: f"Own {i}\nText {i}\n{'yes' if i < 5 else f'no {i}'}\n{i}\n{'rare' if i < 5 else i}" for i in range(20)}
 
 
+def _plain_extraction(rows, least=5, share=0.1):
+    """Subtrees counted per host over distinct contents in plain Python."""
+    seen, own = {}, []
+    for url, page in rows:
+        host = re.sub(r"[?#/].*", "", url.split("://", 1)[1], flags=re.DOTALL).lower() if url and "://" in url else ""
+        found = parse(page or "")
+        each = template_hashes(found, _mains(found))
+        content = each.pop(0)[0]
+        own.append((host, {h for some in each.values() for h in some}))
+        seen.setdefault(host, {})[content] = own[-1][1]
+    out = []
+    for (host, hashes), (_, page) in zip(own, rows, strict=True):
+        n = len(seen[host])
+
+        def recurs(h, pages=list(seen[host].values()), n=n):
+            need = {OF_ELEMENT: 0, OF_LINE: max(LINE_SHARE, share) * n}.get(h & 3, share * n)
+            return sum(h in p for p in pages) >= max(least, need)
+
+        gone = frozenset(h for h in hashes if n >= least and recurs(h))
+        out.append(page_text(page, gone, n < 2 * least))
+    return out
+
+
+def test_extraction_equals_plain_counts(spark):
+    rng = random.Random(8)
+    parts = [f"<div class='{c}'><p>{w} text</p></div>" for c, w in (("menu", "home"), ("x", "shared"), ("notice", "paid"), ("y", "often"))]
+    rows = []
+    for host, n in (("a.org", 60), ("B.org", 12), ("c.org", 6), ("d.org", 3)):
+        for k in range(n):
+            some = "".join(rng.sample(parts, rng.randint(0, 4)))
+            body = f"<p>own words {host} {k}</p>" + (f"<p>line {k % 3}</p>" if k % 2 else "")
+            wrap = rng.choice(("<article>{}</article>{}", "{}{}", "<nav>go {}</nav><main>{}</main>"))
+            rows.append((f"http://{host}/{k}?q", "<html><body>" + wrap.format(body, some) + f"<form>f{k % 4}</form></body></html>"))
+    rows += rows[:9] * 5 + [(None, rows[0][1]), ("http://a.org", None), ("no host", "")]
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == _plain_extraction(rows)
+
+
 # Secrets
 
 def test_trigram_queries():
