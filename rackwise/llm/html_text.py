@@ -317,9 +317,13 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pag
     ``n_chars`` are replaced, all others kept.
     """
     kept = without(pages, ["text", "n_chars"])
-    keyed = kept.withColumn("_host", url_host(F.col(url).cast("string"))).withColumn("_page", F.col(page).cast("string"))
-    keyed = keyed.withColumn("_key", F.md5(F.coalesce("_page", F.lit(""))))
-    listed = stored(page_hashes(keyed, "_host", "_page", "_key"), "page-hashes")
+    keyed = kept.withColumn("_host", url_host(F.col(url).cast("string")))
+    body, copied = page, []
+    if kept.schema[page].dataType != T.StringType():  # else no second copy goes through the shuffle
+        body, copied = "_page", ["_page"]
+        keyed = keyed.withColumn(body, F.col(page).cast("string"))
+    keyed = keyed.withColumn("_key", F.unhex(F.md5(F.coalesce(body, F.lit("")))))
+    listed = stored(page_hashes(keyed, "_host", body, "_key"), "page-hashes")
     template = stored(site_templates(listed, "_host", min_pages, min_share), "page-templates")
     gone = stored(gone_subtrees(listed, template, "_host", "_key"), "page-gone")
     rows = keyed.join(gone, ["_host", "_key"], "left").drop("_host", "_key")
@@ -329,4 +333,4 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", min_pag
         return [out, [len(t) for t in out]]
 
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return add_columns(rows, lambda: texts, ["_page", "_pages", "_template"], fields, ["_page", "_pages", "_template"])
+    return add_columns(rows, lambda: texts, [body, "_pages", "_template"], fields, [*copied, "_pages", "_template"])
