@@ -15,7 +15,7 @@ from rackwise.llm.common import add_columns, stored, unused, without
 from rackwise.llm.components import components
 
 SHINGLE, SKETCHES, PICKED, SIMILARITY = 5, 14, 3, 0.8
-BINS, BLOCK_NODES = 256, 1500
+BINS, BLOCK_NODES, FEW = 256, 1500, 64
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
@@ -86,8 +86,8 @@ def _bins(x: np.ndarray) -> np.ndarray:
 def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Shingles aligned in order, over all shingles of both (aligned ones once); 0.0 if below ``least``.
 
-    The alignment visits only the band of diagonals that as many insertions and deletions can reach
-    as ``least`` allows, furthest point first, and stops when they are used up.
+    The alignment covers only the band of diagonals that as many insertions and deletions can reach
+    as ``least`` allows, a row of it at a time.
     """
     na, nb = len(a), len(b)
     if not na or not nb:
@@ -111,10 +111,13 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def _edits(x: list, y: list, most: int) -> int:
-    """Least number of insertions and deletions from ``x`` to ``y``; ``most`` + 1 if there are more."""
+    """Least number of insertions and deletions from ``x`` to ``y``; ``most`` + 1 if there are more.
+
+    Furthest points first, whose steps grow with the square of the edits; more than ``FEW`` edits are counted row by row.
+    """
     nx, ny = len(x), len(y)
     reach = {1: 0}
-    for d in range(most + 1):
+    for d in range(min(most, FEW) + 1):
         for k in range(-d, d + 1, 2):
             i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
             j = i - k
@@ -124,7 +127,54 @@ def _edits(x: list, y: list, most: int) -> int:
             reach[k] = i
             if i >= nx and j >= ny:
                 return d
-    return most + 1
+    return most + 1 if most <= FEW else _edits_by_rows(x, y, most)
+
+
+def _edits_by_rows(x: list, y: list, most: int) -> int:
+    """As ``_edits``, in time that grows with the length of ``y`` times the band.
+
+    A row of the alignment table is one number: a bit for each place of ``x`` in the band, 0 where one
+    more run of ``x`` aligns than before it. A step along ``y`` is an addition; the band moves on by a bit.
+    """
+    longer = len(x) - len(y)
+    if abs(longer) > most:
+        return most + 1
+    below = (most - longer) // 2  # how far the place in x may lie behind that in y
+    width = below + (most + longer) // 2 + 1
+    full = (1 << width) - 1
+    places: dict = {}
+    for i, run in enumerate(x):
+        places.setdefault(run, []).append(i)
+    places = {run: at if len(at) <= 8 else np.array(at) for run, at in places.items()}
+    row, low, aligned = full, -below, 0
+    for j, run in enumerate(y):
+        at = places.get(run)
+        if at is None:
+            continue
+        ahead = j - below - low
+        if ahead >= width:
+            aligned += width - row.bit_count()
+            row = full
+        elif ahead:
+            passed = (1 << ahead) - 1
+            aligned += ahead - (row & passed).bit_count()
+            row = row >> ahead | passed << (width - ahead)
+        low = j - below
+        same = row & _bits_at(at, low, width)
+        if same:
+            row = (row + same | row - same) & full
+    aligned += width - row.bit_count()
+    return min(len(x) + len(y) - 2 * aligned, most + 1)
+
+
+def _bits_at(places: list | np.ndarray, low: int, width: int) -> int:
+    """A bit for each of the ascending ``places`` from ``low`` on, as far as ``width`` reaches."""
+    if isinstance(places, list):
+        return sum(1 << (i - low) for i in places if low <= i < low + width)
+    first, last = np.searchsorted(places, (low, low + width))
+    bits = np.zeros(width, bool)
+    bits[places[first:last] - low] = True
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from rackwise.llm.components import components
 from rackwise.llm.decontamination import WORD, FMIndex, TestSet, find_contamination, fold, remove_spans, search_shard, suffix_order, test_windows, words_of
 from rackwise.llm.embedding_join import blocks_of, link_vectors, rotation
 from rackwise.llm.mixing import mix, pivotal, source_targets
-from rackwise.llm.near_duplicates import alignment_similarity, keep_one, labelled, mark_near_duplicates, order_sketches, shingle_hashes
+from rackwise.llm.near_duplicates import _edits, _edits_by_rows, alignment_similarity, keep_one, labelled, mark_near_duplicates, order_sketches, shingle_hashes
 from rackwise.llm.pii import find_entities, luhn, replace_personal_data, rewrite, settle, surrogate
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -80,6 +81,30 @@ def test_alignment_equals_the_full_table(a, b, least):
     assert got == pytest.approx(full) if full >= least + 1e-9 else got == 0 or got == pytest.approx(full)
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.integers(0, 9), max_size=60), st.lists(st.integers(0, 9), max_size=60), st.integers(0, 130))
+def test_edits_within_any_band(a, b, most):
+    aligned = [0] * (len(b) + 1)
+    for x in a:
+        before = list(aligned)
+        for j, y in enumerate(b):
+            aligned[j + 1] = before[j] + 1 if x == y else max(before[j + 1], aligned[j])
+    want = min(len(a) + len(b) - 2 * aligned[-1], most + 1)
+    assert _edits(a, b, most) == _edits_by_rows(a, b, most) == want
+
+
+@pytest.mark.parametrize("kinds", [3, 1 << 40])
+def test_very_long_texts_align_in_time(kinds):
+    rng = random.Random(5)
+    one = [rng.randrange(kinds) for _ in range(200_000)]
+    other = [x for x in one if rng.random() > 0.04]
+    for k in range(0, len(other), 25):
+        other[k] = kinds + k
+    begun = time.monotonic()
+    assert alignment_similarity(np.array(one, np.uint64), np.array(other, np.uint64), 0.8) >= 0.8
+    assert time.monotonic() - begun < 60
+
+
 def test_sketches_know_order_and_repeats():
     words = WORDS[:60]
     assert order_sketches(" ".join(words)) == order_sketches(" ".join(words).upper() + "!")
