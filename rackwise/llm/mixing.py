@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rackwise.llm.common import any_names, stored, without
+from rackwise.operators.numbering import number_rows
 
 GROUP_DOCS = 2048
 TREE_WIDTH = 64
 _NEAR = 1e-9
+_HASHED = (T.NumericType, T.StringType, T.BooleanType, T.DatetimeType, T.BinaryType)
 
 
 def word_count(text: Column) -> Column:
@@ -26,7 +28,8 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``source``, ``source_size``, ``n_docs`` and ``target``, a row per source of ``sizes`` (``source``, ``size``).
+    """``source``, ``source_size``, ``n_docs`` and ``target``, a row per source of ``sizes`` (``source``, ``size``,
+    and ``n`` if a row stands for several).
 
     Sources in order of their code points, null last, take ``weights`` in turn and share ``share``
     times all sizes by them. No target exceeds ``cap`` times its source's size; what is above is
@@ -34,7 +37,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0),
     ordered pass over the per-source rows finds who is capped. A share above the cap ends with
     every source capped. Empty table: no rows.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    n = F.col("n") if "n" in sizes.columns else F.lit(1)
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * n).alias("source_size"), F.sum(n).cast("long").alias("n_docs"))
     # The windows have no partitions: they see one row per source.
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weighed = per.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int")))
@@ -115,32 +119,34 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     each group leaves at most one open fraction. The open ones meet ``tree_width`` at a time, level
     by level, until one is left per source, which is rounded by its own chance. The decisions go
     back down the tree, and the groups are rounded again with them. All draws come from ``seed`` and
-    the group, so reruns agree.
+    the group, so reruns agree. Only ids, sources and sizes are grouped; the rows meet the decisions in a join.
 
     A null text has size 0. A null source is a source, the last one. Null or repeated ids are
-    documents of their own; equal rows are interchangeable. Sources without words have target 0.
+    documents of their own: those of one id, source and size are rounded as one row that stands for all of them, and if
+    some get a copy more, those of least hash do; equal rows are interchangeable. Sources without words have target 0.
     Empty table: no rows. Columns with the added names are replaced, all others kept.
     """
-    added = ["size", "source_size", "target", "copies", "taken"]
     count = F.coalesce(F.col(size).cast("long"), F.lit(0)).cast("long") if size else word_count(F.col(text).cast("string"))
-    kept = docs.select(count.alias("_size"), F.col(source).cast("string").alias("_source"), F.col(doc_id).cast("string").alias("_id"), *without(docs, added).columns)
-    narrow = kept.select("_size", "_source", "_id")
-    targets = stored(source_targets(narrow.select(F.col("_source").alias("source"), F.col("_size").alias("size")), weights, share, cap), "mix-targets")
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        """With the source's target, the document's group and its chance of one more copy."""
-        groups = F.ceil(F.col("n_docs") / group_docs)
-        joined = rows.join(targets.withColumnRenamed("source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
-        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-        return (
-            joined.withColumn("_draw", F.xxhash64(F.lit(seed), "_id", "_size"))
-            .withColumn("_whole", F.floor(ratio + _NEAR).cast("int"))
-            .withColumn("_chance", F.greatest(ratio - F.col("_whole"), F.lit(0.0)))
-            .withColumn("_number", F.pmod(F.col("_draw"), groups).cast("long"))
-            .withColumn("_group", F.concat_ws(":", F.col("_number").cast("string"), F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))))
-            .drop("n_docs")
-        )
-
+    own = without(docs, ["size", "source_size", "target", "copies", "taken"])
+    kept = docs.select(count.alias("_size"), F.col(source).cast("string").alias("_source"), F.col(doc_id).cast("string").alias("_id"), *own.columns)
+    # What is rounded are ids and sizes; texts only meet the decisions. Rows of one id, source and size are one row with their number.
+    same = stored(kept.groupBy("_source", "_id", "_size").agg(F.count("*").alias("_n")), "mix-rows")
+    sizes = same.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_n").alias("n"))
+    targets = stored(source_targets(sizes, weights, share, cap), "mix-targets")
+
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    number = F.pmod(F.col("_draw"), F.ceil(F.col("n_docs") / group_docs)).cast("long")
+    dealt = (
+        same.join(targets.withColumnRenamed("source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+        .withColumn("_draw", F.xxhash64(F.lit(seed), "_id", "_size"))
+        .withColumn("_whole", F.floor(ratio + _NEAR).cast("int"))
+        .withColumn("_share", F.greatest(ratio - F.col("_whole"), F.lit(0.0)) * F.col("_n"))
+        .withColumn("_sure", F.floor(F.col("_share") + _NEAR).cast("long"))
+        .withColumn("_chance", F.greatest(F.col("_share") - F.col("_sure"), F.lit(0.0)))
+        .withColumn("_number", number)
+        .withColumn("_group", F.concat_ws(":", F.col("_number").cast("string"), F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))))
+        .select("_source", "_id", "_size", "_n", "_draw", "_whole", "_sure", "_chance", "_number", "_group", "source_size", "target")
+    )
     keys = ["_size", "_draw", "_id"]
     node = T.StructType.fromDDL("source string, number long, name string, chance double, words long")
     arrow_node = to_arrow_schema(node)
@@ -155,25 +161,36 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
         source, number, name, words = (rows[c][held].as_py() for c in ("_source", "_number", "_group", "_size"))
         return pa.Table.from_pylist([{"source": source, "number": number, "name": name, "chance": float(mass[held]), "words": words}], arrow_node)
 
-    slim = dealt(narrow).select("_size", "_source", "_id", "_draw", "_chance", "_number", "_group")
-    leaves = stored(slim.groupBy("_group").applyInArrow(open_of, node), "mix-open")
+    leaves = stored(dealt.groupBy("_group").applyInArrow(open_of, node), "mix-open")
     verdicts = _resolve(leaves, targets, seed, tree_width, group_docs)
-
-    decided = dealt(kept).join(verdicts, F.col("_group") == F.col("name"), "left").drop("name")
-    plain = [f for f in decided.schema.fields if not f.name.startswith("_")]
-    result = T.StructType([*plain, T.StructField("size", T.LongType()), T.StructField("copies", T.IntegerType())])
+    decided = dealt.join(verdicts, F.col("_group") == F.col("name"), "left").withColumn("_last", F.coalesce("_last", F.lit(0)))
+    # more: how many of the n rows get one copy beyond the whole ones.
+    chosen = T.StructType.fromDDL("of_source string, of_id string, of_size long, n long, whole int, more long, source_size long, target double")
 
     def finish(rows: pa.Table) -> pa.Table:
-        more, _, held = rounded(rows)
-        more = more.astype(np.int32)
+        settled, _, held = rounded(rows)
+        settled = settled.astype(np.int64)
         if held >= 0:
-            more[held] = rows["_last"][held].as_py()
-        copies = pa.array(rows["_whole"].to_numpy().astype(np.int32) + more, pa.int32())
-        columns = {**{f.name: rows[f.name] for f in plain}, "size": rows["_size"], "copies": copies}
-        return pa.table([columns[f.name] for f in result.fields], [f.name for f in result.fields])
-
-    final = decided.withColumn("_last", F.coalesce("_last", F.lit(0))).groupBy("_group").applyInArrow(finish, result)
-    return final.withColumn("taken", F.col("size") * F.col("copies")).select(*without(docs, added).columns, *added)
+            settled[held] = rows["_last"][held].as_py()
+        given = [rows[c] for c in ("_source", "_id", "_size", "_n", "_whole")]
+        return pa.table([*given, pa.array(rows["_sure"].to_numpy() + settled), rows["source_size"], rows["target"]], chosen.names)
+
+    copies = stored(decided.groupBy("_group").applyInArrow(finish, chosen), "mix-copies")
+    extra = (F.col("more") > 0).cast("int")
+    some = (F.col("more") > 0) & (F.col("more") < F.col("n"))
+    result = _met(kept, copies.where(~some)).withColumn("_extra", extra)
+    if not copies.where(some).isEmpty():
+        told = [f.name for f in own.schema.fields if isinstance(f.dataType, _HASHED)]
+        rows = _met(kept, copies.where(some)).withColumn("_order", F.xxhash64(F.lit(seed), *told))
+        turns = number_rows(rows, ["_order"], ["of_source", "of_id", "of_size"], "_turn").drop("_order")
+        result = result.unionByName(turns.withColumn("_extra", (F.col("_turn") <= F.col("more")).cast("int")).drop("_turn"))
+    n_copies = F.col("whole") + F.col("_extra")
+    return result.select(*own.columns, F.col("_size").alias("size"), "source_size", "target", n_copies.alias("copies"), (F.col("_size") * n_copies).alias("taken"))
+
+
+def _met(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` with what was decided for their source, id and size."""
+    return rows.join(copies, F.col("_source").eqNullSafe(F.col("of_source")) & F.col("_id").eqNullSafe(F.col("of_id")) & (F.col("_size") == F.col("of_size")))
 
 
 def _resolve(leaves: DataFrame, targets: DataFrame, seed: int, width: int, group_docs: int) -> DataFrame:

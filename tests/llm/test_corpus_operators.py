@@ -367,6 +367,20 @@ def test_mix_comes_near_its_targets(spark):
     assert mix(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_share_their_copies(spark):
+    rows = [(None, f"w w w{i % 700}", "a") for i in range(1000)] + [(i, "w " * (i % 50), "b") for i in range(500)] + [(1, "w", "c")] * 101
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("more", F.create_map(F.lit("k"), "text"))
+    got = [(r.doc_id, r.text, r.source, r.copies, r.more["k"]) for r in mix(docs, group_docs=50, tree_width=4).collect()]
+    again = [(r.doc_id, r.text, r.source, r.copies, r.more["k"]) for r in mix(docs.repartition(7), group_docs=50, tree_width=4).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    assert sorted(map(str, (x[:3] for x in got))) == sorted(map(str, rows)) and all(x[1] == x[4] for x in got)
+    targets = {r.source: r for r in source_targets(docs.select("source", F.size(F.filter(F.split("text", " "), lambda w: w != "")).cast("long").alias("size"))).collect()}
+    for source, t in targets.items():
+        own = [x[3] for x in got if x[2] == source]
+        assert abs(sum(own) - len(own) * t.target / t.source_size) < 1 + 1e-6
+        assert max(own) - min(own) <= 1
+
+
 # Pipeline
 
 def test_stages_keep_the_columns_and_take_effect(spark):
