@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 from hashlib import blake2b
+from ipaddress import AddressValueError, IPv6Address
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,9 @@ NUMBERS = re.compile(
     r"|(?<![\w.+-])(?P<card>\d{4}(?:[\x20-]?\d{4}){3}(?:\d{1,3})?|\d{4}[\x20-]?\d{6}[\x20-]?\d{5})(?![\w-])"
     r"|(?<![\w.])(?P<phone>\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4}[/\x20-]\d{3,4}[\x20-]?\d{3,5})(?!\w)"
 )
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)[0-9A-Fa-f:]+(?!\w|\.\d)")
+_COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
+_HEX = re.compile("[0-9A-Fa-f]+")
 _DIGIT = re.compile("[0-9]")
 _CAPITAL_START = re.compile(rf"\b(?:{_any(_TITLE | _GIVEN)})\b")
 
@@ -107,6 +111,17 @@ def surrogate(key: str, kind: str, canonical: str, attempt: int = 0) -> str:
             low, high = {1: (1, 9), 2: (10, 99), 3: (100, 254)}[len(octet) if attempt < 32 else 1 + draws.below(3)]
             parts.append(str(low + draws.below(high - low + 1)))
         return ".".join(parts)
+    if kind == "ip6":
+        # A zero stays zero, so that the short form has the same gaps; other groups keep their number of digits.
+        groups = []
+        for group in canonical.split(":"):
+            digits = len(group.lstrip("0"))
+            if digits:
+                digits = digits if attempt < 32 else 1 + draws.below(4)
+                low = 16 ** (digits - 1)
+                group = f"{low + draws.below(16 ** digits - low):04x}"
+            groups.append(group)
+        return ":".join(groups)
     if kind == "card":
         body = canonical[0] + draws.like(canonical[1:-1])
         check = next(d for d in string.digits if luhn(body + d) == 0)
@@ -139,6 +154,29 @@ def _laid_out(surface: str, canonical: str) -> str:
     return "".join(next(chars, "") if c.isalnum() else c for c in surface)
 
 
+def _address(body: str) -> str | None:
+    """All eight groups of an IPv6 address; None for other runs of colons, and for what names no one (``::``, ``::1``).
+
+    A short form needs a first group of four digits or three groups that aren't zero, so that a slice like 1::2 is none.
+    """
+    try:
+        address = IPv6Address(body)
+    except AddressValueError:
+        return None
+    groups = address.exploded.split(":")
+    written = sum(g != "0000" for g in groups)
+    clear = "::" not in body or written >= 3 or written == 2 and body.find(":") == 4
+    return address.exploded if clear and not address.is_loopback and not address.is_unspecified else None
+
+
+def _address_laid_out(surface: str, canonical: str) -> str:
+    """The groups of ``canonical`` that aren't zero in place of the surface's, as wide and in the same case."""
+    groups = iter(g.lstrip("0") for g in canonical.split(":") if g != "0000")
+    upper = any(c in "ABCDEF" for c in surface)
+    shown = _HEX.sub(lambda m: next(groups).rjust(len(m[0]), "0") if m[0].strip("0") else m[0], surface)
+    return shown.upper() if upper else shown
+
+
 def _person(m: re.Match) -> list[tuple[int, int, str, str]]:
     """Spans of a person's names with their kinds and canonical forms; initials and titles stay."""
     if m["given"]:
@@ -173,6 +211,12 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             canonical = "".join(c for c in body if c.isalnum())
             found.append((m.start(), m.end(), kind, "+" * (kind == "phone" and body[0] == "+") + canonical))
+    if _COLONS.search(text):
+        for m in IPV6.finditer(text):
+            body = m[0][:-1] if m[0][-1] == ":" and m[0][-2:] != "::" else m[0]
+            canonical = _address(body)
+            if canonical:
+                found.append((m.start(), m.start() + len(body), "ip6", canonical))
     if _CAPITAL_START.search(text):
         for m in PERSON.finditer(text):
             found += _person(m)
@@ -194,6 +238,8 @@ def rewrite(text: str, key: str, attempts: dict[tuple[str, str], int]) -> tuple[
             shown = new.upper() if surface.isupper() and kind == "email" else new
         elif kind.startswith("given") or kind == "surname":
             shown = _cased(surface, new)
+        elif kind == "ip6":
+            shown = _address_laid_out(surface, new)
         else:
             shown = _laid_out(surface, new)
         pieces += [text[at:start], shown]
@@ -232,7 +278,7 @@ def settle(entities: DataFrame, key: str, most_rounds: int = 96) -> DataFrame:
 def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace personal data in ``text``; add ``n_entities`` and ``kinds`` (of the entities, in order).
 
-    Found are e-mail addresses, IPv4 addresses, phone numbers, payment cards, US social security
+    Found are e-mail addresses, IPv4 and IPv6 addresses, phone numbers, payment cards, US social security
     numbers, IBANs, and names after a title or a common given name. Each gets a surrogate drawn from
     ``key`` and its canonical form: the same type, number of digits and layout, valid check digits
     where the original's are valid, and for names the same script, gender and case. One entity has

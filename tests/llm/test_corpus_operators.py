@@ -4,6 +4,7 @@ import os
 import random
 import re
 import time
+from ipaddress import IPv6Address
 
 import numpy as np
 import pytest
@@ -267,7 +268,23 @@ def test_entities_and_their_surrogates():
     assert russian.startswith("Госпожа ") and re.search("[а-я]", russian.split()[1])
 
 
-@pytest.mark.parametrize(("kind", "canonical"), [("iban", "DE89370400440532013000"), ("ssn", "123456789"), ("card", "4041894974608795"), ("ip", "9.9.9.9"), ("given-f", "анна")])
+def test_addresses_of_eight_groups():
+    text = "From 2001:db8::8a2e:370:7334, [2001:DB8:0:0:0:8A2E:0370:7334]:80 and fe80::1c: up; 2001:0db8:0000:0000:0000:8a2e:0370:7334."
+    new, kinds = rewrite(text, "k", {})
+    assert kinds == ["ip6"] * 4
+    one, two, three, four = re.findall(r"[0-9a-fA-F]{4}:[0-9a-fA-F:]*[0-9a-fA-F]", new)
+    full = IPv6Address("2001:db8::8a2e:370:7334").exploded
+    assert IPv6Address(one) == IPv6Address(two) == IPv6Address(four) != IPv6Address(full)
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}", one) and two.isupper() and len(four) == 39
+    assert re.sub("[0-9a-f]", "x", three) == "xxxx::xx" and three != "fe80::1c" and new[len(new) - 40:-1] == four
+    for plain in ("a[1::2] of x[::3], std::map and C::D", "at 12:30:45 on 01:02:03:04:05:06", "::1 or ::", "1:2:3:4:5:6:7:8:9", "12345::1:2:3", "a:b::c::d"):
+        assert rewrite(plain, "k", {}) == (plain, [])
+    assert rewrite("::ffff:10.2.33.144", "k", {})[1] == ["ip"]
+    rendered = [surrogate("k", "ip6", full, a) for a in range(60)]
+    assert len(set(rendered)) == 60 and all(IPv6Address(x).exploded == x for x in rendered)
+
+
+@pytest.mark.parametrize(("kind", "canonical"), [("ip6", "fe80:0000:0000:0000:0000:0000:0000:001c"), ("iban", "DE89370400440532013000"), ("ssn", "123456789"), ("card", "4041894974608795"), ("ip", "9.9.9.9"), ("given-f", "анна")])
 def test_surrogates_keep_the_form(kind, canonical):
     seen = {surrogate("k", kind, canonical, a) for a in range(40)}
     assert len(seen) > 20 and canonical not in seen
