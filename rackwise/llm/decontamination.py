@@ -2,40 +2,30 @@
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackwise.llm.common import add_columns, any_names, without
+from rackwise.llm.common import SLICE_ROWS, add_columns, any_names, stored, without
+from rackwise.llm.recompression import NameFilter, name_filter, word_names
+from rackwise.sources.workspace import new_folder
 
-# Fixed value: a word is a run of characters that are no ASCII control, space, mark or capital.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# Fixed value: a word is a run of characters that are no ASCII control, space or mark; A-Z count as a-z.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
+SLICE_BYTES = 4 << 20
 _SPACED = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def fold(text: str | None) -> str:
-    """A-Z lower-cased, all else untouched, so offsets stay."""
-    return text.translate(_FOLD) if text else ""
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """The folded words as UTF-8: all that is no part of a word becomes a space. What ``WORD`` finds, but faster."""
-    return text.encode("utf-8", "surrogatepass").translate(_SPACED).split() if text else []
-
-
-def test_windows(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """All runs of ``window`` words; a shorter item, but not an empty one, is one window."""
-    if not words:
-        return []
-    return [tuple(words[i:i + window]) for i in range(max(1, len(words) - window + 1))]
+_FOUND = "a long, b long, window long, first int, last int, start int, stop int"
 
 
 class RankBits:
@@ -125,13 +115,13 @@ class FMIndex:
         if not len(text) or text[-1] != 0:
             text = np.append(text, 0)
         order = suffix_order(text)
-        self.last = text[order - 1]  # the symbol before each suffix; before the first one, the separator at the end
+        self.last = text[order - 1].astype(np.int32)  # the symbol before each suffix; before the first one, the separator at the end
         self.tree = WaveletTree(self.last, n_symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
         sampled = (self.last == 0) | (order % every == 0)
         self.sampled = RankBits(sampled)
         self.is_sampled = sampled
-        self.positions = order[sampled]
+        self.positions = order[sampled].astype(np.int32)
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows [low, high) of the suffixes that begin with each pattern; a pattern is a row, padded at the right."""
@@ -162,70 +152,239 @@ class FMIndex:
         return out
 
 
-class TestSet:
-    """The windows of a block of test items, as symbols."""
+class Shard(NamedTuple):
+    """Indexed words of some texts, and where each stands: its text, number in the text, first character and end."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
-        owners: dict[tuple[bytes, ...], set[str]] = {}
-        for name, text in items:
-            for w in test_windows(words_of(text), window):
-                owners.setdefault(w, set()).add(name)
-        self.symbols: dict[bytes, int] = {}
-        for w in owners:
-            for word in w:
-                self.symbols.setdefault(word, len(self.symbols) + 1)
-        self.owners = [sorted(o) for o in owners.values()]
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.patterns = np.zeros((len(owners), window), np.int64)
-        for i, w in enumerate(owners):
-            self.patterns[i, :len(w)] = [self.symbols[x] for x in w]
-        self.shortest = int(self.lengths.min()) if len(owners) else 0
+    names: np.ndarray  # ascending; symbol k stands for names[k - 1]
+    index: FMIndex
+    a: np.ndarray  # the texts' keys
+    b: np.ndarray
+    text: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
 
 
-def search_shard(words: list[list[bytes]], tests: TestSet) -> tuple[list[np.ndarray], list[set[str]]]:
-    """For each document of a shard, the numbers of its hit words (with repeats) and the items found in it.
+def stretches(texts: list[bytes], known: NameFilter, shortest: int) -> list[np.ndarray]:
+    """The words worth an index: name, text, number in the text, first character, end.
 
-    A word that no test holds separates. Stretches between separators that are shorter than the
-    shortest pattern can hold no occurrence and are left out of the index.
+    A word that ``known`` does not hold separates, and so does the end of a text; separators have the name 0.
+    Stretches between separators that are shorter than the shortest pattern can hold no occurrence and are left out.
     """
-    hits: list[list[np.ndarray]] = [[] for _ in words]
-    items: list[set[str]] = [set() for _ in words]
-    if not len(tests.patterns):
-        return [np.zeros(0, np.int64) for _ in words], items
-    get = tests.symbols.get
-    symbols = np.fromiter((get(w, 0) for doc in words for w in (*doc, b"")), np.int64, sum(map(len, words)) + len(words))
-    ends = np.cumsum([len(doc) + 1 for doc in words])
-    walls = np.flatnonzero(np.concatenate([[True], symbols == 0]))  # a wall before the first, then after each separator
-    keep = np.repeat(np.diff(walls) > tests.shortest, np.diff(walls))
-    at = np.flatnonzero(keep)
-    if len(at):
-        index = FMIndex(symbols[at], len(tests.symbols) + 1)
-        low, high = index.search(tests.patterns, tests.lengths)
-        found = np.flatnonzero(high > low)
-        many = (high - low)[found]
-        rows = np.repeat(low[found], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        place = at[index.locate(rows)]
-        pattern = np.repeat(found, many)
-        doc = np.searchsorted(ends, place, side="right")
-        start = place - np.concatenate([[0], ends])[doc]
-        for d, s, p in zip(doc.tolist(), start.tolist(), pattern.tolist(), strict=True):
-            hits[d].append(np.arange(s, s + tests.lengths[p]))
-            items[d].update(tests.owners[p])
-    return [np.concatenate(h) if h else np.zeros(0, np.int64) for h in hits], items
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The test items, a block of bounded size at a time; an item without words goes."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string")).dropna()
-    for name, body in rows.toLocalIterator():
-        block.append((name, body))
-        size += len(body)
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    folded = [t.translate(_SPACED) for t in texts]
+    names, counts = word_names(folded)
+    whole = np.frombuffer(b" ".join([*folded, b""]), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (whole != 32).view(np.int8)])))
+    characters = np.cumsum((whole & 0xC0) != 0x80, dtype=np.int32) - 1
+    begins = characters[np.cumsum([0, *[len(t) + 1 for t in folded[:-1]]])]
+    text = np.repeat(np.arange(len(texts)), counts)
+    place = np.arange(len(names)) + text
+    line, word = np.zeros(len(names) + len(texts), np.uint64), np.zeros(len(names) + len(texts), np.int64)
+    line[place] = np.where(known.holds(names), names, 0)
+    word[place] = np.arange(len(names))
+    walls = np.flatnonzero(np.concatenate([[True], line == 0]))  # a wall before the first, then after each separator
+    at = np.flatnonzero(np.repeat(np.diff(walls) > shortest, np.diff(walls)))
+    if not len(at):
+        return [np.zeros(0, t) for t in (np.uint64, np.int32, np.int32, np.int32, np.int32)]
+    of = word[at]
+    number = of - (np.cumsum(counts) - counts)[text[of]]
+    start, stop = (characters[edges[k::2][of]] - begins[text[of]] for k in (0, 1))
+    return [line[at], *[x.astype(np.int32) for x in (text[of], number, start, stop)]]
+
+
+def build_shard(columns: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> Shard:
+    """The index over a line of stretches."""
+    name, *places = columns
+    names, symbol = np.unique(name[name != 0], return_inverse=True)
+    line = np.zeros(len(name), np.int64)
+    line[name != 0] = symbol + 1
+    return Shard(names, FMIndex(line, len(names) + 1), a, b, *places)
+
+
+def search_shard(shard: Shard, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the shard's line and numbers of the patterns found there.
+
+    ``patterns`` holds a row of names each, padded at the right. Those with a word that the shard lacks are not searched.
+    """
+    symbol = np.searchsorted(shard.names, patterns)
+    held = shard.names[np.minimum(symbol, len(shard.names) - 1)] == patterns
+    live = np.flatnonzero((held | (np.arange(patterns.shape[1]) >= lengths[:, None])).all(axis=1))
+    low, high = shard.index.search(symbol[live] + 1, lengths[live])
+    many = high - low
+    rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return shard.index.locate(rows), np.repeat(live, many)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, with some megabytes of text or one text."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(texts)).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            fits = np.searchsorted(np.cumsum(size[at:at + SLICE_ROWS]), SLICE_BYTES, "right")
+            yield batch.slice(at, max(1, int(fits)))
+            at += max(1, int(fits))
+
+
+def _window_rows(window: int):
+    """All runs of ``window`` words of the items, as the words' names end to end; a shorter item, but not an empty one, is one run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _sliced(batches, 1):
+            names, counts = word_names([t.translate(_SPACED) for t in some.column(1).to_pylist()])
+            ends = np.cumsum(counts)
+            for item, n, end in zip(some.column(0).to_pylist(), counts.tolist(), ends.tolist(), strict=True):
+                size = min(window, n)
+                for at in range(end - n, end - size + 1 if n else 0, SLICE_ROWS):
+                    words = names[at:min(at + SLICE_ROWS + size - 1, end)]
+                    patterns = [words[k:k + size].tobytes() for k in range(len(words) - size + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(patterns), pa.string()), pa.array(patterns, pa.binary())], ["item", "pattern"])
+
+    return run
+
+
+def _names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            names = np.unique(np.frombuffer(b"".join(batch.column(0).slice(at, SLICE_ROWS).to_pylist()), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names)], ["name"])
+
+
+def _block_rows(window: int, block: int):
+    """Blocks of ``block`` windows: numbers, lengths, and patterns padded to ``window`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, numbers = [], []
+
+        def row() -> pa.RecordBatch:
+            lengths = np.array([len(p) // 8 for p in patterns], np.int64)
+            padded = b"".join(p.ljust(8 * window, b"\0") for p in patterns)
+            values = [np.array(numbers, np.int64).tobytes(), lengths.tobytes(), padded]
+            patterns.clear()
+            numbers.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["numbers", "lengths", "patterns"])
+
+        for batch in batches:
+            for number, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                numbers.append(number)
+                patterns.append(pattern)
+                if len(patterns) >= block:
+                    yield row()
+        if patterns:
+            yield row()
+
+    return run
+
+
+def _shard_rows(known: Broadcast, shortest: int, window: int, shard_words: int):
+    """Shards of about ``shard_words`` indexed words, one a row; a longer line is cut, with the words of a window repeated."""
+
+    def shards(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        a, b = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        before = np.cumsum([0, *[len(h[0]) for h in held[:-1]]])
+        for h, n in zip(held, before.tolist(), strict=True):
+            h[2][1] += n
+        columns = [np.concatenate([h[2][k] for h in held]) for k in range(5)]
+        n = len(columns[0])
+        step = -(-n // max(1, n // shard_words))
+        for at in range(0, n, step):
+            part = [c[at:at + step + window - 1] for c in columns]
+            if (part[0] != 0).any():
+                texts, part[1] = np.unique(part[1], return_inverse=True)
+                row = pickle.dumps(build_shard(part, a[texts], b[texts]), 5)
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["shard"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for some in _sliced(batches, 2):
+            columns = stretches(some.column(2).to_pylist(), known.value, shortest)
+            if len(columns[0]):
+                held.append((some.column(0).to_numpy(), some.column(1).to_numpy(), columns))
+                size += len(columns[0])
+            if size >= shard_words:
+                yield from shards(held)
+                held, size = [], 0
+        if size:
+            yield from shards(held)
+
+    return run
+
+
+def _search_rows(window: int):
+    """What each block of windows finds in each shard: stretches of hit words, and the windows found, by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                packed, numbers, lengths, patterns = (batch.column(k)[i].as_py() for k in range(4))
+                shard, numbers, lengths = pickle.loads(packed), np.frombuffer(numbers, np.int64), np.frombuffer(lengths, np.int64)
+                place, found = search_shard(shard, np.frombuffer(patterns, np.uint64).reshape(-1, window), lengths)
+                if len(place):
+                    yield _found_rows(shard, place, lengths[found], numbers[found])
+
+    return run
+
+
+def _found_rows(shard: Shard, place: np.ndarray, length: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
+    n = len(shard.text) + 1
+    inside = np.cumsum(np.bincount(place, minlength=n) - np.bincount(place + length, minlength=n + 1)[:n]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8)])))
+    first, last = edges[::2], edges[1::2] - 1
+    pairs = np.unique(np.stack([shard.text[place], window]), axis=1)
+    text = np.concatenate([shard.text[first], pairs[0]])
+    none, some = len(first), pairs.shape[1]
+    stretch = [pa.array(np.concatenate([v, np.zeros(some, np.int32)]), pa.int32(), mask=np.arange(none + some) >= none) for v in (shard.number[first], shard.number[last], shard.start[first], shard.stop[last])]
+    windows = pa.array(np.concatenate([np.zeros(none, np.int64), pairs[1]]), mask=np.arange(none + some) < none)
+    return pa.RecordBatch.from_arrays([pa.array(shard.a[text]), pa.array(shard.b[text]), windows, *stretch], ["a", "b", "window", "first", "last", "start", "stop"])
+
+
+def _merged(firsts: list, lasts: list, starts: list, stops: list) -> list:
+    """Of each text's stretches, which may overlap: the numbers of the words inside, and the merged stretches' characters."""
+    out: list[list] = [[], [], []]
+    for row in zip(firsts, lasts, starts, stops, strict=True):
+        first, last, start, stop = (np.array(x, np.int64) for x in row)
+        order = np.argsort(first, kind="stable")
+        first, start, reach, end = first[order], start[order], np.maximum.accumulate(last[order]), np.maximum.accumulate(stop[order])
+        heads = np.flatnonzero(np.append(True, first[1:] > reach[:-1] + 1))
+        tails = np.append(heads[1:], len(first)) - 1
+        out[0].append(np.concatenate([np.arange(f, r + 1) for f, r in zip(first[heads], reach[tails], strict=True)]))
+        out[1].append(start[heads])
+        out[2].append(end[tails])
+    return out
+
+
+def _stored_shards(shards: DataFrame) -> DataFrame:
+    """Rows of megabytes, written so that the Parquet writer looks at its size after each."""
+    folder = new_folder(shards.sparkSession, "shards")
+    looks = {f"parquet.{unit}.size.row.check.{end}": "1" for unit in ("block", "page") for end in ("min", "max")}
+    shards.write.options(**looks, **{"parquet.block.size": str(32 << 20)}).parquet(folder)
+    return shards.sparkSession.read.schema(shards.schema).parquet(folder)
+
+
+def _facts(texts: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, shard_words: int) -> DataFrame | None:
+    """By key of a text in which a window occurs: ``hit_words``, ``items``, ``spans``. None without any window."""
+    each = stored(benchmark.mapInArrow(_window_rows(window), "item string, pattern binary").withColumn("window", F.xxhash64("pattern")), "test-windows")
+    windows = stored(each.select("window", "pattern").distinct(), "distinct-test-windows")
+    n, shortest = windows.agg(F.count("*"), F.min(F.length("pattern"))).first()
+    if not n:
+        return None
+    names = stored(windows.select("pattern").mapInArrow(_names_of, "name long").distinct(), "test-words")
+    known = texts.sparkSession.sparkContext.broadcast(name_filter(names, "name", names.count()))
+    block = max(1, block_bytes // (8 * window + 16))
+    n_blocks = -(-n // block)
+    blocks = stored(windows.repartition(n_blocks).mapInArrow(_block_rows(window, block), "numbers binary, lengths binary, patterns binary"), "window-blocks")
+    shards = texts.mapInArrow(_shard_rows(known, shortest // 8, window, shard_words), "shard binary")
+    if n_blocks > 1:
+        shards = _stored_shards(shards)
+    found = stored(shards.crossJoin(blocks).mapInArrow(_search_rows(window), _FOUND), "occurrences")
+    ranges = found.where("window is null").groupBy("a", "b").agg(F.collect_set(F.struct("first", "last", "start", "stop")).alias("r"))
+    longs = T.ArrayType(T.LongType())
+    fields = [T.StructField(name, longs) for name in ("hit_words", "start", "stop")]
+    reads = ["first", "last", "begin", "end"]
+    hits = add_columns(ranges.select("a", "b", *[F.col(f"r.{c}").alias(n) for c, n in zip(("first", "last", "start", "stop"), reads, strict=True)]), lambda: _merged, reads, fields, reads)
+    owners = each.select("window", "item").distinct()
+    items = found.where("window is not null").select("a", "b", "window").distinct().join(owners, "window").groupBy("a", "b").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return stored(hits.join(items, ["a", "b"]).select("a", "b", "hit_words", "items", F.arrays_zip("start", "stop").alias("spans")), "contaminated-texts")
 
 
 @any_names("text")
@@ -233,64 +392,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                        window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Add ``n_words``, ``hit_words`` (their numbers, ascending), ``items`` (ids as text, sorted) and ``spans`` to every document.
 
-    Words are compared with A-Z lower-cased. Each task turns its documents into shards of about
-    ``shard_words`` words and builds an FM-index over each: the Burrows-Wheeler transform of its
-    symbols, ranks by a wavelet tree, and a sample of suffix positions. All windows of the test items
-    are searched backward at once; the occurrences' words are the hits. ``spans`` are the removal
-    spans: stretches of hit words, merged, from the first character of the first to behind the last.
+    Words are compared with A-Z lower-cased, by names of 64 bits. Each task turns its documents into shards of
+    about ``shard_words`` indexed words and builds an FM-index over each, once: the Burrows-Wheeler transform of its
+    words, ranks by a wavelet tree, and a sample of suffix positions. All windows of the test items are searched
+    backward; the occurrences' words are the hits. ``spans`` are the removal spans: stretches of hit words, merged,
+    from the first character of the first to behind the last.
+
+    The test items are the query set, against all shards, in blocks of about ``block_bytes``; neither items nor windows
+    pass through the driver. Only a filter of the items' words does, of 64 MB at most. One block meets the shards as they are
+    built; for more, the shards are written to the shared folder and meet each block there. What is found goes by keys of
+    128 bits of the texts, and meets the documents in one join; the texts themselves are moved only if Spark finds the
+    texts with hits too many to send them to every task. ``docs`` is read twice.
 
-    The test items are the query set. They are read in blocks of about ``block_bytes``; each block
-    passes over all documents, in the same tasks, without a shuffle. Hits are sets, so equal windows
-    of several items, repeated items and repeated rows change nothing else. Nulls have no words; an
-    item with a null id or text is no item. Empty benchmark: no hits. Empty documents: no rows.
+    Hits are sets, so equal windows of several items, repeated items and repeated rows change nothing else. Nulls have no
+    words; an item with a null id or text is no item. Empty benchmark: no hits. Empty documents: no rows.
     Columns with the added names are replaced, all others kept.
     """
-    added = ["n_words", "hit_words", "items", "spans"]
-    longs, names = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
-    none = [F.lit(0).cast("long").alias("n_words"), F.array().cast(longs).alias("hit_words"), F.array().cast(names).alias("items"), F.array().cast(longs).alias("_spans")]
-    rows = without(docs, added).withColumn("_text", F.col(text).cast("string")).select("*", *none)
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", longs), T.StructField("items", names), T.StructField("_spans", longs)]
-    done = [f.name for f in fields]
-
-    def over(tests: TestSet):
-        def batch(texts: list, hit_before: list, items_before: list) -> list:
-            out: list[list] = [[], [], [], []]
-            at = 0
-            while at < len(texts):
-                words, size, begin = [], 0, at
-                while at < len(texts) and (size < shard_words or at == begin):
-                    words.append(words_of(texts[at]))
-                    size += len(words[-1])
-                    at += 1
-                for k, (hits, items) in enumerate(zip(*search_shard(words, tests), strict=True)):
-                    i = begin + k
-                    numbers = np.unique(np.concatenate([hits, np.array(hit_before[i], np.int64)])) if len(hits) or hit_before[i] else hits
-                    out[0].append(len(words[k]))
-                    out[1].append(numbers.tolist())
-                    out[2].append(sorted(items.union(items_before[i])))
-                    out[3].append(_spans(fold(texts[i]), numbers) if len(numbers) else [])
-            return out
-
-        return lambda: batch
-
-    blocks = 0
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        rows = add_columns(rows, over(TestSet(block, window)), ["_text", "hit_words", "items"], fields, done)
-        blocks += 1
-    if not blocks:
-        rows = add_columns(rows, over(TestSet([], window)), ["_text", "hit_words", "items"], fields, done)
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("_spans") / 2 - 1).cast("int")), lambda i: F.struct(
-        F.element_at("_spans", (2 * i + 1).cast("int")).alias("start"), F.element_at("_spans", (2 * i + 2).cast("int")).alias("stop")))
-    empty = F.array().cast("array<struct<start:long,stop:long>>")
-    return rows.withColumn("spans", F.when(F.size("_spans") > 0, pairs).otherwise(empty)).drop("_text", "_spans")
-
-
-def _spans(body: str, numbers: np.ndarray) -> list[int]:
-    """Start and stop of each stretch of hit words, flat."""
-    places = [m.span() for m in WORD.finditer(body)]
-    cut = np.flatnonzero(np.diff(numbers) > 1)
-    firsts, lasts = numbers[np.append(0, cut + 1)], numbers[np.append(cut, len(numbers) - 1)]
-    return [x for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True) for x in (places[a][0], places[b][1])]
+    rows = without(docs, ["n_words", "hit_words", "items", "spans"])
+    body = F.col(text).cast("string")
+    keys = [F.when(F.length(body) > 0, k) for k in (F.xxhash64(body), F.xxhash64(F.lit(1), body))]
+    texts = rows.select(keys[0].alias("a"), keys[1].alias("b"), body.cast("binary").alias("body")).where("a is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").cast("binary").alias("body")).dropna()
+    facts = _facts(texts, items, window, block_bytes, shard_words)
+    empty = {"hit_words": "array<long>", "items": "array<string>", "spans": "array<struct<start:long,stop:long>>"}
+    n_words = F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    if facts is None:
+        return rows.select("*", n_words, *[F.array().cast(kind).alias(name) for name, kind in empty.items()])
+    met = rows.withColumn("a", keys[0]).withColumn("b", keys[1]).join(facts, ["a", "b"], "left")
+    return met.select(*rows.columns, n_words, *[F.coalesce(F.col(name).cast(kind), F.array().cast(kind)).alias(name) for name, kind in empty.items()])
 
 
 def remove_spans(text: Column, spans: Column) -> Column:

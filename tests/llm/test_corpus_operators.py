@@ -15,16 +15,15 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from rackwise.llm import catalogue
 from rackwise.llm.components import components
-from rackwise.llm.decontamination import WORD, FMIndex, TestSet, find_contamination, fold, remove_spans, search_shard, suffix_order, test_windows, words_of
+from rackwise.llm.decontamination import FMIndex, find_contamination, remove_spans, stretches, suffix_order
 from rackwise.llm.embedding_join import blocks_of, link_vectors, rotation
 from rackwise.llm.mixing import mix, pivotal, source_targets
 from rackwise.llm.near_duplicates import _edits, _edits_by_rows, alignment_similarity, keep_one, labelled, mark_near_duplicates, order_sketches, shingle_hashes
 from rackwise.llm.pii import find_entities, luhn, replace_personal_data, rewrite, settle, surrogate
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TestSet.__test__ = False
-windows_of = test_windows
-del test_windows
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 class Groups:
@@ -175,41 +174,69 @@ def test_suffix_order_of_long_repeats():
     assert key == sorted(key)
 
 
+def _plain_words(text):
+    return WORD.findall((text or "").translate(FOLD))
+
+
 def _plain_hits(text, items, window=10):
-    words, hits, names = WORD.findall(fold(text)), set(), set()
+    words, hits, names = _plain_words(text), set(), set()
     for name, body in items:
-        for w in windows_of(WORD.findall(fold(body)), window):
+        item = _plain_words(body)
+        for k in range(max(1, len(item) - window + 1) if item else 0):
+            w = item[k:k + window]
             for i in range(len(words) - len(w) + 1):
-                if tuple(words[i:i + len(w)]) == w:
+                if words[i:i + len(w)] == w:
                     hits.update(range(i, i + len(w)))
                     names.add(name)
     return len(words), sorted(hits), sorted(names)
 
 
+def _without_hits(text, hits):
+    """``text`` without the stretches of hit words, by the words' places."""
+    places, out, at = [m.span() for m in WORD.finditer(text.translate(FOLD))], "", 0
+    for i, n in enumerate(hits):
+        if not i or hits[i - 1] < n - 1:
+            out += text[at:places[n][0]]
+        at = places[n][1]
+    return out + text[at:]
+
+
 def test_contamination_equals_brute_force(spark):
     rng = random.Random(2)
     few = [f"v{i}" for i in range(3)]
-    items = [("10", " ".join(rng.choice(few) for _ in range(14))), ("9", " ".join(rng.choice(WORDS) for _ in range(40))), ("2", "Ünïted, front\x00door"), ("3", ""), ("4", "..."), ("9", "solo!")]
-    texts = [None, "", "...", " ".join(rng.choice(few) for _ in range(3000)), "x ünïted Front-DOOR y", "Ünïted front door", items[1][1].upper() + " zz " + items[1][1], "solo", "a.b " * 50_000 + items[0][1] + "!", "\ud83d😀 solo"]
+    items = [("10", " ".join(rng.choice(few) for _ in range(14))), ("9", " ".join(rng.choice(WORDS) for _ in range(40))), ("2", "Ünïted, front\x00door"), ("3", ""), ("4", "..."), ("9", "solo!"), ("1", "SOLO")]
+    texts = [None, "", "...", " ".join(rng.choice(few) for _ in range(3000)), "x ünïted Front-DOOR y", "Ünïted front door", items[1][1].upper() + " zz " + items[1][1], "solo", "a.b " * 50_000 + items[0][1] + "!", "\ud83d😀 solo", "solo", "日本 é solo. " * 700 + items[0][1] + " ünïted front_door"]
     texts = [t if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
-    for t in texts:
-        assert words_of(t) == [w.encode() for w in WORD.findall(fold(t))]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id int, text string, items int")
     tests = spark.createDataFrame([*items, (None, "solo"), ("77", None)], "item_id string, text string")
-    for block in (1, 1 << 20):
-        got = {r.doc_id: r for r in find_contamination(docs, tests, block_bytes=block, shard_words=2000).withColumn("rest", remove_spans(F.col("text"), F.col("spans"))).collect()}
+    for block, shard in ((400, 500), (1 << 20, 1 << 18)):
+        got = {r.doc_id: r for r in find_contamination(docs, tests, block_bytes=block, shard_words=shard).withColumn("rest", remove_spans(F.col("text"), F.col("spans"))).collect()}
         for i, t in enumerate(texts):
-            assert (got[i].n_words, got[i].hit_words, got[i]["items"]) == _plain_hits(t or "", items)
-    assert got[4].rest == texts[4] and got[5].rest == "" and got[9].rest.split() == ["😀"] and got[7].rest == "" and got[0].rest is None
-    clean = got[6].rest.split()
-    assert clean == ["zz"]
+            wanted = _plain_hits(t, items)
+            assert (got[i].n_words, got[i].hit_words, got[i]["items"]) == wanted
+            assert got[i].rest == (None if t is None else _without_hits(t, wanted[1]))
+    assert got[4].rest == texts[4] and got[5].rest == "" and got[6].rest == " zz "
     assert find_contamination(docs.limit(0), tests).count() == 0
     assert find_contamination(docs, tests.limit(0)).where(F.size("hit_words") > 0).count() == 0
+    assert find_contamination(docs, tests.where("item_id in ('3', '4')")).where("n_words > 0 and size(spans) = 0").count() == len(texts) - 3
+
+
+class _Known:
+    def __init__(self, bad):
+        self.bad = bad
+
+    def holds(self, names):
+        return ~np.isin(names, self.bad)
 
 
-def test_shards_without_windows():
-    hits, items = search_shard([[b"a"], []], TestSet([("1", " ")]))
-    assert [h.tolist() for h in hits] == [[], []] and items == [set(), set()]
+def test_stretches_keep_places_in_characters():
+    texts = [b"", "É b, c".encode(), b"b", "x ÉÉ  Q".encode()]
+    name, text, number, start, stop = stretches(texts, _Known([]), 2)
+    assert [(t, n, a, b) for x, t, n, a, b in zip(name, text, number, start, stop) if x] == [(1, 0, 0, 1), (1, 1, 2, 3), (1, 2, 5, 6), (3, 0, 0, 1), (3, 1, 2, 4), (3, 2, 6, 7)]
+    bad = name[1]  # b
+    assert [len(c) for c in stretches(texts, _Known([bad]), 2)] == [4] * 5
+    assert [len(c) for c in stretches(texts, _Known([bad]), 4)] == [0] * 5
+    assert [len(c) for c in stretches([b"", b"..."], _Known([]), 1)] == [0] * 5
 
 
 # Vectors
