@@ -14,16 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rackwise.llm.common import SLICE_ROWS, add_columns, any_names, stored, without
+from rackwise.llm.common import SLICE_ROWS, add_columns, any_names, mapped, stored, without
 from rackwise.llm.recompression import NameFilter, name_filter, word_names
 from rackwise.sources.workspace import new_folder
 
-# Fixed value: a word is a run of characters that are no ASCII control, space or mark; A-Z count as a-z.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
 SHARD_WORDS = 1 << 18
 SLICE_BYTES = 4 << 20
+# Fixed value: words are runs of digits, letters and all beyond ASCII; A-Z count as a-z, all else becomes a space.
 _SPACED = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _FOUND = "a long, b long, window long, first int, last int, start int, stop int"
 
@@ -192,6 +191,14 @@ def stretches(texts: list[bytes], known: NameFilter, shortest: int) -> list[np.n
     return [line[at], *[x.astype(np.int32) for x in (text[of], number, start, stop)]]
 
 
+def count_words(texts: list[bytes | None]) -> np.ndarray:
+    """How many words each text has; none if null."""
+    whole = np.frombuffer(b" ".join([b"", *[t or b"" for t in texts]]).translate(_SPACED), np.uint8)
+    starts = np.flatnonzero((whole[1:] != 32) & (whole[:-1] == 32))
+    text_starts = np.cumsum([0, *[len(t or b"") + 1 for t in texts[:-1]]])
+    return np.bincount(np.searchsorted(text_starts, starts, "right") - 1, minlength=len(texts))
+
+
 def build_shard(columns: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> Shard:
     """The index over a line of stretches."""
     name, *places = columns
@@ -218,7 +225,7 @@ def search_shard(shard: Shard, patterns: np.ndarray, lengths: np.ndarray) -> tup
 def _sliced(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
     """Some rows at a time, with some megabytes of text or one text."""
     for batch in batches:
-        size = pc.binary_length(batch.column(texts)).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch.column(texts)).fill_null(0).to_numpy()
         at = 0
         while at < batch.num_rows:
             fits = np.searchsorted(np.cumsum(size[at:at + SLICE_ROWS]), SLICE_BYTES, "right")
@@ -387,6 +394,26 @@ def _facts(texts: DataFrame, benchmark: DataFrame, window: int, block_bytes: int
     return stored(hits.join(items, ["a", "b"]).select("a", "b", "hit_words", "items", F.arrays_zip("start", "stop").alias("spans")), "contaminated-texts")
 
 
+def _counted(keyed: DataFrame, text: str, held: Broadcast | None, hit: bool) -> DataFrame:
+    """Rows whose key ``a`` is (``hit``) or is not in the filter, with ``n_words``."""
+    rows = keyed
+    if not isinstance(keyed.schema[text].dataType, T.StringType):
+        rows = keyed.withColumn("as_text", F.col(text).cast("string"))
+    names = [*rows.columns, "n_words"]
+    body, key = names.index("as_text" if "as_text" in names else text), names.index("a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if held is not None:
+                may_hit = held.value.holds(batch.column(key).fill_null(0).to_numpy()) & batch.column(key).is_valid().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(may_hit == hit))
+            if batch.num_rows:
+                counts = [count_words(some.column(body).cast(pa.binary()).to_pylist()) for some in _sliced([batch], body)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(counts), pa.int64())], names)
+
+    return mapped(rows, run, T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType())]))
+
+
 @any_names("text")
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                        window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -401,8 +428,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     The test items are the query set, against all shards, in blocks of about ``block_bytes``; neither items nor windows
     pass through the driver. Only a filter of the items' words does, of 64 MB at most. One block meets the shards as they are
     built; for more, the shards are written to the shared folder and meet each block there. What is found goes by keys of
-    128 bits of the texts, and meets the documents in one join; the texts themselves are moved only if Spark finds the
-    texts with hits too many to send them to every task. ``docs`` is read twice.
+    128 bits of the texts. A filter of these keys, of 64 MB at most, tells the documents that meet them in a join; the others
+    are not moved. ``docs`` is read three times.
 
     Hits are sets, so equal windows of several items, repeated items and repeated rows change nothing else. Nulls have no
     words; an item with a null id or text is no item. Empty benchmark: no hits. Empty documents: no rows.
@@ -411,15 +438,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     rows = without(docs, ["n_words", "hit_words", "items", "spans"])
     body = F.col(text).cast("string")
     keys = [F.when(F.length(body) > 0, k) for k in (F.xxhash64(body), F.xxhash64(F.lit(1), body))]
-    texts = rows.select(keys[0].alias("a"), keys[1].alias("b"), body.cast("binary").alias("body")).where("a is not null")
+    keyed = rows.select("*", keys[0].alias("a"), keys[1].alias("b"))
+    texts = keyed.select("a", "b", body.cast("binary").alias("body")).where("a is not null")
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").cast("binary").alias("body")).dropna()
     facts = _facts(texts, items, window, block_bytes, shard_words)
-    empty = {"hit_words": "array<long>", "items": "array<string>", "spans": "array<struct<start:long,stop:long>>"}
-    n_words = F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    held = None if facts is None else docs.sparkSession.sparkContext.broadcast(name_filter(facts, "a", facts.count()))
+    kinds = {"hit_words": "array<long>", "items": "array<string>", "spans": "array<struct<start:long,stop:long>>"}
+    none = {name: F.array().cast(kind).alias(name) for name, kind in kinds.items()}
+    clean = _counted(keyed, text, held, False).select(*rows.columns, "n_words", *none.values())
     if facts is None:
-        return rows.select("*", n_words, *[F.array().cast(kind).alias(name) for name, kind in empty.items()])
-    met = rows.withColumn("a", keys[0]).withColumn("b", keys[1]).join(facts, ["a", "b"], "left")
-    return met.select(*rows.columns, n_words, *[F.coalesce(F.col(name).cast(kind), F.array().cast(kind)).alias(name) for name, kind in empty.items()])
+        return clean
+    met = _counted(keyed, text, held, True).join(facts, ["a", "b"], "left")
+    found = [F.coalesce(F.col(name).cast(kind), none[name]).alias(name) for name, kind in kinds.items()]
+    return clean.unionByName(met.select(*rows.columns, "n_words", *found))
 
 
 def remove_spans(text: Column, spans: Column) -> Column:
