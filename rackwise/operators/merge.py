@@ -44,10 +44,19 @@ def upsert(
 
     One full outer join: the target is read once, the batch folded once.
     """
-    supplied = [c for c in changes.columns if c != key and c in target.columns]
-    updated = supplied if update_cols is None else [c for c in supplied if c in update_cols]
+    return upsert_folded(target, folded(changes, key, order_by), key, update_cols, defaults)
+
+
+def folded(changes: DataFrame, key: str, order_by: Sequence[str] = ()) -> DataFrame:
+    """:func:`last_per_key` of changes that all have a key; one without fails the run."""
     must = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"a change has no {key}"))).otherwise(F.col(key))
-    last = last_per_key(changes.withColumn(key, must), key, order_by)
+    return last_per_key(changes.withColumn(key, must), key, order_by)
+
+
+def upsert_folded(target: DataFrame, last: DataFrame, key: str, update_cols: Sequence[str] | None = None, defaults: Mapping[str, Any] | None = None) -> DataFrame:
+    """:func:`upsert` of a batch that is folded already, and so holds each key once."""
+    supplied = [c for c in last.columns if c != key and c in target.columns]
+    updated = supplied if update_cols is None else [c for c in supplied if c in update_cols]
     change = last.select(F.col(key).alias("_new_key"), *[F.col(c).alias(f"_new_{c}") for c in supplied])
     old = target.withColumn("_old", F.lit(True))
 

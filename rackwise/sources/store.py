@@ -5,14 +5,16 @@ directory of (key, month), itself in folders by a hash of the key. A change read
 folders of its keys, then the months found there and the months it puts rows into; no other file is
 opened or written. Months are few, so lists of them are kept on the driver.
 
-A change writes the directory first, adding to it only, then the months. A run that dies in between
-leaves at most entries for months that don't hold the key, which cost a folder read and change
+A change writes its months to a folder of its own in the store, then the directory, adding to it only,
+then moves the months into their places. A run that dies in between leaves at most that folder, which
+nobody reads, and entries for months that don't hold the key, which cost a folder read and change
 nothing. Two changes to one table must not run at the same time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -26,9 +28,9 @@ from rackwise.functions.columns import in_stock
 from rackwise.functions.fixed_values import MARKDOWN_AGES
 from rackwise.operators.listings import newest_first
 from rackwise.operators.markdown import apply_markdowns
-from rackwise.operators.merge import delete_keys, last_per_key, upsert
+from rackwise.operators.merge import delete_keys, folded, upsert_folded
 from rackwise.sources.schema import KEYS, SCHEMAS
-from rackwise.sources.tables import DATED, MONTH, Tables, write_table
+from rackwise.sources.tables import DATED, MONTH, Tables, by_month, write_table
 from rackwise.sources.workspace import stored
 
 KEY_BUCKETS = 64
@@ -72,8 +74,7 @@ def load_months(spark: SparkSession, folder: str, name: str, months: Sequence[Mo
 
 def months_of_keys(spark: SparkSession, folder: str, name: str, keys: DataFrame) -> list[Month]:
     """The months that may hold the keys (column ``key``), from the directory's folders of these keys."""
-    found = _entries(spark, folder, name, keys).join(keys.select("key").distinct(), "key", "left_semi")
-    return _ordered({row[MONTH] for row in found.select(MONTH).distinct().collect()})
+    return _ordered(_months_in(_entries(spark, folder, name, keys), keys))
 
 
 def upsert_by_month(
@@ -86,21 +87,24 @@ def upsert_by_month(
     A change without a key fails the run. No changes: nothing is read or written.
     """
     key, date = KEYS[name], DATED[name]
-    must = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"a change has no {key}"))).otherwise(F.col(key))
-    batch = stored(last_per_key(changes.withColumn(key, must), key, order_by), "changes")
+    batch = stored(folded(changes, key, order_by), "changes")
     keys = batch.select(F.col(key).alias("key"))
-    months = {*months_of_keys(spark, folder, name, keys)}
+    entries = _entries(spark, folder, name, keys)
+    months = _months_in(entries, keys)
     if date in batch.columns:
         months |= {row[0] for row in batch.select(month_of(F.col(date))).distinct().collect()}
-    elif not keys.join(_entries(spark, folder, name, keys), "key", "left_anti").isEmpty():
+    elif not keys.join(entries, "key", "left_anti").isEmpty():
         months.add(None)  # new rows without a date
     if not months:
         return Touched()
-    merged = upsert(load_months(spark, folder, name, [*months]), batch, key, update_cols, (), defaults)
-    merged = stored(merged.withColumn(MONTH, month_of(F.col(date))), "merged")
-    moved = merged.join(keys, F.col(key) == F.col("key"), "left_semi").select(F.col(key).alias("key"), MONTH)
-    _add_entries(spark, folder, name, moved)
-    return _replace(spark, folder, name, merged, months)
+    merged = upsert_folded(load_months(spark, folder, name, [*months]), batch, key, update_cols, defaults)
+    staged = _staged(by_month(merged.withColumn(MONTH, month_of(F.col(date)))), folder, name, MONTH)
+    if date in batch.columns and (update_cols is None or date in update_cols):
+        moved = batch.select(F.col(key).alias("key"), month_of(F.col(date).cast("date")).alias(MONTH))  # all rows of a key take its date
+    else:
+        moved = _table(spark, folder, name, staged).join(keys, F.col(key) == F.col("key"), "left_semi").select(F.col(key).alias("key"), MONTH)
+    _add_entries(spark, folder, name, entries, moved)
+    return _put_months(spark, staged, f"{folder}/{name}", months)
 
 
 def delete_by_month(spark: SparkSession, folder: str, name: str, keys: DataFrame) -> Touched:
@@ -111,7 +115,7 @@ def delete_by_month(spark: SparkSession, folder: str, name: str, keys: DataFrame
     if not months:
         return Touched()
     kept = delete_keys(_table(spark, folder, name).where(among(MONTH, [*months])), batch, key)
-    return _replace(spark, folder, name, stored(kept, "kept"), months)
+    return _put_months(spark, _staged(by_month(kept), folder, name, MONTH), f"{folder}/{name}", months)
 
 
 def rows_by_key(spark: SparkSession, folder: str, name: str, keys: DataFrame, most: int = KEYS_IN_FILTER) -> DataFrame:
@@ -181,8 +185,8 @@ def markdown_by_month(spark: SparkSession, folder: str, last_run: dt.date, as_of
     return upsert_by_month(spark, folder, "items", raised.select("sku", "markdown_stage"))
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(StructType([*SCHEMAS[name].fields, StructField(MONTH, StringType())])).parquet(f"{folder}/{name}")
+def _table(spark: SparkSession, folder: str, name: str, path: str | None = None) -> DataFrame:
+    return spark.read.schema(StructType([*SCHEMAS[name].fields, StructField(MONTH, StringType())])).parquet(path or f"{folder}/{name}")
 
 
 def _directory(folder: str, name: str) -> str:
@@ -202,34 +206,69 @@ def _entries(spark: SparkSession, folder: str, name: str, keys: DataFrame) -> Da
     return spark.read.schema(schema).parquet(path).where(F.col(_BUCKET).isin(among))
 
 
-def _add_entries(spark: SparkSession, folder: str, name: str, new: DataFrame) -> None:
-    known = _entries(spark, folder, name, new)
+def _months_in(entries: DataFrame, keys: DataFrame) -> set[Month]:
+    found = entries.join(keys.select("key").distinct(), "key", "left_semi")
+    return {row[MONTH] for row in found.select(MONTH).distinct().collect()}
+
+
+def _add_entries(spark: SparkSession, folder: str, name: str, known: DataFrame, new: DataFrame) -> None:
+    """Put ``new`` into the directory's folders that its keys fall into; ``known`` is what these hold."""
     buckets = spark.read.schema("buckets int").parquet(f"{_directory(folder, name)}_buckets").first()["buckets"]
-    both = stored(known.unionByName(_with_bucket(new, buckets)).distinct(), "key-entries")
-    _overwrite(both.repartition(_BUCKET), _directory(folder, name), _BUCKET)
+    both = known.unionByName(_with_bucket(new, buckets)).repartition(_BUCKET).distinct()  # dealt by folder once, for both
+    _put(spark, _staged(both, folder, name, _BUCKET), _directory(folder, name))
+
+
+def _staged(rows: DataFrame, folder: str, name: str, by: str) -> str:
+    """Write ``rows`` in folders of ``by`` beside the table, on its file system, and return where."""
+    path = f"{folder}/_{name}-{uuid.uuid4().hex}"
+    rows.write.partitionBy(by).parquet(path)
+    return path
 
 
-def _replace(spark: SparkSession, folder: str, name: str, rows: DataFrame, months: set[Month]) -> Touched:
-    return replace_months(rows.repartitionByRange(DATED[name], "sku"), f"{folder}/{name}", months)
+def _put(spark: SparkSession, staged: str, path: str) -> list[str]:
+    """Move the folders in ``staged`` into the places of those of ``path`` with their names, and return these names."""
+    fs, place = _file_system(spark, path)
+    folders = [f.getPath() for f in fs.listStatus(place(staged)) if f.isDirectory()]
+    for new in folders:
+        old = place(path, new.getName())
+        fs.delete(old, True)
+        if not fs.rename(new, old):
+            raise OSError(f"{new} can't be moved to {old}")
+    fs.delete(place(staged), True)
+    spark.catalog.refreshByPath(path)
+    return [new.getName() for new in folders]
+
+
+def _put_months(spark: SparkSession, staged: str, path: str, months: set[Month]) -> Touched:
+    """Put the month folders of ``staged`` in the place of what these months of ``path`` hold."""
+    left = {_month_in(name) for name in _put(spark, staged, path)}
+    return _emptied(spark, path, months, left)
 
 
 def replace_months(rows: DataFrame, path: str, months: set[Month]) -> Touched:
     """Put ``rows``, stored elsewhere and with their month in ``MONTH``, in the place of what these months of ``path`` hold."""
     left = {row[0] for row in rows.select(MONTH).distinct().collect()}
-    _overwrite(rows, path, MONTH)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    return _emptied(rows.sparkSession, path, months, left)
+
+
+def _emptied(spark: SparkSession, path: str, months: set[Month], left: set[Month]) -> Touched:
+    """What a change of ``months`` has touched that left rows in the months ``left``; the others' folders go."""
     emptied = _ordered(months - left)
     for month in emptied:
-        _drop_folder(rows.sparkSession, f"{path}/{MONTH}={month or _NO_MONTH}")
+        _drop_folder(spark, f"{path}/{MONTH}={month or _NO_MONTH}")
     return Touched(_ordered(months | left), emptied)
 
 
-def _overwrite(rows: DataFrame, path: str, by: str) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """Hadoop's file system of ``path`` and its class of paths."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def _drop_folder(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    fs, place = _file_system(spark, path)
+    fs.delete(place(path), True)
 
 
 def month_of(date: Column) -> Column:

@@ -97,9 +97,7 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
     if fmt == "csv":
         write_csv(df, path)
     elif name in DATED:
-        # Dealt by date, so a task writes to few months and a busy month is written by many tasks.
-        date = DATED[name]
-        dated = df.withColumn(MONTH, F.date_format(date, "yyyy-MM")).repartitionByRange(date, "sku")
+        dated = by_month(df.withColumn(MONTH, F.date_format(DATED[name], "yyyy-MM")))
         key = KEYS[name]
         # A look-up by key skips row groups whose Bloom filter rules the key out.
         blooms = {f"parquet.bloom.filter.enabled#{key}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
@@ -108,6 +106,14 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
         df.write.mode("errorifexists").parquet(path)
 
 
+def by_month(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by ``MONTH`` for a write to month folders: a task writes to few months, a busy month is cut among many tasks.
+
+    The cuts follow from the sizes that the shuffle has met. Ranges of dates would need a sample first, and for it every row computed twice.
+    """
+    return rows.hint("rebalance", MONTH)
+
+
 def save_bucketed(tables: Tables, folder: str, prefix: str, buckets: int) -> None:
     """Store the tables as ``<prefix>_<table>`` in the session's catalog, files below ``folder``.
 

@@ -11,7 +11,7 @@ from rackwise.functions.fixed_values import MARKDOWN_AGES
 from rackwise.operators import listings, markdown, merge
 from rackwise.sources import store
 from rackwise.sources.schema import DEFAULTS
-from rackwise.sources.tables import load_table
+from rackwise.sources.tables import load_table, write_table
 
 AS_OF = dt.date(2025, 8, 15)
 
@@ -169,3 +169,33 @@ def test_two_runs_of_markdowns_equal_one(spark, shop, tmp_path):
     store.markdown_by_month(spark, path, AS_OF, AS_OF, changed=late)
     assert load_table(spark, path, "items").where("sku = 'late'").first()["markdown_stage"] == 3
     assert os.path.isdir(path) and load_table(spark, path, "items").where(F.col("sku") == "S0800").first()["markdown_stage"] == 0
+
+
+def test_rows_are_computed_once_to_be_written_and_changed(spark, shop, tmp_path, folder):
+    def counted(df, column):
+        seen = spark.sparkContext.accumulator(0)
+
+        def note(value):
+            seen.add(1)
+            return value
+
+        return df.withColumn(column, F.udf(note)(column)), seen
+
+    items, seen = counted(shop.items, "sku")
+    write_table(items, str(tmp_path / "once"), "items")
+    assert seen.value == shop.items.count()  # no sample of the rows is taken first
+    shared = Path(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    stored, in_store = {*shared.glob("rackwise-*")}, {p.name for p in Path(folder).iterdir()}
+    changes = spark.createDataFrame([("S0301", dt.date(2025, 7, 1)), ("new", None)], "sku string, listed_at date")
+    store.upsert_by_month(spark, folder, "items", changes, defaults=DEFAULTS["items"])
+    # Only the batch is stored on the way; months and directory are written where they are to be.
+    assert [p.name.split("-")[1] for p in {*shared.glob("rackwise-*")} - stored] == ["changes"]
+    assert {p.name for p in Path(folder).iterdir()} == in_store
+
+
+def test_new_rows_are_known_by_a_date_that_old_ones_do_not_take(spark, shop, folder):
+    changes = spark.createDataFrame([("S0301", dt.date(2025, 7, 1), 5.0), ("new", dt.date(2026, 1, 1), 6.0)], "sku string, listed_at date, list_price double")
+    store.upsert_by_month(spark, folder, "items", changes, ["list_price"], defaults=DEFAULTS["items"])
+    assert rows(load_table(spark, folder, "items")) == rows(merge.upsert(shop.items, changes, "sku", ["list_price"], defaults=DEFAULTS["items"]))
+    keys = spark.createDataFrame([("S0301",), ("new",)], "key string")
+    assert store.months_of_keys(spark, folder, "items", keys) == ["2026-01", "2025-03"]
