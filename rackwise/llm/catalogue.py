@@ -88,7 +88,8 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_mix(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    # The operator meets its rows twice; stored, their words are counted, and the texts read, only once.
+    docs = stored(read_table(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")), "sizes")
     return mix(docs, size="words").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

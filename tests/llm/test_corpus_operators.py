@@ -447,3 +447,11 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     taken, = last.agg(F.sum("taken")).first()
     words, = docs.agg(F.sum(F.size(F.split("text", r"\s+")))).first()
     assert abs(taken - 1.5 * words) < 0.2 * words
+
+
+def test_the_mix_query_reads_each_text_once(spark, tmp_path):
+    rows = [(k, "word " * (k % 7), ("a", "b", None)[k % 3]) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.op10_mix(spark, str(tmp_path))
+    assert not [f for f in got.inputFiles() if "documents.parquet" in f]  # what is left to run reads stored sizes only
+    assert sorted((r.doc_id, r.size) for r in got.collect()) == [(k, k % 7) for k in range(60)]
